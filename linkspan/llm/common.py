@@ -45,3 +45,28 @@ def ascii_lower(text: Column | str) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint when ``rows``, counted beforehand, is within ``limit``; else a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def labelled_sample(labels: DataFrame, column: str, per_class: int, where: Column | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``per_class`` labelled ids of each class 0 and 1, chosen by a hash of the id, and the
+    number of rows of each class before the choice. Rows with a null id or another label don't count.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    if where is not None:
+        rows = rows.where(where)
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    part = [rows.where(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
+    return part[0].unionByName(part[1]), sizes
+
+
+def passing_schema(df: DataFrame, *added: tuple[str, str]) -> tuple[DataFrame, str]:
+    """``df`` without columns of the added names, and the schema of its rows with those added.
+
+    Names are matched without regard to case, as Spark does.
+    """
+    names = {n.lower() for n, _ in added}
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` {t}" for n, t in added]
+    return df, ", ".join(fields)

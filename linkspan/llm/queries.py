@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .id_store import store_round_trip
 from .packing import pack_documents
+from .quality_gbt import apply_rules, fit_rules
+from .quality_knn import fit_knn, score_documents
 from .token_counts import count_tokens
 
 
@@ -22,12 +24,29 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def _fold() -> Column:
+    """crc32 of doc_id as text, modulo 5."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_knn(docs, table(spark, sf_dir, "labels"), where=_fold() != 0)
+    scored = score_documents(docs, model)
+    return scored.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store_round_trip(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_harmonic_packing, op5_token_counts, op8_id_store)
+    f.__name__: f for f in (op1_harmonic_packing, op5_token_counts, op7_quality_votes, op8_id_store, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {}
