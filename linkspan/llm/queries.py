@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .html_text import extract_text
 from .id_store import store_round_trip
 from .packing import pack_documents
 from .quality_gbt import apply_rules, fit_rules
@@ -20,6 +21,10 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_harmonic_packing, op5_token_counts, op7_quality_votes, op8_id_store, op10_quality_rules)
+    f.__name__: f for f in (op1_harmonic_packing, op4_block_rules, op5_token_counts, op7_quality_votes, op8_id_store, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {}
