@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import ORACLE as LEAKS_SQL
+from .decontaminate import decontaminate
 from .html_text import extract_text
 from .id_store import store_round_trip
+from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .quality_gbt import apply_rules, fit_rules
 from .quality_knn import fit_knn, score_documents
+from .secrets import corpus_samples, fit_ratio, name_samples, random_samples, scan_secrets
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 
@@ -21,6 +26,17 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = random_samples(spark).unionByName(name_samples(spark)).unionByName(corpus_samples(docs))
+    return scan_secrets(docs, fit_ratio(samples))
+
+
 def op4_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -29,6 +45,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
 def _fold() -> Column:
     """crc32 of doc_id as text, modulo 5."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -46,12 +67,22 @@ def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_harmonic_packing, op4_block_rules, op5_token_counts, op7_quality_votes, op8_id_store, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_harmonic_packing, op2_simhash_pivots, op3_markov_secrets, op4_block_rules, op5_token_counts,
+        op6_line_chunks, op7_quality_votes, op8_id_store, op9_prefix_join, op10_quality_rules,
+    )
 }
-ORACLES: dict[str, str] = {}
+#: The other operators' results depend on models, tokenizers or bit-wise hashes; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op9_prefix_join": LEAKS_SQL}
