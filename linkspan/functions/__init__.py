@@ -1 +1 @@
-
+"""Column functions: built-in Spark expressions only."""
