@@ -35,7 +35,18 @@ _BYTE_PIECES = re.compile(
     f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\\s{_LETTER}{_DIGIT}]+|\\s+(?!\\S)|\\s+"
 )
 #: Distinct pre-tokens kept by a Python worker; beyond it, further ones are encoded each time.
-MEMO = 300_000
+MEMO = 500_000
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in byte-level vocabularies: visible Latin-1 characters for
+    themselves, the other bytes in order for the characters from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
 
 
 def public_path(name: str) -> str:
@@ -45,14 +56,15 @@ def public_path(name: str) -> str:
 
 
 class _Memo(dict):
-    """Piece to little-endian unsigned 32-bit ids."""
+    """Piece to little-endian unsigned 32-bit ids, by the library's model alone: a piece needs no more cutting."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        letters = piece.encode().decode("latin-1").translate(_LETTERS)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
         if len(self) < MEMO:
             self[piece] = ids
         return ids
