@@ -1,26 +1,23 @@
 """Removal of repeated passages by content-defined line chunks, in DataFrame functions alone.
 
-Each line has a hash, and a rolling hash runs over the hashes of ``WINDOW`` lines; a chunk ends after a
-line whose rolling hash falls into one of ``SPREAD`` classes. So ends depend on the lines there alone, and
-a passage is cut alike wherever it stands. A line of ``LONG`` words or more is a passage of its own
-and is cut off on both sides. Several families of ends are tried, so that a passage that one of them
-cuts badly is whole in another. Of chunks that repeat anywhere, in one document or over all, the first
-by doc_id and place stays; the others go once their bytes were compared.
+Each line has a hash, and a rolling hash runs over the hashes of two lines. Its bits choose where chunks
+start and end, in ``FAMILIES`` independent ways: one bit says whether a chunk starts at a line (by that
+line and the next one), another whether it ends there (by that line and the one before). So both ends
+depend on the lines of the chunk alone, and a passage is cut alike wherever it stands. A chunk has two
+to five lines; a line of ``LONG`` words or more is a chunk of its own too. Of chunks that repeat anywhere,
+in one document or over all, the first by doc_id and place stays; the others go once their bytes were compared.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-WINDOW = 2
-SPREAD = 3
-FAMILIES = 3
+FAMILIES = 4
 LONG = 50
+MOST = 5
 _BASE, _PRIME = 1_000_003, 2_147_483_647
 
 
@@ -28,44 +25,66 @@ def _lines(column: str = "text") -> Column:
     return F.split(F.col(column), "\n", -1)
 
 
-def _chunks(rows: DataFrame, family: int, min_lines: int, long_words: int) -> DataFrame:
-    """uid, doc_id, family, first and last line (from 1) and chunk text of all chunks that may go."""
-    rows = rows.select("uid", "doc_id", _lines().alias("lines"))
-    # 32 bits of MD5; as a number below the prime.
-    hashed = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % _PRIME)
-    is_long = F.transform("lines", lambda x: F.size(F.split(F.trim(F.regexp_replace(x, "[ \\t\\r]+", " ")), " ")) >= long_words)
-    rows = rows.select("uid", "doc_id", "lines", hashed.alias("h"), is_long.alias("long"))
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` with lines, x (64 bits a line) and h (32 bits of its MD5, below the prime)."""
+    rows = rows.withColumn("lines", _lines())
+    h = F.transform("lines", lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long") % _PRIME)
+    return rows.withColumns({"x": F.transform("lines", lambda line: F.xxhash64(line)), "h": h})
+
+
+def _spans(rows: DataFrame, families: int, long_words: int) -> DataFrame:
+    """uid, first and last line (from 1) and a hash of every chunk that may go; what several families cut alike comes once."""
+    rows = _hashed(rows)
+    long_lines = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _spaces(F.get("lines", i)) >= long_words - 1)
+    rows = rows.select("uid", "x", "h", long_lines.alias("long"))
+    rolling = F.transform("h", lambda h, i: ((F.lit(_BASE) + F.coalesce(F.get("h", i - 1), F.lit(0))) % _PRIME * _BASE + h) % _PRIME)
+    rows = rows.select("uid", "x", "long", rolling.alias("r"))
+    bit = lambda i, k: F.get("r", i).bitwiseAND(1 << k) != 0
+
+    def end(i: Column, k: int) -> Column:
+        found = [F.when(bit(i + j, k), i + j) for j in range(1, MOST - 1)]
+        return F.when(bit(i + 1, k + 8), F.coalesce(*found, F.least(i + MOST - 1, F.size("r") - 1)))
+
+    span = lambda a, b: F.struct((a + 1).alias("first"), (b + 1).alias("last"))
+
+    def cut(i: Column) -> Column:
+        return F.transform(F.array_distinct(F.array_compact(F.array(*[end(i, k) for k in range(families)]))), lambda e: span(i, e))
 
-    def ends(i: Column) -> Column:
-        rolling = reduce(lambda t, j: (t * _BASE + F.coalesce(F.get("h", i - j), F.lit(0))) % _PRIME, range(WINDOW - 1, -1, -1), F.lit(family + 1).cast("long"))
-        return (rolling % SPREAD == 0) | F.get("long", i) | F.coalesce(F.get("long", i + 1), F.lit(True))
+    several = F.when(F.size("r") > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size("r") - 2), cut)))
+    every = F.flatten(F.array_compact(F.array(F.transform("long", lambda i: span(i, i)), several)))
+    rows = rows.select("uid", "x", F.explode(every).alias("s"))
+    return rows.select("uid", "s.first", "s.last", F.xxhash64(_part("x", F.col("s"))).alias("hash"))
 
-    cut = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), ends)
-    rows = rows.select("uid", "doc_id", "lines", "long", cut.alias("ends"))
-    starts = F.transform("ends", lambda e, i: F.coalesce(F.get("ends", i - 1) + 1, F.lit(0)))
-    spans = F.zip_with(starts, "ends", lambda s, e: F.struct((s + 1).alias("first"), (e + 1).alias("last")))
-    wanted = F.filter(spans, lambda x: (x["last"] - x["first"] + 1 >= min_lines) | F.get("long", x["first"] - 1))
-    rows = rows.select("uid", "doc_id", "lines", F.explode(wanted).alias("x"))
-    text = F.array_join(F.slice("lines", F.col("x.first"), F.col("x.last") - F.col("x.first") + 1), "\n")
-    return rows.select("uid", "doc_id", F.lit(family).alias("family"), "x.first", "x.last", text.alias("chunk")).where("trim(chunk) <> ''")
 
+def _spaces(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" ")))
 
-def repeated_lines(rows: DataFrame, families: int = FAMILIES, min_lines: int = 2, long_words: int = LONG) -> DataFrame:
+
+def _part(lines: str, span: Column) -> Column:
+    return F.slice(lines, span["first"], span["last"] - span["first"] + 1)
+
+
+def repeated_lines(rows: DataFrame, families: int = FAMILIES, long_words: int = LONG) -> DataFrame:
     """uid, first, last: the runs of lines of ``rows`` (uid, doc_id, text) that repeat an earlier chunk."""
-    chunks = [_chunks(rows, k, min_lines, long_words).withColumn("hash", F.xxhash64("chunk")) for k in range(families)]
-    chunks = reduce(DataFrame.unionByName, chunks)
-    chunks = materialize(chunks, "line-chunks")
+    spans = materialize(_spans(rows.select("uid", "text"), families, long_words), "line-chunks")
     # Eight bytes a chunk decide, added up in each task first, which chunks can be repeated at all.
-    twice = chunks.groupBy("family", "hash").agg(F.count("*").alias("n")).where("n > 1").select("family", "hash")
-    maybe = chunks.join(twice, ["family", "hash"], "left_semi")
+    twice = spans.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    maybe = spans.join(twice, "hash", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one document
+    maybe = materialize(rows.join(maybe, "uid"), "line-candidates")
+    lines = _hashed(maybe)
+    # Bytes are compared here, line by line: do lines of equal hashes have equal bytes? If not, chunks are compared by their text.
+    each = lines.select(F.explode(F.arrays_zip("x", "h", "lines")).alias("l")).select("l.*")
+    differ = each.groupBy("x", "h").agg(F.count_distinct("lines").alias("n")).where("n > 1")
+    key = F.concat(_part("x", F.col("s")), _part("h", F.col("s"))) if differ.isEmpty() else _part("lines", F.col("s"))
+    chunks = lines.select("uid", "doc_id", "lines", "x", "h", F.explode("spans").alias("s")).where(F.trim(F.array_join(_part("lines", F.col("s")), "")) != "")
+    chunks = chunks.select("uid", "doc_id", "s.first", "s.last", key.alias("chunk"))
     place = F.struct(F.col("doc_id").isNull().alias("last_of_all"), "doc_id", "uid", "first")
-    # Bytes are compared here: chunks of one hash stay apart unless their text is equal.
-    kept = maybe.groupBy("family", "hash", "chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = maybe.join(kept, ["family", "hash", "chunk"]).where((F.col("kept.uid") != F.col("uid")) | (F.col("kept.first") != F.col("first")))
+    kept = chunks.groupBy("chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = chunks.join(kept, "chunk").where((F.col("kept.uid") != F.col("uid")) | (F.col("kept.first") != F.col("first")))
     return gone.select("uid", "first", "last")
 
 
-def dedup_lines(docs: DataFrame, families: int = FAMILIES, min_lines: int = 2, long_words: int = LONG) -> DataFrame:
+def dedup_lines(docs: DataFrame, families: int = FAMILIES, long_words: int = LONG) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and n_lines, n_removed (lines before, and gone).
 
     Lines end at ``\\n``; a null text stays null with no lines, an empty one is one empty line. Chunks of
@@ -76,7 +95,7 @@ def dedup_lines(docs: DataFrame, families: int = FAMILIES, min_lines: int = 2, l
     added = {"uid", "n_lines", "n_removed"}
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     base = materialize(kept.withColumn("uid", F.monotonically_increasing_id()), "line-dedup")
-    gone = repeated_lines(base.select("uid", F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null"), families, min_lines, long_words)
+    gone = repeated_lines(base.select("uid", "doc_id", F.col("text").cast("string").alias("text")).where("text is not null"), families, long_words)
     by_doc = gone.distinct().select("uid", F.explode(F.sequence("first", "last")).alias("line")).distinct()
     # A document has as many numbers at most as it has lines.
     by_doc = by_doc.groupBy("uid").agg(F.collect_set("line").alias("gone"))
@@ -91,3 +110,19 @@ def dedup_lines(docs: DataFrame, families: int = FAMILIES, min_lines: int = 2, l
     if "n_chars" in columns:
         columns["n_chars"] = F.length("cut").cast(kept.schema[[c.lower() for c in kept.columns].index("n_chars")].dataType)
     return out.select(*[columns[c.lower()].alias(c) for c in kept.columns], "n_lines", "n_removed")
+
+
+ORACLE = """
+WITH doc AS (SELECT row_number() OVER (ORDER BY doc_id) AS u, doc_id, text FROM documents),
+line AS (SELECT u, i, l[i] AS line FROM (SELECT u, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT u, string_split(text, chr(10)) AS l FROM doc WHERE text IS NOT NULL))),
+h AS (SELECT u, i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) % 2147483647 AS h, length(line) - length(replace(line, ' ', '')) >= 49 AS long FROM line),
+p AS (SELECT *, ((1000003 + coalesce(lag(h) OVER w, 0)) % 2147483647 * 1000003 + h) % 2147483647 AS r, max(i) OVER (PARTITION BY u) AS n FROM h WINDOW w AS (PARTITION BY u ORDER BY i)),
+q AS (SELECT *, lead(r) OVER w AS r1, lead(r, 2) OVER w AS r2, lead(r, 3) OVER w AS r3 FROM p WINDOW w AS (PARTITION BY u ORDER BY i)),
+x AS (SELECT u, i AS first, CASE WHEN (r1 >> f) & 1 = 1 THEN i + 1 WHEN (r2 >> f) & 1 = 1 THEN i + 2 WHEN (r3 >> f) & 1 = 1 THEN i + 3 ELSE least(i + 4, n) END AS last
+  FROM q, (SELECT unnest(range(0, 4))::INTEGER AS f) WHERE (r1 >> (f + 8)) & 1 = 1 UNION SELECT u, i, i FROM q WHERE long),
+s AS (SELECT u, first, last, (SELECT string_agg(line, chr(10) ORDER BY i) FROM line WHERE line.u = x.u AND line.i BETWEEN first AND last) AS chunk FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY u, first) AS rn FROM s WHERE trim(replace(chunk, chr(10), '')) <> ''),
+gone AS (SELECT DISTINCT u, unnest(range(first, last + 1)) AS i FROM r WHERE rn > 1),
+cut AS (SELECT line.u, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY line.i) FILTER (WHERE gone.i IS NULL), '') AS cut FROM line LEFT JOIN gone ON gone.u = line.u AND gone.i = line.i GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(cut) AS n_chars_left, md5(cut) AS text_md5 FROM doc LEFT JOIN cut USING (u)
+"""

@@ -12,6 +12,7 @@ from .decontaminate import ORACLE as LEAKS_SQL
 from .decontaminate import decontaminate
 from .html_text import extract_text
 from .id_store import store_round_trip
+from .line_dedup import ORACLE as LINES_SQL
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .quality_gbt import apply_rules, fit_rules
@@ -85,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 #: The other operators' results depend on models, tokenizers or bit-wise hashes; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op9_prefix_join": LEAKS_SQL}
+ORACLES: dict[str, str] = {"op6_line_chunks": LINES_SQL, "op9_prefix_join": LEAKS_SQL}
