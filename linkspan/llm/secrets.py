@@ -61,20 +61,25 @@ def corpus_samples(docs: DataFrame, n_docs: int = 2000) -> DataFrame:
     return texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({RUN}{{8,}})"), F.lit(1))).alias("text"), F.lit(0).alias("label"))
 
 
-def fit_ratio(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def fit_ratio(samples: DataFrame, backing: float = 5.0) -> list[float]:
     """log P(next | character, label 1) - log P(next | character, label 0) for every pair of characters,
-    from samples (text, label); nulls and other labels don't count. Without samples, all are zero."""
+    from samples (text, label); nulls and other labels don't count. Each transition is backed by the
+    character's overall share with a weight of ``backing``. Without samples, all are zero."""
     pairs = samples.where(F.col("label").isin(0, 1) & (F.length("text") > 1)).select("label", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("i"))
     pairs = pairs.select("label", *[(F.ascii(F.substring("text", F.col("i") + j, F.lit(1))) - FIRST).alias(c) for j, c in enumerate("ab")])
     pairs = pairs.where(F.col("a").between(0, SIDE - 1) & F.col("b").between(0, SIDE - 1))
     counts = {(r["label"], r["a"], r["b"]): r["n"] for r in pairs.groupBy("label", "a", "b").agg(F.count("*").alias("n")).collect()}  # at most 2 * SIDE ** 2
     used = [i for i in range(SIDE) if chr(FIRST + i).isalnum() or chr(FIRST + i) in "+/_=-"]
+    logs = []
+    for label in (0, 1):
+        seen = [0.5 + sum(counts.get((label, a, b), 0) for a in used) for b in used]
+        share = [x / sum(seen) for x in seen]
+        rows = {a: [counts.get((label, a, b), 0) for b in used] for a in used}
+        logs.append({a: [math.log((n + backing * s) / (sum(row) + backing)) for n, s in zip(row, share)] for a, row in rows.items()})
     table = [0.0] * (SIDE * SIDE)
     for a in used:
-        rows = [[counts.get((label, a, b), 0) + smoothing for b in used] for label in (0, 1)]
-        sums = [sum(r) for r in rows]
-        for b, ordinary, strange in zip(used, *rows):
-            table[a * SIDE + b] = math.log(strange / sums[1]) - math.log(ordinary / sums[0])
+        for b, ordinary, strange in zip(used, logs[0][a], logs[1][a]):
+            table[a * SIDE + b] = strange - ordinary
     return table
 
 
@@ -100,7 +105,7 @@ def _found(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
     return F.transform(pairs, lambda x: row(x["g"], x["m"], long_enough(x["p"]), F.lit(None).cast("string")))
 
 
-def scan_secrets(docs: DataFrame, ratio: list[float], threshold: float = 1.0, least: int = 16) -> DataFrame:
+def scan_secrets(docs: DataFrame, ratio: list[float], threshold: float = 1.5, least: int = 16) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans for each row of ``docs``.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then kind. A run of at least
