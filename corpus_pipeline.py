@@ -14,7 +14,7 @@ from linkspan.llm.decontaminate import decontaminate
 from linkspan.llm.line_dedup import dedup_lines
 from linkspan.llm.packing import pack_documents
 from linkspan.llm.quality_knn import fit_knn, score_documents
-from linkspan.llm.simhash import near_duplicates
+from linkspan.llm.similar import similar_documents
 
 
 def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -33,8 +33,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return _columns(near_duplicates(docs).where("keep"), docs)
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id.
+
+    Near-duplicates share 80 % of their shingles of five words; SimHash pivot tables discard pairs.
+    """
+    return _columns(similar_documents(docs).where("keep"), docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,11 +32,16 @@ SMALL = 32
 REFERENCES = np.random.default_rng(64).integers(0, 1 << 64, PIVOTS, dtype="u8")
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words between \\x20 and \\x09-\\x0D, A-Z lower-cased; both are what bytes do."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Each bit is the majority of the XXH64 (seed 42) of all shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and \x20 \x09-\x0D
+    found = words_of(text)
     if not found:
         return 0
     n = max(1, len(found) - words + 1)
