@@ -51,6 +51,27 @@ def origin(url: Column) -> Column:
     return F.when(part(1) != "", F.concat_ws(":", part(1), part(2), port))
 
 
+def defragment(url: Column) -> Column:
+    """An address without its fragment (O9.8)."""
+    return F.regexp_replace(url, "#.*$", "")
+
+
+def resolve_url(base: Column, href: Column) -> Column:
+    """``href`` as seen from the page ``base`` (O9.8): absolute, by scheme, by host, query or fragment alone, or beside the page.
+
+    Dot segments are not folded; a blank href is the page itself.
+    """
+    href = F.trim(F.coalesce(href, F.lit("")))
+    scheme = F.regexp_extract(base, r"^([^:/?#]+:)", 1)
+    host = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(page == host, F.concat(host, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
+    return (
+        F.when(href == "", base).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href))
+        .when(href.startswith("/"), F.concat(host, href)).when(href.startswith("?"), F.concat(page, href)).when(href.startswith("#"), F.concat(defragment(base), href)).otherwise(F.concat(folder, href))
+    )
+
+
 def phone_digits(raw: Column) -> Column:
     """A phone without a ``tel:`` prefix, white space, brackets, hyphens, dots and zero-width characters; 00 is +."""
     bare = F.regexp_replace(F.regexp_replace(raw, r"(?i)^\s*tel:", ""), r"[\s().\-​-‍⁠﻿]", "")

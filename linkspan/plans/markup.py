@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import defragment, origin, resolve_url
 from ..operators import html
 from ..sources.tables import listing, table
 from .registry import query
@@ -24,6 +25,15 @@ def link_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("href").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
 
 
+@query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\bhref="([^"]*)"', 1)) AS href FROM pages), h AS (SELECT *, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS host FROM l)
+SELECT page_id, href, regexp_replace(CASE WHEN href LIKE '/%' THEN host || href WHEN href LIKE 'http%' THEN href ELSE 'odd' END, '#.*$', '') AS target, href LIKE '/%' OR starts_with(href, host || '/') AS same_origin FROM h""")
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links as full addresses without fragments, and whether they stay at their page's origin (O1.3, O9.8)."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(html.tag_values(F.col("html"), "a", "href")).alias("href"))
+    target = defragment(resolve_url(F.col("url"), F.col("href")))
+    return p.select("page_id", "href", target.alias("target"), (origin(F.col("url")) == origin(target)).alias("same_origin"))
+
+
 @query()
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs as visible text (O1.5, O11.3); no SQL reads real HTML, tests compare it with hand-made pages."""

@@ -108,3 +108,12 @@ def test_json(spark):
     assert one(spark, *[jsonx.has_value(F.lit(v)) for v in values]) == tuple(values.values())
     same = one(spark, jsonx.set_hash(F.array(F.lit("a"), F.lit("b"))), jsonx.set_hash(F.array(F.lit("b"), F.lit("a"), F.lit("b"))))
     assert same[0] == same[1]
+
+
+def test_resolve(spark):
+    from urllib.parse import urljoin
+
+    pages = ["https://a.com/x/y?q=1#f", "https://a.com", "http://a.com:80/d/"]
+    hrefs = ["", "z", "/z?k", "//b.org/c", "?p=2", "#top", "mailto:a@b", "https://c.net/"]
+    got = one(spark, *[text.resolve_url(F.lit(p), F.lit(h)) for p in pages for h in hrefs])
+    assert got == tuple(urljoin(p, h) if h else p for p in pages for h in hrefs)
