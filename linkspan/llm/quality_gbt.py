@@ -158,7 +158,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, column: str = "quality", per_c
     """
     sample, _ = labelled_sample(labels, column, per_class, where)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_stats, "doc_id long, label int, row array<double>").collect()
+    one_each = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = one_each.mapInArrow(_stats, "doc_id long, label int, row array<double>").collect()  # at most 2 * per_class rows
     found = sorted({(r["doc_id"], r["label"], tuple(r["row"])) for r in found})
     x = np.array([r[2] for r in found], "f8").reshape(-1, len(FEATURES))
     return grow(x, np.array([r[1] for r in found], "f8"), list(FEATURES.values()))

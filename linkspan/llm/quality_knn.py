@@ -1,7 +1,7 @@
 """Quality scores by nearest-neighbour voting in a latent semantic space.
 
-A document's vector: counts of its hashed byte 3-grams, damped by a logarithm, weighted by inverse
-document frequency, turned by the leading right singular vectors of a bounded sample of labelled
+A document's vector: counts of its hashed byte 3-grams and of words that repeat the word before, damped by
+a logarithm, weighted by inverse document frequency, turned by the leading right singular vectors of a bounded sample of labelled
 documents and brought to length one. Each task holds the labelled vectors (a broadcast of at most
 ``2 * per_class`` rows), multiplies its documents with them block by block, and lets the ``k``
 nearest vote, by a power of the cosine and by how many rows of its class a neighbour stands for.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, passing_schema
 
 WIDTH = 4096
+#: Weight of repeated words beside one 3-gram.
+REPEATS = 4
 RANK = 64
 NEIGHBOURS = 25
-POWER = 8
+POWER = 20
 BLOCK = 512
 #: Bytes hashed at a time, so that a very long text needs no more memory than its own.
 STRIDE = 1 << 20
@@ -40,13 +43,15 @@ class KnnModel:
 
 
 def counts(text: str | None) -> np.ndarray:
-    """Counts of hashed byte 3-grams of a whole text."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), "u1")
-    total = np.zeros(WIDTH, "f4")
+    """Counts of hashed byte 3-grams of a whole text, and of words equal to the word before them."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    raw, words = np.frombuffer(data, "u1"), data.split()
+    total = np.zeros(WIDTH + 1, "f4")
+    total[WIDTH] = sum(map(eq, words, words[1:]))
     for at in range(0, max(0, len(raw) - 2), STRIDE):
         b = raw[at : at + STRIDE + 2].astype("u4")
         code = (b[:-2] * np.uint32(65599) + b[1:-1]) * np.uint32(65599) + b[2:]
-        total += np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=WIDTH)
+        total[:WIDTH] += np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=WIDTH)
     return total
 
 
@@ -80,23 +85,25 @@ def fit_knn(docs: DataFrame, labels: DataFrame, column: str = "quality", per_cla
     """Fit on at most ``per_class`` labelled documents of each class (by a hash of doc_id).
 
     ``where`` limits the labels that may be learned from. Labelled ids without a document are passed
-    over; without any labels the model gives 0.5 to everything. Columns other than doc_id, text and
+    over, of several texts of one id the smallest counts; without any labels the model gives 0.5 to everything. Columns other than doc_id, text and
     the label are never looked at.
     """
     sample, sizes = labelled_sample(labels, column, per_class, where)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_counted, "doc_id long, label int, counts binary").collect()
+    one_each = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = one_each.mapInArrow(_counted, "doc_id long, label int, counts binary").collect()  # at most 2 * per_class rows
     found = sorted({(r["doc_id"], r["label"], bytes(r["counts"])) for r in found})
     y = np.array([r[1] for r in found], "f8")
     all_rows = sum(sizes.values())
     prior = sizes.get(1, 0) / all_rows if all_rows else 0.5
-    x = np.log1p(np.array([np.frombuffer(zlib.decompress(r[2]), "<f4") for r in found]).reshape(-1, WIDTH))
+    x = np.log1p(np.array([np.frombuffer(zlib.decompress(r[2]), "<f4") for r in found]).reshape(-1, WIDTH + 1))
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype("f4") + 1
+    idf[WIDTH] *= REPEATS
     x = _unit(x * idf)
     rank = min(RANK, *x.shape)
-    basis = np.zeros((WIDTH, 0), "f4")
+    basis = np.zeros((WIDTH + 1, 0), "f4")
     if rank:
-        q = np.random.default_rng(7).standard_normal((WIDTH, min(rank + 16, *x.shape))).astype("f4")
+        q = np.random.default_rng(7).standard_normal((WIDTH + 1, min(rank + 16, *x.shape))).astype("f4")
         for _ in range(4):  # subspace iteration for the leading right singular vectors
             q, _ = np.linalg.qr(x.T @ (x @ q))
         _, _, turn = np.linalg.svd(x @ q, full_matrices=False)

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import lowest
+
 #: Kind, pattern, group whose length counts, least length of it.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -55,7 +57,7 @@ def corpus_samples(docs: DataFrame, n_docs: int = 2000) -> DataFrame:
     """text, label 0: words of eight and more characters outside base spans, from at most ``n_docs`` texts
     of up to 100,000 characters, chosen by a hash of the text."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text").between(1, 100_000))
-    texts = texts.orderBy(F.xxhash64("text"), F.length("text")).limit(n_docs)
+    texts = lowest(texts, F.xxhash64("text"), texts.count(), n_docs)
     for _, pattern, _, _ in BASE:
         texts = texts.select(F.regexp_replace("text", pattern, " ").alias("text"))
     return texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({RUN}{{8,}})"), F.lit(1))).alias("text"), F.lit(0).alias("label"))
