@@ -8,13 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.numbers import COOLDOWN_MINUTES, half_up, step
 
 
-def leading_streak(rows: DataFrame, key: str, hit: Column, order: list[Column], most: int | None = None, name: str = "streak") -> DataFrame:
-    """How many of a key's rows, from the first in ``order`` on, are hits without a break (O5.1); of ``most`` rows if given (O5.2)."""
-    ranked = Window.partitionBy(key).orderBy(*order)
-    rows = rows.select(key, hit.alias("hit"), F.row_number().over(ranked).alias("rn"), F.sum((~hit).cast("long")).over(ranked.rowsBetween(Window.unboundedPreceding, 0)).alias("misses"))
+def leading_streak(rows: DataFrame, key: str, hit: Column, order: list[str], most: int | None = None, name: str = "streak") -> DataFrame:
+    """How many of a key's rows, from the last one in ``order`` back, are hits without a break (O5.1); of the last ``most`` rows if given (O5.2).
+
+    These are the rows after the last miss: two aggregations that combine in each task, so that a key with a
+    third of all rows needs no window over them. The last ``most`` rows are limited in each task first.
+    """
+    rows = rows.select(key, hit.alias("hit"), F.struct(*order).alias("at"))
     if most is not None:
-        rows = rows.where(F.col("rn") <= most)
-    return rows.groupBy(key).agg(F.count_if(F.col("misses") == 0).alias(name))
+        last = Window.partitionBy(key).orderBy(F.col("at").desc())
+        rows = rows.withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= most).drop("rn")
+    miss = rows.groupBy(key).agg(F.max(F.when(~F.col("hit"), F.col("at"))).alias("miss"))
+    after = F.col("miss").isNull() | (F.col("at") > F.col("miss"))
+    return rows.join(miss, key).groupBy(key).agg(F.count_if(after).alias(name))
+
+
+def numbered(rows: DataFrame, key: str, ts: str, order: str) -> DataFrame:
+    """``rows`` with attempt (1, 2, ... by time within a key) and total (rows of the key) (O4.22, O5.10).
+
+    Rows are numbered within a key's day and days are added up before, so a large key is sorted in parts.
+    """
+    rows = rows.withColumn("day", F.to_date(ts))
+    days = rows.groupBy(key, "day").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(key)
+    before = F.coalesce(F.sum("n").over(whole.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(key, "day", before.alias("before"), F.sum("n").over(whole).alias("total"))
+    inside = F.row_number().over(Window.partitionBy(key, "day").orderBy(ts, order))
+    return rows.join(days, [key, "day"]).withColumn("attempt", (F.col("before") + inside)).drop("before", "day")
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -41,7 +61,7 @@ def snapshot(sources: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
         F.max("started_at").alias("last_run"),
         F.max(F.when(done, F.col("started_at"))).alias("last_success"),
     )
-    streak = leading_streak(runs, "source_id", F.col("status") == "failed", [F.col("started_at").desc(), F.col("run_id").desc()], name="failures_in_a_row")
+    streak = leading_streak(runs, "source_id", F.col("status") == "failed", ["started_at", "run_id"], name="failures_in_a_row")
     out = sources.select("source_id").join(counts, "source_id", "left").join(streak, "source_id", "left")
     zero = [c for c in out.columns if c.endswith(("_24h", "_7d", "_row"))]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in zero})

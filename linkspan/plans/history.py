@@ -53,8 +53,7 @@ def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source_id, run_id, attempt, CAST(least(90, 5 + floor(attempt * 80.0::DOUBLE / total)) AS BIGINT) AS progress, total + 1 AS next_version FROM n""")
 def attempt_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts in order, progress in percent and the next version (O4.22, O5.10, O5.11)."""
-    w = Window.partitionBy("source_id")
-    r = runs(spark, sf_dir).withColumns({"attempt": F.row_number().over(w.orderBy("started_at", "run_id")), "total": F.count("*").over(w)})
+    r = health.numbered(runs(spark, sf_dir), "source_id", "started_at", "run_id")
     progress = F.least(F.lit(90), F.lit(5) + F.floor(F.col("attempt") * 80.0 / F.col("total"))).cast("long")
     return r.select("source_id", "run_id", "attempt", progress.alias("progress"), (F.col("total") + 1).alias("next_version"))
 
@@ -107,8 +106,8 @@ def erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(orders, "o_orderkey")
     counts = records.impact(keys, {"orders": (orders, "o_custkey"), "lines": (lines, "o_custkey")})
-    left = records.erase(keys, {"orders": (orders, "o_custkey")})["orders"].agg(F.count("*").alias("orders_left"))
-    return counts.join(F.broadcast(left), how="cross")  # one row
+    left = records.erase(keys, {"orders": (orders, "o_custkey")})["orders"]
+    return counts.withColumn("orders_left", left.agg(F.count("*")).scalar())
 
 
 @query("""WITH e AS (SELECT *, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events),

@@ -43,7 +43,7 @@ def record_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of the records with an occurrence at one source, with the total (O3.6, O6.2)."""
     found = records.search(_records(spark, sf_dir), occurrences(spark, sf_dir), source="1-URGENT").select("record_id", "occurrences", "last_seen")
     rows = records.page(found, 3, 25, F.col("last_seen").desc(), F.col("record_id").asc())
-    return rows.join(F.broadcast(found.agg(F.count("*").alias("total"))), how="cross")  # one row
+    return rows.withColumn("total", found.agg(F.count("*")).scalar())
 
 
 @query(f"""WITH {OCC}, {CANON}, ov AS ({_OVERVIEW})
@@ -124,7 +124,7 @@ SELECT source_id, CAST(items AS BIGINT) AS items, errors, CASE WHEN items + erro
 def source_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, errors, rate and the streak within the last ten runs of each source (O4.4, O4.10, O5.2, O6.6)."""
     r = runs(spark, sf_dir)
-    streak = health.leading_streak(r, "source_id", F.col("status") == "failed", [F.col("started_at").desc(), F.col("run_id").desc()], most=10)
+    streak = health.leading_streak(r, "source_id", F.col("status") == "failed", ["started_at", "run_id"], most=10)
     return health.day_rates(r, now()).join(streak, "source_id", "left").withColumn("alert", F.col("streak") >= 3)
 
 
@@ -176,7 +176,7 @@ def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, count(*) FILTER (WHERE m = 0) AS streak FROM (SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS m FROM events) GROUP BY 1""")
 def consecutive_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unbounded failure streak of every user (O5.1)."""
-    return health.leading_streak(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error", [F.col("ts").desc(), F.col("event_id").desc()])
+    return health.leading_streak(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error", ["ts", "event_id"])
 
 
 @query("SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -299,8 +299,8 @@ def health_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 != 0, now() - F.make_dt_interval(hours=(k % 50).cast("int"))).alias("last_used_at"),
     )
     healthy = ep.where(F.col("enabled") & (F.col("cooldown_until").isNull() | (F.col("cooldown_until") <= now())))
-    total = healthy.agg(F.count("*").alias("healthy"))
-    return healthy.select("id", "last_used_at").orderBy(F.col("last_used_at").asc_nulls_first(), "id").limit(10).join(F.broadcast(total), how="cross")  # one row
+    first = healthy.select("id", "last_used_at").orderBy(F.col("last_used_at").asc_nulls_first(), "id").limit(10)
+    return first.withColumn("healthy", healthy.agg(F.count("*")).scalar())
 
 
 @query("SELECT 'F' AS status WHERE false")

@@ -57,8 +57,8 @@ def test_snapshot(spark):
 def test_streak_bounded(spark):
     rows = spark.createDataFrame([(1, i, "failed") for i in range(15)], "source_id long, n long, status string")
     failed = F.col("status") == "failed"
-    assert health.leading_streak(rows, "source_id", failed, [F.col("n").desc()]).first().streak == 15
-    assert health.leading_streak(rows, "source_id", failed, [F.col("n").desc()], most=10).first().streak == 10
+    assert health.leading_streak(rows, "source_id", failed, ["n"]).first().streak == 15
+    assert health.leading_streak(rows, "source_id", failed, ["n"], most=10).first().streak == 10
 
 
 def test_due(spark):
@@ -116,3 +116,14 @@ def test_extraction(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], OCC)
     assert records.canonical(none).count() == records.overview(none).count() == records.canonical_history(none).count() == 0
+
+
+def test_numbers_go_on_from_day_to_day(spark):
+    rows = [("k", NOW + timedelta(hours=7 * i), i) for i in range(12)] + [("l", NOW, 0)]
+    got = health.numbered(spark.createDataFrame(rows, "k string, ts timestamp_ntz, i long"), "k", "ts", "i").collect()
+    assert {(r.k, r.i, r.attempt, r.total) for r in got} == {("k", i, i + 1, 12) for i in range(12)} | {("l", 0, 1, 1)}
+
+
+def test_streak_without_a_miss_or_a_hit(spark):
+    rows = spark.createDataFrame([(1, 1, True), (1, 2, True), (2, 1, True), (2, 2, False)], "k long, n long, hit boolean")
+    assert {r.k: r.streak for r in health.leading_streak(rows, "k", F.col("hit"), ["n"]).collect()} == {1: 2, 2: 0}

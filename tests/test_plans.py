@@ -60,3 +60,4 @@ def test_no_python_where_built_in_functions_do(spark):
     for name in set(QUERIES) - {"html_text", "html_fields"}:
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
