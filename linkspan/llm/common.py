@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Where tables go that only a ``settle`` under way needs.
+_SCRATCH: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
     Only where that setting is missing (local tests) a temporary folder is put in its place.
     """
+    if scratch := _SCRATCH.get():
+        return f"{scratch}/{name}-{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="spark-linkspan-")
@@ -33,6 +41,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Materialize what ``build`` gives, and remove the tables that it materialized on the way."""
+    path, scratch = shared_folder(spark, name), shared_folder(spark, f"{name}-scratch")
+    token = _SCRATCH.set(scratch)
+    try:
+        df = build()
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        _SCRATCH.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(scratch)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

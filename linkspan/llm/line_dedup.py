@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, settle
 
 FAMILIES = 4
 LONG = 50
@@ -80,7 +80,7 @@ def repeated_lines(rows: DataFrame, families: int = FAMILIES, long_words: int =
     chunks = chunks.select("uid", "doc_id", "s.first", "s.last", key.alias("chunk"))
     place = F.struct(F.col("doc_id").isNull().alias("last_of_all"), "doc_id", "uid", "first")
     kept = chunks.groupBy("chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = chunks.join(kept, "chunk").where((F.col("kept.uid") != F.col("uid")) | (F.col("kept.first") != F.col("first")))
+    gone = chunks.join(materialize(kept, "kept-chunks"), "chunk").where((F.col("kept.uid") != F.col("uid")) | (F.col("kept.first") != F.col("first")))
     return gone.select("uid", "first", "last")
 
 
@@ -95,11 +95,13 @@ def dedup_lines(docs: DataFrame, families: int = FAMILIES, long_words: int = LON
     added = {"uid", "n_lines", "n_removed"}
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     base = materialize(kept.withColumn("uid", F.monotonically_increasing_id()), "line-dedup")
-    gone = repeated_lines(base.select("uid", "doc_id", F.col("text").cast("string").alias("text")).where("text is not null"), families, long_words)
-    by_doc = gone.distinct().select("uid", F.explode(F.sequence("first", "last")).alias("line")).distinct()
-    # A document has as many numbers at most as it has lines.
-    by_doc = by_doc.groupBy("uid").agg(F.collect_set("line").alias("gone"))
-    out = base.join(by_doc, "uid", "left")
+
+    def numbers_gone() -> DataFrame:
+        gone = repeated_lines(base.select("uid", "doc_id", F.col("text").cast("string").alias("text")).where("text is not null"), families, long_words)
+        by_doc = gone.distinct().select("uid", F.explode(F.sequence("first", "last")).alias("line")).distinct()
+        return by_doc.groupBy("uid").agg(F.collect_set("line").alias("gone"))  # as many as the document has lines, at most
+
+    out = base.join(settle(docs.sparkSession, "lines-gone", numbers_gone), "uid", "left")
     numbers = F.sequence(F.lit(1), F.size(_lines()))
     left = F.transform(F.array_except(numbers, "gone"), lambda i: F.get(F.col("lines"), i - 1))  # a hash set
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))

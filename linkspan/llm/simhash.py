@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, passing_schema
+from .common import materialize, passing_schema, settle
 from .components import connected
 
 PIVOTS = 16
@@ -231,10 +231,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     added = {"uid", "print", "component_id", "keep"}
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     base = materialize(with_fingerprints(kept.withColumn("uid", F.monotonically_increasing_id()), words), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
-    prints = materialize(base.groupBy("print").agg(first), "prints")
-    found = connected(materialize(links(prints.select("print"), radius), "links"))  # node, component
-    labelled = prints.join(found, prints["print"] == found["node"], "left").select("print", "first", F.coalesce("component", "print").alias("component"))
-    lowest = labelled.groupBy("component").agg(F.min("first").alias("lowest"))
-    joined = labelled.join(lowest, "component").select("print", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.uid").alias("kept_uid"))
+
+    def by_print() -> DataFrame:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
+        prints = materialize(base.groupBy("print").agg(first), "prints")
+        found = connected(materialize(links(prints.select("print"), radius), "links"))  # node, component
+        labelled = prints.join(found, prints["print"] == found["node"], "left").select("print", "first", F.coalesce("component", "print").alias("component"))
+        lowest = labelled.groupBy("component").agg(F.min("first").alias("lowest"))
+        joined = labelled.join(lowest, "component").select("print", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.uid").alias("kept_uid"))
+        return joined
+
+    joined = settle(docs.sparkSession, "components", by_print)
     return base.join(joined, "print").withColumn("keep", F.col("uid") == F.col("kept_uid")).drop("kept_uid", "uid")

@@ -8,8 +8,8 @@ counts over all texts), and passages that many texts share don't bring them toge
 
 Pairs that meet are discarded by the largest difference of their rows of pivot distances, then by their own
 distance, and what is left is verified by the exact Jaccard similarity of all shingles. To give no
-quadratic number of pairs for a large group, each key first links its texts to its smallest one; pairs of a
-key are then compared only across the components that these links leave apart.
+quadratic number of pairs for a large group, each key first links its texts to the one whose sketch is shared
+most; pairs of a key are then compared only across the components that these links leave apart.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize, settle
 from .components import connected
-from .simhash import TILE, distances, words_of
+from .simhash import distances, words_of
 
 SKETCH = 16
 SHARED = 7
@@ -110,51 +110,122 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
     """Pairs (a, b) whose texts (uid, text) are similar. Only texts that a pair needs are moved."""
     pairs = materialize(pairs.distinct(), "pairs")
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "needed")
-    texts = materialize(texts.join(needed, "uid"), "pair-texts")
+    texts = materialize(_of(texts, needed), "pair-texts")
     both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("t")), "b")
     return both.select("a", "b", "s", "t").mapInArrow(_verify(similarity, words), "a long, b long")
 
 
+def _sets(words: int):
+    from xxhash import xxh64_intdigest
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashed = [np.unique(np.array([xxh64_intdigest(s, 42) for s in shingles(t.as_py(), words)], "u8")).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashed, pa.binary())], ["uid", "hashes"])
+
+    return sets
+
+
+_NO_KEY = np.iinfo("i8").max
+_CELL = ("key", "cell", "uid", "component", "side", "n", "print", "distances", "keys")
+
+
+def _first_common(k: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest key that both texts of each pair show; padding is the largest number."""
+    out = np.empty(len(x), "i8")
+    for at in range(0, len(x), 20_000):
+        a, b = k[x[at : at + 20_000], :, None], k[y[at : at + 20_000], None, :]
+        out[at : at + 20_000] = np.where(a == b, a, _NO_KEY).min((1, 2))
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The columns of each (key, cell) of batches sorted by them; a cell has two tiles of texts at most."""
+    held: dict = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows: dict = {c: b.column(c).to_numpy(zero_copy_only=False) for c in _CELL[:6]}
+        keys = np.full((b.num_rows, SKETCH), _NO_KEY)
+        for row, k in enumerate(b.column("keys").to_pylist()):
+            keys[row, : len(k)] = k
+        rows |= {"print": _u8(b.column("print")), "distances": _pivots(b.column("distances")), "keys": keys}
+        if "hashes" in b.schema.names:
+            rows["hashes"] = np.array([*b.column("hashes").to_pylist(), None], object)[:-1]
+        rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()} if held else rows
+        k, c = rows["key"], rows["cell"]
+        ends = np.flatnonzero((k[:-1] != k[1:]) | (c[:-1] != c[1:])) + 1
+        for a, z in zip(np.r_[0, ends], ends):  # the last cell may go on
+            yield {c: v[a:z] for c, v in rows.items()}
+        held = {c: v[ends[-1] if len(ends) else 0 :] for c, v in rows.items()}
+    if held:
+        yield held
+
+
+def _surviving(r: dict, similarity: float, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a cell, across components, that are not discarded, each under the first key that it has in common alone."""
+    i, j = np.flatnonzero(r["side"] != 2), np.flatnonzero(r["side"] != 1)
+    uid, p, d, n, component = (r[c] for c in ("uid", "print", "distances", "n", "component"))
+    for at in range(0, len(i), 64):
+        x, y = (v.ravel() for v in np.broadcast_arrays(i[at : at + 64, None], j[None, :]))
+        ok = (component[x] != component[y]) & ((r["side"][x] != 0) | (uid[x] < uid[y]))
+        x, y = x[ok], y[ok]
+        ok = _close(p[x], p[y], d[x], d[y], n[x], n[y], similarity, radius)
+        x, y = x[ok], y[ok]
+        ok = _first_common(r["keys"], x, y) == r["key"][x]
+        yield x[ok], y[ok]
+
+
+def _meeting(similarity: float, radius: int):
+    """The texts of each cell that have a surviving partner in it: no pairs, at most the texts themselves."""
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _cells(batches):
+            hit = np.zeros(len(r["uid"]), bool)
+            for x, y in _surviving(r, similarity, radius):
+                hit[x] = hit[y] = True
+            yield pa.RecordBatch.from_arrays([pa.array(r[c][hit]) for c in _CELL[:5]], list(_CELL[:5]))
+
+    return meeting
+
+
 def _across(similarity: float, radius: int):
-    """Rows sorted by (key, cell) to surviving pairs of different components."""
-
-    def of(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, uid, p, d, n, component, side = rows
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        for a, z in zip(new, np.r_[new[1:], len(key)]):
-            i, j = np.flatnonzero(side[a:z] != 2) + a, np.flatnonzero(side[a:z] != 1) + a
-            for at in range(0, len(i), 64):
-                x, y = (v.ravel() for v in np.broadcast_arrays(i[at : at + 64, None], j[None, :]))
-                x, y = _apart(x, y, component, side, uid)
-                ok = _close(p[x], p[y], d[x], d[y], n[x], n[y], similarity, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[x[ok]], uid[y[ok]])), pa.array(np.maximum(uid[x[ok]], uid[y[ok]]))], ["a", "b"])
+    """Verified links between the components of each cell; texts that links have connected are compared no more."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            plain = [c.to_numpy(zero_copy_only=False) for c in (*b.columns[:2], *b.columns[4:])]
-            rows = [*plain[:2], _u8(b.column(2)), _pivots(b.column(3)), *plain[2:]]
-            rows = [np.concatenate(x) for x in zip(held, rows)] if held else rows
-            last = np.flatnonzero(rows[0][:-1] != rows[0][1:])
-            done = last[-1] + 1 if len(last) else 0  # the last key may go on; it holds two tiles at most
-            if done:
-                yield from of([x[:done] for x in rows])
-            held = [x[done:] for x in rows]
-        if held:
-            yield from of(held)
+        for r in _cells(batches):
+            sets, uid, n, component = [np.frombuffer(h, "u8") for h in r["hashes"]], r["uid"], r["n"], r["component"].tolist()
+            low, links = {c: c for c in component}, []
+
+            def root(c: int) -> int:
+                while low[c] != c:
+                    low[c] = low[low[c]]
+                    c = low[c]
+                return c
+
+            for x, y in _surviving(r, similarity, radius):
+                near = np.argsort(np.bitwise_count(r["print"][x] ^ r["print"][y]), kind="stable")
+                for a, b in zip(x[near].tolist(), y[near].tolist()):
+                    if root(component[a]) != root(component[b]):
+                        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        if both >= similarity * (n[a] + n[b] - both):
+                            low[root(component[a])] = root(component[b])
+                            links.append((uid[a], uid[b]))
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return across
 
 
-def _apart(x, y, component, side, uid) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs across components, once each within a tile."""
-    ok = (component[x] != component[y]) & ((side[x] != 0) | (uid[x] < uid[y]))
-    return x[ok], y[ok]
+#: Numbers of texts that may be broadcast (about 20 bytes each); more are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
-def similar_groups(texts: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def _of(texts: DataFrame, uids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (uid, text) of a written table of uids."""
+    return texts.join(broadcast_if_small(uids, uids.count(), BROADCAST_ROWS), "uid")
+
+
+def similar_groups(texts: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = RADIUS, tile: int = 256) -> DataFrame:
     """uid, component (smallest uid of its group) of each row of ``texts`` (uid, text).
 
     Groups are connected by texts of at least ``similarity``. Texts without words are equal. Texts of equal
@@ -167,10 +238,11 @@ def similar_groups(texts: DataFrame, similarity: float = 0.8, words: int = 5, ra
     counts = keys.groupBy("key").agg(F.count("*").alias("seen"))
     ranked = keys.join(counts, "key").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("seen", "key"))).alias("k"))  # SKETCH at most
     need = F.greatest(F.lit(1), F.ceil(F.size("k") * (SHARED / SKETCH))).cast("int")
-    shown = ranked.select("uid", F.explode(F.slice("k", F.lit(1), F.size("k") - need + 1)).alias("k")).where("k.seen > 1").select("uid", "k.key")
+    weight = F.aggregate("k", F.lit(0).cast("long"), lambda t, x: t + x["seen"]).alias("weight")
+    shown = ranked.select("uid", weight, F.explode(F.slice("k", F.lit(1), F.size("k") - need + 1)).alias("k")).where("k.seen > 1").select("uid", "weight", "k.key")
     shown = materialize(shown, "shown-keys")
-    # Each key's texts with the smallest of them.
-    lead = shown.groupBy("key").agg(F.min("uid").alias("b"), F.count("*").alias("size")).where("size > 1")
+    # Each key's texts with the one among them whose sketch most others share: of copies with edits, the unedited one.
+    lead = shown.groupBy("key").agg(F.max_by("uid", F.struct("weight", -F.col("uid"))).alias("b"), F.count("*").alias("size")).where("size > 1")
     pairs = shown.join(lead, "key").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
     facts = classes.select("uid", "print", "distances", "n")
     side = lambda c: facts.select(F.col("uid").alias(c), F.col("print").alias(f"print_{c}"), F.col("distances").alias(f"distances_{c}"), F.col("n").alias(f"n_{c}"))
@@ -181,15 +253,25 @@ def similar_groups(texts: DataFrame, similarity: float = 0.8, words: int = 5, ra
     rest = shown.join(joined.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
     rest = materialize(rest, "apart")
     many = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-    rest = rest.join(many, "key").join(facts, "uid")
+    rest = materialize(rest.join(materialize(many, "apart-keys"), "key"), "apart-rows")
+    own = materialize(rest.groupBy("uid").agg(F.collect_list("key").alias("keys")), "apart-texts")  # SKETCH at most
+    about = own.join(facts, "uid")
     parts = F.ceil(F.col("size") / tile).cast("int")
     rest = rest.withColumn("parts", parts).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
     part = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2)
-    rest = rest.select(F.xxhash64("key", low, high).alias("key"), "uid", "print", "distances", "n", "component", part.alias("side"))
-    rest = rest.repartition("key").sortWithinPartitions("key", "uid")
-    second = materialize(_verified(rest.mapInArrow(_across(similarity, radius), "a long, b long"), texts, similarity, words), "other-links")
+    rest = rest.withColumns({"cell": low * F.col("parts") + high, "side": part})
+
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.join(about, "uid").select(*_CELL, *more).repartition("key", "cell").sortWithinPartitions("key", "cell", "uid")
+
+    met = dealt(rest).mapInArrow(_meeting(similarity, radius), "key long, cell int, uid long, component long, side int")
+    met = materialize(met, "meeting")
+    needed = materialize(met.select("uid").distinct(), "meeting-texts")
+    hashes = materialize(_of(texts, needed).select("uid", "text").mapInArrow(_sets(words), "uid long, hashes binary"), "meeting-sets")
+    links = dealt(met.join(hashes, "uid"), "hashes").mapInArrow(_across(similarity, radius), "a long, b long")
+    second = materialize(links.distinct(), "other-links")
     found = connected(first.unionByName(second))
     grouped = classes.join(found.withColumnRenamed("node", "uid"), "uid", "left").select("digest", "n", "print", F.coalesce("component", "uid").alias("component"))
     return rows.select("uid", "digest", "n", "print").join(grouped, ["digest", "n", "print"]).select("uid", "component")
@@ -205,8 +287,12 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5)
     added = {"uid", "component", "component_id", "keep"}
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     base = materialize(kept.withColumn("uid", F.monotonically_increasing_id()), "similar")
-    groups = similar_groups(base.select("uid", F.col("text").cast("string").alias("text")))
-    placed = materialize(groups.join(base.select("uid", "doc_id"), "uid"), "groups")
-    lowest = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("lowest"))
-    labelled = placed.select("uid", "component").join(lowest, "component").select("uid", F.col("lowest.doc_id").alias("component_id"), (F.col("uid") == F.col("lowest.uid")).alias("keep"))
-    return base.join(labelled, "uid").drop("uid")
+
+    def labels() -> DataFrame:
+        groups = similar_groups(base.select("uid", F.col("text").cast("string").alias("text")), similarity, words)
+        placed = materialize(groups.join(base.select("uid", "doc_id"), "uid"), "groups")
+        lowest = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("lowest"))
+        lowest = materialize(lowest, "lowest")
+        return placed.select("uid", "component").join(lowest, "component").select("uid", F.col("lowest.doc_id").alias("component_id"), (F.col("uid") == F.col("lowest.uid")).alias("keep"))
+
+    return base.join(settle(docs.sparkSession, "similar-labels", labels), "uid").drop("uid")

@@ -49,7 +49,7 @@ def some(r, n):
     return " ".join(f"w{r.randrange(3000)}" for _ in range(n))
 
 
-@pytest.mark.parametrize("tile", [6, 2048])
+@pytest.mark.parametrize("tile", [6, 256])
 def test_groups_equal_all_pairs(spark, tile, monkeypatch):
     monkeypatch.setattr(similar.similar_groups, "__defaults__", (0.8, 5, similar.RADIUS, tile))
     r = random.Random(14)
