@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import materialize, shared_folder
 from .tokens import encoder, public_path
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -58,7 +58,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache_path: str
     one_each = rows.groupBy("content_digest").agg(F.first("text").alias("text"))
     misses = one_each.join(cached().select("content_digest"), "content_digest", "left_anti")
     misses.select("content_digest", "text").mapInArrow(_count(path, version), CACHE).write.mode("append").parquet(cache_path)
-    counted = cached().select("content_digest", "n_tokens")
+    counted = materialize(cached().select("content_digest", "n_tokens"), "token-counts")  # a table, so that a hot digest's rows can be split
     return (
         rows.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(counted, "content_digest", "left")
