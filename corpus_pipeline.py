@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; every document stays."""
-    return _columns(dedup_lines(docs), docs)
+    """Passages that an earlier document has are cut out, all of those of 50 words or more; every document stays."""
+    return _columns(dedup_lines(docs, runs=True), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

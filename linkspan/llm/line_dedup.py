@@ -6,6 +6,10 @@ line and the next one), another whether it ends there (by that line and the one
 depend on the lines of the chunk alone, and a passage is cut alike wherever it stands. A chunk has two
 to five lines; a line of ``LONG`` words or more is a chunk of its own too. Of chunks that repeat anywhere,
 in one document or over all, the first by doc_id and place stays; the others go once their bytes were compared.
+
+Chosen ends miss some passages. With ``runs``, the shortest runs of lines that reach ``LONG`` words, from each
+line on and up to each line, are chunks too. Each line of a passage of that many words lies in such a run inside
+the passage, so that none of it stays, whatever its number of lines.
 """
 
 from __future__ import annotations
@@ -32,26 +36,45 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"x": F.transform("lines", lambda line: F.xxhash64(line)), "h": h})
 
 
-def _spans(rows: DataFrame, families: int, long_words: int) -> DataFrame:
+def _word_lines() -> Column:
+    """The line (from 0) of each word of ``lines``, in order."""
+    return F.flatten(F.transform("lines", lambda line, i: F.array_repeat(i, F.regexp_count(line, F.lit(r"\S+")))))
+
+
+def _runs(n: int) -> Column:
+    """Runs of ``n`` words that start with a line's first word or end with its last one, as spans of ``owner``'s lines."""
+    line = lambda k: F.coalesce(F.get("owner", k), F.lit(-1))
+    at = F.when(F.size("owner") >= n, F.sequence(F.lit(0), F.size("owner") - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(at, lambda k: (line(k - 1) != line(k)) | (line(k + n) != line(k + n - 1))), lambda k: _span(line(k), line(k + n - 1)))
+
+
+def _span(a: Column, b: Column) -> Column:
+    return F.struct((a + 1).alias("first"), (b + 1).alias("last"))
+
+
+def _spans(rows: DataFrame, families: int, long_words: int, runs: bool) -> DataFrame:
     """uid, first and last line (from 1) and a hash of every chunk that may go; what several families cut alike comes once."""
     rows = _hashed(rows)
+    owner = ["owner"] if runs else []
+    rows = rows.withColumn("owner", _word_lines()) if runs else rows
     long_lines = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _spaces(F.get("lines", i)) >= long_words - 1)
-    rows = rows.select("uid", "x", "h", long_lines.alias("long"))
+    rows = rows.select("uid", "x", "h", long_lines.alias("long"), *owner)
     rolling = F.transform("h", lambda h, i: ((F.lit(_BASE) + F.coalesce(F.get("h", i - 1), F.lit(0))) % _PRIME * _BASE + h) % _PRIME)
-    rows = rows.select("uid", "x", "long", rolling.alias("r"))
+    rows = rows.select("uid", "x", "long", rolling.alias("r"), *owner)
     bit = lambda i, k: F.get("r", i).bitwiseAND(1 << k) != 0
 
     def end(i: Column, k: int) -> Column:
         found = [F.when(bit(i + j, k), i + j) for j in range(1, MOST - 1)]
         return F.when(bit(i + 1, k + 8), F.coalesce(*found, F.least(i + MOST - 1, F.size("r") - 1)))
 
-    span = lambda a, b: F.struct((a + 1).alias("first"), (b + 1).alias("last"))
-
     def cut(i: Column) -> Column:
-        return F.transform(F.array_distinct(F.array_compact(F.array(*[end(i, k) for k in range(families)]))), lambda e: span(i, e))
+        return F.transform(F.array_distinct(F.array_compact(F.array(*[end(i, k) for k in range(families)]))), lambda e: _span(i, e))
 
     several = F.when(F.size("r") > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size("r") - 2), cut)))
-    every = F.flatten(F.array_compact(F.array(F.transform("long", lambda i: span(i, i)), several)))
+    every = F.flatten(F.array_compact(F.array(F.transform("long", lambda i: _span(i, i)), several, *([_runs(long_words)] if runs else []))))
+    if runs:  # as numbers, which are made distinct by a hash set
+        codes = F.array_distinct(F.transform(every, lambda s: s["first"].cast("long") * (1 << 32) + s["last"]))
+        every = F.transform(codes, lambda c: _span(F.shiftright(c, 32).cast("int") - 1, c.bitwiseAND((1 << 32) - 1).cast("int") - 1))
     rows = rows.select("uid", "x", F.explode(every).alias("s"))
     return rows.select("uid", "s.first", "s.last", F.xxhash64(_part("x", F.col("s"))).alias("hash"))
 
@@ -64,9 +87,9 @@ def _part(lines: str, span: Column) -> Column:
     return F.slice(lines, span["first"], span["last"] - span["first"] + 1)
 
 
-def repeated_lines(rows: DataFrame, families: int = FAMILIES, long_words: int = LONG) -> DataFrame:
+def repeated_lines(rows: DataFrame, families: int = FAMILIES, long_words: int = LONG, runs: bool = False) -> DataFrame:
     """uid, first, last: the runs of lines of ``rows`` (uid, doc_id, text) that repeat an earlier chunk."""
-    spans = materialize(_spans(rows.select("uid", "text"), families, long_words), "line-chunks")
+    spans = materialize(_spans(rows.select("uid", "text"), families, long_words, runs), "line-chunks")
     # Eight bytes a chunk decide, added up in each task first, which chunks can be repeated at all.
     twice = spans.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     maybe = spans.join(twice, "hash", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one document
@@ -84,9 +107,12 @@ def repeated_lines(rows: DataFrame, families: int = FAMILIES, long_words: int =
     return gone.select("uid", "first", "last")
 
 
-def dedup_lines(docs: DataFrame, families: int = FAMILIES, long_words: int = LONG) -> DataFrame:
+def dedup_lines(docs: DataFrame, families: int = FAMILIES, long_words: int = LONG, runs: bool = False) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and n_lines, n_removed (lines before, and gone).
 
+    With ``runs``, every passage of ``long_words`` words or more goes, whatever its number of lines; a word
+    is a run of characters that aren't white space.
+
     Lines end at ``\\n``; a null text stays null with no lines, an empty one is one empty line. Chunks of
     white space alone are kept. Of repeated rows the first loses nothing and the others lose every passage
     that may go; null ids come after all others, equal ids in the order of the rows. Columns named
@@ -97,7 +123,7 @@ def dedup_lines(docs: DataFrame, families: int = FAMILIES, long_words: int = LON
     base = materialize(kept.withColumn("uid", F.monotonically_increasing_id()), "line-dedup")
 
     def numbers_gone() -> DataFrame:
-        gone = repeated_lines(base.select("uid", "doc_id", F.col("text").cast("string").alias("text")).where("text is not null"), families, long_words)
+        gone = repeated_lines(base.select("uid", "doc_id", F.col("text").cast("string").alias("text")).where("text is not null"), families, long_words, runs)
         by_doc = gone.distinct().select("uid", F.explode(F.sequence("first", "last")).alias("line")).distinct()
         return by_doc.groupBy("uid").agg(F.collect_set("line").alias("gone"))  # as many as the document has lines, at most
 

@@ -94,3 +94,28 @@ def test_empty_and_clashing(spark):
 def test_main_path_is_native(spark):
     plan = dedup_lines(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def test_runs_leave_no_passage_of_fifty_words(spark):
+    """Planted passages of two, three and twelve lines go whole; those of under fifty words in new lines stay."""
+    r = random.Random(8)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passages = [[line(30), line(30)] for _ in range(20)] + [[line(20), line(20), line(20)] for _ in range(20)] + [[line(5), "", *[line(5) for _ in range(10)]] for _ in range(20)]
+    docs = [(i, "\n".join([line(7), *p, line(6)])) for i, p in enumerate(passages)]
+    again = [(100 + i, [line(8), line(3)], [line(9)]) for i in range(len(passages))]
+    docs += [(d, "\n".join([*before, *p, *after])) for (d, before, after), p in zip(again, passages)]
+    docs += [(500, "\n".join([line(10), passages[0][1], line(10)])), (501, None), (502, ""), (503, " \n\n ")]
+    rows = {x.doc_id: x.text for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), runs=True).collect()}
+    assert all(rows[d] == "\n".join([*before, *after]) for d, before, after in again)
+    assert all(rows[d] == t for d, t in docs if d < 100 or d >= 500)
+
+
+def test_runs_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passages = [[line(26), line(26)] for _ in range(20)]
+    docs = [(k, f"{line(5)}\n{p[0]}\n{p[1]}\n{line(5)}") for k, p in enumerate(passages + passages)]
+    rows = corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert all(len(x.text.split()) == (62 if x.doc_id < 20 else 10) for x in rows)
