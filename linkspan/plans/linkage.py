@@ -22,12 +22,22 @@ def entity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT min(doc_id) OVER (PARTITION BY a) AS low, doc_id AS id FROM k WHERE a IS NOT NULL UNION SELECT min(doc_id) OVER (PARTITION BY b), doc_id FROM k WHERE b IS NOT NULL)
 SELECT low, id FROM g WHERE low <> id""")
 def duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of equal hash, or of equal normalised titles, linked to the first of them (O9.9, O9.14)."""
+    """Rows of equal hash, or of equal normalised titles alone, linked to the first of them (O9.9); O9.14 is ``duplicate_pairs``."""
     title = F.substring("text", 1, 80)
     keys = [F.sha2("text", 256), F.when(title != "", F.md5(normal_text(title)))]
     return linkage.duplicate_links(table(spark, sf_dir, "documents"), "doc_id", keys)
 
 
+@query("""WITH k AS (SELECT doc_id, sha256(text) AS a, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' THEN md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) END AS b FROM documents),
+g AS (SELECT min(doc_id) OVER (PARTITION BY a) AS low, doc_id AS id FROM k WHERE a IS NOT NULL UNION SELECT min(doc_id) OVER (PARTITION BY b), doc_id FROM k WHERE b IS NOT NULL)
+SELECT low, id FROM g WHERE low <> id""")
+def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of equal hash, or of equal normalised whole texts (title and description), linked to the first of them (O9.9, O9.14)."""
+    whole = normal_text(F.col("text"))
+    keys = [F.sha2("text", 256), F.when(whole != "", F.md5(whole))]
+    return linkage.duplicate_links(table(spark, sf_dir, "documents"), "doc_id", keys)
+
+
 @query("""WITH cur AS (SELECT o_custkey AS record_id, o_orderkey AS source_key, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 < 6),
 inc AS (SELECT o_custkey AS record_id, o_orderkey AS source_key, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice FROM orders WHERE o_orderkey % 10 BETWEEN 3 AND 8)
 SELECT i.record_id, i.source_key, CASE WHEN i.o_totalprice < 5000 THEN 'rejected' WHEN i.record_id % 97 = 0 THEN 'suppressed' WHEN c.source_key IS NULL THEN 'created' WHEN c.status IS NOT DISTINCT FROM i.status THEN 'unchanged' ELSE 'updated' END AS outcome

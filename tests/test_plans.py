@@ -61,3 +61,12 @@ def test_no_python_where_built_in_functions_do(spark):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_duplicate_pairs_compare_whole_texts(spark, tmp_path):
+    """A common opening links nothing; spacing and case don't matter, near the start or far from it."""
+    head = "licence line " * 10
+    docs = [(1, head + "one text"), (2, head + "another text"), (3, (head + "ONE  text").replace(" ", "\n ")), (4, head + "another text"), (5, ""), (6, ""), (7, " \n"), (8, None), (9, None), (10, "\t")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    links = QUERIES["duplicate_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r.low, r.id) for r in links) == [(1, 3), (2, 4), (5, 6)]
