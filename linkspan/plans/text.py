@@ -54,10 +54,18 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT DISTINCT CASE WHEN k = 'age' THEN 'eta' ELSE k END AS key FROM (SELECT regexp_replace(regexp_replace(translate(lower(substr(text, 1, 12)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS k FROM documents)""")
 def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded keys (O9.20)."""
+    """Folded keys of the first 12 characters of each text; ``accent_fold_words`` folds whole texts (O9.20)."""
     return table(spark, sf_dir, "documents").select(text.fold_key(F.substring("text", 1, 12)).alias("key")).distinct()
 
 
+@query("""SELECT DISTINCT CASE WHEN k = 'age' THEN 'eta' ELSE k END AS key FROM (SELECT regexp_replace(regexp_replace(translate(lower(w), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS k
+FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w FROM documents))""")
+def accent_fold_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded keys of every word of every text (O9.20)."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)))
+    return table(spark, sf_dir, "documents").select(words.alias("word")).distinct().select(text.fold_key(F.col("word")).alias("key")).distinct()
+
+
 @query("SELECT event_id, event_type AS code, 'm ' || event_id AS message, '[' || event_type || '] m ' || event_id AS encoded FROM events")
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors with their code in front, and taken apart again (O9.21)."""

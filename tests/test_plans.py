@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -70,3 +72,14 @@ def test_duplicate_pairs_compare_whole_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     links = QUERIES["duplicate_pairs"](spark, str(tmp_path)).collect()
     assert sorted((r.low, r.id) for r in links) == [(1, 3), (2, 4), (5, 6)]
+
+
+def test_accents_are_folded_in_whole_texts(spark, tmp_path):
+    """Against NFKD of every word: accents, runs and the alias far from the start."""
+    texts = ["plain opening of a text, then Città-di-Càstello and\tAGE", "x" * 40 + " Ñandú ÀÉÎÕÜ (été) ß_ 12--ab", "", None, "--"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    bare = lambda w: "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)).lower()
+    keys = {re.sub("[^a-z0-9]+", "_", bare(w)).strip("_") for t in texts for w in (t or "").split()}
+    want = {"eta" if k == "age" else k for k in keys}
+    assert {"citta_di_castello", "eta", "nandu", "aeiou", "ete", "12_ab"} <= want
+    assert sorted(r.key for r in QUERIES["accent_fold_words"](spark, str(tmp_path)).collect()) == sorted(want)
