@@ -35,7 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id.
 
-    Near-duplicates share 80 % of their shingles of five words; SimHash pivot tables discard pairs.
+    Near-duplicates share 80 % of their shingles of five words; sketches make the candidates, sizes and SimHash
+    distances discard pairs. The pivot table is kept, but discards next to nothing at this similarity.
     """
     return _columns(similar_documents(docs).where("keep"), docs)
 
