@@ -2,6 +2,7 @@
 
 Spark deals the pages out; the reader walks one page and gives rows. A selector is ``tag``, ``.class``,
 ``#id``, ``[attribute]`` or a mix such as ``a.next[href]``; blanks between parts ask for an ancestor.
+Any other selector (XPath, child combinators, attribute values) is an error.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql.functions import udtf
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _PART = re.compile(r"([a-zA-Z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)\]")
+_WHOLE = re.compile(r"(?=.)([a-zA-Z][\w-]*|\*)?(\.[\w-]+|#[\w-]+|\[[\w-]+\])*")
 
 
 @dataclass
@@ -74,6 +76,9 @@ def _is(e: Element, part: str) -> bool:
 def select(root: Element, selector: str) -> list[Element]:
     """Elements below ``root`` that the selector names, in page order."""
     *above, last = selector.split()
+    for part in (*above, last):
+        if not _WHOLE.fullmatch(part):
+            raise ValueError(f"selector part not supported: {part!r} in {selector!r}")
     found = []
     for e in root.walk():
         if not _is(e, last):

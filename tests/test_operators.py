@@ -127,3 +127,11 @@ def test_numbers_go_on_from_day_to_day(spark):
 def test_streak_without_a_miss_or_a_hit(spark):
     rows = spark.createDataFrame([(1, 1, True), (1, 2, True), (2, 1, True), (2, 2, False)], "k long, n long, hit boolean")
     assert {r.k: r.streak for r in health.leading_streak(rows, "k", F.col("hit"), ["n"]).collect()} == {1: 2, 2: 0}
+
+
+def test_unsupported_selectors_are_errors():
+    root = html.parse('<div class="x"><p><a rel="next" href="u">t</a></p></div>')
+    for selector in ("//a", "div > p", "a[rel=next]", "//div[@class='x']", "a:first-child", "a,p"):
+        with pytest.raises(ValueError, match="not supported"):
+            html.select(root, selector)
+    assert [e.tag for s in ("div a", "*", "a[href]", ".x", "div.x p") for e in html.select(root, s)] == ["a", "div", "p", "a", "a", "div", "p"]
