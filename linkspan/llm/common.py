@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 #: Where tables go that only a ``settle`` under way needs.
@@ -18,12 +19,15 @@ _SCRATCH: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch",
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is missing (local tests) a temporary folder is put in its place.
+    Where that setting is missing, a local session (tests) gets a temporary folder in its place; on a cluster,
+    whose executors don't see such a folder, it is an error.
     """
     if scratch := _SCRATCH.get():
         return f"{scratch}/{name}-{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-linkspan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/linkspan/{name}-{uuid.uuid4().hex}"
@@ -65,7 +69,10 @@ def ascii_lower(text: Column | str) -> Column:
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """A broadcast hint when ``rows``, counted beforehand, is within ``limit``; else a shuffled join."""
+    """A broadcast hint when ``rows``, counted beforehand, is within ``limit``; else a shuffled join.
+
+    Callers give tables of numbers and digests alone, so that a limit of rows is one of bytes.
+    """
     return F.broadcast(df) if rows <= limit else df
 
 
@@ -94,12 +101,25 @@ def lowest(rows: DataFrame, hashed: Column, size: int, n: int) -> DataFrame:
     return rows.orderBy(place, *rows.columns).limit(n)
 
 
-def passing_schema(df: DataFrame, *added: tuple[str, str]) -> tuple[DataFrame, str]:
+def set_aside(docs: DataFrame, *used: str, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with each column but those ``used`` under a name that no operator has (aside_0, aside_1, ...), and the
+    callers' names by all names. Columns that a result replaces are left out; names are matched without regard to case.
+    """
+    out = {c.lower() for c in replaced}
+    names = {c if c in used else f"aside_{i}": c for i, c in enumerate(docs.columns) if c.lower() not in out}
+    return docs.select(*[F.col(f"`{c}`").alias(own) for own, c in names.items()]), names
+
+
+def named_back(names: dict[str, str], **instead: Column) -> list[Column]:
+    """The callers' columns after ``set_aside``, in their order; ``instead`` has other values for some of them."""
+    return [instead.get(own, F.col(own)).alias(c) for own, c in names.items()]
+
+
+def passing_schema(df: DataFrame, *added: tuple[str, DataType]) -> tuple[DataFrame, StructType]:
     """``df`` without columns of the added names, and the schema of its rows with those added.
 
     Names are matched without regard to case, as Spark does.
     """
     names = {n.lower() for n, _ in added}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` {t}" for n, t in added]
-    return df, ", ".join(fields)
+    return df, StructType([*df.schema.fields, *(StructField(n, t) for n, t in added)])

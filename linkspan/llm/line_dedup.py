@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, settle
+from .common import materialize, named_back, set_aside, settle
 
 FAMILIES = 4
 LONG = 50
@@ -116,10 +116,10 @@ def dedup_lines(docs: DataFrame, families: int = FAMILIES, long_words: int = LON
     Lines end at ``\\n``; a null text stays null with no lines, an empty one is one empty line. Chunks of
     white space alone are kept. Of repeated rows the first loses nothing and the others lose every passage
     that may go; null ids come after all others, equal ids in the order of the rows. Columns named
-    n_lines, n_removed or uid are replaced; n_chars, where there is one, is counted anew.
+    n_lines or n_removed are replaced, all others stay; n_chars, where there is one, is counted anew. Very long
+    texts are taken whole; an empty table gives no rows.
     """
-    added = {"uid", "n_lines", "n_removed"}
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
+    kept, names = set_aside(docs, "doc_id", "text", replaced=("n_lines", "n_removed"))
     base = materialize(kept.withColumn("uid", F.monotonically_increasing_id()), "line-dedup")
 
     def numbers_gone() -> DataFrame:
@@ -133,11 +133,8 @@ def dedup_lines(docs: DataFrame, families: int = FAMILIES, long_words: int = LON
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     out = out.withColumn("lines", _lines())
     out = out.withColumns({"cut": text, "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines())).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
-    columns = {c.lower(): F.col(f"`{c}`") for c in kept.columns}
-    columns["text"] = F.col("cut")
-    if "n_chars" in columns:
-        columns["n_chars"] = F.length("cut").cast(kept.schema[[c.lower() for c in kept.columns].index("n_chars")].dataType)
-    return out.select(*[columns[c.lower()].alias(c) for c in kept.columns], "n_lines", "n_removed")
+    instead = {own: F.length("cut").cast(docs.schema[c].dataType) for own, c in names.items() if c.lower() == "n_chars"}
+    return out.select(*named_back(names, text=F.col("cut"), **instead), "n_lines", "n_removed")
 
 
 ORACLE = """

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from .common import labelled_sample, passing_schema
 
@@ -118,7 +119,7 @@ def score_documents(docs: DataFrame, model: KnnModel, threshold: float = 0.3) ->
     Only the text is looked at; a null or empty one gets the share of label 1. Other columns pass
     through; columns already named score or predicted are replaced. Repeated rows each get their score.
     """
-    rows, schema = passing_schema(docs, ("score", "double"), ("predicted", "int"))
+    rows, schema = passing_schema(docs, ("score", DoubleType()), ("predicted", IntegerType()))
     at = [c.lower() for c in rows.columns].index("text")
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import materialize, passing_schema, settle
+from .common import materialize, named_back, passing_schema, set_aside, settle
 from .components import connected
 
 PIVOTS = 16
@@ -66,7 +67,7 @@ def _signed(x: int) -> int:
 
 def with_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` with ``print`` (the fingerprint as a signed long); it replaces a column of that name."""
-    rows, schema = passing_schema(docs, ("print", "long"))
+    rows, schema = passing_schema(docs, ("print", LongType()))
     at = [c.lower() for c in rows.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +227,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 
     Null and empty texts and texts without words have fingerprint 0 and are linked like any other.
     A null doc_id is larger than all others: a component of null ids alone has component_id null. The row
-    kept is the first of the smallest doc_id. Columns named print, component_id, keep or uid are replaced.
+    kept is the first of the smallest doc_id. Columns named print, component_id or keep are replaced, all others stay.
+    Very long texts are taken whole; an empty table gives no rows.
     """
-    added = {"uid", "print", "component_id", "keep"}
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
+    kept, names = set_aside(docs, "doc_id", "text", replaced=("print", "component_id", "keep"))
     base = materialize(with_fingerprints(kept.withColumn("uid", F.monotonically_increasing_id()), words), "fingerprints")
 
     def by_print() -> DataFrame:
@@ -242,4 +243,4 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
         return joined
 
     joined = settle(docs.sparkSession, "components", by_print)
-    return base.join(joined, "print").withColumn("keep", F.col("uid") == F.col("kept_uid")).drop("kept_uid", "uid")
+    return base.join(joined, "print").select(*named_back(names), "print", "component_id", (F.col("uid") == F.col("kept_uid")).alias("keep"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, settle
+from .common import broadcast_if_small, materialize, named_back, set_aside, settle
 from .components import connected
 from .simhash import distances, words_of
 
@@ -282,10 +282,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5)
 
     Nulls and repeated rows are as in ``near_duplicates``: a null text is empty, texts without words form
     one group, a null doc_id is larger than all others, the row kept is the first of the smallest doc_id.
-    Columns named component_id, keep, uid or component are replaced.
+    Columns named component_id or keep are replaced, all others stay. Very long texts are taken whole; an
+    empty table gives no rows.
     """
-    added = {"uid", "component", "component_id", "keep"}
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
+    kept, names = set_aside(docs, "doc_id", "text", replaced=("component_id", "keep"))
     base = materialize(kept.withColumn("uid", F.monotonically_increasing_id()), "similar")
 
     def labels() -> DataFrame:
@@ -295,4 +295,4 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5)
         lowest = materialize(lowest, "lowest")
         return placed.select("uid", "component").join(lowest, "component").select("uid", F.col("lowest.doc_id").alias("component_id"), (F.col("uid") == F.col("lowest.uid")).alias("keep"))
 
-    return base.join(settle(docs.sparkSession, "similar-labels", labels), "uid").drop("uid")
+    return base.join(settle(docs.sparkSession, "similar-labels", labels), "uid").select(*named_back(names), "component_id", "keep")

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from linkspan.llm.decontaminate import benchmark_windows, decontaminate
+from linkspan.llm.decontaminate import benchmark_windows, candidates, decontaminate
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -62,19 +62,41 @@ def test_long_text_and_ties(spark):
     assert got(spark, docs, items) == brute(docs, items)
 
 
-def test_shuffled_instead_of_broadcast(spark, monkeypatch):
-    monkeypatch.setattr("linkspan.llm.decontaminate.BROADCAST_ROWS", 0)
-    items = [(1, "one two three four five six seven eight nine ten eleven")]
-    docs = [(1, "x " + items[0][1]), (2, "one two three")]
+@pytest.fixture
+def no_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr("linkspan.llm.decontaminate.BROADCAST_ROWS", -1)
+    monkeypatch.setattr("linkspan.llm.decontaminate.BROADCAST_BYTES", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffled_instead_of_broadcast(spark, no_broadcasts):
+    r = random.Random(6)
+    some = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    items = [(1, "one two three four five six seven eight nine ten eleven"), *((i, some(r.choice([1, 2, 3, 10, 12]))) for i in range(2, 9))]
+    docs = [(1, "x " + items[0][1]), (2, "one two three"), (3, None), *((i, some(60)) for i in range(4, 12))]
     assert got(spark, docs, items) == brute(docs, items)
 
 
+def test_no_words_are_shuffled_with_shingles(spark, no_broadcasts):
+    docs = spark.createDataFrame([(1, "a b c d", 4)], "uid long, words string, n_words int")
+    windows = spark.createDataFrame([(7, "b c d", 3)], "wid long, window string, n int")
+    found = candidates(docs, windows, [3], 3)
+    text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    dealt = [block for block in text.split("\n\n") if ") Exchange" in block]
+    assert len(dealt) == 2 and "BroadcastExchange" not in text
+    assert not any(re.search(r"(?<!n_)words#", block) for block in dealt)
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 1, 3)]
+
+
 def test_empty_tables_and_clashing_columns(spark):
     assert got(spark, [], [(1, "a b")]) == []
     assert got(spark, [(1, "a b")], []) == brute([(1, "a b")], [])
     d = spark.createDataFrame([(1, "a b", 5, "x", True)], "doc_id long, text string, uid int, `odd name` string, N_Hit boolean")
     row = decontaminate(d, spark.createDataFrame([(7, "a b")], "item_id long, text string")).first().asDict()
-    assert (row["odd name"], row["n_hit"], row["contaminated"]) == ("x", 2, True)
+    assert (row["odd name"], row["uid"], row["n_hit"], row["contaminated"]) == ("x", 5, 2, True)
 
 
 def test_windows(spark):
