@@ -26,8 +26,8 @@ SCHEMA = "shard int, chunk int, first long, n_ids long, bits boolean, doc_ids ar
 _ARROW = pa.schema(
     [("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary()))]
 )
-IDS = "doc_id long, shard int, first long, n_tokens long, ids binary"
-_IDS = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+IDS = "doc_id long, start long, n_tokens long, ids binary"
+_IDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 def to_planes(ids: np.ndarray, bits: bool, level: int = 3) -> list[bytes]:
@@ -88,30 +88,37 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.array(r["doc_lengths"], "i8")
             ends = np.cumsum(n)
             ids = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist())]
-            columns = [r["doc_ids"], [r["shard"]] * len(n), ends - n + r["first"], n, ids]
+            columns = [r["doc_ids"], ends - n + r["start"], n, ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _IDS.types)], schema=_IDS)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, bits: bool = False) -> None:
     """Encode whole texts (null: empty), append ``end_id``, and write them to ``path`` by ascending doc_id.
 
-    Null ids come first; repeated rows are all written; an empty table writes an empty store. The range
-    sort deals documents evenly whatever a source's share, and a document is never split between chunks.
+    Null ids come first; repeated rows and rows of one id are all written, in the order of the rows; an empty
+    table writes an empty store; other columns are ignored. The range sort deals documents evenly whatever a
+    source's share, also where a third of the rows have one id (or none), as the row's place is the second key;
+    a document is never split between chunks.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = F.col("doc_id").asc_nulls_first(), F.col("row").asc()
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     planes = dealt.mapInArrow(_encode(tokenizer or public_path("word_bpe_49k.json"), end_id, bits), SCHEMA)
     planes.write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it in the store), n_tokens, ids (little-endian bytes)."""
+    """doc_id, start (ids of all documents before it in the store), n_tokens, ids (little-endian bytes).
+
+    Chunks get their first id's place before they are decoded: the shards' sums are a row for each writing
+    task and are broadcast, so no decoded id is shuffled.
+    """
     chunks = spark.read.schema(SCHEMA).parquet(path)
-    shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each writing task
+    shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ids = chunks.mapInArrow(_decode, IDS)
-    return ids.join(base, "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
+    placed = chunks.join(F.broadcast(base), "shard").withColumn("start", F.col("base") + F.col("first"))
+    return placed.select("start", "n_ids", "bits", "doc_ids", "doc_lengths", "planes").mapInArrow(_decode, IDS)
 
 
 def store_round_trip(docs: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from linkspan.llm import id_store, packing
-from linkspan.llm.token_counts import count_tokens
+from linkspan.llm.token_counts import count_tokens, tokenizer_digest
 from linkspan.llm.tokens import ALPHABET, Encoder, public_path
 
 ODD = ["", " ", "\n\n  x", "It's 2024's  they've", "Ünïcödé ñandú ß", "İstanbul ŉ", "漢字 кириллица 🙂", "<|endoftext|> a", "<|startoftext|>", "a\x00b", "don'T", "x" * 3000, "  wide", "é", "½ ² Ⅷ ٣"]
@@ -133,3 +133,43 @@ def test_cuts():
     for n in [*range(1, 5000, 7), 10**6]:
         pieces = list(packing.cuts(n, 2048))
         assert sum(m for _, m in pieces) == n and all(0 < m <= 2048 // k for k, m in pieces)
+
+
+def test_a_large_foreign_cache_is_not_gone_through(spark, docs, tmp_path):
+    cache = str(tmp_path / "cache")
+    foreign = spark.range(5000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("content_digest"), F.lit(-7).cast("long").alias("n_tokens"))
+    version = tokenizer_digest(public_path("byte_bpe_50k.json"))
+    for v, rows in (("another", foreign), (version, foreign.limit(2000))):
+        rows.withColumn("tokenizer_digest", F.lit(v)).write.partitionBy("tokenizer_digest").mode("append").parquet(cache)
+    got = {r.doc_id: r.n_tokens for r in count_tokens(docs, cache_path=cache).collect()}
+    assert got == {r.doc_id: r.n_tokens for r in count_tokens(docs).collect()}
+    assert spark.read.parquet(cache).count() == 7000 + len({t or "" for _, t in DOCS})
+    hit = docs.where("doc_id = 51").limit(1).select(F.unhex(F.sha2("text", 256)).alias("content_digest"), F.lit(99).cast("long").alias("n_tokens"))
+    hit.withColumn("tokenizer_digest", F.lit(version)).write.partitionBy("tokenizer_digest").parquet(str(tmp_path / "known"))
+    assert {r.n_tokens for r in count_tokens(docs.where("doc_id = 51"), cache_path=str(tmp_path / "known")).collect()} == {99}  # taken from the cache
+
+
+def test_decoded_ids_are_not_shuffled(spark, docs, tmp_path):
+    id_store.write_ids(docs, str(tmp_path / "s"))
+    plan = id_store.read_ids(spark, str(tmp_path / "s"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0] and "BroadcastHashJoin" in plan.split("MapInArrow")[1]
+
+
+def test_one_id_with_many_rows_is_dealt_out(spark, tmp_path):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    id_store.write_ids(rows, str(tmp_path / "s"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    chunks = spark.read.parquet(str(tmp_path / "s")).select("shard", F.size("doc_ids").alias("n")).groupBy("shard").sum("n").collect()
+    assert max(r[1] for r in chunks) < 1500 and sum(r[1] for r in chunks) == 3000
+    got = id_store.read_ids(spark, str(tmp_path / "s")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 1000 + [i for i in range(3000) if i % 3]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(3000)]
+
+
+def test_clashing_columns(spark, docs):
+    extra = {c: F.lit("other") for c in ("uid", "row", "ids", "start", "shard", "class", "worker", "group", "offset", "n_tokens", "first", "base")}
+    more = docs.withColumns(extra)
+    plain = sorted((r.start, r.n_tokens, bytes(r.ids)) for r in id_store.store_round_trip(docs).collect())
+    assert sorted((r.start, r.n_tokens, bytes(r.ids)) for r in id_store.store_round_trip(more).collect()) == plain
+    check_packing(packing.pack_documents(more).collect(), DOCS, 2048)
