@@ -1,17 +1,24 @@
 """Main text of HTML pages by block rules in two passes.
 
 A page is cut into blocks at every element that is not inline. The first pass decides blocks by
-their words, the share of stop words among them and the share of their letters inside links, and by
-the container they stand in (menus, footers, adverts, forms and the like are never text; an article
-is text unless a block is little but links). Short or middling blocks stay open; the second pass
-gives them the label of the nearest decided block, within the same article where there is one.
+their number of words, the share of stop words among them and the share of their letters inside links. Blocks
+of too few words, or of middling shares, stay open; the second pass gives them the label of the nearest
+decided blocks of their part of the page.
+
+Containers are one input beside these rules: menus, footers, adverts, forms and the like bar their blocks, unless
+they wrap an article or would bar a page's whole text; and where articles hold a fair part of the text, the
+rest of the page goes. A name of a container counts as a whole (``sidebar``, ``ad-slot``), not by a part of it
+(``no-sidebar``, ``ad-free``).
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,12 +28,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Not kept on the stack of open containers: their end tags are often left out.
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option optgroup colgroup html body rp rt".split())
-#: Containers that never hold the article's text.
-OUTSIDE = frozenset("nav footer aside form head noscript template svg canvas button select datalist dialog menu object iframe audio video map".split())
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|menu|menus|nav|navbar|navigation|sidebar\w*|aside|footer\w*|masthead|breadcrumbs?|pagination|pager|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|overlay|skip|toolbar|widget\w*)(?=$|[\s_-])",
-    re.I,
+#: Containers that never hold the article's text, and those that may stand open or be put around a whole page by mistake.
+OUTSIDE = frozenset("footer aside head noscript template svg canvas button select datalist dialog object iframe audio video map".split())
+AROUND = frozenset("nav form menu header".split())
+#: Names of unwanted containers; what such a name may end in; what makes a name say something about the page.
+UNWANTED = frozenset(
+    """ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices
+    alert alerts menu menus nav navbar navigation sidebar aside footer masthead breadcrumb breadcrumbs pagination pager comment comments commentlist
+    disqus replies reply respond share sharing social related newsletter subscribe subscription signup login popup modal overlay skip toolbar widget widgets""".split()
+)
+ENDINGS = frozenset(
+    """area bar block blocks body box button buttons card cards column container content form group inner item items label link links list panel post posts
+    articles stories section slot text thread title unit wrap wrapper zone""".split()
 )
+STATES = frozenset("no not non has have with without is free open closed enabled disabled hide show page".split())
 ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu\w*|form)\b", re.I)
 MARKS = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
@@ -42,33 +57,65 @@ STOP = frozenset(
     al como con cuando de del donde el ella en es esta este ha la las lo los mas más me mi muy no o para pero por que se si sin sobre su sus también un una y ya""".split()
 )
 WORD = re.compile(r"\w+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Words that a block needs to be decided by its density; words of a dense text that containers alone don't bar.
+SHORT, MUCH = 10, 50
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, int]]:
-    """(text, letters in links, in an unwanted container, number of the article or 0) in page order."""
-    found: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, unwanted, article
-    parts: list[str] = []
-    linked, in_link, articles, at = 0, 0, 0, 0
+@dataclass(eq=False)
+class Mark:
+    """An unwanted container: why (``tag``, ``around`` or ``name``), the one around it, and whether it has an article."""
+
+    why: str
+    above: Mark | None
+    wraps: bool = False
+
+
+class Block(NamedTuple):
+    text: str
+    linked: int  # letters inside links
+    mark: Mark | None  # the nearest unwanted container
+    region: int  # number of the article, 0 outside
+
+
+def unwanted_name(name: str) -> bool:
+    """Is a class or an id the name of an unwanted container?"""
+    parts = [x for x in re.split("[-_]+", CAMEL.sub("-", name).lower()) if x]
+    if not parts or STATES.intersection(parts):
+        return False
+    return parts[-1] in UNWANTED or parts[0] in UNWANTED and parts[-1] in ENDINGS
+
+
+def _named(attributes: str) -> bool:
+    names = (x for t in MARKS.findall(attributes) for part in t for x in part.split())
+    return bool(ROLES.search(attributes) or HIDDEN.search(attributes)) or any(map(unwanted_name, names))
+
 
-    def state() -> tuple[bool, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+def blocks(html: str) -> tuple[list[Block], list[int]]:
+    """The blocks in page order, and for each article the one around it (0: none)."""
+    found: list[Block] = []
+    stack: list[tuple[str, Mark | None, int]] = []  # tag, mark, region
+    parts: list[str] = []
+    around = [0]
+    linked, link, at = 0, -1, 0  # link: how deep the open link stands
+    skip, depth = "", 0  # an inline element that isn't shown
 
     def end_block() -> None:
-        nonlocal linked
+        nonlocal linked, depth
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append((text, linked, *state()))
+                found.append(Block(text, linked, *(stack[-1][1:] if stack else (None, 0))))
             parts.clear()
-        linked = 0
+        linked = depth = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        text = unescape(raw)
-        parts.append(text)
-        if in_link:
-            linked += len("".join(text.split()))
+        if not depth:
+            text = unescape(raw)
+            parts.append(text)
+            if link >= 0:
+                linked += len("".join(text.split()))
 
     for m in TOKEN.finditer(html):
         if m.start() > at:
@@ -79,88 +126,133 @@ def blocks(html: str) -> list[tuple[str, int, bool, int]]:
             continue
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m[2] else 1
+                link = -1 if m[2] else len(stack)
             elif tag == "br":
                 parts.append(" ")
+            if depth and tag == skip:
+                depth += -1 if m[2] else 1
+            elif not depth and not m[2] and m[4] and tag not in VOID and _named(m[4]):
+                skip, depth = tag, 1
             continue
         end_block()
-        in_link = 0
         if tag in VOID or tag in LOOSE:
             continue
         if m[2]:
             if any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
                     pass
+                link = link if link <= len(stack) else -1
             continue
         if m[4].endswith("/") and tag in ("path", "use", "rect", "circle"):
             continue
-        bad, article = state()
-        marks = " ".join(filter(None, (x for t in MARKS.findall(m[4]) for x in t)))
-        header = tag == "header" and not article
-        bad = bad or header or tag in OUTSIDE or bool(m[4]) and bool(UNWANTED.search(marks) or ROLES.search(m[4]) or HIDDEN.search(m[4]))
-        if tag in ("article", "main") and not article:
-            articles += 1
-            article = articles
-        stack.append((tag, bad, article))
+        mark, region = stack[-1][1:] if stack else (None, 0)
+        if tag in ("article", "main"):
+            for _, x, _ in stack:
+                if x and x.why != "tag":
+                    x.wraps = True
+            if not region or tag == "article" and any(s[0] == "article" for s in stack):
+                around.append(region)
+                region = len(around) - 1
+        elif tag in OUTSIDE:
+            mark = Mark("tag", mark)
+        elif tag in AROUND and not (tag == "header" and region):
+            mark = Mark("around", mark)
+        if m[4] and _named(m[4]):
+            mark = Mark("name", mark)
+        stack.append((tag, mark, region))
     if at < len(html):
         add(html[at:])
     end_block()
-    return found
+    return found, around
+
 
+def rule(words: int, stop: float, link: float, sentence: bool, inside: bool) -> bool | None:
+    """A block's label by its words, shares of stop words and of letters in links, and whether it ends as a
+    sentence does; inside an article, links and few stop words weigh less. None: open."""
+    if link > (0.8 if inside else 0.5):
+        return False
+    if words < SHORT or link > 0.33:
+        return None
+    if stop >= 0.2 or words >= 40 and stop >= 0.1:
+        return True
+    return False if stop < 0.05 and not sentence and not inside else None
 
-def classify(page: list[tuple[str, int, bool, int]]) -> list[bool]:
-    """Which blocks are text: rules first, then the nearest decided neighbours."""
+
+def decide(page: list[Block], around: list[int], passing: tuple[str, ...] = ()) -> list[tuple[bool, str]]:
+    """Each block's label and what gave it: rule, neighbour or container. Marks ``passing`` don't bar."""
     labels: list[bool | None] = []
-    for text, linked, bad, article in page:
-        words = WORD.findall(text.lower())
-        n, link = len(words), linked / max(1, len(text) - text.count(" "))
-        stop = sum(w in STOP for w in words) / max(n, 1)
-        if bad:
-            labels.append(False)
-        elif article:
-            labels.append(None if n < 5 or link > 0.8 else True)
-        elif link > 0.5 or text[0] == "©":
-            labels.append(False)
-        elif n < 10:
-            labels.append(False if link > 0.3 else None)
-        elif stop >= 0.2 or n >= 40 and stop >= 0.1:
-            labels.append(True)
-        else:
-            labels.append(False if stop < 0.05 and not re.search(r"[.!?…]\s*$", text) else None)
-    final = []
-    any_article = any(article and not bad for _, _, bad, article in page)
-    before = _nearest(page, labels, range(len(page)))
-    after = _nearest(page, labels, range(len(page) - 1, -1, -1))
-    for i, ((_, linked, _, article), label) in enumerate(zip(page, labels)):
+    why: list[str] = []
+    size = [len(b.text) - b.text.count(" ") for b in page]
+    barred = []
+    for b, letters in zip(page, size):
+        x = b.mark
+        while x and (x.wraps or x.why in passing):
+            x = x.above
+        barred.append(x is not None)
+        words = WORD.findall(b.text.lower())
+        stop = sum(w in STOP for w in words) / max(len(words), 1)
+        ended = b.text.rstrip("\"')»”’ ")[-1:] in (".", "!", "?", "…")
+        by_rule = False if b.text[0] == "©" else rule(len(words), stop, b.linked / max(1, letters), ended, b.region > 0)
+        labels.append(False if x else by_rule)
+        why.append("container" if x else "rule")
+    before = _nearest(page, labels, barred, range(len(page)))
+    after = _nearest(page, labels, barred, range(len(page) - 1, -1, -1))
+    free, dense = defaultdict(int), 0
+    for b, letters, bar, label in zip(page, size, barred, labels):
+        if not bar:
+            free[b.region] += letters - b.linked
+            dense += letters if label and not b.region else 0
+    inside = sum(n for r, n in free.items() if r)
+    largest = max((n for r, n in free.items() if r), default=0)
+    articles = len(around) > 1 and 4 * inside >= dense
+    out = []
+    for i, b in enumerate(page):
+        label = labels[i]
         if label is None:
             sides = [x for x in (before[i], after[i]) if x]
-            if not sides:
-                label = bool(article) or not any_article
-            else:
-                near = min(d for d, _ in sides)
-                label = any(v for d, v in sides if d == near)
-        if any_article and not article:
-            label = False
-        final.append(label)
-    return final
-
-
-def _nearest(page, labels, order) -> list[tuple[int, bool] | None]:
-    """For each block: distance and label of the last decided one on the way, in the same article."""
+            near = min((d for d, _ in sides), default=0)
+            label, why[i] = (any(v for d, v in sides if d == near), "neighbour") if sides else (True, "container")
+        if label and articles:
+            outer = around[b.region]
+            if not b.region or 5 * free[b.region] < largest or outer and free[outer] >= free[b.region]:
+                label, why[i] = False, "container"
+        out.append((label, why[i]))
+    return out
+
+
+def _nearest(page, labels, barred, order) -> list[tuple[int, bool] | None]:
+    """For each block: distance and label of the last decided one on the way, of the same article and not barred."""
     seen: dict[int, tuple[int, bool]] = {}
     out: list[tuple[int, bool] | None] = [None] * len(page)
     for i in order:
-        article = page[i][3]
-        if article in seen:
-            out[i] = (abs(i - seen[article][0]), seen[article][1])
-        if labels[i] is not None and not (article and page[i][2]):
-            seen[article] = (i, labels[i])
+        region = page[i].region
+        if region in seen:
+            out[i] = (abs(i - seen[region][0]), seen[region][1])
+        if labels[i] is not None and not barred[i]:
+            seen[region] = (i, labels[i])
     return out
 
 
+def main_blocks(html: str | None) -> list[tuple[Block, bool, str]]:
+    """Blocks of a page with their labels and what gave them.
+
+    If containers bar all of a page whose dense blocks have ``MUCH`` words or more, names of containers are passed
+    over, and then forms and menus: they stand around the page or were never closed.
+    """
+    page, around = blocks(html or "")
+    found: list[tuple[bool, str]] = []
+    for passing in ((), ("name",), ("name", "around")):
+        decided = decide(page, around, passing)
+        kept = [b for b, (label, _) in zip(page, decided) if label]
+        if not passing or sum(len(WORD.findall(b.text)) for b in kept) >= MUCH:
+            found = decided
+        if kept:
+            break
+    return [(b, *d) for b, d in zip(page, found)]
+
+
 def main_text(html: str | None) -> str:
-    page = blocks(html or "")
-    return " ".join(b[0] for b, keep in zip(page, classify(page)) if keep)
+    return " ".join(b.text for b, label, _ in main_blocks(html) if label)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +265,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page.
 
     Null or empty html gives the empty text; null ids and urls stay null; repeated rows each keep their
-    row; other columns are ignored; an empty table gives no rows. A page without any decided block
-    keeps its open ones, so that a bare line of text is not lost.
+    row; very long pages are read whole; other columns are ignored; an empty table gives no rows. A page without any
+    decided block keeps its open ones, so that a bare line of text is not lost. Of two decided neighbours
+    equally near, one that is text wins.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

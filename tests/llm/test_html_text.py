@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+from html.parser import HTMLParser
+
+import duckdb
 import pytest
 
-from linkspan.llm.html_text import blocks, extract_text, main_text
+from linkspan.llm import html_text
+from linkspan.llm.html_text import blocks, extract_text, main_text, unwanted_name
 
 BODY = "This is the first paragraph of the text and it has all of the words that one would want."
 MORE = "And here is another one, which is as long as the first was, with the same kind of words in it."
@@ -30,7 +36,9 @@ def test_pages(html, want):
 
 
 def test_links_count_without_spaces():
-    assert blocks("<p>see <a href=x>a b</a> c</p>") == [("see a b c", 2, False, 0)]
+    assert blocks("<p>see <a href=x>a b</a> c</p>") == ([("see a b c", 2, None, 0)], [0])
+    page, _ = blocks("<a href=x><div>a block</div></a><div>b</div><div><a href=y>c</div><div>d</div>")
+    assert [(b.text, b.linked) for b in page] == [("a block", 6), ("b", 0), ("c", 1), ("d", 0)]
 
 
 def test_long_and_broken_pages():
@@ -48,3 +56,136 @@ def test_table(spark):
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in extract_text(d).collect()), key=repr)
     assert got == sorted([(1, "u", BODY, len(BODY))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=repr)
     assert extract_text(d.where("false")).count() == 0
+
+
+class Tree(HTMLParser):
+    """Texts between elements that aren't inline, with the open containers around each."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.open, self.found, self.now, self.links, self.a, self.number = [], [], "", 0, None, 0
+        self.feed(html)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        if text := " ".join(self.now.split()):
+            self.found.append((text, self.links, list(self.open)))
+        self.now, self.links = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.a = len(self.open)
+        if tag == "br":
+            self.now += " "
+        if tag not in html_text.INLINE:
+            self.cut()
+            if tag not in html_text.VOID | html_text.LOOSE:
+                self.number += 1
+                self.open.append((tag, " ".join(v or "" for k, v in attrs if k in ("class", "id")), self.number))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.a = None
+        if tag not in html_text.INLINE:
+            self.cut()
+            if tag in [t for t, _, _ in self.open]:
+                while self.open.pop()[0] != tag:
+                    pass
+                if self.a is not None and self.a > len(self.open):
+                    self.a = None
+
+    def handle_data(self, data):
+        if not self.open or self.open[-1][0] not in ("script", "style", "title"):
+            self.now += data
+            self.links += len("".join(data.split())) if self.a is not None else 0
+
+
+def plainly(html):
+    """The two passes, block by block over all others; for pages without nested articles and whole-page containers."""
+    page = Tree(html).found
+    articles = {x[2] for _, _, around in page for x in around if x[0] in ("article", "main")}
+    with_article = {x[2] for _, _, around in page for i, x in enumerate(around) if any(y[2] in articles for y in around[i + 1 :])}
+    rows = []
+    for text, linked, around in page:
+        inside = [x[2] for x in around if x[2] in articles]
+        bad = [x for i, x in enumerate(around) if x[0] in html_text.OUTSIDE]
+        bad += [x for i, x in enumerate(around) if x[0] in html_text.AROUND and x[2] not in with_article and not (x[0] == "header" and any(y[2] in articles for y in around[:i]))]
+        bad += [x for x in around if x[2] not in with_article and any(unwanted_name(n) for n in x[1].split())]
+        words = html_text.WORD.findall(text.lower())
+        letters = len("".join(text.split()))
+        stop = sum(w in html_text.STOP for w in words) / max(1, len(words))
+        label = None
+        if bad or text[0] == "©" or linked / letters > (0.8 if inside else 0.5):
+            label = False
+        elif len(words) >= 10 and linked / letters <= 0.33 and (stop >= 0.2 or len(words) >= 40 and stop >= 0.1):
+            label = True
+        elif len(words) >= 10 and linked / letters <= 0.33 and stop < 0.05 and not inside and text.rstrip("\"')»”’ ")[-1:] not in tuple(".!?…"):
+            label = False
+        rows.append([text, label, bool(bad), inside[0] if inside else 0, letters - linked])
+    free = Counter()
+    for _, _, bad, region, n in rows:
+        free[region] += 0 if bad else n
+    dense = sum(n for _, label, bad, region, n in rows if label and not bad and not region)
+    within = sum(n for r, n in free.items() if r)
+    out = []
+    for i, (text, label, bad, region, _) in enumerate(rows):
+        if label is None:
+            others = [(abs(i - j), x) for j, (_, x, b, r, _) in enumerate(rows) if x is not None and not b and r == region]
+            label = any(x for d, x in others if d == min(others)[0]) if others else True
+        if articles and 4 * within >= dense and (not region or 5 * free[region] < max(free[r] for r in free if r)):
+            label = False
+        if label:
+            out.append(text)
+    return " ".join(out)
+
+
+def test_against_a_plain_form():
+    pages = [h for (h,) in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall()]
+    assert [main_text(h) for h in pages] == [plainly(h) for h in pages]
+    r = random.Random(4)
+    words = "the of and in river stone walk light quiet letters home green as is was 2024 &amp; x".split()
+    texts = ["Short.", "© someone", "Menu | One | Two", "name value name value name value name value name value"]
+    for _ in range(600):
+        some = lambda: r.choice([*texts, " ".join(r.choice(words) for _ in range(r.choice([3, 12, 45]))) + r.choice([".", ""])])
+        bits = []
+        for _ in range(r.randrange(1, 9)):
+            x = r.choice([some(), f"<a href=x>{some()}</a>", f"<p>{some()} <a href=y>{some()}</a></p>", f"<p>{some()}<br>{some()}", f"<li>{some()}", f"<h2>{some()}</h2>"])
+            x = r.choice([x, x, f"<div>{x}</div>", f"<div class='{r.choice(['comments', 'no-sidebar', 'ad-slot', 'text', 'post ad-free'])}'>{x}</div>", f"<nav>{x}</nav>", f"<footer>{x}</footer>"])
+            bits.append(x)
+        k = r.randrange(len(bits))
+        html = r.choice(["".join(bits), "".join(bits[:k]) + f"<article>{''.join(bits[k:])}</article>", f"<div class=page-with-share><header>x y</header><main><header><h1>T</h1></header>{''.join(bits)}</main></div>"])
+        if any(label for label, _ in html_text.decide(*blocks(html))):  # else containers are passed over
+            assert main_text(html) == plainly(html), html
+
+
+def test_rules_agree_where_articles_are_plain_divs():
+    """Container hints decide little: with <article> renamed, nearly the same words stay."""
+    pages = [h for (h,) in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    both = kept = 0
+    for h in pages:
+        a, b = (Counter(main_text(x).split()) for x in (h, h.replace("<article", "<div").replace("</article", "</div")))
+        both, kept = both + 2 * (a & b).total(), kept + a.total() + b.total()
+    assert both / kept >= 0.97
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar content", "post ad-free", "comments-open", "page-with-share", "content-widget-area", "notice-page", "sidebar"])
+def test_wrappers_keep_their_text(name):
+    much = " ".join([BODY, MORE] * 3)
+    assert main_text(f'<div class="{name}"><article><p>{much}</p></article></div>') == much
+    assert main_text(f'<div class="{name}"><p>{much}</p></div>') == much
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "cookieBanner", "site-footer", "comment-list", "related-posts", "main-nav", "newsletter-signup", "sidebar"])
+def test_unwanted_names(name):
+    assert main_text(f"<p>{BODY}</p><div class={name}><p>{MORE}</p></div>") == BODY
+
+
+def test_odd_containers():
+    much = " ".join([BODY, MORE] * 3)
+    assert main_text(f"<nav><a href=x>Home</a><article><p>{much}</p></article>") == much  # never closed
+    assert main_text(f"<form><div><p>{much}</p></div></form>") == much
+    assert main_text(f"<article><p>{much}</p><article><p>{BODY}</p></article></article>") == much  # a reader's comment or a teaser
+    assert main_text(f"<article><p>{BODY} <span style='display:none'>not <span>this</span> one</span><span class=ad>nor this</span></p></article>") == BODY
+    assert main_text(f"<p>{much}</p><a href=x><div>{MORE}</div></a>") == much
+    assert main_text("<nav><a href=x>Home</a></nav><footer>All of the rights are with the owner of the site and of the text on it.</footer>") == ""
