@@ -13,8 +13,6 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lowest
-
 #: Kind, pattern, group whose length counts, least length of it.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -53,24 +51,31 @@ def name_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     return spark.range(n).select(text.when(kind == 2, F.concat_ws("-", *pick)).otherwise(F.concat_ws("/", *pick)).alias("text"), F.lit(0).alias("label"))
 
 
-def corpus_samples(docs: DataFrame, n_docs: int = 2000) -> DataFrame:
-    """text, label 0: words of eight and more characters outside base spans, from at most ``n_docs`` texts
-    of up to 100,000 characters, chosen by a hash of the text."""
-    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text").between(1, 100_000))
-    texts = lowest(texts, F.xxhash64("text"), texts.count(), n_docs)
+def corpus_samples(docs: DataFrame, recurring: int = 2) -> DataFrame:
+    """text, label 0, weight: the distinct words of eight and more characters outside base spans, of all documents.
+
+    A word must come ``recurring`` times at least (most secrets come once) and weighs the logarithm of how often it
+    does, so that neither a text that a third of the rows share nor a frequent word is the whole sample. Words are
+    added up in each task first; the longest runs are cut into pieces of 64 characters.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text"))
     for _, pattern, _, _ in BASE:
         texts = texts.select(F.regexp_replace("text", pattern, " ").alias("text"))
-    return texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({RUN}{{8,}})"), F.lit(1))).alias("text"), F.lit(0).alias("label"))
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({RUN}{{8,64}})"), F.lit(1))).alias("text"))
+    words = words.groupBy("text").agg(F.count("*").alias("n")).where(F.col("n") >= recurring)
+    return words.select("text", F.lit(0).alias("label"), F.log2(F.col("n") + 1).alias("weight"))
 
 
 def fit_ratio(samples: DataFrame, backing: float = 5.0) -> list[float]:
     """log P(next | character, label 1) - log P(next | character, label 0) for every pair of characters,
-    from samples (text, label); nulls and other labels don't count. Each transition is backed by the
-    character's overall share with a weight of ``backing``. Without samples, all are zero."""
-    pairs = samples.where(F.col("label").isin(0, 1) & (F.length("text") > 1)).select("label", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("i"))
-    pairs = pairs.select("label", *[(F.ascii(F.substring("text", F.col("i") + j, F.lit(1))) - FIRST).alias(c) for j, c in enumerate("ab")])
-    pairs = pairs.where(F.col("a").between(0, SIDE - 1) & F.col("b").between(0, SIDE - 1))
-    counts = {(r["label"], r["a"], r["b"]): r["n"] for r in pairs.groupBy("label", "a", "b").agg(F.count("*").alias("n")).collect()}  # at most 2 * SIDE ** 2
+    from samples (text, label, and a weight where there is one); nulls and other labels don't count. Each transition
+    is backed by the character's overall share with a weight of ``backing``. Without samples, all are zero."""
+    weight = (F.col("weight") if "weight" in samples.columns else F.lit(1.0)).cast("double").alias("weight")
+    codes = samples.where(F.col("label").isin(0, 1) & (F.length("text") > 1)).select("label", weight, _codes(F.col("text")).alias("c"))
+    pairs = codes.select("label", "weight", F.explode(F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", F.lit(2), F.size("c") - 1).alias("b"))).alias("p"))
+    pairs = pairs.select("label", "weight", "p.a", "p.b").where(F.col("a").between(0, SIDE - 1) & F.col("b").between(0, SIDE - 1))
+    rows = pairs.groupBy("label", "a", "b").agg(F.sum(F.col("weight").cast("decimal(20,6)")).cast("double").alias("n")).collect()  # at most 2 * SIDE ** 2
+    counts = {(r["label"], r["a"], r["b"]): r["n"] for r in rows}
     used = [i for i in range(SIDE) if chr(FIRST + i).isalnum() or chr(FIRST + i) in "+/_=-"]
     logs = []
     for label in (0, 1):
@@ -85,26 +90,32 @@ def fit_ratio(samples: DataFrame, backing: float = 5.0) -> list[float]:
     return table
 
 
+def _codes(run: Column) -> Column:
+    """The code of each character, from ``FIRST`` on."""
+    return F.transform(F.split(run, ""), lambda ch: F.ascii(ch) - FIRST)
+
+
 def _ratio(run: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio over the pairs of a run."""
-    code = lambda i: F.ascii(F.substring(run, i, F.lit(1))) - FIRST
-    total = F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), lambda t, i: t + F.get(table, code(i) * SIDE + code(i + 1)))
-    return total / (F.length(run) - 1)
-
-
-def _found(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """kind, skip (code points between the match before and this one), len, counted (is long enough), run."""
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    long_enough = lambda x: F.length(x) >= least
-    row = lambda g, m, ok, run: F.struct(F.lit(kind).alias("kind"), F.length(g).alias("skip"), F.length(m).alias("len"), ok.alias("ok"), run.alias("run"))
-    if kind == len(BASE):
-        return F.zip_with(gaps, matches, lambda g, m: row(g, m, F.lit(True), m))
-    if not group:
-        return F.zip_with(gaps, matches, lambda g, m: row(g, m, F.lit(True), F.lit(None).cast("string")))
-    pairs = F.arrays_zip(gaps.alias("g"), matches.alias("m"), parts.alias("p"))
-    return F.transform(pairs, lambda x: row(x["g"], x["m"], long_enough(x["p"]), F.lit(None).cast("string")))
+    """Mean log-likelihood ratio over the pairs of a run, in one pass over its characters."""
+    c, n = _codes(run), F.length(run) - 1
+    each = F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.get(table, a * SIDE + b))
+    return F.aggregate(each, F.lit(0.0), lambda t, x: t + x) / n
+
+
+#: Stands around matches while a text is cut; where a text has it itself, another character takes its place.
+_SIDE, _INSTEAD = "\ufdd0", "\ufffd"
+
+
+def _found(text: Column, kind: int, pattern: str, verdict) -> Column:
+    """kind, skip (code points between the match before and this one), len, ok: one search of the text for all matches."""
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{_SIDE}$0{_SIDE}"))
+    row = lambda gap, m: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("skip"), F.length(m).alias("len"), verdict(m).alias("ok"))
+
+    def cut(parts: Column) -> Column:  # gap, match, gap, match, ..., gap
+        gaps, matches = (F.filter(parts, lambda _, i: i % 2 == k) for k in (0, 1))
+        return F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, row)
+
+    return F.flatten(F.transform(F.array(F.split(marked, _SIDE, -1)), cut))
 
 
 def scan_secrets(docs: DataFrame, ratio: list[float], threshold: float = 1.5, least: int = 16) -> DataFrame:
@@ -113,15 +124,19 @@ def scan_secrets(docs: DataFrame, ratio: list[float], threshold: float = 1.5, le
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then kind. A run of at least
     ``least`` token characters is a span of kind random if its mean log-likelihood ratio is at least ``threshold``
     and it overlaps no base span. A null or empty text has none; null ids and repeated rows each keep their
-    row; other columns are ignored; an empty table gives no rows. Only places of matches are shuffled.
+    row; very long texts are searched whole; other columns are ignored; an empty table gives no rows. Each text is
+    searched once a pattern, and only places of matches are shuffled.
     """
     table = F.from_json(F.lit("[" + ",".join(f"{x:.4f}" for x in ratio) + "]"), "array<double>")
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    patterns = [*BASE, ("random", f"{RUN}{{{least},}}", 0, least)]
-    every = F.concat(*[F.when(F.col("text").rlike(p), _found(F.col("text"), k, p, g, n)).otherwise(F.array()) for k, (_, p, g, n) in enumerate(patterns)])
-    each = rows.select("uid", "doc_id", F.posexplode_outer(every).alias("at", "m")).select("uid", "doc_id", "at", "m.*")
-    strange = F.when(F.col("run").isNotNull(), _ratio(F.col("run"), table) >= threshold).otherwise(F.col("ok"))
-    each = each.select("uid", "doc_id", "at", "kind", "skip", "len", strange.alias("ok")).repartition("uid")
+    text = F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_SIDE), F.lit(_INSTEAD))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), text.alias("text"))
+
+    def long_enough(pattern: str, group: int, least: int):
+        return lambda m: F.length(F.regexp_extract(m, pattern, group) if group else m) >= least
+
+    found = [_found(F.col("text"), k, p, long_enough(p, g, n)) for k, (_, p, g, n) in enumerate(BASE)]
+    found.append(_found(F.col("text"), len(BASE), f"{RUN}{{{least},}}", lambda m: _ratio(m, table) >= threshold))
+    each = rows.select("uid", "doc_id", F.posexplode_outer(F.concat(*found)).alias("at", "m")).select("uid", "doc_id", "at", "m.*").repartition("uid")
     so_far = Window.partitionBy("uid", "kind").orderBy("at")
     spans = each.withColumn("end", F.sum(F.col("skip") + F.col("len")).over(so_far)).withColumn("start", F.col("end") - F.col("len"))
     spans = spans.withColumns({c: F.when(F.col("ok"), F.col(c)) for c in ("kind", "start", "end")})
