@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkspan.llm import similar
 
@@ -80,3 +81,38 @@ def test_nulls_repeats_and_names(spark):
     rows = similar.similar_documents(d).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.keep) for r in rows) == [("7", "7", False), ("7", "7", True), ("None", "7", False), ("None", "None", True)]
     assert rows[0]["x y"] == 3 and similar.similar_documents(d.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 9, 24, 40, 100, 400])
+def test_recall_by_length(spark, n):
+    """Lone pairs just above 0.8, by number of shingles: next to none is lost (0.99 is asked, all are found)."""
+    r, pairs = random.Random(n), []
+    while len(pairs) < 400:
+        a = [f"w{r.randrange(10**6)}" for _ in range(n + 4)]
+        b = a[:]
+        for _ in range(r.choice([1, 2])):
+            at = r.choice([0, len(b) - 1, len(b) - 1, r.randrange(len(b))])
+            b[at : at + 1] = r.choice([[f"w{r.randrange(10**6)}"], [], [b[at], f"w{r.randrange(10**6)}"]])
+        if n > 60:
+            b[-n // 13 :] = [f"w{r.randrange(10**6)}" for _ in range(n // 13)]
+        if 0.8 <= similar.jaccard(similar.shingles(" ".join(a)), similar.shingles(" ".join(b))) < 1:
+            pairs.append((" ".join(a), " ".join(b)))
+    rows = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "uid long, text string")
+    got = {x.uid: x.component for x in similar.similar_groups(rows).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(len(pairs))) == len(pairs)
+
+
+def test_a_crowd_apart_is_dealt_by_sizes(spark):
+    """Rows of a crowded key are copied far less than once for each tile of 256, and no pair that may be similar is parted."""
+    rows = spark.range(4000).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("uid"), (20 + F.col("id") % 400).alias("n"), F.lit(4000).cast("long").alias("size"))
+    cells = similar._dealt_out(rows, 0.8, 128).collect()
+    assert len(cells) < 4000 * 9
+    of = {}
+    for c in cells:
+        of.setdefault(c.uid, {})[c.cell] = c.side
+    r = random.Random(1)
+    for _ in range(3000):
+        a, b = r.sample(range(4000), 2)
+        n, m = sorted((20 + a % 400, 20 + b % 400))
+        met = [x for x in of[a] if x in of[b] and (of[a][x] == 0 or of[a][x] != of[b][x])]
+        assert len(met) == 1 if n >= 0.8 * m else len(met) <= 1
