@@ -1,15 +1,15 @@
 """Removal of repeated passages by content-defined line chunks, in DataFrame functions alone.
 
-Each line has a hash, and a rolling hash runs over the hashes of two lines. Its bits choose where chunks
-start and end, in ``FAMILIES`` independent ways: one bit says whether a chunk starts at a line (by that
-line and the next one), another whether it ends there (by that line and the one before). So both ends
-depend on the lines of the chunk alone, and a passage is cut alike wherever it stands. A chunk has two
-to five lines; a line of ``LONG`` words or more is a chunk of its own too. Of chunks that repeat anywhere,
-in one document or over all, the first by doc_id and place stays; the others go once their bytes were compared.
-
-Chosen ends miss some passages. With ``runs``, the shortest runs of lines that reach ``LONG`` words, from each
-line on and up to each line, are chunks too. Each line of a passage of that many words lies in such a run inside
-the passage, so that none of it stays, whatever its number of lines.
+Each line has a hash, and a rolling hash runs over the hashes of two lines. Its bits choose where a chunk that
+starts at a line ends, in ``FAMILIES`` independent ways: at the next line whose bit of that family is set, after five
+lines at most. So a chunk's end depends on the lines of the chunk alone, and a passage is cut alike wherever it
+stands. A chunk has two to five lines; a line of ``LONG`` words or more is a chunk of its own too. Of chunks that
+repeat anywhere, in one document or over all, the first by doc_id and place stays; the others go once their bytes
+were compared.
+
+Chosen ends miss one passage of two lines in sixteen. The shortest runs of lines that reach ``LONG`` words, from each
+line on and up to each line, are chunks too (``runs``). Each line of a passage of that many words lies in such a run
+inside the passage, so that none of it stays, whatever its number of lines.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, named_back, set_aside, settle
+from .common import broadcast_if_small, materialize, named_back, set_aside, settle
 
 FAMILIES = 4
 LONG = 50
 MOST = 5
 _BASE, _PRIME = 1_000_003, 2_147_483_647
+#: Numbers of documents that may be broadcast (some 40 bytes each); more are shuffled.
+BROADCAST_ROWS = 2_000_000
+#: Fixed value: a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _lines(column: str = "text") -> Column:
@@ -38,7 +42,7 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 def _word_lines() -> Column:
     """The line (from 0) of each word of ``lines``, in order."""
-    return F.flatten(F.transform("lines", lambda line, i: F.array_repeat(i, F.regexp_count(line, F.lit(r"\S+")))))
+    return F.flatten(F.transform("lines", lambda line, i: F.array_repeat(i, F.regexp_count(line, F.lit(WORD)))))
 
 
 def _runs(n: int) -> Column:
@@ -65,10 +69,10 @@ def _spans(rows: DataFrame, families: int, long_words: int, runs: bool) -> DataF
 
     def end(i: Column, k: int) -> Column:
         found = [F.when(bit(i + j, k), i + j) for j in range(1, MOST - 1)]
-        return F.when(bit(i + 1, k + 8), F.coalesce(*found, F.least(i + MOST - 1, F.size("r") - 1)))
+        return F.coalesce(*found, F.least(i + MOST - 1, F.size("r") - 1))
 
     def cut(i: Column) -> Column:
-        return F.transform(F.array_distinct(F.array_compact(F.array(*[end(i, k) for k in range(families)]))), lambda e: _span(i, e))
+        return F.transform(F.array_distinct(F.array(*[end(i, k) for k in range(families)])), lambda e: _span(i, e))
 
     several = F.when(F.size("r") > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size("r") - 2), cut)))
     every = F.flatten(F.array_compact(F.array(F.transform("long", lambda i: _span(i, i)), several, *([_runs(long_words)] if runs else []))))
@@ -87,16 +91,19 @@ def _part(lines: str, span: Column) -> Column:
     return F.slice(lines, span["first"], span["last"] - span["first"] + 1)
 
 
-def repeated_lines(rows: DataFrame, families: int = FAMILIES, long_words: int = LONG, runs: bool = False) -> DataFrame:
+def repeated_lines(rows: DataFrame, families: int = FAMILIES, long_words: int = LONG, runs: bool = True) -> DataFrame:
     """uid, first, last: the runs of lines of ``rows`` (uid, doc_id, text) that repeat an earlier chunk."""
     spans = materialize(_spans(rows.select("uid", "text"), families, long_words, runs), "line-chunks")
     # Eight bytes a chunk decide, added up in each task first, which chunks can be repeated at all.
     twice = spans.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     maybe = spans.join(twice, "hash", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one document
-    maybe = materialize(rows.join(maybe, "uid"), "line-candidates")
-    lines = _hashed(maybe)
+    maybe = materialize(maybe, "repeated-chunks")
+    # Only texts that have such chunks are moved, as long as their numbers can be broadcast.
+    needed = broadcast_if_small(maybe.select("uid"), maybe.count(), BROADCAST_ROWS)
+    lines = _hashed(materialize(rows.join(needed, "uid", "left_semi").join(maybe, "uid"), "line-candidates"))
     # Bytes are compared here, line by line: do lines of equal hashes have equal bytes? If not, chunks are compared by their text.
-    each = lines.select(F.explode(F.arrays_zip("x", "h", "lines")).alias("l")).select("l.*")
+    inside = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))
+    each = lines.select("x", "h", "lines", F.explode(inside).alias("i")).select(*[F.get(c, F.col("i") - 1).alias(c) for c in ("x", "h", "lines")])
     differ = each.groupBy("x", "h").agg(F.count_distinct("lines").alias("n")).where("n > 1")
     key = F.concat(_part("x", F.col("s")), _part("h", F.col("s"))) if differ.isEmpty() else _part("lines", F.col("s"))
     chunks = lines.select("uid", "doc_id", "lines", "x", "h", F.explode("spans").alias("s")).where(F.trim(F.array_join(_part("lines", F.col("s")), "")) != "")
@@ -107,7 +114,7 @@ def repeated_lines(rows: DataFrame, families: int = FAMILIES, long_words: int =
     return gone.select("uid", "first", "last")
 
 
-def dedup_lines(docs: DataFrame, families: int = FAMILIES, long_words: int = LONG, runs: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, families: int = FAMILIES, long_words: int = LONG, runs: bool = True) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and n_lines, n_removed (lines before, and gone).
 
     With ``runs``, every passage of ``long_words`` words or more goes, whatever its number of lines; a word
@@ -137,15 +144,18 @@ def dedup_lines(docs: DataFrame, families: int = FAMILIES, long_words: int = LON
     return out.select(*named_back(names, text=F.col("cut"), **instead), "n_lines", "n_removed")
 
 
-ORACLE = """
-WITH doc AS (SELECT row_number() OVER (ORDER BY doc_id) AS u, doc_id, text FROM documents),
-line AS (SELECT u, i, l[i] AS line FROM (SELECT u, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT u, string_split(text, chr(10)) AS l FROM doc WHERE text IS NOT NULL))),
-h AS (SELECT u, i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) % 2147483647 AS h, length(line) - length(replace(line, ' ', '')) >= 49 AS long FROM line),
+ORACLE = r"""
+WITH doc AS (SELECT row_number() OVER (ORDER BY doc_id) AS u, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+line AS (SELECT u, i, l[i] AS line FROM (SELECT u, l, unnest(range(1, len(l) + 1)) AS i FROM doc WHERE text IS NOT NULL)),
+h AS (SELECT u, i, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) % 2147483647 AS h, length(line) - length(replace(line, ' ', '')) >= 49 AS long FROM line),
 p AS (SELECT *, ((1000003 + coalesce(lag(h) OVER w, 0)) % 2147483647 * 1000003 + h) % 2147483647 AS r, max(i) OVER (PARTITION BY u) AS n FROM h WINDOW w AS (PARTITION BY u ORDER BY i)),
 q AS (SELECT *, lead(r) OVER w AS r1, lead(r, 2) OVER w AS r2, lead(r, 3) OVER w AS r3 FROM p WINDOW w AS (PARTITION BY u ORDER BY i)),
+word AS (SELECT u, i, unnest(range(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')))) AS j FROM line),
+run AS (SELECT u, i, lag(i) OVER w AS before, lead(i, 49) OVER w AS last, lead(i, 50) OVER w AS after FROM word WINDOW w AS (PARTITION BY u ORDER BY i, j)),
 x AS (SELECT u, i AS first, CASE WHEN (r1 >> f) & 1 = 1 THEN i + 1 WHEN (r2 >> f) & 1 = 1 THEN i + 2 WHEN (r3 >> f) & 1 = 1 THEN i + 3 ELSE least(i + 4, n) END AS last
-  FROM q, (SELECT unnest(range(0, 4))::INTEGER AS f) WHERE (r1 >> (f + 8)) & 1 = 1 UNION SELECT u, i, i FROM q WHERE long),
-s AS (SELECT u, first, last, (SELECT string_agg(line, chr(10) ORDER BY i) FROM line WHERE line.u = x.u AND line.i BETWEEN first AND last) AS chunk FROM x),
+  FROM q, (SELECT unnest(range(0, 4))::INTEGER AS f) WHERE i < n UNION SELECT u, i, i FROM q WHERE long
+  UNION SELECT u, i, last FROM run WHERE last IS NOT NULL AND (before IS DISTINCT FROM i OR after IS DISTINCT FROM last)),
+s AS (SELECT u, first, last, array_to_string(l[first:last], chr(10)) AS chunk FROM x JOIN doc USING (u)),
 r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY u, first) AS rn FROM s WHERE trim(replace(chunk, chr(10), '')) <> ''),
 gone AS (SELECT DISTINCT u, unnest(range(first, last + 1)) AS i FROM r WHERE rn > 1),
 cut AS (SELECT line.u, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY line.i) FILTER (WHERE gone.i IS NULL), '') AS cut FROM line LEFT JOIN gone ON gone.u = line.u AND gone.i = line.i GROUP BY 1)
