@@ -94,3 +94,26 @@ def test_op2_is_in_its_form(spark):
 def test_a_null_benchmark_is_harmless(spark):
     none = spark.createDataFrame([(None, None)], "item_id long, text string")
     assert decontaminate(docs_of(spark, [(1, "a b")]), none).first().contaminated is False
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_and_clashing_columns(spark, name):
+    """Columns with the operators' own names stay as they are; nulls, repeats and long texts pass every stage."""
+    own = "uid score predicted words print keep n_words n_hit n_lines n_removed component component_id contaminated aside_0 key ids".split()
+    texts = [(1, "the first of the texts is here and it is as it was"), (2, None), (3, ""), (None, "no id here"), (5, "same text"), (5, "same text"), (6, "long and longer text of the words " * 20_000)]
+    rows = [(i, t, *(f"{c}-{k}" for c in own)) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in own))
+    out = stage(name)(spark, docs, SF)
+    got = [r.asDict() for r in out.collect()]
+    if name == "packing":
+        assert {r["doc_id"] for r in got} == {1, 2, 3, None, 5, 6} and sum(r["start"] == 0 for r in got) == 7
+        return
+    assert out.columns == docs.columns
+    assert all(r[c].startswith(f"{c}-") and len({r[x].split("-")[1] for x in own}) == 1 for r in got for c in own)
+    assert len({r["uid"] for r in got}) == len(got)
+    if name == "near_dedup":
+        assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "5", "6", "None"]
+    elif name == "decontamination":
+        assert len(got) == 7
+    elif name == "line_dedup":
+        assert len(got) == 7 and next(r for r in got if r["doc_id"] == 1)["text"] == texts[0][1]
