@@ -22,7 +22,7 @@ from .tokens import encoder, public_path
 CACHE = "content_digest binary, n_tokens long, tokenizer_digest string"
 COUNTS = "content_digest binary, n_tokens long"
 #: Digests (some 60 bytes each) that may be broadcast to read a cache; more are shuffled with it.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def tokenizer_digest(path: str) -> str:
