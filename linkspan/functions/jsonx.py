@@ -27,3 +27,23 @@ def has_value(x: Column) -> Column:
     filled_list = F.size(F.try_variant_get(F.try_parse_json(x), "$", "array<variant>")) > 0
     hit = F.when(kind.startswith("STRING"), F.trim(text) != "").when(kind.startswith("ARRAY"), filled_list).when(kind.startswith("OBJECT"), F.lit(True))
     return F.coalesce(hit, F.lit(False))
+
+
+def informative_fields(x: Column) -> Column:
+    """How many values of a JSON object are neither null, blank text nor an empty list (O4.13); 0 for anything else."""
+    kind = lambda v: F.schema_of_variant(v)
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    hit = lambda v: F.when(v.isNull() | (kind(v) == "VOID"), False).when(kind(v) == "STRING", F.trim(text(v)) != "").when(kind(v).startswith("ARRAY"), text(v) != "[]").otherwise(True)
+    return F.coalesce(F.size(F.filter(F.map_values(F.from_json(x, "map<string,variant>")), hit)), F.lit(0))
+
+
+def follows(x: Column, required: dict[str, str]) -> Column:
+    """Is it a JSON object whose required fields have the types given (O10.17)? Types are those of ``schema_of_variant``:
+    STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, ARRAY, OBJECT; a number is any of the three numeric ones."""
+    v = F.try_parse_json(x)
+    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    for name, kind in required.items():
+        found = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        match = found.rlike("^(BIGINT|DECIMAL|DOUBLE)") if kind == "NUMBER" else found.startswith(kind)
+        ok = ok & F.coalesce(match, F.lit(False))
+    return ok

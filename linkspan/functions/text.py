@@ -6,16 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query parameters that say where a visit came from.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "ref")
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid", "ref", "referrer")
+#: White space of any script, and what words are made of, as classes of a pattern.
+_SPACE, _WORD = r"\t-\r\x1c-\x20\x85\p{Z}", r"\p{L}\p{N}_"
+#: A link, and a phone of 8 to 15 digits that no word goes on from.
+LINK = rf"(?iu)(?:https?://|www\.)[^{_SPACE}]+"
+PHONE = rf"(?<![{_WORD}])(?:\+?\p{{Nd}}[{_SPACE}().-]*){{8,15}}(?![{_WORD}])"
 #: Region, calling code, trunk prefix dropped from national numbers, least and most digits after the code.
 PHONE_PLAN = (("IT", "39", "", 6, 11), ("GB", "44", "0", 9, 10), ("US", "1", "", 10, 10), ("FR", "33", "0", 9, 9), ("DE", "49", "0", 6, 13), ("ES", "34", "", 9, 9))
 #: Letters with marks, and what is left without them.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-#: Magic numbers in hexadecimal at an offset (from 0), and the type.
+#: Magic numbers at the start in hexadecimal, and the type.
 MAGIC = (
-    (0, "FFD8FF", "image/jpeg"), (0, "89504E470D0A1A0A", "image/png"), (0, "474946383761", "image/gif"), (0, "474946383961", "image/gif"),
-    (0, "1A45DFA3", "video/webm"), (8, "57454250", "image/webp"), (8, "71742020", "video/quicktime"), (4, "66747970", "video/mp4"),
+    ("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("1A45DFA3", "video/webm"),
 )
 
 
@@ -25,7 +29,12 @@ def filled(x: Column, fallback: str) -> Column:
 
 
 def not_blank(x: Column) -> Column:
-    return F.coalesce(F.trim(x) != "", F.lit(False))
+    return F.coalesce(x.rlike(rf"[^{_SPACE}]"), F.lit(False))
+
+
+def filled_fields(*fields: Column) -> Column:
+    """How many of the fields hold more than white space (O4.13)."""
+    return sum((not_blank(x).cast("int") for x in fields), F.lit(0))
 
 
 def normal_text(x: Column) -> Column:
@@ -34,14 +43,24 @@ def normal_text(x: Column) -> Column:
 
 
 def normal_url(url: Column) -> Column:
-    """Lower-case scheme and host, no trailing slash on a path, no tracking parameters, sorted query, no fragment (O9.7)."""
-    url = F.trim(url)
-    part = lambda i: F.regexp_extract(url, r"^([^:/?#]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$", i)
-    path = F.when(F.length(part(3)) > 1, F.regexp_replace(part(3), "/$", "")).otherwise(part(3))
-    query = F.array_sort(F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING)))
-    joined = F.array_join(query, "&")
-    out = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(F.lit("")))
-    return F.when(part(1) != "", out).otherwise(url)
+    """An address to compare by (O9.7): scheme and host in lower case, no slashes at the path's end, no parameters of its
+    last part, no tracking parameters, the others decoded, sorted and encoded again, no fragment.
+
+    A parameter whose escapes are broken stays as it is but for its plus signs.
+    """
+    url = F.regexp_replace(url, rf"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    part = lambda i: F.regexp_extract(url, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$", i)
+    path = F.regexp_replace(part(3), ";[^/]*$", "")
+    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
+    plain = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    coded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    name = lambda p: F.substring_index(p, "=", 1)
+    pairs = F.transform(F.filter(F.split(part(4), "&"), lambda p: p != ""), lambda p: F.struct(plain(name(p)).alias("k"), plain(F.substr(p, F.length(name(p)) + 2)).alias("v")))
+    pairs = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING)))
+    query = F.array_join(F.transform(pairs, lambda p: F.concat(coded(p["k"]), F.lit("="), coded(p["v"]))), "&")
+    before = lambda mark, x: F.when(x != "", F.concat(F.lit(mark), x)).otherwise(F.lit(""))
+    scheme = F.when(part(1) != "", F.concat(F.lower(part(1)), F.lit(":"))).otherwise(F.lit(""))
+    return F.concat(scheme, before("//", F.lower(part(2))), path, before("?", query))
 
 
 def origin(url: Column) -> Column:
@@ -59,17 +78,31 @@ def defragment(url: Column) -> Column:
 def resolve_url(base: Column, href: Column) -> Column:
     """``href`` as seen from the page ``base`` (O9.8): absolute, by scheme, by host, query or fragment alone, or beside the page.
 
-    Dot segments are not folded; a blank href is the page itself.
+    Dot segments are folded; a blank href is the page itself.
     """
     href = F.trim(F.coalesce(href, F.lit("")))
     scheme = F.regexp_extract(base, r"^([^:/?#]+:)", 1)
     host = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
     folder = F.when(page == host, F.concat(host, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
+    beside = F.when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(folder, href))
     return (
-        F.when(href == "", base).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(host, href)).when(href.startswith("?"), F.concat(page, href)).when(href.startswith("#"), F.concat(defragment(base), href)).otherwise(F.concat(folder, href))
+        F.when(href == "", base).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("?"), F.concat(page, href)).when(href.startswith("#"), F.concat(defragment(base), href)).otherwise(without_dots(beside))
+    )
+
+
+def without_dots(url: Column) -> Column:
+    """``.`` and ``..`` taken out of an address's path, none above its root."""
+    part = lambda i: F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)([^?#]*)(.*)$", i)
+    steps = F.split(F.regexp_replace(part(2), "^/", ""), "/")
+    last = F.element_at(steps, -1)
+    kept = F.aggregate(
+        F.filter(steps, lambda x: x != "."), F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
     )
+    path = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.when((part(1) != "") & part(2).rlike(r"(^|/)\.\.?(/|$)"), F.concat(part(1), path, part(3))).otherwise(url)
 
 
 def phone_digits(raw: Column) -> Column:
@@ -118,10 +151,8 @@ def mask_tail(x: Column) -> Column:
 
 
 def redact(x: Column) -> Column:
-    """Links, mail addresses and phone-like runs of seven digits and more become marks (O9.17)."""
-    x = F.regexp_replace(x, r"(?i)(https?://|www\.)[^ \t\r\n]+", "[link]")
-    x = F.regexp_replace(x, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[mail]")
-    return F.regexp_replace(x, r"\+?[0-9]([0-9 ().-]{5,}[0-9])", "[phone]")
+    """Links become ``[URL REDACTED]``, then phones ``[PHONE REDACTED]`` (O9.17)."""
+    return F.regexp_replace(F.regexp_replace(x, LINK, "[URL REDACTED]"), PHONE, "[PHONE REDACTED]")
 
 
 def numbers(x: Column) -> Column:
@@ -154,8 +185,10 @@ def decode_error(text: Column) -> tuple[Column, Column]:
 
 def mime_type(content: Column) -> Column:
     """MIME type by magic numbers (O9.23)."""
-    out = None
-    for at, magic, kind in MAGIC:
-        hit = F.hex(F.substring(content, at + 1, len(magic) // 2)) == magic
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    at = lambda first, n: F.hex(F.substring(content, first + 1, n))
+    out = F.when((at(0, 4) == "52494646") & (at(8, 4) == "57454250"), "image/webp")
+    boxed = (F.octet_length(content) >= 12) & (at(4, 4) == "66747970")
+    out = out.when(boxed & (at(8, 4) == "71742020"), "video/quicktime").when(boxed, "video/mp4")
+    for magic, kind in MAGIC:
+        out = out.when(at(0, len(magic) // 2) == magic, kind)
     return out.otherwise("application/octet-stream")

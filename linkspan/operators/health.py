@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import COOLDOWN_MINUTES, half_up, step
+from .series import running
 
 
 def leading_streak(rows: DataFrame, key: str, hit: Column, order: list[str], most: int | None = None, name: str = "streak") -> DataFrame:
@@ -80,15 +81,15 @@ def day_rates(runs: DataFrame, now: Column) -> DataFrame:
 def cooldowns(attempts: DataFrame, key: str, ts: str, failed: Column, order: str) -> DataFrame:
     """Failures in a row up to each attempt, and until when the endpoint then rests (O12.7).
 
-    A success ends a streak: streaks are islands between successes. The continuous form is in ``streaming``.
+    A success ends a streak: failures so far, less those up to the last success. Both are carried over from day to
+    day. The continuous form is in ``streaming``.
     """
-    w = Window.partitionBy(key).orderBy(ts, order)
-    island = F.sum((~failed).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = attempts.withColumn("failed", failed).withColumn("island", island)
-    inside = Window.partitionBy(key, "island").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("failures", F.sum(F.col("failed").cast("long")).over(inside))
+    order = [F.col(ts), F.col(order)]
+    rows = running(attempts.withColumn("failed", failed), key, ts, order, "failures", F.col("failed").cast("long"))
+    rows = running(rows, key, ts, order, "before", F.when(~F.col("failed"), F.col("failures")), largest=True)
+    rows = rows.withColumn("failures", F.col("failures") - F.coalesce("before", F.lit(0))).drop("before")
     until = F.timestamp_add("MINUTE", step(COOLDOWN_MINUTES, F.col("failures")), F.col(ts))
-    return rows.withColumn("cooldown_until", F.when(F.col("failed"), until)).drop("island")
+    return rows.withColumn("cooldown_until", F.when(F.col("failed"), until))
 
 
 def alerts(windows: DataFrame, key: str, at: str, firing: Column, step_seconds: int, hold_seconds: int) -> DataFrame:
@@ -105,3 +106,15 @@ def due(sources: DataFrame, runs: DataFrame, now: Column, batch: int) -> DataFra
     active = runs.where("status = 'running'").select("source_id")
     ready = sources.where(F.col("enabled") & F.col("automatic") & F.col("has_config") & (F.col("next_at") <= now))
     return ready.join(active, "source_id", "left_anti").orderBy("next_at", "source_id").limit(batch)
+
+
+def settle_runs(runs: DataFrame, now: Column, longest: str = "6 HOURS 5 MINUTES", patience: str = "10 MINUTES") -> DataFrame:
+    """``runs`` (status, started_at, heartbeat_at) with action (O12.3, O12.4): ``close`` for runs that are longer than
+    ``longest`` without an end, ``retry`` for pending ones that nobody took up within ``patience``, else ``none``.
+
+    A run's age counts from its last sign of life, or its start without one.
+    """
+    last = F.coalesce("heartbeat_at", "started_at")
+    stale = (F.col("status") == "running") & (last < now - F.expr(f"INTERVAL {longest}"))
+    stuck = (F.col("status") == "pending") & (last < now - F.expr(f"INTERVAL {patience}"))
+    return runs.withColumn("action", F.when(stale, "close").when(stuck, "retry").otherwise("none"))

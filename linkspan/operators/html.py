@@ -1,16 +1,19 @@
-"""Extraction from collected pages: a small element reader behind table functions.
+"""Extraction from collected pages: a small element reader, run over batches of pages.
 
-Spark deals the pages out; the reader walks one page and gives rows. A selector is ``tag``, ``.class``,
-``#id``, ``[attribute]`` or a mix such as ``a.next[href]``; blanks between parts ask for an ancestor.
-Any other selector (XPath, child combinators, attribute values) is an error.
+Spark deals the pages out; the reader goes through one page once and gives all fields that were asked for. A
+selector is ``tag``, ``.class``, ``#id``, ``[attribute]`` or a mix such as ``a.next[href]``; blanks between parts ask
+for an ancestor. Any other selector (XPath, child combinators, attribute values) is an error.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -18,42 +21,78 @@ from pyspark.sql.functions import udtf
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _PART = re.compile(r"([a-zA-Z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)\]")
 _WHOLE = re.compile(r"(?=.)([a-zA-Z][\w-]*|\*)?(\.[\w-]+|#[\w-]+|\[[\w-]+\])*")
-
-
-@dataclass
+#: What a start tag closes although its end tag is left out, and the elements past which that doesn't reach.
+_CLOSES = {
+    **dict.fromkeys(
+        """address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p
+        pre section table ul""".split(), (("p",), ("table", "td", "th", "caption", "button", "object"))
+    ),
+    "li": (("li",), ("ul", "ol", "menu", "table")), "dt": (("dt", "dd"), ("dl", "table")), "dd": (("dt", "dd"), ("dl", "table")), "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)),
+    "tr": (("tr",), ("table",)), **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot"), ("table",))), "option": (("option",), ("select",)),
+}
+
+
+@dataclass(eq=False)
 class Element:
     tag: str
     attributes: dict
     parent: Element | None
-    inside: list = field(default_factory=list)  # elements and texts
-
-    def walk(self):
-        for x in self.inside:
+    inside: list = field(default_factory=list, repr=False)  # elements and texts
+
+    def nodes(self) -> Iterator[Element | str]:
+        """Elements and texts below, in page order."""
+        todo = self.inside[::-1]
+        while todo:
+            x = todo.pop()
+            yield x
             if isinstance(x, Element):
-                yield x
-                yield from x.walk()
+                todo += reversed(x.inside)
+
+    def walk(self) -> Iterator[Element]:
+        return (x for x in self.nodes() if isinstance(x, Element))
 
 
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("", {}, None)
+        self.open: Counter = Counter()  # how many elements of each tag are open
+
+    def _leave(self, e: Element) -> None:
+        """Close ``e`` and what is open inside it."""
+        while self.at is not e:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[e.tag] -= 1
+        self.at = e.parent
+
+    def _implied(self, tag: str) -> None:
+        closed, past = _CLOSES.get(tag, ((), ()))
+        if any(self.open[t] for t in closed):
+            e = self.at
+            while e.parent is not None and e.tag not in closed and e.tag not in past:
+                e = e.parent
+            if e.tag in closed:
+                self._leave(e)
 
     def handle_starttag(self, tag, attrs):
+        self._implied(tag)
         e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.inside.append(e)
         if tag not in _VOID:
             self.at = e
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
+        self._implied(tag)
         self.at.inside.append(Element(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        e = self.at
-        while e.parent is not None and e.tag != tag:
-            e = e.parent
-        if e.parent is not None:
-            self.at = e.parent
+        if self.open[tag]:
+            e = self.at
+            while e.tag != tag:
+                e = e.parent
+            self._leave(e)
 
     def handle_data(self, data):
         self.at.inside.append(data)
@@ -66,8 +105,16 @@ def parse(html: str | None) -> Element:
     return r.root
 
 
-def _is(e: Element, part: str) -> bool:
-    for tag, cls, ident, attribute in _PART.findall(part):
+def _parts(selector: str) -> list[list[tuple]]:
+    parts = selector.split()
+    for part in parts:
+        if not _WHOLE.fullmatch(part):
+            raise ValueError(f"selector part not supported: {part!r} in {selector!r}")
+    return [_PART.findall(part) for part in parts]
+
+
+def _is(e: Element, part: list[tuple]) -> bool:
+    for tag, cls, ident, attribute in part:
         if tag and tag not in ("*", e.tag) or cls and cls not in e.attributes.get("class", "").split() or ident and e.attributes.get("id") != ident or attribute and attribute not in e.attributes:
             return False
     return True
@@ -75,18 +122,14 @@ def _is(e: Element, part: str) -> bool:
 
 def select(root: Element, selector: str) -> list[Element]:
     """Elements below ``root`` that the selector names, in page order."""
-    *above, last = selector.split()
-    for part in (*above, last):
-        if not _WHOLE.fullmatch(part):
-            raise ValueError(f"selector part not supported: {part!r} in {selector!r}")
+    *above, last = _parts(selector)
     found = []
     for e in root.walk():
         if not _is(e, last):
             continue
-        at, need = e.parent, list(above)
+        at, need = e.parent, len(above)
         while at is not None and need:
-            if _is(at, need[-1]):
-                need.pop()
+            need -= _is(at, above[need - 1])
             at = at.parent
         if not need:
             found.append(e)
@@ -95,18 +138,15 @@ def select(root: Element, selector: str) -> list[Element]:
 
 def element_text(e: Element) -> str:
     """Visible text: breaks are line ends, white space collapses within a line, blank lines around go."""
-    parts = []
-
-    def add(x):
-        for y in x.inside:
-            if isinstance(y, str):
-                parts.append(re.sub(r"\s+", " ", y))
-            elif y.tag == "br":
-                parts.append("\n")
-            elif y.tag not in ("script", "style"):
-                add(y)
-
-    add(e)
+    parts, todo = [], e.inside[::-1]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(re.sub(r"\s+", " ", x))
+        elif x.tag == "br":
+            parts.append("\n")
+        elif x.tag not in ("script", "style"):
+            todo += reversed(x.inside)
     return "\n".join(re.sub(" +", " ", line).strip() for line in "".join(parts).split("\n")).strip()
 
 
@@ -114,71 +154,108 @@ def _value(e: Element, attribute: str) -> str:
     return (element_text(e) if attribute == "text" else e.attributes.get(attribute, "")).strip()
 
 
-@udtf(returnType="ordinal int, value string")
-class Extract:
-    """Every value of a selector that isn't blank, with its place from 0."""
+@dataclass(frozen=True)
+class Values:
+    """Every value of a selector that isn't blank, in page order (O11.1, O11.2, O11.4)."""
 
-    def eval(self, html: str, selector: str, attribute: str):
-        n = 0
-        for e in select(parse(html), selector):
-            v = _value(e, attribute)
-            if v:
-                yield n, v
-                n += 1
+    selector: str
+    attribute: str = "text"
+    kind = "array<string>"
 
+    def read(self, root: Element) -> list[str]:
+        return [v for e in select(root, self.selector) if (v := _value(e, self.attribute))]
 
-@udtf(returnType="ordinal int, key string, value string")
-class ExtractPairs:
-    """Key and value of each container (a table row, say); blank ones go."""
 
-    def eval(self, html: str, container: str, key: str, value: str):
-        n = 0
-        for e in select(parse(html), container):
-            k, v = (next((_value(x, "text") for x in select(e, s)), "") for s in (key, value))
+@dataclass(frozen=True)
+class Pairs:
+    """Key and value of each container (a table row, say), the first value of a key; blank ones go (O11.5)."""
+
+    container: str
+    key: str
+    value: str
+    kind = "map<string,string>"
+
+    def read(self, root: Element) -> list[tuple[str, str]]:
+        found: dict[str, str] = {}
+        for e in select(root, self.container):
+            k, v = (next((_value(x, "text") for x in select(e, s)), "") for s in (self.key, self.value))
             if k and v:
-                yield n, k, v
-                n += 1
+                found.setdefault(k, v)
+        return list(found.items())
+
+
+@dataclass(frozen=True)
+class Items:
+    """An object for each container: name=selector@attribute parts joined by ``;``, no selector for the container
+    itself. Empty objects go (O11.6, O11.7)."""
 
+    container: str
+    spec: str
+    kind = "array<map<string,string>>"
 
-@udtf(returnType="ordinal int, item map<string,string>")
-class ExtractItems:
-    """An object for each container: name=selector@attribute parts joined by ``;``. Empty objects go."""
+    def read(self, root: Element) -> list[list[tuple[str, str]]]:
+        fields = [re.fullmatch(r"([^=]+)=([^@]*)@(.+)", p).groups() for p in self.spec.split(";")]
+        found = []
+        for e in select(root, self.container):
+            item = [(name, next((v for x in (select(e, s) if s else [e]) if (v := _value(x, a))), "")) for name, s, a in fields]
+            found.append([(k, v) for k, v in item if v])
+        return [x for x in found if x]
 
-    def eval(self, html: str, container: str, spec: str):
-        n = 0
-        fields = [re.fullmatch(r"([^=]+)=([^@]*)@(.+)", p).groups() for p in spec.split(";")]
-        for e in select(parse(html), container):
-            item = {name: next((v for x in (select(e, s) if s else [e]) if (v := _value(x, a))), "") for name, s, a in fields}
-            item = {k: v for k, v in item.items() if v}
-            if item:
-                yield n, item
-                n += 1
+
+_ARROW = {Values.kind: pa.list_(pa.string()), Pairs.kind: pa.map_(pa.string(), pa.string()), Items.kind: pa.list_(pa.map_(pa.string(), pa.string()))}
+
+
+def read_fields(pages: DataFrame, **fields: Values | Pairs | Items) -> DataFrame:
+    """page_id and each field, of pages that are parsed once. A null page has no values; a page of any depth is read."""
+    names, wanted = list(fields), list(fields.values())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            roots = (parse(h.as_py()) for h in b.column(1))
+            rows = [[f.read(root) for f in wanted] for root in roots]
+            columns = [pa.array([r[i] for r in rows], _ARROW[f.kind]) for i, f in enumerate(wanted)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["page_id", *names])
+
+    id_type = dict(pages.dtypes)["page_id"]
+    return pages.select("page_id", "html").mapInArrow(read, f"page_id {id_type}, " + ", ".join(f"{n} {f.kind}" for n, f in fields.items()))
+
+
+@udtf(returnType="ordinal int, value string", useArrow=True)
+class Extract:
+    """``Values`` for SQL, with places from 0."""
+
+    def eval(self, html: str, selector: str, attribute: str):
+        yield from enumerate(Values(selector, attribute).read(parse(html)))
+
+
+@udtf(returnType="ordinal int, key string, value string", useArrow=True)
+class ExtractPairs:
+    """``Pairs`` for SQL."""
+
+    def eval(self, html: str, container: str, key: str, value: str):
+        for n, (k, v) in enumerate(Pairs(container, key, value).read(parse(html))):
+            yield n, k, v
 
 
 def register(spark) -> None:
     """The table functions by name, for SQL (O11.14)."""
     spark.udtf.register("extract_values", Extract)
     spark.udtf.register("extract_pairs", ExtractPairs)
-    spark.udtf.register("extract_items", ExtractItems)
 
 
 def values(pages: DataFrame, selector: str, attribute: str = "text") -> DataFrame:
     """page_id, ordinal, value (O11.1, O11.2)."""
-    register(pages.sparkSession)
-    return pages.sparkSession.sql("SELECT p.page_id, v.ordinal, v.value FROM {pages} p, LATERAL extract_values(p.html, :s, :a) v", args={"s": selector, "a": attribute}, pages=pages)
+    return read_fields(pages, v=Values(selector, attribute)).select("page_id", F.posexplode("v").alias("ordinal", "value"))
 
 
 def pairs(pages: DataFrame, container: str, key: str, value: str) -> DataFrame:
     """page_id, key, value: the first value of each key of a page (O11.5)."""
-    register(pages.sparkSession)
-    rows = pages.sparkSession.sql("SELECT p.page_id, v.* FROM {pages} p, LATERAL extract_pairs(p.html, :c, :k, :v) v", args={"c": container, "k": key, "v": value}, pages=pages)
-    return rows.groupBy("page_id", "key").agg(F.min_by("value", "ordinal").alias("value"))
+    return read_fields(pages, v=Pairs(container, key, value)).select("page_id", F.explode("v").alias("key", "value"))
 
 
 def items(pages: DataFrame, container: str, spec: str) -> DataFrame:
     """page_id, ordinal, item (O11.6, O11.7)."""
-    register(pages.sparkSession)
-    return pages.sparkSession.sql("SELECT p.page_id, v.* FROM {pages} p, LATERAL extract_items(p.html, :c, :s) v", args={"c": container, "s": spec}, pages=pages)
+    return read_fields(pages, v=Items(container, spec)).select("page_id", F.posexplode("v").alias("ordinal", "item"))
 
 
 def tag_values(html: Column, tag: str, attribute: str) -> Column:
@@ -186,10 +263,27 @@ def tag_values(html: Column, tag: str, attribute: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"""<{tag}\b[^>]*?\b{attribute}="([^"]*)\""""), F.lit(1))
 
 
-def page_flags(html: Column) -> dict[str, Column]:
-    """Is it a challenge page, or empty (O11.9)?"""
+#: What pages that ask a visitor to prove something hold, in their markup and as their title.
+CHALLENGE_MARKS = ("/cdn-cgi/challenge-platform/", "cf-chl-", 'id="challenge-form"')
+CHALLENGE_TITLES = ("<title>just a moment", "<title>attention required")
+
+
+def page_flags(html: Column, status: Column | None = None, server: Column | None = None, ray: Column | None = None) -> dict[str, Column]:
+    """Is it a challenge page, or empty (O11.9)?
+
+    A challenge has such a title and such a mark, whatever its status. With status 403, one of the two is enough, or
+    the header ``cf-ray``, or ``cloudflare`` in the header ``server``.
+    """
     low = F.lower(F.coalesce(html, F.lit("")))
-    return {"challenge": low.contains("just a moment") & low.contains("challenge-platform"), "empty": F.trim(F.regexp_replace(low, "<[^>]*>", "")) == ""}
+    any_of = lambda texts: F.greatest(*[low.contains(t) for t in texts])
+    marked, titled = any_of(CHALLENGE_MARKS), any_of(CHALLENGE_TITLES)
+    signed = F.lit(False)
+    if server is not None:
+        signed = signed | F.lower(F.coalesce(server, F.lit(""))).contains("cloudflare")
+    if ray is not None:
+        signed = signed | ray.isNotNull()
+    refused = F.coalesce(status == 403, F.lit(False)) if status is not None else F.lit(False)
+    return {"challenge": (refused & (signed | marked | titled)) | (titled & marked), "empty": F.trim(F.regexp_replace(low, "<[^>]*>", "")) == ""}
 
 
 def split_valid(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:

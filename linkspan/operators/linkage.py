@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a key that make it a hot one.
+HOT = 100_000
+
+
 def dedup_by_hash(rows: DataFrame, text: Column, id_column: str) -> DataFrame:
     """content_hash, size and first id of rows of equal content (O8.1)."""
     return rows.groupBy(F.sha2(F.coalesce(text, F.lit("")), 256).alias("content_hash")).agg(F.count("*").alias("size"), F.min(id_column).alias("first_id"))
@@ -17,13 +21,16 @@ def duplicate_links(rows: DataFrame, id_column: str, keys: list[Column]) -> Data
     """Links of rows that share any of the keys (O9.14): each row with the smallest id of its key's group.
 
     A union of groupings instead of an OR join; a group of n rows gives n - 1 links, which connect it
-    as all its pairs would. Null keys link nothing.
+    as all its pairs would. Null keys link nothing. Keys of more than ``HOT`` rows, of which there are no more than
+    one in ``HOT`` rows, are broadcast, so that their rows stay where they are.
     """
     parts = []
     for k in keys:
         keyed = rows.select(F.col(id_column).alias("id"), k.alias("k")).where("k is not null")
-        low = keyed.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("k", "low")
-        parts.append(keyed.join(low, "k").where("id <> low").select("low", "id"))
+        low = keyed.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+        hot, cold = low.where(F.col("n") > HOT).select("k", "low"), low.where(F.col("n").between(2, HOT)).select("k", "low")
+        rest = keyed.join(F.broadcast(hot.select("k")), "k", "left_anti").join(cold, "k")
+        parts += [x.where("id <> low").select("low", "id") for x in (keyed.join(F.broadcast(hot), "k"), rest)]
     return reduce(DataFrame.unionByName, parts).distinct()
 
 

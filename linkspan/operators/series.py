@@ -39,10 +39,61 @@ def budget(rows: DataFrame, keys: list[str], ts: str, order: str, cost: Column,
     return rows.withColumn("fits", F.col("spent") <= most)
 
 
+def running(rows: DataFrame, key: str, ts: str, order: list[Column], name: str, value: Column, largest: bool = False, peers: bool = False) -> DataFrame:
+    """``rows`` with ``name``: the sum (or the largest) of ``value`` over a key's rows up to each one in ``order``; with
+    ``peers``, rows of equal order count together.
+
+    Rows are ordered within a key's day, and what earlier days come to is carried over, so that a key with a third
+    of all rows is worked on in as many parts as it has days.
+    """
+    whole = F.max if largest else F.sum
+    rows = rows.withColumns({"day": F.to_date(ts), name: value})
+    days = rows.groupBy(key, "day").agg(whole(name).alias("of_day"))
+    earlier = whole("of_day").over(Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(key, "day", earlier.alias("carried"))
+    frame = Window.partitionBy(key, "day").orderBy(*order)
+    inside = whole(name).over(frame.rangeBetween(Window.unboundedPreceding, 0) if peers else frame.rowsBetween(Window.unboundedPreceding, 0))
+    both = F.greatest("carried", inside) if largest else F.coalesce("carried", F.lit(0)) + F.coalesce(inside, F.lit(0))
+    return rows.join(days, [key, "day"]).withColumn(name, both).drop("day", "carried")
+
+
 def lockouts(rows: DataFrame, key: str, ts: str, failed: Column, most: int, seconds: int) -> DataFrame:
-    """Failures of a key within the last ``seconds`` at each row, and whether it is locked (O12.6)."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    rows = rows.withColumn("recent", F.sum(failed.cast("long")).over(w))
-    return rows.withColumn("locked", F.col("recent") >= most)
+    """Failures of a key within the last ``seconds`` at each row, and whether it is locked (O12.6).
+
+    A failure adds one when it comes and takes it off when it is older, so one running sum is enough.
+    """
+    come = rows.withColumns({"at": F.col(ts).cast("timestamp"), "step": failed.cast("long")})
+    gone = come.where("step > 0").withColumns({"at": F.timestamp_add("SECOND", F.lit(seconds), F.col("at")) + F.expr("INTERVAL 0.000001 SECOND"), "step": F.lit(-1).cast("long")})
+    both = come.withColumn("own", F.lit(True)).unionByName(gone.withColumn("own", F.lit(False)))
+    summed = running(both, key, "at", [F.unix_micros("at")], "recent", F.col("step"), peers=True)
+    return summed.where("own").drop("own", "at", "step").withColumn("locked", F.col("recent") >= most)
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, **shares: float) -> DataFrame:
+    """Exact quantiles of each group by linear interpolation (O12.13), rounded to four digits.
+
+    Equal values are counted in each task first; a group is ordered by its distinct values alone. Nulls don't count.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    counted = counted.withColumns({"upto": F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(w)})
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("upto") > place, F.col(value)))
+
+    place = {name: (F.col("total") - 1) * q for name, q in shares.items()}
+    ends = [e for name, p in place.items() for e in (at(F.floor(p)).alias(f"{name}_low"), at(F.ceil(p)).alias(f"{name}_high"))]
+    out = counted.groupBy(*keys, "total").agg(*ends)
+    between = lambda name: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (place[name] - F.floor(place[name]))
+    return out.select(*keys, *[half_up(between(name), 4).alias(name) for name in shares])
+
+
+def reservations(rows: DataFrame, keys: list[str], ts: str, order: str, amount: Column, most: int) -> DataFrame:
+    """Reserved and released amounts (negative ones) of each key's minute, and whether a reservation fits (O12.5).
 
+    A minute's total never falls below zero at a row: a release of more than was reserved leaves nothing reserved.
+    """
+    w = Window.partitionBy(*keys, F.date_trunc("minute", ts)).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("total", F.sum(amount).over(w))
+    reserved = F.col("total") - F.least(F.lit(0), F.min("total").over(w))
+    return rows.withColumn("reserved", reserved).withColumn("fits", (amount <= 0) | (F.col("reserved") <= most)).drop("total")

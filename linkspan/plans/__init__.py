@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crypto, history, linkage, markup, search, series, sets, text  # noqa: F401  they register themselves
+from . import crypto, files, history, linkage, markup, search, series, sets, text  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -97,12 +97,12 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(canon.select("record_id", F.col("occurrence_id").alias("canonical_id")), "record_id", "left")
 
 
-@query("""WITH gone AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0)
+@query("""WITH gone AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
 SELECT c_custkey AS record_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = c_custkey) AS lines,
   (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM gone)) AS orders_left FROM gone""")
 def erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that hang on erased records, and what is left of their table (O4.19, O8.11)."""
-    keys = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("record_id"))
+    keys = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("record_id"))
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(orders, "o_orderkey")
     counts = records.impact(keys, {"orders": (orders, "o_custkey"), "lines": (lines, "o_custkey")})

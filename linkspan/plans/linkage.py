@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import set_hash
-from ..functions.text import normal_text
+from ..functions.text import normal_text, normal_url
 from ..operators import linkage
 from ..sources.tables import classify_entries, manifest, merge_entries, table
-from .registry import query
+from .registry import query, url_key
 
 
 @query("SELECT sha256(coalesce(text, '')) AS content_hash, count(*) AS size, min(doc_id) AS first_id FROM documents GROUP BY 1")
@@ -18,14 +18,16 @@ def entity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.dedup_by_hash(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
 
 
-@query("""WITH k AS (SELECT doc_id, sha256(text) AS a, CASE WHEN left(text, 80) <> '' THEN md5(lower(trim(regexp_replace(left(text, 80), '\\s+', ' ', 'g')))) END AS b FROM documents),
-g AS (SELECT min(doc_id) OVER (PARTITION BY a) AS low, doc_id AS id FROM k WHERE a IS NOT NULL UNION SELECT min(doc_id) OVER (PARTITION BY b), doc_id FROM k WHERE b IS NOT NULL)
+@query(f"""WITH p AS (SELECT page_id, html, url, lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'))) AS title, lower(trim(regexp_replace(regexp_extract(html, '<article>([\\s\\S]*)</article>', 1), '\\s+', ' ', 'g'))) AS description FROM pages),
+k AS (SELECT page_id, sha256(html) AS a, CASE WHEN url <> '' THEN {url_key("url")} END AS b, CASE WHEN title <> '' THEN md5(title) || md5(description) END AS c FROM p),
+g AS (SELECT min(page_id) OVER (PARTITION BY a) AS low, page_id AS id FROM k WHERE a IS NOT NULL UNION SELECT min(page_id) OVER (PARTITION BY b), page_id FROM k WHERE b IS NOT NULL UNION SELECT min(page_id) OVER (PARTITION BY c), page_id FROM k WHERE c IS NOT NULL)
 SELECT low, id FROM g WHERE low <> id""")
 def duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of equal hash, or of equal normalised titles alone, linked to the first of them (O9.9); O9.14 is ``duplicate_pairs``."""
-    title = F.substring("text", 1, 80)
-    keys = [F.sha2("text", 256), F.when(title != "", F.md5(normal_text(title)))]
-    return linkage.duplicate_links(table(spark, sf_dir, "documents"), "doc_id", keys)
+    """Pages of equal hash, of equal address, or of equal title and description where there is a title, linked to the first of them (O9.14)."""
+    inside = lambda tag, what: normal_text(F.regexp_extract("html", f"<{tag}>({what})</{tag}>", 1))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html", inside("title", "[^<]*").alias("title"), inside("article", r"[\s\S]*").alias("description"))
+    keys = [F.sha2("html", 256), F.when(F.col("url") != "", normal_url(F.col("url"))), F.when(F.col("title") != "", F.concat(F.md5("title"), F.md5("description")))]
+    return linkage.duplicate_links(p, "page_id", keys)
 
 
 @query("""WITH k AS (SELECT doc_id, sha256(text) AS a, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' THEN md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) END AS b FROM documents),
@@ -38,18 +40,18 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.duplicate_links(table(spark, sf_dir, "documents"), "doc_id", keys)
 
 
-@query("""WITH cur AS (SELECT o_custkey AS record_id, o_orderkey AS source_key, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 < 6),
-inc AS (SELECT o_custkey AS record_id, o_orderkey AS source_key, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice FROM orders WHERE o_orderkey % 10 BETWEEN 3 AND 8)
-SELECT i.record_id, i.source_key, CASE WHEN i.o_totalprice < 5000 THEN 'rejected' WHEN i.record_id % 97 = 0 THEN 'suppressed' WHEN c.source_key IS NULL THEN 'created' WHEN c.status IS NOT DISTINCT FROM i.status THEN 'unchanged' ELSE 'updated' END AS outcome
-FROM inc i LEFT JOIN cur c ON c.record_id = i.record_id AND c.source_key = i.source_key""")
+@query("""WITH o AS (SELECT o_custkey AS record_id, o_custkey % 10 AS source_key, o_orderpriority AS status, o_totalprice, o_orderdate, o_orderkey FROM orders),
+cur AS (SELECT record_id, arg_max(status, (o_orderdate, o_orderkey)) AS status FROM o WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), inc AS (SELECT * FROM o WHERE o_orderdate >= TIMESTAMP '1997-01-01')
+SELECT i.o_orderkey, i.record_id, CASE WHEN i.o_totalprice < 50000 THEN 'rejected' WHEN i.record_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'suppressed' WHEN c.record_id IS NULL THEN 'created' WHEN c.status = i.status THEN 'unchanged' ELSE 'updated' END AS outcome
+FROM inc i LEFT JOIN cur c ON c.record_id = i.record_id""")
 def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an upsert does with each incoming occurrence (O8.2)."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("record_id"), F.col("o_orderkey").alias("source_key"), F.col("o_orderstatus").alias("status"), "o_totalprice")
-    current = o.where("source_key % 10 < 6")
-    incoming = o.where("source_key % 10 between 3 and 8").withColumn("status", F.when(F.col("source_key") % 4 == 0, "X").otherwise(F.col("status")))
-    stopped = table(spark, sf_dir, "customer").where("c_custkey % 97 = 0").select("c_custkey")
-    out = linkage.upsert_outcomes(current, incoming, ["record_id", "source_key"], ["status"], stopped, F.col("o_totalprice") >= 5000)
-    return out.select("record_id", "source_key", "outcome")
+    """What an upsert of later orders does with each of them, beside the last known one of its customer (O8.2)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("record_id"), F.col("o_orderpriority").alias("status"), "o_totalprice", "o_orderdate")
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    current = o.where(F.col("o_orderdate") < at("1998-01-01")).groupBy("record_id").agg(F.max_by("status", F.struct("o_orderdate", "o_orderkey")).alias("status"))
+    stopped = table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
+    out = linkage.upsert_outcomes(current, o.where(F.col("o_orderdate") >= at("1997-01-01")), ["record_id"], ["status"], stopped, F.col("o_totalprice") >= 50000)
+    return out.select("o_orderkey", "record_id", "outcome")
 
 
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS item FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'), i AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS item FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-06-01'),
@@ -130,28 +132,36 @@ def export_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_name").alias("name"), F.to_json(F.struct(F.col("n_name").alias("name"), F.col("r_name").alias("pool")), {"ignoreNullFields": "false"}).alias("entry"))
 
 
-@query("""SELECT d.doc_id, d.source FROM documents d WHERE sha256(d.text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0)""")
-def suppression_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose key is not suppressed (O3.11)."""
+_STOPPED = "SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1"
+
+
+def _stopped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents by the hash of their text, and the hashes of those that are labelled toxic."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("k"))
-    return d.join(d.where("doc_id % 10 = 0").select("k"), "k", "left_anti").select("doc_id", "source")
+    return d, d.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id").select("k").distinct()
+
+
+@query(f"""SELECT d.doc_id, d.source FROM documents d WHERE sha256(d.text) NOT IN ({_STOPPED})""")
+def suppression_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose key is not suppressed: no text that is labelled toxic anywhere (O3.11)."""
+    d, stopped = _stopped(spark, sf_dir)
+    return d.join(stopped, "k", "left_anti").select("doc_id", "source")
 
 
-@query("""SELECT k, count(*) AS hits FROM (SELECT doc_id, sha256(text) AS k FROM documents WHERE doc_id % 10 <> 0) WHERE k IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0) GROUP BY 1""")
+@query(f"""SELECT sha256(text) AS k, count(*) AS hits FROM documents WHERE sha256(text) IN ({_STOPPED}) GROUP BY 1""")
 def suppression_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each suppressed key came again (O3.11)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
-    return d.where("doc_id % 10 <> 0").join(d.where("doc_id % 10 = 0").select("k"), "k", "left_semi").groupBy("k").agg(F.count("*").alias("hits"))
+    """How often each suppressed key comes (O3.11)."""
+    d, stopped = _stopped(spark, sf_dir)
+    return d.join(stopped, "k", "left_semi").groupBy("k").agg(F.count("*").alias("hits"))
 
 
-@query("""WITH req AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0), l AS (SELECT * FROM labels)
-SELECT 'job-1' AS job_id, r.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN toxic = 0 AND quality = 1 THEN 'exported' ELSE 'withheld' END AS outcome FROM req r LEFT JOIN l ON l.doc_id = r.doc_id""")
+@query("""SELECT 'job-1' AS job_id, coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL OR l.doc_id IS NULL THEN 'missing' WHEN toxic = 0 AND quality = 1 THEN 'exported' ELSE 'withheld' END AS outcome FROM documents d FULL OUTER JOIN labels l ON l.doc_id = d.doc_id""")
 def safe_export_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frozen scope: what is safe goes, the rest is withheld, and ids that don't exist are told (O2.7, O8.6)."""
-    req = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id")
+    """A frozen scope of all documents: what is safe goes, the rest is withheld, and ids of which one side doesn't exist are told (O2.7, O8.6)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("there"))
     l = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("known"))
-    outcome = F.when(F.col("known").isNull(), "missing").when((F.col("toxic") == 0) & (F.col("quality") == 1), "exported")
-    return req.join(l, "doc_id", "left").select(F.lit("job-1").alias("job_id"), "doc_id", outcome.otherwise("withheld").alias("outcome"))
+    outcome = F.when(F.col("known").isNull() | F.col("there").isNull(), "missing").when((F.col("toxic") == 0) & (F.col("quality") == 1), "exported")
+    return d.join(l, "doc_id", "full_outer").select(F.lit("job-1").alias("job_id"), "doc_id", outcome.otherwise("withheld").alias("outcome"))
 
 
 @query("""SELECT source, count(*) AS rows, CAST(sum(octet_length(encode(line))) AS BIGINT) AS bytes, CAST(sum(CAST('0x' || substr(sha256(line), 1, 8) AS BIGINT)) AS BIGINT) AS checksum
@@ -162,14 +172,16 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), "source", line)
 
 
-@query("SELECT coalesce(sum(n_chars), 0) AS total FROM documents WHERE source = 'nowhere'")
+@query("""SELECT source, count(*) AS documents, coalesce(sum(n_chars) FILTER (WHERE quality = 1 AND toxic = 0), 0) AS total, coalesce(sum(n_chars) FILTER (WHERE toxic = 1), 0) AS withheld FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def export_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sum over nothing is zero (O4.6)."""
-    return table(spark, sf_dir, "documents").where("source = 'nowhere'").agg(F.coalesce(F.sum("n_chars"), F.lit(0)).alias("total"))
+    """What an export of each source's safe documents would hold; a sum over nothing is zero (O4.6)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n_chars"))), F.lit(0))
+    return d.groupBy("source").agg(F.count("*").alias("documents"), total((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("total"), total(F.col("toxic") == 1).alias("withheld"))
 
 
-@query("""SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id + 1 FROM documents WHERE doc_id % 6 = 0) AND page_id > 10""")
+@query("""SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1)""")
 def orphan_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored objects that no column refers to, past a grace period (O1.17, O7.3)."""
-    refs = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("a"), F.when(F.col("doc_id") % 6 == 0, F.col("doc_id") + 1).alias("b"))
-    return linkage.unreferenced(table(spark, sf_dir, "pages").select("page_id").where("page_id > 10"), "page_id", refs)
+    """Stored objects that no column of a table refers to (O1.17, O7.3)."""
+    refs = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, F.col("doc_id")).alias("a"), F.when(F.col("toxic") == 1, F.col("doc_id")).alias("b"))
+    return linkage.unreferenced(table(spark, sf_dir, "pages").select("page_id"), "page_id", refs)

@@ -36,27 +36,68 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs as visible text (O1.5, O11.3); no SQL reads real HTML, tests compare it with hand-made pages."""
+    """Paragraphs as visible text (O1.5, O11.3); no SQL reads real HTML, a test holds it against a plain reader."""
     return html.values(table(spark, sf_dir, "pages"), "p")
 
 
-@query()
+@query("""WITH l AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav FROM pages), v AS (SELECT page_id, regexp_extract_all(nav, '<a href="([^"]*)">', 1) AS x FROM l)
+SELECT page_id, CAST(o - 1 AS INTEGER) AS ordinal, trim(x[o]) AS value FROM (SELECT page_id, list_filter(x, lambda y: trim(y) <> '') AS x, unnest(range(1, len(list_filter(x, lambda y: trim(y) <> '')) + 1)) AS o FROM v)""")
+def html_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attribute of the elements that a selector names (O11.2)."""
+    return html.values(table(spark, sf_dir, "pages"), "nav a[href]", "href")
+
+
+_NAV = r"""l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="[^"]*">[^<]*</a>') AS x FROM pages),
+a AS (SELECT page_id, o, regexp_extract(x[o], 'href="([^"]*)"', 1) AS href, trim(regexp_extract(x[o], '>([^<]*)<', 1)) AS label FROM (SELECT page_id, x, unnest(range(1, len(x) + 1)) AS o FROM l))"""
+
+
+@query(f"WITH {_NAV} SELECT page_id, label AS key, arg_min(label, o) AS value FROM a WHERE label <> '' GROUP BY 1, 2")
+def html_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key and value of each entry of a list, the first one of a key (O11.5)."""
+    return html.pairs(table(spark, sf_dir, "pages"), "nav li", "a", "a")
+
+
+@query(f"""WITH {_NAV} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INTEGER) AS ordinal, nullif(href, '') AS poster, nullif(label, '') AS video FROM a WHERE href <> '' OR label <> ''""")
+def html_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two values of each container, such as a film's poster and file (O11.6, O11.7)."""
+    found = html.items(table(spark, sf_dir, "pages"), "nav li", "poster=a@href;video=a@text")
+    return found.select("page_id", "ordinal", F.col("item")["poster"].alias("poster"), F.col("item")["video"].alias("video"))
+
+
+@query(r"""SELECT page_id, url, t.title, len(regexp_extract_all(regexp_replace(html, '<script.*?</script>', '', 'gs'), '<a href="')) AS links, len(regexp_extract_all(html, '<a href="')) = 0 AS no_links
+FROM (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;', '"', 'g'), '&(#39|#x27);', chr(39), 'g'), '&amp;', '&', 'g'), '\s+', ' ', 'g')) AS title FROM pages) t WHERE t.title <> ''""")
 def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first title and the links of each page, valid pages only (O1.6, O11.4, O11.7, O11.8, O11.10)."""
+    """The first title and the links of each page, read in one pass, valid pages only (O1.6, O11.4, O11.7, O11.8, O11.10)."""
     pages = table(spark, sf_dir, "pages")
-    title = html.values(pages, "title").where("ordinal = 0").select("page_id", F.col("value").alias("title"))
-    links = html.items(pages, "a[href]", "href=@href;text=@text").groupBy("page_id").agg(F.count("*").alias("links"))
-    rows = pages.select("page_id", "url").join(title, "page_id", "left").join(links, "page_id", "left")
-    good, _ = html.split_valid(rows.withColumn("no_links", F.col("links").isNull()), F.trim("title") != "")
-    return good.select("page_id", "url", "title", F.coalesce("links", F.lit(0)).alias("links"), "no_links")
+    found = html.read_fields(pages, titles=html.Values("title"), anchors=html.Items("a[href]", "href=@href;text=@text"))
+    rows = pages.select("page_id", "url").join(found.select("page_id", F.get("titles", F.lit(0)).alias("title"), F.size("anchors").cast("long").alias("links")), "page_id")
+    good, _ = html.split_valid(rows.withColumn("no_links", F.col("links") == 0), F.trim("title") != "")
+    return good.select("page_id", "url", "title", "links", "no_links")
 
 
-@query("""SELECT page_id, contains(lower(html), 'just a moment') AND contains(lower(html), 'challenge-platform') AS challenge, trim(regexp_replace(lower(coalesce(html, '')), '<[^>]*>', '', 'g')) = '' AS empty FROM pages""")
+@query("""SELECT page_id, contains(lower(html), '<title>just a moment') AND contains(lower(html), '/cdn-cgi/challenge-platform/') AS challenge, trim(regexp_replace(lower(coalesce(html, '')), '<[^>]*>', '', 'g')) = '' AS empty FROM pages""")
 def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Data-quality flags (O11.9)."""
+    """Data-quality flags of pages as they are (O11.9)."""
     return table(spark, sf_dir, "pages").withColumns(html.page_flags(F.col("html"))).select("page_id", "challenge", "empty")
 
 
+_ANSWERS = ("<title>Just a moment...</title>", "<title>Attention Required</title><div id=\"challenge-form\">", "<script src=/cdn-cgi/challenge-platform/x>", "<p>cf-chl-x</p>", "<title>Shop</title>", "")
+
+
+@query(f"""WITH r AS (SELECT event_id, list_extract([{', '.join("'" + x + "'" for x in _ANSWERS)}], CAST(event_id % 6 AS INTEGER) + 1) AS html, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_type = 'error' THEN 403 ELSE 200 END AS status,
+  CASE WHEN event_id % 5 = 0 THEN 'CloudFlare' WHEN event_id % 5 = 1 THEN 'nginx' END AS server, CASE WHEN event_id % 11 = 0 THEN 'r' END AS ray FROM events),
+m AS (SELECT *, contains(html, '/cdn-cgi/challenge-platform/') OR contains(html, 'cf-chl-') OR contains(html, 'id="challenge-form"') AS mark, starts_with(html, '<title>Just') OR starts_with(html, '<title>Att') AS title FROM r)
+SELECT event_id, (coalesce(status, 0) = 403 AND (mark OR title OR coalesce(server, '') = 'CloudFlare' OR ray IS NOT NULL)) OR (mark AND title) AS challenge FROM m""")
+def challenge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Challenge pages by text, status and headers (O11.9)."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(
+        i, F.get(F.array(*map(F.lit, _ANSWERS)), (i % 6).cast("int")).alias("html"), F.when(i % 7 != 0, F.when(F.col("event_type") == "error", 403).otherwise(200)).alias("status"),
+        F.when(i % 5 == 0, "CloudFlare").when(i % 5 == 1, "nginx").alias("server"), F.when(i % 11 == 0, "r").alias("ray"),
+    )
+    return e.withColumns(html.page_flags(F.col("html"), F.col("status"), F.col("server"), F.col("ray"))).select("event_id", "challenge")
+
+
 @query("""WITH s AS (SELECT label AS media_id, vec_id AS frame, embedding[1] * 0 + (vec_id % 101) / 100.0::DOUBLE AS explicit, (vec_id % 37) / 36.0::DOUBLE AS face FROM embeddings),
 m AS (SELECT media_id, max(explicit) AS explicit, arg_max(face, (explicit, frame)) AS face, arg_max(frame, (explicit, frame)) AS frame FROM s GROUP BY 1)
 SELECT media_id, frame, CASE WHEN explicit >= 0.65 THEN 'explicit' WHEN explicit < 0.2 THEN 'safe' ELSE 'unclassified' END AS class, (explicit >= 0.2 AND explicit < 0.65) OR (explicit >= 0.65 AND face >= 0.5) AS review FROM m""")
@@ -73,4 +114,4 @@ def classify_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def binary_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored objects by name and size, their bytes unread (O1.16)."""
-    return listing(spark, f"{sf_dir}/region.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return listing(spark, f"{sf_dir}/pages.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")

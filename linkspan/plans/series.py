@@ -29,8 +29,8 @@ def error_ratio_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT date_trunc('hour', ts) AS hour, floor(quantile_cont(value, 0.5) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS p50, floor(quantile_cont(value, 0.95) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS p95, floor(quantile_cont(value, 0.99) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS p99 FROM events GROUP BY 1""")
 def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact quantiles of each hour (O12.13)."""
-    e = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
-    return e.agg(*[half_up(F.percentile("value", q), 4).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    e = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "value")
+    return series.quantiles(e, ["hour"], "value", p50=0.5, p95=0.95, p99=0.99)
 
 
 _BUCKETS = (10.0, 25.0, 50.0, 100.0, 250.0, 1000000.0)
@@ -84,6 +84,27 @@ def window_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "spent", "fits")
 
 
+@query("""WITH r AS (SELECT event_id, ts, event_type, CASE WHEN event_type = 'error' THEN -CAST(floor(value) AS BIGINT) ELSE CAST(floor(value) AS BIGINT) END AS amount FROM events),
+t AS (SELECT *, sum(amount) OVER w AS total FROM r WINDOW w AS (PARTITION BY event_type <> 'view', date_trunc('minute', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY event_type <> 'view', date_trunc('minute', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS reserved FROM t)
+SELECT event_id, CAST(reserved AS BIGINT) AS reserved, amount <= 0 OR reserved <= 60 AS fits FROM u""")
+def minute_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is reserved of each provider's minute, errors giving back what they took (O12.5)."""
+    amount = F.floor("value").cast("long")
+    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("event_type") != "view").alias("provider"), F.when(F.col("event_type") == "error", -amount).otherwise(amount).alias("amount"))
+    return series.reservations(e, ["provider"], "ts", "event_id", F.col("amount"), 60).select("event_id", "reserved", "fits")
+
+
+@query(f"""WITH r AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status, ts AS started_at, CASE WHEN value > 20 THEN ts + to_hours(1) END AS heartbeat_at FROM events)
+SELECT event_id, CASE WHEN status = 'running' AND coalesce(heartbeat_at, started_at) < TIMESTAMP '{NOW}' - INTERVAL 365 MINUTE THEN 'close' WHEN status = 'pending' AND coalesce(heartbeat_at, started_at) < TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE THEN 'retry' ELSE 'none' END AS action FROM r""")
+def stuck_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stale runs to close, and pending ones that were never taken up to try again (O12.3, O12.4)."""
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "failed").when(kind == "view", "pending").when(kind == "purchase", "completed").otherwise("running")
+    r = table(spark, sf_dir, "events").select("event_id", status.alias("status"), F.col("ts").alias("started_at"), F.when(F.col("value") > 20, F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("heartbeat_at"))
+    return health.settle_runs(r, now()).select("event_id", "action")
+
+
 @query("""SELECT event_id, CAST(recent AS BIGINT) AS recent, recent >= 3 AS locked FROM (SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS recent FROM events)""")
 def attempt_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed attempts within a day, and lockouts (O12.6)."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +73,33 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("error").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+_CSV = {"header": True, "encoding": "UTF-8", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header; nested columns as canonical JSON (O1.12)."""
+    """CSV with a header, quotes doubled; nested columns as canonical JSON (O1.12)."""
     flat = [F.to_json(F.parse_json(F.to_json(c))).alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in rows.dtypes]
-    rows.select(*flat).write.mode("error").option("header", True).option("encoding", "UTF-8").csv(path)
+    rows.select(*flat).write.mode("error").options(**_CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``export_csv`` wrote; a text may have line ends."""
+    return spark.read.schema(schema).options(**_CSV, multiLine=True).csv(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a temporary one where a local
+    session has no such setting, an error where a cluster has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-linkspan-")
+    return f"{base.rstrip('/')}/linkspan/{name}-{uuid.uuid4().hex}"
 
 
 def manifest(rows: DataFrame, by: str, line: Column) -> DataFrame:

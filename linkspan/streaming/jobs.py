@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,21 +38,31 @@ def sessions(events: DataFrame, gap: str, late: str, key: str) -> DataFrame:
 _COOLDOWN = "user_id long, event_id long, failures long, cooldown_until timestamp"
 
 
-def _cooldown(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    failures = state.get[0] if state.exists else 0
+def _cooldown(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, forget_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    before = state.get[0] if state.exists else 0
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # one key of one micro-batch
-    out = []
-    for r in rows.itertuples():
-        failures = failures + 1 if r.event_type == "error" else 0
-        until = r.ts + pd.Timedelta(minutes=COOLDOWN_MINUTES[min(failures, len(COOLDOWN_MINUTES)) - 1]) if failures else pd.NaT
-        out.append((key[0], r.event_id, failures, until))
-    state.update((failures,))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "failures", "cooldown_until"])
-
-
-def cooldowns(events: DataFrame) -> DataFrame:
-    """Failure streaks and rests as events (user_id, event_id, ts, event_type) arrive (O12.7): one number of state a key."""
-    return events.groupBy("user_id").applyInPandasWithState(_cooldown, _COOLDOWN, "failures long", "append", GroupStateTimeout.NoTimeout)
+    failed = rows["event_type"] == "error"
+    streak = (~failed).cumsum()  # 0 as long as the streak of the batch before goes on
+    failures = failed.astype("int64").groupby(streak).cumsum() + (streak == 0) * before
+    minutes = failures.clip(upper=len(COOLDOWN_MINUTES)).map(lambda n: COOLDOWN_MINUTES[n - 1] if n else None)
+    until = (rows["ts"] + pd.to_timedelta(minutes.astype("float64"), unit="min")).where(failed)
+    state.update((int(failures.iloc[-1]),))
+    state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + forget_ms)
+    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "failures": failures, "cooldown_until": until})
+
+
+def cooldowns(events: DataFrame, late: str = "1 day", forget_hours: int = 24) -> DataFrame:
+    """Failure streaks and rests as events (user_id, event_id, ts, event_type) arrive (O12.7): one number of state a key.
+
+    Rows later than ``late`` behind the latest one are dropped; rows of one micro-batch are put in order, those of later
+    ones count as they come. A key that was silent for ``forget_hours`` of event time behind the watermark is forgotten:
+    its longest rest is over by then and its streak starts anew.
+    """
+    run = partial(_cooldown, forget_ms=forget_hours * 3_600_000)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(run, _COOLDOWN, "failures long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def publish(events: DataFrame, path: str, checkpoint: str):

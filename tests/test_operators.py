@@ -135,3 +135,27 @@ def test_unsupported_selectors_are_errors():
         with pytest.raises(ValueError, match="not supported"):
             html.select(root, selector)
     assert [e.tag for s in ("div a", "*", "a[href]", ".x", "div.x p") for e in html.select(root, s)] == ["a", "div", "p", "a", "a", "div", "p"]
+
+
+def test_implied_ends_and_deep_pages(spark):
+    """Left-out end tags end as parsers end them; a page of any depth is read without recursion."""
+    texts = lambda page, selector: [html.element_text(e) for e in html.select(html.parse(page), selector)]
+    assert texts("<p>a<p>b<div>c</div>d", "p") == ["a", "b"]
+    assert texts("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "li") == ["a b c".replace(" ", ""), "b", "c", "d"]
+    assert texts("<table><tr><td>a<td>b<tr><th>c<td><p>d<table><tr><td>e</table></table>", "tr") == ["ab", "cde", "e"]
+    assert texts("<dl><dt>k<dd>v<dt>l<dd>w</dl>", "dd") == ["v", "w"] and texts("<div></p></span>x</div>y", "div") == ["x"]
+    deep = "<p>x" * 2000 + "<div>" * 5000 + "end" + "</b>" * 5000
+    pages = spark.createDataFrame([(1, deep), (2, None)], "page_id long, html string")
+    assert html.values(pages, "p").count() == 2000
+    assert html.values(pages, "div").where("value = 'end'").count() == 5000
+    spark.sql("SELECT 1")
+    html.register(spark)
+    assert spark.sql("SELECT v.* FROM VALUES ('<i>a</i><i>b</i>') AS t(h), LATERAL extract_values(t.h, 'i', 'text') v").collect() == [(0, "a"), (1, "b")]
+
+
+def test_reservations_and_stuck_runs(spark):
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", x) for i, x in enumerate([5, -9, 4, 7, -3, 2])]
+    out = series.reservations(spark.createDataFrame(rows, "i int, t string, x int").withColumns({"t": F.col("t").cast("timestamp"), "k": F.lit(1)}), ["k"], "t", "i", F.col("x"), 10).orderBy("i").collect()
+    assert [r.reserved for r in out] == [5, 0, 4, 11, 8, 10] and [r.fits for r in out] == [True, True, True, False, True, True]
+    quarter = series.quantiles(spark.createDataFrame([("a", x) for x in [1.0, 1.0, 2.0, 10.0, None]], "k string, v double"), ["k"], "v", p0=0.0, p50=0.5, p90=0.9, p100=1.0).first()
+    assert tuple(quarter) == ("a", 1.0, 1.5, 7.6, 10.0)

@@ -6,6 +6,7 @@ import datetime
 import decimal
 import re
 import unicodedata
+from html.parser import HTMLParser
 
 import duckdb
 import pytest
@@ -59,12 +60,59 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_no_python_where_built_in_functions_do(spark):
-    for name in set(QUERIES) - {"html_text", "html_fields"}:
+    for name in set(QUERIES) - {"html_text", "html_values", "html_pairs", "html_items", "html_fields"}:
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
 
 
+def test_paragraphs_by_a_plain_reader(spark):
+    """A paragraph lasts to its end tag, the next block or the end of what holds it."""
+
+    class Plain(HTMLParser):
+        def __init__(self, html):
+            super().__init__()
+            self.found, self.now = [], None
+            self.feed(html)
+            self.close()
+            self.end()
+
+        def end(self):
+            if self.now is not None and (text := "\n".join(" ".join(x.split()) for x in self.now.split("\0")).strip()):
+                self.found.append(text)
+            self.now = None
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "ul", "div", "h1", "nav", "article", "footer", "section"):
+                self.end()
+            if tag == "p":
+                self.now = ""
+            elif tag == "br" and self.now is not None:
+                self.now += "\0"
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "article", "div", "body"):
+                self.end()
+
+        def handle_data(self, data):
+            if self.now is not None:
+                self.now += data
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {(r.page_id, r.ordinal): r.value for r in QUERIES["html_text"](spark, SF).collect()}
+    assert got == {(p.page_id, i): t for p in pages for i, t in enumerate(Plain(p.html).found)}
+
+
+def test_duplicate_links_by_hash_address_or_title_and_description(spark, tmp_path, monkeypatch):
+    page = lambda t, d: f"<title>{t}</title><article>{d}</article>"
+    rows = [(1, "http://a.x/1", page("T", "d")), (2, "http://a.x/2", page("t ", "D\n")), (3, "http://a.x/3", page("T", "other")), (4, "http://A.x/3/?ref=q", page("V", "e")), (5, "http://a.x/5", page("", "d")), (6, "http://a.x/6", page("", " d")), (7, "", page("W", "w")), (8, "", page("U", "u")), (9, "http://a.x/9", page("T", "d"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for hot in (100_000, 2):  # the same whether keys are hot or not
+        monkeypatch.setattr("linkspan.operators.linkage.HOT", hot)
+        links = QUERIES["duplicate_links"](spark, str(tmp_path)).collect()
+        assert sorted((r.low, r.id) for r in links) == [(1, 2), (1, 9), (3, 4)]
+
+
 def test_duplicate_pairs_compare_whole_texts(spark, tmp_path):
     """A common opening links nothing; spacing and case don't matter, near the start or far from it."""
     head = "licence line " * 10

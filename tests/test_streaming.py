@@ -46,3 +46,20 @@ def test_dedup_sessions_and_publication(spark, tmp_path):
     assert {r.n for r in run(jobs.sessions(events, "30 minutes", "1 day", "user_id"), "sessions", "complete").collect()} == {3, 1}
     jobs.publish(events, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_silent_keys_are_forgotten_and_late_rows_dropped(spark, tmp_path):
+    """A streak goes on over micro-batches, ends with its state after a silent day, and rows behind the watermark go."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([], EVENTS).write.parquet(path)
+    schema = spark.createDataFrame([], EVENTS).schema
+    query = lambda: jobs.cooldowns(jobs.read_events(spark, path, schema), "1 hour").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+    days = lambda *x: timedelta(days=x[0], minutes=x[1] if len(x) > 1 else 0)
+    for rows in (
+        [(1, T0, 1, "error"), (2, T0 + days(0, 1), 1, "error")], [(3, T0 + days(0, 2), 1, "error")], [(4, T0 + days(5), 2, "view")], [(5, T0 + days(6), 2, "view")],
+        [(6, T0, 3, "error"), (7, T0 + days(6, 1), 1, "error")],
+    ):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(path)
+        query().awaitTermination()
+    got = {r.event_id: r.failures for r in spark.read.parquet(out).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 0, 5: 0, 7: 1}
