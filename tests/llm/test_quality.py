@@ -97,9 +97,9 @@ def test_votes_are_exact_cosines(model):
     for t, s in zip(x, got):
         v = np.log1p(t) * model.idf
         v = v / np.linalg.norm(v) @ model.basis
-        c = model.vectors @ (v / np.linalg.norm(v))
-        near = np.argsort(-c)[: knn.NEIGHBOURS]
-        w = np.maximum(c[near], 0).astype("f8") ** knn.POWER * model.weights[near]
+        c = np.round(model.vectors @ (v / np.linalg.norm(v)), 6)
+        near = np.argsort(-c, kind="stable")[: knn.NEIGHBOURS]
+        w = np.maximum(c[near], 0).astype("f8") ** model.power * model.weights[near]
         assert abs(s - (w * model.labels[near]).sum() / w.sum()) < 1e-4
 
 
@@ -120,3 +120,36 @@ def test_knn_edges(spark, model):
     lone = knn.fit_knn(odd, labels)
     assert knn.score_documents(odd, lone).first().score == 1.0
     assert knn.fit_knn(odd, labels.where("false")).prior == 0.5
+
+
+def test_ties_go_to_the_first_ids(spark):
+    """Of more equal neighbours than may vote, those of the smallest doc_id do."""
+    r = np.random.default_rng(3)
+    c = r.integers(0, 4, (200, 60)) / 4
+    assert (knn.nearest(c, 25) == np.sort(np.argsort(-c, axis=1, kind="stable")[:, :25], axis=1)).all()
+    docs = spark.createDataFrame([(i, "the same text of all") for i in range(60)] + [(99, "the same text of all")], "doc_id long, text string")
+    for low in (0, 1):
+        labels = spark.createDataFrame([(i, low if i < 30 else 1 - low) for i in range(60)], "doc_id long, quality int")
+        assert knn.score_documents(docs.where("doc_id = 99"), knn.fit_knn(docs, labels)).first().score == low
+
+
+def test_choice_by_inner_folds():
+    """What is chosen depends on the rows learned from alone, and the simplest of equally good ones is taken."""
+    r = np.random.default_rng(5)
+    x = np.zeros((90, knn.WIDTH + 1), "f4")
+    x[:, :50] = r.integers(0, 3, (90, 50))
+    y = (np.arange(90) // 3 % 2).astype("f8")
+    x[:, knn.WIDTH] = y * 40  # repeated words alone tell
+    assert knn.choose(x, y, {0: 45, 1: 45})[0] > 0
+    x[:, :20] += (y[:, None] * 9).astype("f4")  # and now all does
+    assert knn.choose(x, y, {0: 45, 1: 45}) == knn.CHOICES[0]
+    assert knn.auc(np.array([0.1, 0.5, 0.5, 0.9]), np.array([0, 0, 1, 1])) == 0.875
+
+
+def test_rules_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    held = labels.where(fold == 0).select("doc_id", F.col("quality").alias("y"))
+    rows = gbt.apply_rules(docs, gbt.fit_rules(docs, labels, where=fold != 0)).join(held, "doc_id").collect()
+    good, bad = ([r.kept for r in rows if r.y == y] for y in (1, 0))
+    assert len(good) > 40 and np.mean(good) > 0.9 and np.mean(bad) < 0.3
