@@ -47,3 +47,15 @@ def follows(x: Column, required: dict[str, str]) -> Column:
         match = found.rlike("^(BIGINT|DECIMAL|DOUBLE)") if kind == "NUMBER" else found.startswith(kind)
         ok = ok & F.coalesce(match, F.lit(False))
     return ok
+
+
+def advert(source: Column, title: Column, description: Column, at: Column) -> Column:
+    """One entry of a summary's payload, its fields in order of their names; long texts are cut as the payload asks."""
+    return F.struct(F.substring(description, 1, 4000).alias("description"), at.alias("scraped_at"), source.alias("source_ref"), F.substring(title, 1, 500).alias("title"))
+
+
+def summary_hash(adverts: Column, provider: str, model: str, prompt_version: str, revision: Column) -> Column:
+    """SHA-256 of a summary's whole input as JSON with sorted keys and no white space (O9.12)."""
+    payload = F.struct(adverts.alias("advertisements"), F.array().cast("array<string>").alias("forum_snippets"))
+    envelope = F.struct(F.lit(model).alias("model"), payload.alias("payload"), F.lit(prompt_version).alias("prompt_version"), F.lit(provider).alias("provider"), revision.alias("record_content_revision"))
+    return F.sha2(F.to_json(envelope, {"ignoreNullFields": "false"}), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,16 @@ LINK = rf"(?iu)(?:https?://|www\.)[^{_SPACE}]+"
 PHONE = rf"(?<![{_WORD}])(?:\+?\p{{Nd}}[{_SPACE}().-]*){{8,15}}(?![{_WORD}])"
 #: Region, calling code, trunk prefix dropped from national numbers, least and most digits after the code.
 PHONE_PLAN = (("IT", "39", "", 6, 11), ("GB", "44", "0", 9, 10), ("US", "1", "", 10, 10), ("FR", "33", "0", 9, 9), ("DE", "49", "0", 6, 13), ("ES", "34", "", 9, 9))
-#: Letters with marks, and what is left without them.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _unmarked() -> tuple[str, str]:
+    """Characters whose compatibility form is one letter or digit of ASCII with marks, and that letter or digit."""
+    pairs = ((chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in range(0xA0, 0x2100))
+    found = [(c, plain.lower()) for c, plain in pairs if len(plain) == 1 and plain.isascii() and plain.isalnum()]
+    return "".join(c for c, _ in found), "".join(plain for _, plain in found)
+
+
+ACCENTED, PLAIN = _unmarked()
 #: Magic numbers at the start in hexadecimal, and the type.
 MAGIC = (
     ("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("1A45DFA3", "video/webm"),
@@ -169,7 +178,8 @@ def humanise(action: Column, entity: Column) -> Column:
 
 def fold_key(x: Column) -> Column:
     """Lower case, marks off, other runs to ``_`` (O9.20); ``age`` is named ``eta``."""
-    key = F.regexp_replace(F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), "[^a-z0-9]+", "_"), "^_|_$", "")
+    bare = F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), r"\p{M}+", "")
+    key = F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "_"), "^_|_$", "")
     return F.when(key == "age", "eta").otherwise(key)
 
 

@@ -28,11 +28,11 @@ def canonical(occurrences: DataFrame) -> DataFrame:
     return best.select("record_id", "c.*")
 
 
-def overview(occurrences: DataFrame) -> DataFrame:
-    """Occurrences, distinct sources, first and last time of each record (O4.2)."""
+def overview(occurrences: DataFrame, *more: Column) -> DataFrame:
+    """Occurrences, distinct sources, first and last time of each record, and ``more`` aggregates (O4.2)."""
     return occurrences.groupBy("record_id").agg(
         F.count("*").alias("occurrences"), F.count_distinct("source").alias("sources"),
-        F.min("scraped_at").alias("first_seen"), F.max("scraped_at").alias("last_seen"),
+        F.min("scraped_at").alias("first_seen"), F.max("scraped_at").alias("last_seen"), *more,
     )
 
 
@@ -50,8 +50,13 @@ def search(records: DataFrame, occurrences: DataFrame, status: str | None = None
 
     Records without occurrences don't appear. A source filter is a semi-join; the overview still counts all sources.
     """
-    canon = canonical(occurrences).select("record_id", F.col("occurrence_id").alias("canonical_id"), F.col("source").alias("canonical_source"), "confidence")
-    out = records.join(overview(occurrences), "record_id").join(canon, "record_id", "left")
+    active = F.col("status") == "active"
+    best = F.max_by(F.struct("occurrence_id", "source", "confidence"), F.when(active, canonical_rank())).alias("best")
+    summary = overview(occurrences, best)  # occurrences are read and shuffled once for both
+    out = records.join(summary, "record_id").select(
+        *records.columns, *[c for c in summary.columns if c not in ("record_id", "best")],
+        F.col("best.occurrence_id").alias("canonical_id"), F.col("best.source").alias("canonical_source"), F.col("best.confidence").alias("confidence"),
+    )
     if source is not None:
         out = out.join(occurrences.where(F.col("source") == source).select("record_id"), "record_id", "left_semi")
     tests = []

@@ -64,13 +64,13 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"), text.numbers(F.col("text")).eqNullSafe(text.numbers(F.col("redacted"))).alias("numbers_kept"))
 
 
-@query("""SELECT doc_id, CASE WHEN k = 'age' THEN 'eta' ELSE k END AS key FROM (SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS k FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN k = 'age' THEN 'eta' ELSE k END AS key FROM (SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS k FROM documents)""")
 def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folded key of each whole text (O9.20); ``accent_fold_words`` has those of all words."""
     return table(spark, sf_dir, "documents").select("doc_id", text.fold_key(F.col("text")).alias("key"))
 
 
-@query("""SELECT DISTINCT CASE WHEN k = 'age' THEN 'eta' ELSE k END AS key FROM (SELECT regexp_replace(regexp_replace(translate(lower(w), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS k
+@query("""SELECT DISTINCT CASE WHEN k = 'age' THEN 'eta' ELSE k END AS key FROM (SELECT regexp_replace(regexp_replace(strip_accents(lower(w)), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS k
 FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w FROM documents))""")
 def accent_fold_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded keys of every word of every text (O9.20)."""
@@ -205,3 +205,13 @@ def answer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = ('{"summary": "s", "score": 0.5, "tags": ["a"]}', '{"tags": [], "score": 3, "summary": "", "more": null}', '{"summary": "s", "tags": []}', '{"summary": 1, "score": 1, "tags": []}', '{"summary": "s"')
     answer = F.get(F.array(*map(F.lit, answers)), (F.col("event_id") % 5).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", jsonx.follows(answer, {"summary": "STRING", "score": "NUMBER", "tags": "ARRAY"}).alias("valid"))
+
+
+@query()
+def summary_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of what a summary of each conversation would be made of (O9.12), texts redacted; a test holds it against Python's JSON."""
+    turn = F.struct("turn", "role", text.redact(F.coalesce("text", F.lit(""))).alias("text"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))  # a conversation's own turns
+    roles = F.array_distinct(F.transform("turns", lambda t: t["role"]))
+    adverts = F.transform("turns", lambda t: jsonx.advert(F.concat(F.lit("source-"), F.array_position(roles, t["role"]).cast("string")), t["role"], t["text"], t["turn"].cast("string")))
+    return c.select("conv_id", jsonx.summary_hash(adverts, "local", "small", "v1", F.size("turns")).alias("input_hash"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import hashlib
+import json
 import re
 import unicodedata
 from html.parser import HTMLParser
@@ -66,6 +68,23 @@ def test_no_python_where_built_in_functions_do(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
 
 
+def test_summary_hash_by_pythons_json(spark):
+    from tests.test_functions import LINK, PHONE
+
+    of = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        of.setdefault(r.conv_id, []).append((r.turn, r.role, PHONE.sub("[PHONE REDACTED]", LINK.sub("[URL REDACTED]", r.text or ""))))
+    want = {}
+    for conv, turns in of.items():
+        refs, adverts = {}, []
+        for turn, role, text in sorted(turns):
+            ref = refs.setdefault(role, f"source-{len(refs) + 1}")
+            adverts.append({"source_ref": ref, "title": role[:500], "description": text[:4000], "scraped_at": str(turn)})
+        envelope = {"provider": "local", "model": "small", "prompt_version": "v1", "payload": {"advertisements": adverts, "forum_snippets": []}, "record_content_revision": len(turns)}
+        want[conv] = hashlib.sha256(json.dumps(envelope, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert {r.conv_id: r.input_hash for r in QUERIES["summary_hash"](spark, SF).collect()} == want
+
+
 def test_paragraphs_by_a_plain_reader(spark):
     """A paragraph lasts to its end tag, the next block or the end of what holds it."""
 
