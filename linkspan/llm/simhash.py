@@ -9,7 +9,7 @@ meet by blocks: 64 bits are cut into ``2 * radius`` blocks, of which fingerprint
 share at least ``radius``; every choice of ``radius`` blocks is a key (20 keys of some 32 bits for a radius of 3).
 Only distinct fingerprints take part. Within a key, tasks connect what is within the radius and give the
 fewest links that keep it connected, not all pairs; a key with more than ``TILE`` fingerprints is dealt
-to tasks by pairs of tiles.
+to tasks by pairs of tiles, which grow with the root of the key's size.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import materialize, named_back, passing_schema, set_aside, settle
 from .components import connected
 
 PIVOTS = 16
-TILE = 2048
+TILE, LARGEST_TILE = 2048, 65536
 SMALL = 32
 #: Reference fingerprints, from a fixed seed.
 REFERENCES = np.random.default_rng(64).integers(0, 1 << 64, PIVOTS, dtype="u8")
@@ -209,7 +209,8 @@ def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     sizes = keyed.groupBy("key", "choice").agg(F.count("*").alias("n")).where("n > 1")
     rows = keyed.join(sizes, ["key", "choice"])
     # A large key: fingerprints fall into ``parts`` tiles, and each goes to the cells of its tile with every tile.
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int")
+    in_tile = F.least(F.greatest(F.ceil(F.sqrt("n") * 8), F.lit(tile)), F.lit(max(tile, LARGEST_TILE)))
+    parts = F.ceil(F.col("n") / in_tile).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("tile", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
