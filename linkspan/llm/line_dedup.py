@@ -65,20 +65,23 @@ def _spans(rows: DataFrame, families: int, long_words: int, runs: bool) -> DataF
     rows = rows.select("uid", "x", "h", long_lines.alias("long"), *owner)
     rolling = F.transform("h", lambda h, i: ((F.lit(_BASE) + F.coalesce(F.get("h", i - 1), F.lit(0))) % _PRIME * _BASE + h) % _PRIME)
     rows = rows.select("uid", "x", "long", rolling.alias("r"), *owner)
-    bit = lambda i, k: F.get("r", i).bitwiseAND(1 << k) != 0
-
-    def end(i: Column, k: int) -> Column:
-        found = [F.when(bit(i + j, k), i + j) for j in range(1, MOST - 1)]
-        return F.coalesce(*found, F.least(i + MOST - 1, F.size("r") - 1))
+    rows = rows.select("uid", "x", "long", F.transform("r", lambda r: r.bitwiseAND((1 << families) - 1).cast("int")).alias("bits"), *owner)
 
     def cut(i: Column) -> Column:
-        return F.transform(F.array_distinct(F.array(*[end(i, k) for k in range(families)])), lambda e: _span(i, e))
-
-    several = F.when(F.size("r") > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size("r") - 2), cut)))
+        """A chunk's end in each way: at the first line whose bit is set; one mask tells which ways are still open."""
+        open_ways, ends = F.lit((1 << families) - 1), []
+        for j in range(1, MOST - 1):
+            here = F.coalesce(F.get("bits", i + j), F.lit(0))
+            ends.append(F.when(open_ways.bitwiseAND(here) != 0, _span(i, i + j)))
+            open_ways = open_ways.bitwiseAND(F.bitwise_not(here))
+        ends.append(F.when(open_ways != 0, _span(i, F.least(i + MOST - 1, F.size("bits") - 1))))
+        return F.array_compact(F.array(*ends))
+
+    several = F.when(F.size("bits") > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size("bits") - 2), cut)))
     every = F.flatten(F.array_compact(F.array(F.transform("long", lambda i: _span(i, i)), several, *([_runs(long_words)] if runs else []))))
-    if runs:  # as numbers, which are made distinct by a hash set
-        codes = F.array_distinct(F.transform(every, lambda s: s["first"].cast("long") * (1 << 32) + s["last"]))
-        every = F.transform(codes, lambda c: _span(F.shiftright(c, 32).cast("int") - 1, c.bitwiseAND((1 << 32) - 1).cast("int") - 1))
+    # As numbers, which are made distinct by a hash set.
+    codes = F.array_distinct(F.transform(every, lambda s: s["first"].cast("long") * (1 << 32) + s["last"]))
+    every = F.transform(codes, lambda c: _span(F.shiftright(c, 32).cast("int") - 1, c.bitwiseAND((1 << 32) - 1).cast("int") - 1))
     rows = rows.select("uid", "x", F.explode(every).alias("s"))
     return rows.select("uid", "s.first", "s.last", F.xxhash64(_part("x", F.col("s"))).alias("hash"))
 
@@ -98,9 +101,9 @@ def repeated_lines(rows: DataFrame, families: int = FAMILIES, long_words: int =
     twice = spans.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     maybe = spans.join(twice, "hash", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one document
     maybe = materialize(maybe, "repeated-chunks")
-    # Only texts that have such chunks are moved, as long as their numbers can be broadcast.
+    # Only texts that have such chunks are moved, as long as their numbers can be broadcast; these always are.
     needed = broadcast_if_small(maybe.select("uid"), maybe.count(), BROADCAST_ROWS)
-    lines = _hashed(materialize(rows.join(needed, "uid", "left_semi").join(maybe, "uid"), "line-candidates"))
+    lines = _hashed(materialize(rows.join(needed, "uid", "left_semi").join(maybe.hint("merge"), "uid"), "line-candidates"))
     # Bytes are compared here, line by line: do lines of equal hashes have equal bytes? If not, chunks are compared by their text.
     inside = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))
     each = lines.select("x", "h", "lines", F.explode(inside).alias("i")).select(*[F.get(c, F.col("i") - 1).alias(c) for c in ("x", "h", "lines")])

@@ -141,7 +141,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
     pairs = materialize(pairs.distinct(), "pairs")
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "needed")
     texts = materialize(_of(texts, needed), "pair-texts")
-    both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("t")), "b")
+    side = lambda c, text: texts.select(F.col("uid").alias(c), F.col("text").alias(text)).hint("merge")
+    both = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b")
     return both.select("a", "b", "s", "t").mapInArrow(_verify(similarity, words), "a long, b long")
 
 
@@ -289,18 +290,20 @@ def similar_groups(texts: DataFrame, similarity: float = 0.8, words: int = 5, ra
     of_class = F.min(F.struct("uid", "distances", "sketch")).alias("m")
     classes = materialize(rows.groupBy("digest", "n", "print").agg(of_class).select("digest", "n", "print", "m.*"), "classes")
     keys = materialize(classes.select("uid", F.explode("sketch").alias("key")), "sketch-keys")
-    counts = keys.groupBy("key").agg(F.count("*").alias("seen"))
-    ranked = keys.join(counts, "key").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("seen", "key"))).alias("k"))  # SKETCH at most
+    # Tables on both sides of joins by key let adaptive execution split a key that a third of all rows show.
+    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("seen")).where("seen > 1"), "common-keys")
+    ranked = keys.join(counts.hint("merge"), "key", "left").select("uid", "key", F.coalesce("seen", F.lit(1)).alias("seen"))
+    ranked = ranked.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("seen", "key"))).alias("k"))  # SKETCH at most
     need = F.greatest(F.lit(1), F.ceil(F.size("k") * (SHARED / SKETCH))).cast("int")
     weight = F.aggregate("k", F.lit(0).cast("long"), lambda t, x: t + x["seen"]).alias("weight")
     shown = ranked.select("uid", weight, F.explode(F.slice("k", F.lit(1), F.size("k") - need + 1)).alias("k")).where("k.seen > 1").select("uid", "weight", "k.key")
     shown = materialize(shown, "shown-keys")
     # Each key's texts with the one among them whose sketch most others share: of copies with edits, the unedited one.
     lead = shown.groupBy("key").agg(F.max_by("uid", F.struct("weight", -F.col("uid"))).alias("b"), F.count("*").alias("size")).where("size > 1")
-    pairs = shown.join(lead, "key").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
+    pairs = shown.join(materialize(lead, "leads").hint("merge"), "key").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
     facts = classes.select("uid", "print", "distances", "sketch", "n")
     side = lambda c: facts.select(F.col("uid").alias(c), *[F.col(f).alias(f"{f}_{c}") for f in ("print", "distances", "sketch", "n")])
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     first = materialize(_verified(met.mapInArrow(_discard(similarity, radius), "a long, b long"), texts, similarity, words), "leader-links")
     joined = connected(first)
     # What these links leave apart, key by key.
@@ -313,7 +316,7 @@ def similar_groups(texts: DataFrame, similarity: float = 0.8, words: int = 5, ra
     cells = _dealt_out(rest.join(about.select("uid", "n"), "uid"), similarity, tile).select("key", "cell", "uid", "component", "side")
 
     def together(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.join(about, "uid").select(*_CELL, *more).repartition("key", "cell").sortWithinPartitions("key", "cell", "uid")
+        return rows.join(about.hint("merge"), "uid").select(*_CELL, *more).repartition("key", "cell").sortWithinPartitions("key", "cell", "uid")
 
     met = together(cells).mapInArrow(_meeting(similarity, radius), "key long, cell long, uid long, component long, side int")
     met = materialize(met, "meeting")
