@@ -34,7 +34,7 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    samples = random_samples(spark).unionByName(name_samples(spark)).unionByName(corpus_samples(docs))
+    samples = random_samples(spark).unionByName(name_samples(spark)).unionByName(corpus_samples(docs), allowMissingColumns=True)
     return scan_secrets(docs, fit_ratio(samples))
 
 

@@ -68,9 +68,9 @@ def corpus_samples(docs: DataFrame, recurring: int = 2) -> DataFrame:
 
 def fit_ratio(samples: DataFrame, backing: float = 5.0) -> list[float]:
     """log P(next | character, label 1) - log P(next | character, label 0) for every pair of characters,
-    from samples (text, label, and a weight where there is one); nulls and other labels don't count. Each transition
+    from samples (text, label, and a weight where there is one, else 1); nulls and other labels don't count. Each transition
     is backed by the character's overall share with a weight of ``backing``. Without samples, all are zero."""
-    weight = (F.col("weight") if "weight" in samples.columns else F.lit(1.0)).cast("double").alias("weight")
+    weight = F.coalesce(F.col("weight").cast("double") if "weight" in samples.columns else F.lit(None), F.lit(1.0)).alias("weight")
     codes = samples.where(F.col("label").isin(0, 1) & (F.length("text") > 1)).select("label", weight, _codes(F.col("text")).alias("c"))
     pairs = codes.select("label", "weight", F.explode(F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", F.lit(2), F.size("c") - 1).alias("b"))).alias("p"))
     pairs = pairs.select("label", "weight", "p.a", "p.b").where(F.col("a").between(0, SIDE - 1) & F.col("b").between(0, SIDE - 1))
