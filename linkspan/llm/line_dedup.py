@@ -47,9 +47,17 @@ def _word_lines() -> Column:
 
 def _runs(n: int) -> Column:
     """Runs of ``n`` words that start with a line's first word or end with its last one, as spans of ``owner``'s lines."""
-    line = lambda k: F.coalesce(F.get("owner", k), F.lit(-1))
-    at = F.when(F.size("owner") >= n, F.sequence(F.lit(0), F.size("owner") - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(at, lambda k: (line(k - 1) != line(k)) | (line(k + n) != line(k + n - 1))), lambda k: _span(line(k), line(k + n - 1)))
+    line = lambda k: F.get("owner", k)
+    last = F.size("owner") - 1
+    at = F.when(last >= n - 1, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    firsts = F.filter(at, lambda k: ~line(k - 1).eqNullSafe(line(k)))  # of each line with words
+
+    def spans(firsts: Column) -> Column:
+        down = F.transform(F.filter(firsts, lambda k: k + (n - 1) <= last), lambda k: _span(line(k), line(k + (n - 1))))
+        lasts = F.concat(F.transform(F.slice(firsts, F.lit(2), F.size(firsts)), lambda k: k - 1), F.array(last))
+        return F.concat(down, F.transform(F.filter(lasts, lambda k: k >= n - 1), lambda k: _span(line(k - (n - 1)), line(k))))
+
+    return F.flatten(F.transform(F.array(firsts), spans))
 
 
 def _span(a: Column, b: Column) -> Column:

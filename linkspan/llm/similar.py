@@ -243,7 +243,7 @@ def _across(similarity: float, radius: int):
     return across
 
 
-#: Numbers of texts that may be broadcast (about 20 bytes each); more are shuffled.
+#: Rows of numbers of texts that may be broadcast (about 50 bytes each); more are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -315,14 +315,14 @@ def similar_groups(texts: DataFrame, similarity: float = 0.8, words: int = 5, ra
     about = materialize(own.join(facts, "uid"), "apart-texts")
     cells = _dealt_out(rest.join(about.select("uid", "n"), "uid"), similarity, tile).select("key", "cell", "uid", "component", "side")
 
-    def together(rows: DataFrame, *more: str) -> DataFrame:
+    def together(rows: DataFrame, about: DataFrame, *more: str) -> DataFrame:
         return rows.join(about.hint("merge"), "uid").select(*_CELL, *more).repartition("key", "cell").sortWithinPartitions("key", "cell", "uid")
 
-    met = together(cells).mapInArrow(_meeting(similarity, radius), "key long, cell long, uid long, component long, side int")
+    met = together(cells, about).mapInArrow(_meeting(similarity, radius), "key long, cell long, uid long, component long, side int")
     met = materialize(met, "meeting")
     needed = materialize(met.select("uid").distinct(), "meeting-texts")
     hashes = materialize(_of(texts, needed).select("uid", "text").mapInArrow(_sets(words), "uid long, hashes binary"), "meeting-sets")
-    links = together(met.join(hashes, "uid"), "hashes").mapInArrow(_across(similarity, radius), "a long, b long")
+    links = together(met, about.join(hashes, "uid"), "hashes").mapInArrow(_across(similarity, radius), "a long, b long")
     second = materialize(links.distinct(), "other-links")
     found = connected(first.unionByName(second))
     grouped = classes.join(found.withColumnRenamed("node", "uid"), "uid", "left").select("digest", "n", "print", F.coalesce("component", "uid").alias("component"))
@@ -347,4 +347,5 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5)
         lowest = materialize(lowest, "lowest")
         return placed.select("uid", "component").join(lowest, "component").select("uid", F.col("lowest.doc_id").alias("component_id"), (F.col("uid") == F.col("lowest.uid")).alias("keep"))
 
-    return base.join(settle(docs.sparkSession, "similar-labels", labels), "uid").select(*named_back(names), "component_id", "keep")
+    labelled = settle(docs.sparkSession, "similar-labels", labels)
+    return base.join(broadcast_if_small(labelled, labelled.count(), BROADCAST_ROWS), "uid").select(*named_back(names), "component_id", "keep")
