@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import ORACLE as LEAKS_SQL
 from .decontaminate import decontaminate
+from .fill_middle import ORACLE as MIDDLE_SQL
+from .fill_middle import fill_in_middle, restored
 from .html_text import extract_text
 from .id_store import store_round_trip
 from .line_dedup import ORACLE as LINES_SQL
@@ -20,6 +22,8 @@ from .quality_knn import fit_knn, score_documents
 from .secrets import corpus_samples, fit_ratio, name_samples, random_samples, scan_secrets
 from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .vector_codes import ORACLE as CODES_SQL
+from .vector_codes import compress_vectors, errors_by_label
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +82,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    return errors_by_label(coded).select("vec_id", "code", "error", "label_error", F.lit(books.digest).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_harmonic_packing, op2_simhash_pivots, op3_markov_secrets, op4_block_rules, op5_token_counts,
         op6_line_chunks, op7_quality_votes, op8_id_store, op9_prefix_join, op10_quality_rules,
+        op12_fill_middle, op13_delta_lloyd,
     )
 }
 #: The other operators' results depend on models, tokenizers or bit-wise hashes; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op6_line_chunks": LINES_SQL, "op9_prefix_join": LEAKS_SQL}
+ORACLES: dict[str, str] = {"op6_line_chunks": LINES_SQL, "op9_prefix_join": LEAKS_SQL, "op12_fill_middle": MIDDLE_SQL, "op13_delta_lloyd": CODES_SQL}
