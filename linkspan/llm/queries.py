@@ -14,6 +14,7 @@ from .fill_middle import ORACLE as MIDDLE_SQL
 from .fill_middle import fill_in_middle, restored
 from .html_text import extract_text
 from .id_store import store_round_trip
+from .licenses import scan_licenses
 from .line_dedup import ORACLE as LINES_SQL
 from .line_dedup import dedup_lines
 from .packing import pack_documents
@@ -82,6 +83,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
@@ -97,7 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_harmonic_packing, op2_simhash_pivots, op3_markov_secrets, op4_block_rules, op5_token_counts,
         op6_line_chunks, op7_quality_votes, op8_id_store, op9_prefix_join, op10_quality_rules,
-        op12_fill_middle, op13_delta_lloyd,
+        op11_license_rules, op12_fill_middle, op13_delta_lloyd,
     )
 }
 #: The other operators' results depend on models, tokenizers or bit-wise hashes; tests hold them against brute force.
