@@ -37,16 +37,70 @@ def informative_fields(x: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.map_values(F.from_json(x, "map<string,variant>")), hit)), F.lit(0))
 
 
-def follows(x: Column, required: dict[str, str]) -> Column:
-    """Is it a JSON object whose required fields have the types given (O10.17)? Types are those of ``schema_of_variant``:
-    STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, ARRAY, OBJECT; a number is any of the three numeric ones."""
-    v = F.try_parse_json(x)
-    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    for name, kind in required.items():
-        found = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
-        match = found.rlike("^(BIGINT|DECIMAL|DOUBLE)") if kind == "NUMBER" else found.startswith(kind)
-        ok = ok & F.coalesce(match, F.lit(False))
-    return ok
+#: The fields of a summary's answer. ``string?`` may be null but not left out.
+SUMMARY = {
+    "summary": "string", "advertisement_information": [{"source_ref": "string", "title": "string?", "facts": ["string"]}], "forum_information": [{"snippet": "string"}],
+    "unverified_claims": ["string"], "sources": ["string"],
+}
+_KINDS = {"string": "STRING", "number": "(BIGINT|DECIMAL.*|DOUBLE)", "boolean": "BOOLEAN", "null": "VOID"}
+
+
+def follows(x: Column, schema: dict | list | str) -> Column:
+    """Is it JSON of exactly this form (O10.17)? A dict is an object with all of its fields and no others, a list of one form is
+    a list of such items, a text is a kind: string, number, boolean; with ``?`` null will do as well. Null and broken JSON don't follow."""
+    return F.coalesce(_follows(F.try_parse_json(x), schema), F.lit(False))
+
+
+def _follows(v: Column, schema: dict | list | str) -> Column:
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    if isinstance(schema, str):
+        names = _KINDS[schema.rstrip("?")] + ("|VOID" if schema.endswith("?") else "")
+        return kind.rlike(f"^({names})$")
+    if isinstance(schema, list):
+        return kind.startswith("ARRAY") & F.coalesce(F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda item: _follows(item, schema[0])), F.lit(False))
+    fields = F.try_variant_get(v, "$", "map<string,variant>")
+    ok = kind.startswith("OBJECT") & (F.size(fields) == len(schema))
+    for name, inner in schema.items():
+        ok = ok & F.map_contains_key(fields, name) & _follows(F.try_element_at(fields, F.lit(name)), inner)
+    return F.coalesce(ok, F.lit(False))
+
+
+def _child(v: Column, part: Column) -> Column:
+    """What stands under a part of a path: a key of an object, a place of a list."""
+    is_list = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    return F.when(is_list, F.get(F.try_variant_get(v, "$", "array<variant>"), part.try_cast("int"))).otherwise(F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), part))
+
+
+def get_path(x: Column, path: Column) -> Column:
+    """The value under a path such as ``a.0.b`` as JSON text (O10.11); null where there is none, or ``x`` or ``path`` is null."""
+    return F.to_json(F.aggregate(F.split(path, r"\."), F.try_parse_json(x), _child))
+
+
+def set_path(x: Column, path: Column, value: Column) -> Column:
+    """JSON ``x`` with the JSON ``value`` under a path such as ``a.0.b``, all else as it was (O10.11).
+
+    The path may differ from row to row; parts lead through objects and lists. The last part may name a new key of an object;
+    null where a part before it isn't there, a place lies outside its list, or something other than an object or a list stands on
+    the way. The result has its keys in order.
+    """
+    parts = F.split(path, r"\.")
+    start = F.struct(F.try_parse_json(x).alias("at"), F.array().cast("array<variant>").alias("above"))
+    down = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, lambda acc, p: F.struct(_child(acc["at"], p).alias("at"), F.array_append(acc["above"], acc["at"]).alias("above")))
+    way = F.array_append(down["above"], down["at"])  # what each part stands in
+
+    def put(inner: Column, i: Column) -> Column:
+        box, part = F.get(way, i), F.get(parts, i)
+        kind = F.coalesce(F.schema_of_variant(box), F.lit(""))
+        items, fields = F.try_variant_get(box, "$", "array<variant>"), F.try_variant_get(box, "$", "map<string,variant>")
+        place = part.try_cast("int")
+        as_list = F.to_variant_object(F.transform(items, lambda e, k: F.when(k == place, inner).otherwise(e)))
+        others = F.filter(F.map_entries(fields), lambda e: e["key"] != part)
+        as_object = F.to_variant_object(F.map_from_entries(F.array_append(others, F.struct(part.alias("key"), inner.alias("value")))))
+        there = inner.isNotNull()  # else the way was lost further down
+        return F.when(there & kind.startswith("ARRAY") & (place >= 0) & (place < F.size(items)), as_list).when(there & kind.startswith("OBJECT"), as_object)
+
+    built = F.aggregate(F.reverse(F.sequence(F.lit(0), F.size(parts) - 1)), F.try_parse_json(value), put)
+    return F.to_json(built)
 
 
 def advert(source: Column, title: Column, description: Column, at: Column) -> Column:

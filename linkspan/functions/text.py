@@ -18,14 +18,17 @@ PHONE = rf"(?<![{_WORD}])(?:\+?\p{{Nd}}[{_SPACE}().-]*){{8,15}}(?![{_WORD}])"
 PHONE_PLAN = (("IT", "39", "", 6, 11), ("GB", "44", "0", 9, 10), ("US", "1", "", 10, 10), ("FR", "33", "0", 9, 9), ("DE", "49", "0", 6, 13), ("ES", "34", "", 9, 9))
 
 
-def _unmarked() -> tuple[str, str]:
-    """Characters whose compatibility form is one letter or digit of ASCII with marks, and that letter or digit."""
-    pairs = ((chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in range(0xA0, 0x2100))
-    found = [(c, plain.lower()) for c, plain in pairs if len(plain) == 1 and plain.isascii() and plain.isalnum()]
-    return "".join(c for c, _ in found), "".join(plain for _, plain in found)
+def _folding() -> tuple[str, str, str, list[str], str]:
+    """How Unicode's compatibility forms without their marks read in ASCII, over all characters: those that become one
+    letter or digit and what they become, those that become more and what they become, and all marks."""
+    forms = ((c, "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()) for c in map(chr, range(0x80, 0x20000)) if not "\ud800" <= c <= "\udfff")
+    found = [(c, plain) for c, plain in forms if any(x.isascii() and x.isalnum() for x in plain)]
+    one, more = [x for x in found if len(x[1]) == 1], [x for x in found if len(x[1]) > 1]
+    marks = "".join(c for c in map(chr, range(0x300, 0x20000)) if all(map(unicodedata.combining, unicodedata.normalize("NFKD", c))))
+    return "".join(c for c, _ in one), "".join(x for _, x in one), "".join(c for c, _ in more), [x for _, x in more], marks
 
 
-ACCENTED, PLAIN = _unmarked()
+ONE, ONE_PLAIN, MORE, MORE_PLAIN, MARKS = _folding()
 #: Magic numbers at the start in hexadecimal, and the type.
 MAGIC = (
     ("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("1A45DFA3", "video/webm"),
@@ -47,8 +50,8 @@ def filled_fields(*fields: Column) -> Column:
 
 
 def normal_text(x: Column) -> Column:
-    """White space collapsed and trimmed, lower case (O9.9)."""
-    return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    """White space of any script collapsed and trimmed, lower case; null is empty (O9.9)."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), rf"[{_SPACE}]+", " ")))
 
 
 def normal_url(url: Column) -> Column:
@@ -177,8 +180,14 @@ def humanise(action: Column, entity: Column) -> Column:
 
 
 def fold_key(x: Column) -> Column:
-    """Lower case, marks off, other runs to ``_`` (O9.20); ``age`` is named ``eta``."""
-    bare = F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), r"\p{M}+", "")
+    """Compatibility forms, marks off, lower case, other runs to ``_`` (O9.20); ``age`` is named ``eta``.
+
+    Characters that become one letter or digit are translated; those that become several (ligatures, fractions, numerals
+    in circles) are looked up character by character, in texts that have any.
+    """
+    several = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.get(F.split(F.lit("\n".join(MORE_PLAIN)), "\n"), F.nullif(F.instr(F.lit(MORE), c), F.lit(0)) - 1), c)), "")
+    x = F.when(F.length(F.translate(x, MORE, "")) < F.length(x), several).otherwise(x)
+    bare = F.lower(F.translate(x, ONE + MARKS, ONE_PLAIN))  # marks have nothing to become
     key = F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "_"), "^_|_$", "")
     return F.when(key == "age", "eta").otherwise(key)
 

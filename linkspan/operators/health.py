@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import COOLDOWN_MINUTES, half_up, step
-from .series import running
+from .carry import carried
 
 
 def leading_streak(rows: DataFrame, key: str, hit: Column, order: list[str], most: int | None = None, name: str = "streak") -> DataFrame:
     """How many of a key's rows, from the last one in ``order`` back, are hits without a break (O5.1); of the last ``most`` rows if given (O5.2).
 
-    These are the rows after the last miss: two aggregations that combine in each task, so that a key with a
+    Rows without a value in ``order`` come first. These are the rows after the last miss: two aggregations that combine in each task, so that a key with a
     third of all rows needs no window over them. The last ``most`` rows are limited in each task first.
     """
     rows = rows.select(key, hit.alias("hit"), F.struct(*order).alias("at"))
@@ -81,15 +81,26 @@ def day_rates(runs: DataFrame, now: Column) -> DataFrame:
 def cooldowns(attempts: DataFrame, key: str, ts: str, failed: Column, order: str) -> DataFrame:
     """Failures in a row up to each attempt, and until when the endpoint then rests (O12.7).
 
-    A success ends a streak: failures so far, less those up to the last success. Both are carried over from day to
-    day. The continuous form is in ``streaming``.
+    A success ends a streak. Failures are summed within days, and a streak that a day leaves open goes on in the next ones,
+    in one pass over the rows. The continuous form is in ``streaming``.
     """
-    order = [F.col(ts), F.col(order)]
-    rows = running(attempts.withColumn("failed", failed), key, ts, order, "failures", F.col("failed").cast("long"))
-    rows = running(rows, key, ts, order, "before", F.when(~F.col("failed"), F.col("failures")), largest=True)
-    rows = rows.withColumn("failures", F.col("failures") - F.coalesce("before", F.lit(0))).drop("before")
+    rows = attempts.withColumns({"failed": F.coalesce(failed, F.lit(False)), "cool_day": F.date_trunc("day", ts)})
+    inside = Window.partitionBy(key, "cool_day").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"cool_sum": F.count_if(F.col("failed")).over(inside), "cool_passed": F.max(F.when(~F.col("failed"), F.struct(ts, order))).over(inside)})
+    rows = rows.withColumn("cool_base", F.coalesce(F.max(F.when(~F.col("failed"), F.col("cool_sum"))).over(inside), F.lit(0)))
+    rows = rows.withColumn("cool_streak", F.col("cool_sum") - F.col("cool_base"))
+    last = F.max_by(F.struct(F.col("cool_streak").alias("streak"), F.col("cool_passed").isNotNull().alias("passed")), F.struct(ts, order))
+    days = rows.groupBy(key, "cool_day").agg(last.alias("of"))
+    # A day without a success adds its failures to the open streak, one with a success begins it anew.
+    before = Window.partitionBy(key).orderBy("cool_day")
+    days = days.withColumn("cool_run", F.count_if(F.col("of.passed")).over(before))
+    days = days.withColumn("cool_open", F.sum("of.streak").over(Window.partitionBy(key, "cool_run").orderBy("cool_day")))
+    days = days.select(F.col(key).alias("cool_key"), F.col("cool_day").alias("cool_on"), F.coalesce(F.lag("cool_open").over(before), F.lit(0)).alias("carried"))
+    rows = rows.join(days, F.col(key).eqNullSafe(F.col("cool_key")) & F.col("cool_day").eqNullSafe(F.col("cool_on")), "left")
+    failures = F.col("cool_streak") + F.when(F.col("cool_passed").isNull(), F.col("carried")).otherwise(0)
     until = F.timestamp_add("MINUTE", step(COOLDOWN_MINUTES, F.col("failures")), F.col(ts))
-    return rows.withColumn("cooldown_until", F.when(F.col("failed"), until))
+    rows = rows.withColumn("failures", failures).withColumn("cooldown_until", F.when(F.col("failed"), until))
+    return rows.select(*attempts.columns, "failed", "failures", "cooldown_until")
 
 
 def alerts(windows: DataFrame, key: str, at: str, firing: Column, step_seconds: int, hold_seconds: int) -> DataFrame:
@@ -101,20 +112,30 @@ def alerts(windows: DataFrame, key: str, at: str, firing: Column, step_seconds:
     return spans.where(F.timestamp_diff("SECOND", F.col("since"), F.col("until")) >= hold_seconds).drop("island")
 
 
-def due(sources: DataFrame, runs: DataFrame, now: Column, batch: int) -> DataFrame:
-    """Sources to start now (O12.3): enabled, automatic, configured, due, without an active run; first by time and id."""
-    active = runs.where("status = 'running'").select("source_id")
-    ready = sources.where(F.col("enabled") & F.col("automatic") & F.col("has_config") & (F.col("next_at") <= now))
-    return ready.join(active, "source_id", "left_anti").orderBy("next_at", "source_id").limit(batch)
+def settle_runs(runs: DataFrame, now: Column, batch: int = 100, longest: str = "6 HOURS 5 MINUTES", patience: str = "2 MINUTES") -> DataFrame:
+    """``runs`` (run_id, status, queued_at, started_at) with action (O12.3, O12.4): ``close`` for running ones that started
+    longer than ``longest`` ago, ``retry`` for the first ``batch`` pending ones, by their time, that were queued ``patience`` ago or
+    longer and that nobody took up, else ``none``."""
+    stale = (F.col("status") == "running") & (F.col("started_at") < now - F.expr(f"INTERVAL {longest}"))
+    stuck = (F.col("status") == "pending") & (F.col("queued_at") <= now - F.expr(f"INTERVAL {patience}"))
+    retried = runs.where(stuck).orderBy("queued_at", "run_id").limit(batch).select(F.col("run_id").alias("retry_id"))
+    out = runs.join(F.broadcast(retried), F.col("run_id") == F.col("retry_id"), "left")
+    return out.withColumn("action", F.when(stale, "close").when(F.col("retry_id").isNotNull(), "retry").otherwise("none")).drop("retry_id")
 
 
-def settle_runs(runs: DataFrame, now: Column, longest: str = "6 HOURS 5 MINUTES", patience: str = "10 MINUTES") -> DataFrame:
-    """``runs`` (status, started_at, heartbeat_at) with action (O12.3, O12.4): ``close`` for runs that are longer than
-    ``longest`` without an end, ``retry`` for pending ones that nobody took up within ``patience``, else ``none``.
+def dispatch(sources: DataFrame, runs: DataFrame, now: Column, batch: int = 100, longest: str = "6 HOURS 5 MINUTES", patience: str = "2 MINUTES") -> DataFrame:
+    """What a tick of the scheduler does (O12.3): source_id, run_id and action.
 
-    A run's age counts from its last sign of life, or its start without one.
+    Stale runs are closed (``close``), stuck pending ones sent again (``retry``). What these leave of ``batch`` goes to due
+    sources, the earliest first: enabled, automatic, configured, next_at not after ``now``. One of them that has a pending run or
+    a running one, closed ones apart, is skipped (``active_run``) but uses its place up; the others start (``start``).
     """
-    last = F.coalesce("heartbeat_at", "started_at")
-    stale = (F.col("status") == "running") & (last < now - F.expr(f"INTERVAL {longest}"))
-    stuck = (F.col("status") == "pending") & (last < now - F.expr(f"INTERVAL {patience}"))
-    return runs.withColumn("action", F.when(stale, "close").when(stuck, "retry").otherwise("none"))
+    settled = settle_runs(runs, now, batch, longest, patience)
+    retried = settled.where("action = 'retry'").agg(F.count("*").alias("n")).scalar()
+    acted = settled.where("action <> 'none'").select("source_id", "run_id", "action")
+    active = settled.where("status = 'pending' or status = 'running' and action <> 'close'").select(F.col("source_id").alias("busy")).distinct()
+    ready = sources.where(F.col("enabled") & F.col("automatic") & F.col("has_config") & (F.col("next_at") <= now))
+    first = ready.orderBy("next_at", "source_id").limit(batch).withColumn("place", F.row_number().over(Window.orderBy("next_at", "source_id")))  # a batch at most
+    first = first.where(F.col("place") + retried <= batch)
+    started = first.join(active, F.col("source_id") == F.col("busy"), "left").select("source_id", F.lit(None).cast(runs.schema["run_id"].dataType).alias("run_id"), F.when(F.col("busy").isNotNull(), "active_run").otherwise("start").alias("action"))
+    return acted.unionByName(started)

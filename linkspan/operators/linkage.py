@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Rows of a key that make it a hot one.
-HOT = 100_000
+from ..sources.tables import stored
+from .carry import carried
 
 
 def dedup_by_hash(rows: DataFrame, text: Column, id_column: str) -> DataFrame:
@@ -20,18 +19,15 @@ def dedup_by_hash(rows: DataFrame, text: Column, id_column: str) -> DataFrame:
 def duplicate_links(rows: DataFrame, id_column: str, keys: list[Column]) -> DataFrame:
     """Links of rows that share any of the keys (O9.14): each row with the smallest id of its key's group.
 
-    A union of groupings instead of an OR join; a group of n rows gives n - 1 links, which connect it
-    as all its pairs would. Null keys link nothing. Keys of more than ``HOT`` rows, of which there are no more than
-    one in ``HOT`` rows, are broadcast, so that their rows stay where they are.
+    Instead of an OR join, one pass over the rows writes the keys, each as a hash of 128 bits under its number, and one
+    grouping serves all of them; a group of n rows gives n - 1 links, which connect it as all its pairs would. Null keys link
+    nothing. Both sides of the join are written tables, so that a key that a third of all rows share can be split.
     """
-    parts = []
-    for k in keys:
-        keyed = rows.select(F.col(id_column).alias("id"), k.alias("k")).where("k is not null")
-        low = keyed.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-        hot, cold = low.where(F.col("n") > HOT).select("k", "low"), low.where(F.col("n").between(2, HOT)).select("k", "low")
-        rest = keyed.join(F.broadcast(hot.select("k")), "k", "left_anti").join(cold, "k")
-        parts += [x.where("id <> low").select("low", "id") for x in (keyed.join(F.broadcast(hot), "k"), rest)]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    hashed = F.array(*[F.when(k.isNotNull(), F.struct(F.lit(i).alias("key"), F.xxhash64(F.lit(1), k).alias("a"), F.xxhash64(F.lit(2), k).alias("b"))) for i, k in enumerate(keys)])
+    keyed = rows.select(F.col(id_column).alias("id"), F.explode(F.array_compact(hashed)).alias("k")).select("id", "k.*")
+    keyed = stored(keyed, "duplicate-keys")
+    low = stored(keyed.groupBy("key", "a", "b").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"), "duplicate-groups")
+    return keyed.join(low, ["key", "a", "b"]).where("id <> low").select("low", "id").distinct()
 
 
 def changed_fields(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
@@ -48,17 +44,59 @@ def changed_fields(rows: DataFrame, key: str, order: list[str], fields: list[str
     return rows.withColumn("revision", F.row_number().over(w) + 1).drop("rn", *[f"was_{c}" for c in fields])
 
 
-def upsert_outcomes(current: DataFrame, incoming: DataFrame, key: list[str], fields: list[str], suppressed: DataFrame, valid: Column) -> DataFrame:
-    """Each incoming row's outcome (O8.2): rejected, suppressed, created, updated or unchanged.
+def upsert(
+    current: DataFrame, incoming: DataFrame, key: list[str], fields: list[str], ts: str, order: str, suppressed: DataFrame, valid: Column, page: str | None = None, bucket: str = "day",
+) -> tuple[DataFrame, DataFrame]:
+    """What a batch does, row by row in the order of (ts, order), and the table after it (O8.2).
+
+    The first result is ``incoming`` with outcome, changed (names of fields) and revision. A row that isn't ``valid`` is
+    rejected, one whose first key column is among ``suppressed`` is suppressed; neither leaves a trace. The others are compared
+    with the last accepted row of their key before them, in the batch or else in ``current``: created if there is none, updated if
+    a field differs (null and empty are equal) or a smaller ``page`` turned up, else unchanged. The second result is the new
+    snapshot: key, fields, page, revision, first_seen, last_seen, changed_at. ``current`` has the same columns.
 
-    ``suppressed`` holds suppressed values of the first key column.
+    The last accepted row, the smallest page and the number of changes are carried over from ``bucket`` to bucket, so a key with a third
+    of all rows is worked on in parts.
     """
-    old = current.select(*[F.col(c).alias(f"old_{c}") for c in (*key, *fields)], F.lit(True).alias("known"))
-    stop = suppressed.select(F.col(suppressed.columns[0]).alias("stop")).distinct()
-    joined = incoming.join(old, [F.col(c) == F.col(f"old_{c}") for c in key], "left").join(stop, F.col(key[0]) == F.col("stop"), "left")
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in fields])
-    outcome = F.when(~valid, "rejected").when(F.col("stop").isNotNull(), "suppressed").when(F.col("known").isNull(), "created").when(same, "unchanged")
-    return joined.select(*incoming.columns, outcome.otherwise("updated").alias("outcome"))
+    pages = [page] if page else []
+    stop = suppressed.select(F.col(suppressed.columns[0]).alias("up_stop")).distinct()
+    rows = incoming.join(stop, F.col(key[0]) == F.col("up_stop"), "left")
+    refused = F.when(~F.coalesce(valid, F.lit(False)), "rejected").when(F.col("up_stop").isNotNull(), "suppressed")
+    rows = rows.withColumn("up_refused", refused).drop("up_stop")
+    ok, cut = F.col("up_refused").isNull(), F.date_trunc(bucket, ts)
+    before = {"up_before": ("last", F.when(ok, F.struct(*fields)))} | ({"up_page": ("min", F.when(ok, F.col(page)))} if page else {})
+    rows = carried(rows, key, cut, [ts, order], before, own=False)
+    old = current.select(*[F.col(c).alias(f"up_key_{i}") for i, c in enumerate(key)], F.struct(*fields).alias("up_old"), *[F.col(c).alias("up_old_page") for c in pages], F.col("revision").alias("up_old_revision"))
+    rows = rows.join(old, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"up_key_{i}")) for i, c in enumerate(key)]), "left")
+    was = F.coalesce("up_before", "up_old")
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    differs = [F.when(text(F.col(c)) != text(was[c]), F.lit(c)) for c in fields]
+    if page:
+        least = F.least("up_page", "up_old_page")
+        differs.append(F.when(F.col(page).isNotNull() & (least.isNull() | (F.col(page) < least)), F.lit(page)))
+    changed = F.when(ok & was.isNotNull(), F.array_compact(F.array(*differs))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("changed", changed)
+    outcome = F.coalesce("up_refused", F.when(was.isNull(), "created").when(F.size("changed") > 0, "updated").otherwise("unchanged"))
+    rows = rows.withColumn("outcome", outcome)
+    moved = F.col("outcome").isin("created", "updated")
+    rows = carried(rows, key, cut, [ts, order], {"up_moves": ("count", F.when(moved, 1))})
+    rows = rows.withColumn("revision", F.when(ok, F.coalesce("up_old_revision", F.lit(0)) + F.col("up_moves")).cast("long"))
+    outcomes = rows.select(*incoming.columns, "outcome", "changed", "revision")
+
+    at = F.struct(ts, order)
+    new = rows.where(ok).groupBy(*key).agg(
+        F.max_by(F.struct(*fields), F.when(moved, at)).alias("up_fields"), *[F.min(c).alias("up_new_page") for c in pages], F.max("revision").alias("up_revision"), F.min(ts).alias("up_first"), F.max(ts).alias("up_last"), F.max(F.when(moved, F.col(ts))).alias("up_changed"),
+    )
+    have = current.select(*[F.col(c).alias(f"up_key_{i}") for i, c in enumerate(key)], F.struct(*fields, *pages, "revision", "first_seen", "last_seen", "changed_at").alias("up_have"))
+    both = have.join(new, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"up_key_{i}")) for i, c in enumerate(key)]), "full_outer")
+    have, is_new = F.col("up_have"), F.col("up_have").isNull()
+    keys = [F.when(is_new, F.col(c)).otherwise(F.col(f"up_key_{i}")).alias(c) for i, c in enumerate(key)]
+    snapshot = both.select(
+        *keys, *[F.when(F.col("up_fields").isNotNull(), F.col("up_fields")[c]).otherwise(have[c]).alias(c) for c in fields], *[F.least(have[c], F.col("up_new_page")).alias(c) for c in pages],
+        F.coalesce("up_revision", have["revision"]).alias("revision"), F.coalesce(have["first_seen"], F.col("up_first")).alias("first_seen"), F.greatest(have["last_seen"], F.col("up_last")).alias("last_seen"),
+        F.greatest(have["changed_at"], F.col("up_changed")).alias("changed_at"),
+    )
+    return outcomes, snapshot
 
 
 def reconcile(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -83,8 +121,24 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str, order:
     return first.join(existing.select(key), key, "left_anti")
 
 
-def unreferenced(listing: DataFrame, key: str, references: DataFrame) -> DataFrame:
-    """Stored keys that no column of ``references`` holds (O1.17, O7.3)."""
+def merged_pages(rows: DataFrame, key: str, order: list[str], fingerprint: Column, value: Column, most: int) -> DataFrame:
+    """values and limit_reached of each key (O10.13): over all pages, in ``order``, the first value of each fingerprint, up to ``most``.
+
+    The fingerprint of a list's item is its canonical JSON, that of a pair its key. Equal items are combined in each task, and no
+    more than ``most`` of a task's come together.
+    """
+    rows = rows.select(key, F.struct(*order).alias("at"), fingerprint.alias("print"), value.alias("value"))
+    first = rows.groupBy(key, "print").agg(F.min("at").alias("at"), F.min_by("value", "at").alias("value"))
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("at"))).where(F.col("n") <= most)
+    out = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("v"))  # ``most`` at most
+    return out.select(key, F.transform("v", lambda x: x["value"]).alias("values"), (F.size("v") >= most).alias("limit_reached"))
+
+
+def unreferenced(listing: DataFrame, key: str, references: DataFrame, modified: str | None = None, now: Column | None = None, grace: str = "24 HOURS") -> DataFrame:
+    """Stored keys that no column of ``references`` holds (O1.17, O7.3); where ``modified`` is given, only those that were
+    last written longer than ``grace`` before ``now``, so that what is just being written stays. A null time is kept out."""
     columns = references.columns
     refs = references.unpivot([], columns, "column", "ref").where("ref is not null").select("ref").distinct()
+    if modified:
+        listing = listing.where(F.col(modified) < now - F.expr(f"INTERVAL {grace}"))
     return listing.join(refs, F.col(key) == F.col("ref"), "left_anti")

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import VERIFIED
+from ..functions.numbers import VERIFIED, half_up
+from ..sources.tables import stored
 
 LAST_PAGE = 2147483647
 
@@ -91,13 +92,28 @@ def priority_impact(occurrences: DataFrame, source: str, priority: int) -> DataF
 
 
 def canonical_history(occurrences: DataFrame) -> DataFrame:
-    """A row each time the running winner of a record changes as occurrences arrive (O5.8)."""
+    """A row each time the running winner of a record changes as occurrences arrive, with what it won by (O5.8)."""
     arrival = Window.partitionBy("record_id").orderBy("scraped_at", "occurrence_id")
     so_far = arrival.rowsBetween(Window.unboundedPreceding, 0)
-    active = F.when(F.col("status") == "active", F.struct(canonical_rank().alias("rank"), F.col("occurrence_id")))
-    rows = occurrences.withColumn("winner", F.max(active).over(so_far)["occurrence_id"])
-    rows = rows.withColumn("previous", F.lag("winner").over(arrival))
-    return rows.where(F.col("winner").isNotNull() & ~F.col("winner").eqNullSafe(F.col("previous"))).select("record_id", "scraped_at", F.col("winner").alias("occurrence_id"), "previous")
+    active = F.when(F.col("status") == "active", F.struct(canonical_rank().alias("rank"), F.struct("occurrence_id", "page", "priority", "filled", "scraped_at").alias("o")))
+    rows = occurrences.withColumn("winner", F.max(active).over(so_far)["o"])
+    rows = rows.withColumn("previous", F.lag("winner.occurrence_id").over(arrival))
+    part = lambda name: F.concat(F.lit(f"{name}="), F.coalesce(F.col(f"winner.{name}").cast("string"), F.lit("none")))
+    reason = F.concat_ws(", ", part("page"), part("priority"), part("filled"), part("scraped_at"))
+    changes = rows.where(F.col("winner").isNotNull() & ~F.col("winner.occurrence_id").eqNullSafe(F.col("previous")))
+    return changes.select("record_id", "scraped_at", F.col("winner.occurrence_id").alias("occurrence_id"), "previous", reason.alias("reason"))
+
+
+def erasure(keys: DataFrame, hashed: Column, suppressed: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The suppression list with the hashes of ``keys`` on it, and only then each table without their rows (O8.11).
+
+    ``suppressed`` has key_hash, blocked and reason; a hash that is there keeps its row. What comes in later is held against the new
+    list, so an erased record can't come back between the two.
+    """
+    name = keys.columns[0]
+    new = keys.select(hashed.alias("key_hash")).distinct().join(suppressed.select("key_hash"), "key_hash", "left_anti")
+    listed = suppressed.select("key_hash", "blocked", "reason").unionByName(new.select("key_hash", F.lit(0).cast("long").alias("blocked"), F.lit("erasure").alias("reason")))
+    return stored(listed, "suppressed"), erase(keys.select(name), tables)
 
 
 def erase(keys: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
@@ -122,3 +138,25 @@ def retain(occurrences: DataFrame, cutoff: datetime) -> tuple[DataFrame, DataFra
     kept = occurrences.where(~old)
     touched = kept.join(occurrences.where(old).select("record_id").distinct(), "record_id", "left_semi")
     return kept, canonical(touched)
+
+
+#: Families of a detector's labels, and the scores that decide.
+FAMILIES = {
+    "explicit": ("BUTTOCKS_EXPOSED", "FEMALE_BREAST_EXPOSED", "FEMALE_GENITALIA_EXPOSED", "MALE_GENITALIA_EXPOSED", "ANUS_EXPOSED"),
+    "face": ("FACE_FEMALE", "FACE_MALE"),
+}
+SAFE, EXPLICIT, FACE = 0.20, 0.65, 0.50
+
+
+def detection_scores(detections: DataFrame, key: str, label: str, score: str, families: dict[str, tuple[str, ...]] = FAMILIES) -> DataFrame:
+    """For each key and family of labels, the largest score of its detections (O4.18); 0 without any, or where scores are null."""
+    largest = lambda labels: F.coalesce(F.max(F.when(F.col(label).isin(*labels), F.col(score))), F.lit(0.0))
+    return detections.groupBy(key).agg(*[largest(labels).alias(name) for name, labels in families.items()])
+
+
+def media_class(explicit: Column, face: Column, safe: float = SAFE, limit: float = EXPLICIT) -> list[Column]:
+    """class, confidence and review of a medium by its scores (O11.11)."""
+    is_explicit, is_safe = explicit >= limit, explicit < safe
+    name = F.when(is_explicit, "explicit").when(is_safe, "safe").otherwise("unclassified")
+    review = F.when(is_explicit, face >= FACE).otherwise(~is_safe)
+    return [name.alias("class"), half_up(F.when(~is_explicit & is_safe, 1.0 - explicit).otherwise(explicit), 6).alias("confidence"), review.alias("review")]

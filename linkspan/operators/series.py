@@ -1,4 +1,4 @@
-"""Rates, quantiles, budgets and late rows over event time."""
+"""Rates, quantiles and running sums over event time."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from .carry import carried
 
 
 def window_counts(rows: DataFrame, ts: str, width: str, keys: list[str] = (), slide: str | None = None, **counts: Column) -> DataFrame:
@@ -15,60 +16,29 @@ def window_counts(rows: DataFrame, ts: str, width: str, keys: list[str] = (), sl
     return out.select(F.col("w.start").alias("start"), *keys, *counts)
 
 
-def increase(rows: DataFrame, key: str, ts: str, counter: str) -> DataFrame:
-    """What a counter gained since its row before; a drop is a restart from zero (O12.11)."""
-    before = F.lag(counter).over(Window.partitionBy(key).orderBy(ts))
-    gain = F.when(before.isNull(), 0).when(F.col(counter) < before, F.col(counter)).otherwise(F.col(counter) - before)
-    return rows.withColumn("gain", gain)
+def increase(rows: DataFrame, key: str, ts: str, order: str, counter: str) -> DataFrame:
+    """What a counter gained since its row before; a drop is a restart from zero (O12.11).
+
+    The last value is carried over from day to day, so a key's history is worked on in parts; a null counter gains nothing.
+    """
+    rows = carried(rows, [key], F.date_trunc("day", ts), [ts, order], {"counter_before": ("last", F.col(counter))}, own=False)
+    before = F.col("counter_before")
+    gain = F.when(before.isNull() | F.col(counter).isNull(), 0).when(F.col(counter) < before, F.col(counter)).otherwise(F.col(counter) - before)
+    return rows.withColumn("gain", gain).drop("counter_before")
 
 
 def bucket_quantile(buckets: DataFrame, keys: list[str], bound: str, cumulative: str, q: float, name: str) -> DataFrame:
-    """A quantile from cumulative buckets by linear interpolation (O12.13)."""
+    """A quantile from cumulative buckets by linear interpolation (O12.13); one that falls into an infinite bucket is the
+    largest bound below it."""
     w = Window.partitionBy(*keys).orderBy(bound)
     rows = buckets.withColumns({"total": F.max(cumulative).over(Window.partitionBy(*keys)), "below": F.coalesce(F.lag(cumulative).over(w), F.lit(0)), "low": F.coalesce(F.lag(bound).over(w), F.lit(0.0))})
     rank = F.col("total") * q
     hit = rows.where((F.col(cumulative) >= rank) & (F.col("below") < rank))
-    value = F.col("low") + (F.col(bound) - F.col("low")) * (rank - F.col("below")) / (F.col(cumulative) - F.col("below"))
+    inside = F.col("low") + (F.col(bound) - F.col("low")) * (rank - F.col("below")) / (F.col(cumulative) - F.col("below"))
+    value = F.when(F.col(bound) == float("inf"), F.col("low")).otherwise(inside)
     return hit.groupBy(*keys).agg(half_up(F.min(value), 6).alias(name))
 
 
-def budget(rows: DataFrame, keys: list[str], ts: str, order: str, cost: Column, most: int) -> DataFrame:
-    """Running cost of each key's calendar day, and whether a row still fits (O12.5)."""
-    w = Window.partitionBy(*keys, F.to_date(ts)).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("spent", F.sum(cost).over(w))
-    return rows.withColumn("fits", F.col("spent") <= most)
-
-
-def running(rows: DataFrame, key: str, ts: str, order: list[Column], name: str, value: Column, largest: bool = False, peers: bool = False) -> DataFrame:
-    """``rows`` with ``name``: the sum (or the largest) of ``value`` over a key's rows up to each one in ``order``; with
-    ``peers``, rows of equal order count together.
-
-    Rows are ordered within a key's day, and what earlier days come to is carried over, so that a key with a third
-    of all rows is worked on in as many parts as it has days.
-    """
-    whole = F.max if largest else F.sum
-    rows = rows.withColumns({"day": F.to_date(ts), name: value})
-    days = rows.groupBy(key, "day").agg(whole(name).alias("of_day"))
-    earlier = whole("of_day").over(Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
-    days = days.select(key, "day", earlier.alias("carried"))
-    frame = Window.partitionBy(key, "day").orderBy(*order)
-    inside = whole(name).over(frame.rangeBetween(Window.unboundedPreceding, 0) if peers else frame.rowsBetween(Window.unboundedPreceding, 0))
-    both = F.greatest("carried", inside) if largest else F.coalesce("carried", F.lit(0)) + F.coalesce(inside, F.lit(0))
-    return rows.join(days, [key, "day"]).withColumn(name, both).drop("day", "carried")
-
-
-def lockouts(rows: DataFrame, key: str, ts: str, failed: Column, most: int, seconds: int) -> DataFrame:
-    """Failures of a key within the last ``seconds`` at each row, and whether it is locked (O12.6).
-
-    A failure adds one when it comes and takes it off when it is older, so one running sum is enough.
-    """
-    come = rows.withColumns({"at": F.col(ts).cast("timestamp"), "step": failed.cast("long")})
-    gone = come.where("step > 0").withColumns({"at": F.timestamp_add("SECOND", F.lit(seconds), F.col("at")) + F.expr("INTERVAL 0.000001 SECOND"), "step": F.lit(-1).cast("long")})
-    both = come.withColumn("own", F.lit(True)).unionByName(gone.withColumn("own", F.lit(False)))
-    summed = running(both, key, "at", [F.unix_micros("at")], "recent", F.col("step"), peers=True)
-    return summed.where("own").drop("own", "at", "step").withColumn("locked", F.col("recent") >= most)
-
-
 def quantiles(rows: DataFrame, keys: list[str], value: str, **shares: float) -> DataFrame:
     """Exact quantiles of each group by linear interpolation (O12.13), rounded to four digits.
 
@@ -86,14 +56,3 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, **shares: float) ->
     out = counted.groupBy(*keys, "total").agg(*ends)
     between = lambda name: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (place[name] - F.floor(place[name]))
     return out.select(*keys, *[half_up(between(name), 4).alias(name) for name in shares])
-
-
-def reservations(rows: DataFrame, keys: list[str], ts: str, order: str, amount: Column, most: int) -> DataFrame:
-    """Reserved and released amounts (negative ones) of each key's minute, and whether a reservation fits (O12.5).
-
-    A minute's total never falls below zero at a row: a release of more than was reserved leaves nothing reserved.
-    """
-    w = Window.partitionBy(*keys, F.date_trunc("minute", ts)).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("total", F.sum(amount).over(w))
-    reserved = F.col("total") - F.least(F.lit(0), F.min("total").over(w))
-    return rows.withColumn("reserved", reserved).withColumn("fits", (amount <= 0) | (F.col("reserved") <= most)).drop("total")

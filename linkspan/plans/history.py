@@ -18,7 +18,8 @@ from .registry import CANON, OCC, RUN, occurrences, query, runs
 best AS (SELECT a.record_id, a.seq, a.scraped_at, (SELECT b.occurrence_id FROM w b WHERE b.record_id = a.record_id AND b.seq <= a.seq AND b.status = 'active'
   ORDER BY coalesce(b.page, 2147483647), b.priority, b.filled DESC, b.scraped_at DESC, b.occurrence_id DESC LIMIT 1) AS winner FROM w a),
 l AS (SELECT *, lag(winner) OVER (PARTITION BY record_id ORDER BY seq) AS previous FROM best)
-SELECT record_id, scraped_at, winner AS occurrence_id, previous FROM l WHERE winner IS NOT NULL AND winner IS DISTINCT FROM previous""")
+SELECT l.record_id, l.scraped_at, winner AS occurrence_id, previous, 'page=' || coalesce(CAST(o.page AS VARCHAR), 'none') || ', priority=' || o.priority || ', filled=' || o.filled || ', scraped_at=' || strftime(o.scraped_at, '%Y-%m-%d %H:%M:%S') AS reason
+FROM l JOIN occ o ON o.occurrence_id = winner WHERE winner IS DISTINCT FROM previous""")
 def canonical_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each change of a record's canonical occurrence (O5.8)."""
     return records.canonical_history(occurrences(spark, sf_dir))
@@ -97,17 +98,20 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(canon.select("record_id", F.col("occurrence_id").alias("canonical_id")), "record_id", "left")
 
 
-@query("""WITH gone AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
-SELECT c_custkey AS record_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = c_custkey) AS lines,
-  (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM gone)) AS orders_left FROM gone""")
+@query("""WITH gone AS (SELECT c_custkey, sha256(c_name) AS h FROM customer WHERE c_acctbal < 0), listed AS (SELECT sha256(c_name) AS h FROM customer WHERE c_acctbal < -900)
+SELECT c_custkey AS record_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = c_custkey) AS lines, CASE WHEN h IN (FROM listed) THEN 'known' ELSE 'erasure' END AS suppression,
+  (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM gone)) AS orders_left, (SELECT count(DISTINCT h) FROM (SELECT h FROM gone UNION ALL FROM listed)) AS suppressed FROM gone""")
 def erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that hang on erased records, and what is left of their table (O4.19, O8.11)."""
-    keys = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("record_id"))
+    """Rows that hang on erased records, their entry on the suppression list, written first, and what is left (O4.19, O8.11)."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), F.sha2("c_name", 256).alias("key_hash"), "c_acctbal")
+    keys = c.where("c_acctbal < 0").select("record_id", "key_hash")
+    listed = c.where("c_acctbal < -900").select("key_hash", F.lit(3).cast("long").alias("blocked"), F.lit("known").alias("reason"))
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(orders, "o_orderkey")
-    counts = records.impact(keys, {"orders": (orders, "o_custkey"), "lines": (lines, "o_custkey")})
-    left = records.erase(keys, {"orders": (orders, "o_custkey")})["orders"]
-    return counts.withColumn("orders_left", left.agg(F.count("*")).scalar())
+    counts = records.impact(keys.select("record_id"), {"orders": (orders, "o_custkey"), "lines": (lines, "o_custkey")})
+    suppressed, left = records.erasure(keys, F.col("key_hash"), listed, {"orders": (orders, "o_custkey")})
+    out = counts.join(keys, "record_id").join(suppressed.select("key_hash", F.col("reason").alias("suppression")), "key_hash").drop("key_hash")
+    return out.withColumns({"orders_left": left["orders"].agg(F.count("*")).scalar(), "suppressed": suppressed.agg(F.count("*")).scalar()})
 
 
 @query("""WITH e AS (SELECT *, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events),
@@ -137,3 +141,15 @@ def backfill_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     o = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
     return o.select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")), "first_flag", F.lit("none")).alias("priority"), "n_lines")
+
+
+@query("""SELECT o_orderkey, to_json({'priority': o_orderpriority, 'lines': coalesce(l.lines, [])}) AS snapshot, to_json({'k': e.k}) AS kept FROM orders
+LEFT JOIN (SELECT l_orderkey, list({'number': l_linenumber, 'part': l_partkey} ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey LEFT JOIN (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) e ON e.event_id = o_orderkey WHERE e.k IS NOT NULL""")
+def backfill_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object with the ordered list of its children's objects, and an object without one of its keys (O8.13)."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("part")))).alias("lines"))  # an order's own lines
+    o = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    snapshot = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines")))
+    props = F.from_json(F.concat(F.substring_index("props", "}", 1), F.lit(', "old": [1]}')), "map<string,variant>")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("o_orderkey"), F.to_json(F.map_filter(props, lambda k, v: k != "old")).alias("kept"))
+    return o.select("o_orderkey", snapshot.alias("snapshot")).join(e, "o_orderkey")

@@ -40,18 +40,50 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.duplicate_links(table(spark, sf_dir, "documents"), "doc_id", keys)
 
 
-@query("""WITH o AS (SELECT o_custkey AS record_id, o_custkey % 10 AS source_key, o_orderpriority AS status, o_totalprice, o_orderdate, o_orderkey FROM orders),
-cur AS (SELECT record_id, arg_max(status, (o_orderdate, o_orderkey)) AS status FROM o WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), inc AS (SELECT * FROM o WHERE o_orderdate >= TIMESTAMP '1997-01-01')
-SELECT i.o_orderkey, i.record_id, CASE WHEN i.o_totalprice < 50000 THEN 'rejected' WHEN i.record_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'suppressed' WHEN c.record_id IS NULL THEN 'created' WHEN c.status = i.status THEN 'unchanged' ELSE 'updated' END AS outcome
-FROM inc i LEFT JOIN cur c ON c.record_id = i.record_id""")
+_ADS = """o AS (SELECT o_orderkey, o_custkey AS record_id, o_orderstatus AS source, 'https://a.example/' || o_custkey AS url, o_orderpriority AS title, CASE WHEN o_totalprice < 120000 THEN NULL WHEN o_totalprice < 200000 THEN '' ELSE 'x' END AS description,
+  CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 7 + 1 AS INTEGER) END AS page, o_totalprice, o_orderdate AS ts FROM orders),
+old AS (SELECT record_id, source, url, arg_max(title, (ts, o_orderkey)) AS title, arg_max(coalesce(description, 'null'), (ts, o_orderkey)) AS d, min(page) AS page, count(*) AS revision, min(ts) AS first_seen, max(ts) AS last_seen, max(ts) AS changed_at FROM o WHERE ts < TIMESTAMP '1997-01-01' GROUP BY 1, 2, 3),
+cur AS (SELECT * EXCLUDE (d), nullif(d, 'null') AS description FROM old),
+inc AS (SELECT *, CASE WHEN o_totalprice < 30000 THEN 'rejected' WHEN record_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < -500) THEN 'suppressed' END AS refused FROM o WHERE ts >= TIMESTAMP '1997-01-01'),
+acc AS (SELECT i.*, c.record_id IS NULL AND row_number() OVER w = 1 AS fresh, coalesce(c.revision, 0) AS base, CASE WHEN row_number() OVER w = 1 THEN c.title ELSE lag(i.title) OVER w END AS was_title,
+  CASE WHEN row_number() OVER w = 1 THEN c.description ELSE lag(i.description) OVER w END AS was_description, least(c.page, min(i.page) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS was_page
+  FROM (FROM inc WHERE refused IS NULL) i LEFT JOIN cur c USING (record_id, source, url) WINDOW w AS (PARTITION BY i.record_id, i.source, i.url ORDER BY i.ts, i.o_orderkey)),
+chg AS (SELECT *, CASE WHEN fresh THEN [] ELSE list_filter([CASE WHEN title <> was_title THEN 'title' END, CASE WHEN coalesce(description, '') <> coalesce(was_description, '') THEN 'description' END,
+  CASE WHEN page IS NOT NULL AND (was_page IS NULL OR page < was_page) THEN 'page' END], lambda x: x IS NOT NULL) END AS changed FROM acc),
+res AS (SELECT *, CASE WHEN fresh THEN 'created' WHEN len(changed) > 0 THEN 'updated' ELSE 'unchanged' END AS outcome FROM chg),
+num AS (SELECT *, base + count(*) FILTER (WHERE outcome <> 'unchanged') OVER (PARTITION BY record_id, source, url ORDER BY ts, o_orderkey ROWS UNBOUNDED PRECEDING) AS revision FROM res)"""
+
+
+def _upsert(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as adverts of records at sources: those of 1997 and later meet the ones before."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("record_id"), F.col("o_orderstatus").alias("source"), F.concat(F.lit("https://a.example/"), F.col("o_custkey").cast("string")).alias("url"), F.col("o_orderpriority").alias("title"),
+        F.when(price >= 200000, "x").when(price >= 120000, "").alias("description"), F.when(k % 5 != 0, k % 7 + 1).cast("int").alias("page"), "o_totalprice", F.col("o_orderdate").alias("ts"),
+    )
+    key, split = ["record_id", "source", "url"], F.lit("1997-01-01").cast("timestamp_ntz")
+    last = F.max_by(F.struct("title", "description"), F.struct("ts", "o_orderkey")).alias("last")
+    times = [F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("ts").alias("changed_at")]
+    current = o.where(F.col("ts") < split).groupBy(*key).agg(last, F.min("page").alias("page"), F.count("*").alias("revision"), *times).select(*key, "last.*", "page", "revision", "first_seen", "last_seen", "changed_at")
+    stopped = table(spark, sf_dir, "customer").where("c_acctbal < -500").select("c_custkey")
+    return linkage.upsert(current, o.where(F.col("ts") >= split), key, ["title", "description"], "ts", "o_orderkey", stopped, price >= 30000, page="page", bucket="month")
+
+
+@query(f"""WITH {_ADS} SELECT o_orderkey, record_id, refused AS outcome, '' AS changed, NULL::BIGINT AS revision FROM inc WHERE refused IS NOT NULL
+UNION ALL SELECT o_orderkey, record_id, outcome, array_to_string(changed, ','), revision FROM num""")
 def upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an upsert of later orders does with each of them, beside the last known one of its customer (O8.2)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("record_id"), F.col("o_orderpriority").alias("status"), "o_totalprice", "o_orderdate")
-    at = lambda x: F.lit(x).cast("timestamp_ntz")
-    current = o.where(F.col("o_orderdate") < at("1998-01-01")).groupBy("record_id").agg(F.max_by("status", F.struct("o_orderdate", "o_orderkey")).alias("status"))
-    stopped = table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
-    out = linkage.upsert_outcomes(current, o.where(F.col("o_orderdate") >= at("1997-01-01")), ["record_id"], ["status"], stopped, F.col("o_totalprice") >= 50000)
-    return out.select("o_orderkey", "record_id", "outcome")
+    """What an upsert of later orders does with each of them, beside the last accepted one before it, in the batch or stored (O8.2)."""
+    out, _ = _upsert(spark, sf_dir)
+    return out.select("o_orderkey", "record_id", "outcome", F.array_join("changed", ",").alias("changed"), "revision")
+
+
+@query(f"""WITH {_ADS}, new AS (SELECT record_id, source, url, arg_max(title, (ts, o_orderkey)) FILTER (WHERE outcome <> 'unchanged') AS title, arg_max(coalesce(description, 'null'), (ts, o_orderkey)) FILTER (WHERE outcome <> 'unchanged') AS d, bool_or(outcome <> 'unchanged') AS moved,
+  min(page) AS page, max(revision) AS revision, min(ts) AS first_seen, max(ts) AS last_seen, max(ts) FILTER (WHERE outcome <> 'unchanged') AS changed_at FROM num GROUP BY 1, 2, 3)
+SELECT record_id, source, url, CASE WHEN moved THEN n.title ELSE c.title END AS title, CASE WHEN moved THEN nullif(n.d, 'null') ELSE c.description END AS description, least(c.page, n.page) AS page, coalesce(n.revision, c.revision) AS revision,
+  coalesce(c.first_seen, n.first_seen) AS first_seen, greatest(c.last_seen, n.last_seen) AS last_seen, greatest(c.changed_at, n.changed_at) AS changed_at FROM cur c FULL OUTER JOIN new n USING (record_id, source, url)""")
+def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adverts after that upsert (O8.2)."""
+    return _upsert(spark, sf_dir)[1]
 
 
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS item FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'), i AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS item FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-06-01'),
@@ -180,8 +212,9 @@ def export_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source").agg(F.count("*").alias("documents"), total((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("total"), total(F.col("toxic") == 1).alias("withheld"))
 
 
-@query("""SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1)""")
+@query("""SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-07-01' - INTERVAL 24 HOUR AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O')""")
 def orphan_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored objects that no column of a table refers to (O1.17, O7.3)."""
-    refs = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, F.col("doc_id")).alias("a"), F.when(F.col("toxic") == 1, F.col("doc_id")).alias("b"))
-    return linkage.unreferenced(table(spark, sf_dir, "pages").select("page_id"), "page_id", refs)
+    """Stored objects that no column of a table refers to and that were written more than a day ago (O1.17, O7.3)."""
+    refs = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "R", F.col("l_orderkey")).alias("a"), F.when(F.col("l_linestatus") == "O", F.col("l_partkey")).alias("b"))
+    now = F.lit("1998-07-01").cast("timestamp_ntz")
+    return linkage.unreferenced(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey", refs, "o_orderdate", now).select("o_orderkey")

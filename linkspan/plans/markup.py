@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_up
 from ..functions.text import defragment, origin, resolve_url
-from ..operators import html
+from ..operators import html, records
 from ..sources.tables import listing, table
 from .registry import query
 
@@ -102,7 +103,7 @@ def challenge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT media_id, max(explicit) AS explicit, arg_max(face, (explicit, frame)) AS face, arg_max(frame, (explicit, frame)) AS frame FROM s GROUP BY 1)
 SELECT media_id, frame, CASE WHEN explicit >= 0.65 THEN 'explicit' WHEN explicit < 0.2 THEN 'safe' ELSE 'unclassified' END AS class, (explicit >= 0.2 AND explicit < 0.65) OR (explicit >= 0.65 AND face >= 0.5) AS review FROM m""")
 def classify_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The riskiest frame of each medium, its class and whether someone must look (O4.17, O4.18, O11.11)."""
+    """The riskiest frame of each medium, its class and whether someone must look (O4.17, O11.11)."""
     i = F.col("vec_id")
     s = table(spark, sf_dir, "embeddings").select(F.col("label").alias("media_id"), i.alias("frame"), ((i % 101) / 100.0).alias("explicit"), ((i % 37) / 36.0).alias("face"))
     m = s.groupBy("media_id").agg(F.max_by(F.struct("explicit", "face", "frame"), F.struct("explicit", "frame")).alias("m")).select("media_id", "m.*")
@@ -111,6 +112,19 @@ def classify_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("media_id", "frame", "class", ((F.col("class") == "unclassified") | ((F.col("class") == "explicit") & (F.col("face") >= 0.5))).alias("review"))
 
 
+_SEEN = """CASE l_returnflag WHEN 'R' THEN 'FEMALE_BREAST_EXPOSED' WHEN 'A' THEN 'FACE_FEMALE' ELSE CASE WHEN l_linestatus = 'O' THEN 'FACE_MALE' ELSE 'FEET_COVERED' END END"""
+
+
+@query(f"""WITH d AS (SELECT l_orderkey AS media_id, {_SEEN} AS label, l_discount * 10 AS score FROM lineitem), s AS (SELECT media_id, coalesce(max(score) FILTER (WHERE label = 'FEMALE_BREAST_EXPOSED'), 0.0) AS explicit, coalesce(max(score) FILTER (WHERE label LIKE 'FACE%'), 0.0) AS face FROM d GROUP BY 1)
+SELECT media_id, floor(explicit * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS explicit_score, floor(face * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS face_score, CASE WHEN explicit >= 0.65 THEN 'explicit' WHEN explicit < 0.2 THEN 'safe' ELSE 'unclassified' END AS class,
+  floor(CASE WHEN explicit < 0.2 THEN 1.0 - explicit ELSE explicit END * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS confidence, CASE WHEN explicit >= 0.65 THEN face >= 0.5 ELSE explicit >= 0.2 END AS review FROM s""")
+def detection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each medium's scores, the largest of its detections in each family of labels, and its class (O4.18, O11.11)."""
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("media_id"), F.expr(_SEEN).alias("label"), (F.col("l_discount") * 10).alias("score"))
+    s = records.detection_scores(d, "media_id", "label", "score")
+    return s.select("media_id", half_up(F.col("explicit"), 6).alias("explicit_score"), half_up(F.col("face"), 6).alias("face_score"), *records.media_class(F.col("explicit"), F.col("face")))
+
+
 @query()
 def binary_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored objects by name and size, their bytes unread (O1.16)."""

@@ -117,14 +117,17 @@ def range_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RUN}, rates AS (SELECT source_id, sum(items) AS items, count(*) FILTER (WHERE status = 'failed') AS errors FROM run
   WHERE started_at >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND started_at < TIMESTAMP '{NOW}' GROUP BY 1),
-last10 AS (SELECT source_id, status, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS rn FROM run),
+last10 AS (SELECT source_id, status, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(CASE WHEN event_type <> 'view' THEN started_at + to_minutes(CAST(items AS INTEGER)) END, started_at) DESC, run_id DESC) AS rn FROM run),
 s AS (SELECT source_id, count(*) AS streak FROM (SELECT source_id, sum(CASE WHEN status = 'failed' THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY rn) AS m FROM last10 WHERE rn <= 10) WHERE m = 0 GROUP BY 1)
 SELECT source_id, CAST(items AS BIGINT) AS items, errors, CASE WHEN items + errors > 0 THEN floor(errors / (items + errors) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE 0.0 END AS error_rate,
   coalesce(streak, 0) AS streak, coalesce(streak, 0) >= 3 AS alert FROM rates LEFT JOIN s USING (source_id)""")
 def source_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items, errors, rate and the streak within the last ten runs of each source (O4.4, O4.10, O5.2, O6.6)."""
+    """Items, errors, rate and the streak within the last ten runs of each source, by the time a run started or else was queued (O4.4, O4.10, O5.2, O6.6)."""
     r = runs(spark, sf_dir)
-    streak = health.leading_streak(r, "source_id", F.col("status") == "failed", ["started_at", "run_id"], most=10)
+    # Runs are queued when their event comes and start some minutes later; views never do.
+    began = F.when(F.col("event_type") != "view", F.timestamp_add("MINUTE", F.col("items").cast("int"), F.col("started_at")))
+    queued = r.withColumn("queued_at", F.col("started_at")).withColumn("at", F.coalesce(began, "queued_at"))
+    streak = health.leading_streak(queued, "source_id", F.col("status") == "failed", ["at", "run_id"], most=10)
     return health.day_rates(r, now()).join(streak, "source_id", "left").withColumn("alert", F.col("streak") >= 3)
 
 

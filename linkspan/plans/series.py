@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
-from ..operators import health, series
+from ..operators import health, limits, series, timejoin
+from ..operators.carry import carried
 from ..sources.tables import table
 from .registry import NOW, RUN, now, query, runs
 
@@ -33,25 +34,29 @@ def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.quantiles(e, ["hour"], "value", p50=0.5, p95=0.95, p99=0.99)
 
 
-_BUCKETS = (10.0, 25.0, 50.0, 100.0, 250.0, 1000000.0)
+_BUCKETS = (5.0, 10.0, 25.0, 50.0, float("inf"))
 
 
-@query("""WITH b AS (SELECT unnest([10.0::DOUBLE, 25.0::DOUBLE, 50.0::DOUBLE, 100.0::DOUBLE, 250.0::DOUBLE, 1000000.0::DOUBLE]) AS le), c AS (SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n FROM events, b GROUP BY 1, 2),
+def _bucket_sql(q: float) -> str:
+    return f"floor(min(CASE WHEN le = 'inf'::DOUBLE THEN low ELSE low + (le - low) * (total * {q}::DOUBLE - below) / (n - below) END) FILTER (WHERE n >= total * {q}::DOUBLE AND below < total * {q}::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
+
+
+@query(f"""WITH b AS (SELECT unnest([5.0::DOUBLE, 10.0::DOUBLE, 25.0::DOUBLE, 50.0::DOUBLE, 'inf'::DOUBLE]) AS le), c AS (SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n FROM events, b GROUP BY 1, 2),
 w AS (SELECT *, max(n) OVER (PARTITION BY event_type) AS total, coalesce(lag(n) OVER (PARTITION BY event_type ORDER BY le), 0) AS below, coalesce(lag(le) OVER (PARTITION BY event_type ORDER BY le), 0.0::DOUBLE) AS low FROM c)
-SELECT event_type, floor(min(low + (le - low) * (total * 0.9::DOUBLE - below) / (n - below)) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS p90 FROM w WHERE n >= total * 0.9::DOUBLE AND below < total * 0.9::DOUBLE GROUP BY 1""")
+SELECT event_type, {_bucket_sql(0.5)} AS p50, {_bucket_sql(0.99)} AS p99 FROM w GROUP BY 1""")
 def bucket_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quantile from cumulative buckets (O12.13)."""
+    """Quantiles from cumulative buckets, the last one without an end (O12.13)."""
     e = table(spark, sf_dir, "events").select("event_type", "value", F.explode(F.array(*map(F.lit, _BUCKETS))).alias("le"))
     c = e.groupBy("event_type", "le").agg(F.count_if(F.col("value") <= F.col("le")).alias("n"))
-    return series.bucket_quantile(c, ["event_type"], "le", "n", 0.9, "p90")
+    return series.bucket_quantile(c, ["event_type"], "le", "n", 0.5, "p50").join(series.bucket_quantile(c, ["event_type"], "le", "n", 0.99, "p99"), "event_type")
 
 
-@query("""WITH c AS (SELECT user_id, event_id, ts, event_id % 100 AS counter, lag(event_id % 100) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events)
+@query("""WITH c AS (SELECT user_id, event_id, ts, event_id % 100 AS counter, lag(event_id % 100) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
 SELECT user_id, CAST(sum(CASE WHEN b IS NULL THEN 0 WHEN counter < b THEN counter ELSE counter - b END) AS BIGINT) AS increase FROM c GROUP BY 1""")
 def counter_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What counters gained, restarts counted (O12.11)."""
-    e = table(spark, sf_dir, "events").select("user_id", "ts", (F.col("event_id") % 100).alias("counter"))
-    return series.increase(e, "user_id", "ts", "counter").groupBy("user_id").agg(F.sum("gain").alias("increase"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_id") % 100).alias("counter"))
+    return series.increase(e, "user_id", "ts", "event_id", "counter").groupBy("user_id").agg(F.sum("gain").alias("increase"))
 
 
 @query("""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1), f AS (SELECT *, lag(start) OVER (ORDER BY start) AS p FROM w WHERE errors >= 2),
@@ -77,49 +82,118 @@ def unless_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("event_type = 'error'").select("user_id").distinct().join(e.where("event_type = 'purchase' and value > 50").select("user_id"), "user_id", "left_anti")
 
 
-@query("""SELECT event_id, CAST(spent AS BIGINT) AS spent, spent <= 300 AS fits FROM (SELECT event_id, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)""")
+def _numbered(window: str) -> str:
+    """SQL that numbers the rows of s (key, ask) and folds each key's: f has i, held and fits."""
+    return f"""f AS (SELECT DISTINCT key, 0::BIGINT AS i, 0::BIGINT AS held, true AS fits FROM s UNION ALL
+  SELECT s.key, s.i, f.held + CASE WHEN f.held + s.ask <= {window} THEN s.ask ELSE 0 END, f.held + s.ask <= {window} FROM f JOIN s ON s.key = f.key AND s.i = f.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT event_id, ts, event_type <> 'view' AS remote, CAST(floor(value) AS BIGINT) AS tokens, count(*) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS user_count,
+  count(*) OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS minute_count FROM events),
+t AS (SELECT *, CASE WHEN user_count > 3 THEN 'user_limit' WHEN minute_count > 1 THEN 'rate_limit' END AS stop FROM r),
+s AS MATERIALIZED (SELECT *, date_trunc('day', ts) AS key, CASE WHEN stop IS NULL AND remote THEN tokens ELSE 0 END AS ask, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS i FROM t),
+{_numbered("2000")}
+SELECT event_id, user_count, minute_count, coalesce(stop, CASE WHEN fits THEN 'admitted' ELSE 'budget' END) AS outcome, held AS reserved FROM s JOIN f USING (key, i)""")
 def window_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily budgets (O12.5)."""
-    out = series.budget(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", F.floor("value").cast("long"), 300)
-    return out.select("event_id", "spent", "fits")
+    """Requests under a daily limit of each user, a limit of each provider's minute and a daily budget of tokens, from which a refused one takes nothing (O12.5)."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.floor("value").cast("long").alias("tokens"))
+    out = limits.admissions(e, "user_id", "event_type", F.col("event_type") != "view", "ts", "event_id", "tokens", per_day=3, per_minute=1, budget=2000)
+    return out.select("event_id", "user_count", "minute_count", "outcome", "reserved")
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT event_id, date_trunc('week', ts) AS key, CAST(floor(value) AS BIGINT) AS ask, row_number() OVER (PARTITION BY date_trunc('week', ts) ORDER BY ts, event_id) AS i FROM events),
+{_numbered("9000")} SELECT event_id, held AS reserved, fits FROM s JOIN f USING (key, i)""")
+def weekly_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget a week for all requests together: keys too large for a fold, done by phases (O12.5)."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.date_trunc("week", "ts").alias("week"), F.floor("value").cast("long").alias("tokens"))
+    return limits.admitted(e, ["week"], "ts", "event_id", "tokens", 9000).select("event_id", "reserved", "fits")
 
 
-@query("""WITH r AS (SELECT event_id, ts, event_type, CASE WHEN event_type = 'error' THEN -CAST(floor(value) AS BIGINT) ELSE CAST(floor(value) AS BIGINT) END AS amount FROM events),
-t AS (SELECT *, sum(amount) OVER w AS total FROM r WINDOW w AS (PARTITION BY event_type <> 'view', date_trunc('minute', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
-u AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY event_type <> 'view', date_trunc('minute', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS reserved FROM t)
-SELECT event_id, CAST(reserved AS BIGINT) AS reserved, amount <= 0 OR reserved <= 60 AS fits FROM u""")
+@query("""SELECT event_id, count(*) OVER w AS requests, count(*) OVER w <= 1 AS allowed FROM events WINDOW w AS (PARTITION BY event_type <> 'view', date_trunc('minute', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def minute_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is reserved of each provider's minute, errors giving back what they took (O12.5)."""
-    amount = F.floor("value").cast("long")
-    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("event_type") != "view").alias("provider"), F.when(F.col("event_type") == "error", -amount).otherwise(amount).alias("amount"))
-    return series.reservations(e, ["provider"], "ts", "event_id", F.col("amount"), 60).select("event_id", "reserved", "fits")
+    """Requests of each provider's minute, refused ones counted too, and which are still allowed (O12.5)."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("event_type") != "view").alias("provider"), F.date_trunc("minute", "ts").alias("minute"))
+    out = carried(e, ["provider", "minute"], F.date_trunc("second", "ts"), ["ts", "event_id"], {"requests": ("count", F.lit(1))})
+    return out.select("event_id", "requests", (F.col("requests") <= 1).alias("allowed"))
 
 
-@query(f"""WITH r AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status, ts AS started_at, CASE WHEN value > 20 THEN ts + to_hours(1) END AS heartbeat_at FROM events)
-SELECT event_id, CASE WHEN status = 'running' AND coalesce(heartbeat_at, started_at) < TIMESTAMP '{NOW}' - INTERVAL 365 MINUTE THEN 'close' WHEN status = 'pending' AND coalesce(heartbeat_at, started_at) < TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE THEN 'retry' ELSE 'none' END AS action FROM r""")
+@query(f"""WITH r AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status, ts FROM events),
+first AS (SELECT event_id FROM r WHERE status = 'pending' AND ts <= TIMESTAMP '{NOW}' - INTERVAL 2 MINUTE ORDER BY ts, event_id LIMIT 100)
+SELECT event_id, CASE WHEN status = 'running' AND ts < TIMESTAMP '{NOW}' - INTERVAL 365 MINUTE THEN 'close' WHEN event_id IN (FROM first) THEN 'retry' ELSE 'none' END AS action FROM r""")
 def stuck_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stale runs to close, and pending ones that were never taken up to try again (O12.3, O12.4)."""
+    """Stale runs to close, and the first pending ones that were never taken up, to try again (O12.3, O12.4)."""
     kind = F.col("event_type")
     status = F.when(kind == "error", "failed").when(kind == "view", "pending").when(kind == "purchase", "completed").otherwise("running")
-    r = table(spark, sf_dir, "events").select("event_id", status.alias("status"), F.col("ts").alias("started_at"), F.when(F.col("value") > 20, F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("heartbeat_at"))
-    return health.settle_runs(r, now()).select("event_id", "action")
+    r = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), status.alias("status"), F.col("ts").alias("queued_at"), F.when(status != "pending", F.col("ts")).alias("started_at"))
+    return health.settle_runs(r, now()).select(F.col("run_id").alias("event_id"), "action")
 
 
-@query("""SELECT event_id, CAST(recent AS BIGINT) AS recent, recent >= 3 AS locked FROM (SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS recent FROM events)""")
+_TRIES = """a AS MATERIALIZED (SELECT event_id, user_id, ts, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('error', 'purchase')),
+start AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS n, NULL::TIMESTAMP AS expires, NULL::TIMESTAMP AS until, '' AS outcome FROM a)"""
+
+
+def _tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and purchases as failed and successful attempts."""
+    return table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase")).select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
+
+
+@query(f"""WITH RECURSIVE {_TRIES}, f AS (FROM start UNION ALL SELECT user_id, i, CASE WHEN shut THEN 2 WHEN NOT failed THEN 0 ELSE live + 1 END, CASE WHEN shut THEN expires WHEN NOT failed THEN NULL WHEN live = 0 THEN ts + INTERVAL 3 DAY ELSE expires END,
+  CASE WHEN shut THEN until WHEN failed AND live + 1 >= 2 THEN ts + INTERVAL 3 DAY END, CASE WHEN shut THEN 'refused' WHEN NOT failed THEN 'passed' WHEN live + 1 >= 2 THEN 'locked' ELSE 'failed' END
+  FROM (SELECT a.*, f.expires, f.until, coalesce(f.until > a.ts, false) AS shut, CASE WHEN f.expires > a.ts THEN f.n ELSE 0 END AS live FROM f JOIN a ON a.user_id = f.user_id AND a.i = f.i + 1))
+SELECT event_id, n AS failures, outcome, until AS locked_until FROM a JOIN f USING (user_id, i)""")
 def attempt_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed attempts within a day, and lockouts (O12.6)."""
-    out = series.lockouts(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "error", 3, 86400)
-    return out.select("event_id", "recent", "locked")
+    """Attempts under a counter that expires three days after its first failure; two lock for three days, in which all are refused (O12.6)."""
+    out = limits.lockouts(_tries(spark, sf_dir), "user_id", "ts", "event_id", F.col("failed"), 2, 3 * 86400)
+    return out.select("event_id", "failures", "outcome", "locked_until")
+
 
+@query(f"""WITH RECURSIVE {_TRIES}, f AS (FROM start UNION ALL SELECT user_id, i, CASE WHEN NOT failed THEN 0 ELSE live + 1 END, CASE WHEN NOT failed THEN NULL WHEN live = 0 THEN ts + INTERVAL 2 DAY ELSE expires END,
+  CASE WHEN failed AND live + 1 >= 2 THEN ts + INTERVAL 2 DAY WHEN failed AND until > ts THEN until END, CASE WHEN NOT failed THEN 'passed' WHEN live + 1 >= 2 THEN 'locked' ELSE 'failed' END
+  FROM (SELECT a.*, f.expires, f.until, CASE WHEN f.expires > a.ts THEN f.n ELSE 0 END AS live FROM f JOIN a ON a.user_id = f.user_id AND a.i = f.i + 1))
+SELECT event_id, n AS failures, outcome, until AS locked_until FROM a JOIN f USING (user_id, i)""")
+def attempt_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bare counter and its lock: attempts count at a locked key, too, and each failure at the limit or past it renews the lock (O12.6)."""
+    out = limits.lockouts(_tries(spark, sf_dir), "user_id", "ts", "event_id", F.col("failed"), 2, 2 * 86400, guarded=False)
+    return out.select("event_id", "failures", "outcome", "locked_until")
 
-@query(f"""WITH {RUN}, l AS (SELECT source_id, max(started_at) AS last_run, arg_max(status, (started_at, run_id)) AS last_status FROM run WHERE started_at < TIMESTAMP '{NOW}' GROUP BY 1)
-SELECT source_id, last_run + INTERVAL 1 HOUR AS next_at FROM l WHERE source_id % 4 <> 3 AND last_run + INTERVAL 1 HOUR <= TIMESTAMP '{NOW}' AND NOT (last_status = 'running' AND last_run > TIMESTAMP '{NOW}' - INTERVAL 365 MINUTE) ORDER BY next_at, source_id LIMIT 5""")
+
+@query("""SELECT e.event_id, e.user_id, p.event_id AS purchase_id, p.value AS price FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def asof_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's last price before it (as-of join)."""
+    e = table(spark, sf_dir, "events")
+    prices = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("paid_at"), F.col("event_id").alias("purchase_id"), F.col("value").alias("price"))
+    return timejoin.asof_join(e.select("event_id", "user_id", "ts"), prices, ["user_id"], "ts", "paid_at", ["purchase_id", "price"], right_order="purchase_id").drop("ts")
+
+
+@query("""SELECT e.event_id, i.event_id AS incident_id FROM events e JOIN events i ON i.event_type = 'error' AND i.user_id = e.user_id AND e.ts >= i.ts AND e.ts < i.ts + to_minutes(CAST(floor(i.value * i.value) AS INTEGER)) WHERE e.event_type <> 'error'""")
+def incident_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the incidents of its user that were open then, some short, some of months (interval join)."""
+    e = table(spark, sf_dir, "events")
+    until = F.timestamp_add("MINUTE", F.floor(F.col("value") * F.col("value")).cast("int"), F.col("ts"))
+    incidents = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("incident_id"), F.col("ts").alias("since"), until.alias("until"))
+    return timejoin.interval_join(e.where("event_type <> 'error'").select("event_id", "user_id", "ts"), incidents, ["user_id"], "ts", "since", "until").select("event_id", "incident_id")
+
+
+_SCHED = f"""run AS (SELECT event_id AS run_id, user_id AS source_id, ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'completed' ELSE 'running' END AS status FROM events
+  WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 12 HOUR AND ts < TIMESTAMP '{NOW}')"""
+
+
+@query(f"""WITH {_SCHED}, shut AS (SELECT source_id, run_id, 'close' AS action FROM run WHERE status = 'running' AND ts < TIMESTAMP '{NOW}' - INTERVAL 365 MINUTE),
+again AS (SELECT source_id, run_id, 'retry' AS action FROM run WHERE status = 'pending' AND ts <= TIMESTAMP '{NOW}' - INTERVAL 2 MINUTE ORDER BY ts, run_id LIMIT 60),
+busy AS (SELECT source_id FROM run WHERE status = 'pending' OR status = 'running' AND run_id NOT IN (SELECT run_id FROM shut)),
+ready AS (SELECT user_id AS source_id, row_number() OVER (ORDER BY max(ts) + INTERVAL 1 HOUR, user_id) AS place FROM events WHERE ts < TIMESTAMP '{NOW}' GROUP BY 1 HAVING user_id % 4 <> 3 AND max(ts) + INTERVAL 1 HOUR <= TIMESTAMP '{NOW}'),
+go AS (SELECT source_id, NULL::BIGINT AS run_id, CASE WHEN source_id IN (FROM busy) THEN 'active_run' ELSE 'start' END AS action FROM ready WHERE place + (SELECT count(*) FROM again) <= 60)
+FROM shut UNION ALL FROM again UNION ALL FROM go""")
 def due_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources to start now: due an hour after their last run, runs beyond six hours count as dead (O12.2, O12.3, O12.4)."""
-    last = health.latest(runs(spark, sf_dir).where(F.col("started_at") < now()).select("source_id", "started_at", "run_id", "status"), "source_id", "started_at", "run_id")
-    sources = last.select("source_id", (F.col("source_id") % 4 != 3).alias("enabled"), F.lit(True).alias("automatic"), F.lit(True).alias("has_config"), (F.col("started_at") + F.expr("INTERVAL 1 HOUR")).alias("next_at"))
-    alive = last.where(F.col("started_at") > now() - F.expr("INTERVAL 365 MINUTE"))
-    return health.due(sources, alive, now(), 5).select("source_id", "next_at")
+    """A tick of the scheduler: stale runs closed, pending ones sent again, due sources started or skipped (O12.2, O12.3, O12.4)."""
+    e = table(spark, sf_dir, "events").where(F.col("ts") < now())
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "failed").when(kind == "view", "pending").when(kind.isin("purchase", "click"), "completed").otherwise("running")
+    recent = e.where(F.col("ts") >= now() - F.expr("INTERVAL 12 HOURS"))
+    r = recent.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("run_id"), status.alias("status"), F.col("ts").alias("queued_at"), F.when(status != "pending", F.col("ts")).alias("started_at"))
+    sources = e.groupBy(F.col("user_id").alias("source_id")).agg((F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("next_at"))
+    sources = sources.withColumns({"enabled": F.col("source_id") % 4 != 3, "automatic": F.lit(True), "has_config": F.lit(True)})
+    return health.dispatch(sources, r, now(), 60)
 
 
 @query("""SELECT date_trunc('day', ts) AS day, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-23') AS accepted, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-23') AS rejected FROM events GROUP BY 1""")

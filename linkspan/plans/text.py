@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, numbers, text
+from ..operators import linkage
 from ..sources.tables import table
 from .registry import query, url_key
 
@@ -166,15 +167,22 @@ def first_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(F.min_by("props", "event_id").alias("first_wins"), F.max_by("props", "event_id").alias("last_wins"))
 
 
-@query("""WITH r AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, role) AS rn FROM r)
-SELECT conv_id, string_agg(role, ',' ORDER BY t, role) AS roles, (SELECT count(*) FROM r r2 WHERE r2.conv_id = n.conv_id) >= 2 AS limit_reached FROM n WHERE rn <= 2 GROUP BY 1""")
+@query("""WITH r AS (SELECT conv_id, arg_min(text, turn) AS item, md5(coalesce(text, '')) AS f, min(turn) AS t FROM conversations GROUP BY conv_id, text), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, f) AS rn FROM r)
+SELECT conv_id, string_agg(f, ',' ORDER BY rn) AS items, count(*) >= 3 AS limit_reached FROM n WHERE rn <= 3 GROUP BY 1""")
 def paginated_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of all pages, unseen ones appended up to two (O10.13)."""
-    r = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("t"))
-    w = Window.partitionBy("conv_id").orderBy("t", "role")
-    n = r.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
-    g = n.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("t", "role"))).alias("v"))  # two at most
-    return g.select("conv_id", F.array_join(F.transform("v", lambda x: x["role"]), ",").alias("roles"), (F.size("v") >= 2).alias("limit_reached"))
+    """Items of all pages, in order, those not seen before, up to three (O10.13)."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("f"))
+    out = linkage.merged_pages(c, "conv_id", ["turn", "f"], F.col("f"), F.col("f"), 3)
+    return out.select("conv_id", F.array_join("values", ",").alias("items"), "limit_reached")
+
+
+@query("""WITH r AS (SELECT conv_id, role, min(turn) AS t, arg_min(md5(coalesce(text, '')), turn) AS v FROM conversations GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, role) AS rn FROM r)
+SELECT conv_id, string_agg(role || '=' || v, ',' ORDER BY rn) AS pairs, count(*) >= 2 AS limit_reached FROM n WHERE rn <= 2 GROUP BY 1""")
+def paginated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key and value of all pages: the first value of a key, up to two keys (O10.13)."""
+    pair = F.concat_ws("=", "role", F.md5(F.coalesce("text", F.lit(""))))
+    out = linkage.merged_pages(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role"], F.col("role"), pair, 2)
+    return out.select("conv_id", F.array_join("values", ",").alias("pairs"), "limit_reached")
 
 
 _VALUES = ('"  "', '"x"', '""', "[]", "[1]", '[""]', "{}", '{"a":1}', "null", "3", "true", "[[]]", "not json", '"\\u00e9"')
@@ -199,12 +207,29 @@ def completeness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "extra", (text.filled_fields(title, description, F.lit("")) + F.col("extra")).alias("completeness"))
 
 
-@query("""SELECT event_id, event_id % 5 < 2 AS valid FROM events""")
+_ANSWER = """'{"summary": ' || CASE WHEN event_type = 'error' THEN 'null' ELSE '"' || event_type || '"' END || ', "advertisement_information": [{"source_ref": "r", "title": ' || CASE WHEN value > 20 THEN 'null' ELSE '"t"' END || ', "facts": [' || CASE WHEN floor(value * 100) % 10 = 3 THEN '3' ELSE '"f"' END || ']'
+  || CASE WHEN floor(value * 10) % 10 = 7 THEN ', "more": 1' ELSE '' END || '}], "forum_information": [' || CASE WHEN user_id % 3 = 0 THEN '{"snippet": "s"}' WHEN user_id % 3 = 1 THEN '' ELSE '{}' END || '], "unverified_claims": [], "sources": ["u"]' || CASE WHEN value < 2 THEN ', "extra": ' || props ELSE '' END || CASE WHEN value > 60 THEN '' ELSE '}' END"""
+
+
+@query(f"""WITH a AS (SELECT event_id, {_ANSWER} AS x FROM events), j AS (SELECT event_id, CASE WHEN json_valid(x) THEN CAST(x AS JSON) END AS j FROM a),
+k AS (SELECT event_id, j, list_sort(json_keys(j)) = ['advertisement_information', 'forum_information', 'sources', 'summary', 'unverified_claims'] AS keys, list_sort(json_keys(j, '$.advertisement_information[0]')) = ['facts', 'source_ref', 'title'] AS ad_keys,
+  json_array_length(j, '$.forum_information') = 0 OR json_keys(j, '$.forum_information[0]') = ['snippet'] AS forum FROM j)
+SELECT event_id, coalesce(keys AND ad_keys AND forum AND json_type(j, '$.summary') = 'VARCHAR' AND json_type(j, '$.advertisement_information[0].facts[0]') = 'VARCHAR', false) AS valid FROM k""")
 def answer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON answers that have the fields and types asked for (O10.17): whole, with more fields, with one missing, of another type, broken."""
-    answers = ('{"summary": "s", "score": 0.5, "tags": ["a"]}', '{"tags": [], "score": 3, "summary": "", "more": null}', '{"summary": "s", "tags": []}', '{"summary": 1, "score": 1, "tags": []}', '{"summary": "s"')
-    answer = F.get(F.array(*map(F.lit, answers)), (F.col("event_id") % 5).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", jsonx.follows(answer, {"summary": "STRING", "score": "NUMBER", "tags": "ARRAY"}).alias("valid"))
+    """Answers of exactly the form asked for, nested, no field more (O10.17)."""
+    return table(spark, sf_dir, "events").select("event_id", jsonx.follows(F.expr(_ANSWER), jsonx.SUMMARY).alias("valid"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events), s AS (SELECT *, CASE event_type WHEN 'view' THEN ['{"k":"new"}', '1', '2'] WHEN 'click' THEN ['{"k":' || k || '}', '"new"', '2'] WHEN 'error' THEN ['{"k":' || k || '}', '1', '2'] ELSE NULL END AS p FROM e)
+SELECT event_id, CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type = 'signup' THEN '{"custom":{"list":[{"t":1},2],"props":{"k":' || k || '}},"new":"new","title":"' || event_type || '"}' WHEN event_type = 'error' THEN '{"custom":{"list":[{"t":1},2],"props":{"k":' || k || '}},"title":"new"}'
+  ELSE '{"custom":{"list":[{"t":' || p[2] || '},2],"props":' || p[1] || '},"title":"' || event_type || '"}' END AS edited, CASE WHEN event_type = 'purchase' THEN NULL ELSE '"new"' END AS got FROM s""")
+def set_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value put under each row's own path, through objects and lists, and read back (O10.11); a path that leads nowhere gives null."""
+    kind = F.col("event_type")
+    doc = F.concat(F.lit('{"title": "'), kind, F.lit('", "custom": {"props": '), "props", F.lit(', "list": [{"t": 1}, 2]}}'))
+    path = F.when(kind == "view", "custom.props.k").when(kind == "click", "custom.list.0.t").when(kind == "error", "title").when(kind == "signup", "new").otherwise("custom.list.9.t")
+    e = table(spark, sf_dir, "events").select("event_id", path.alias("path"), jsonx.set_path(doc, path, F.lit('"new"')).alias("edited"))
+    return e.select("event_id", "edited", jsonx.get_path(F.col("edited"), F.col("path")).alias("got"))
 
 
 @query()

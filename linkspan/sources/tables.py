@@ -92,16 +92,37 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a temporary one where a local
-    session has no such setting, an error where a cluster has none."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that setting is missing, a local session (tests) gets a temporary folder in its place, for all that it writes; on
+    a cluster, whose executors don't see such a folder, it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-linkspan-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/linkspan/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once to the shared folder and read back: loops and several uses don't compute it again, and a lost
+    executor costs a read."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers that may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of keys and numbers with a broadcast hint if a count allows it; else it is joined as Spark chooses."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def manifest(rows: DataFrame, by: str, line: Column) -> DataFrame:
     """For each file: rows, bytes, and the sum of its rows' 32-bit SHA-256 heads (O1.14).
 

@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import random
+import json
 import re
+import unicodedata
 from datetime import datetime, timedelta
 from urllib.parse import parse_qsl, urlencode, urlparse, urlunparse
 
@@ -97,10 +99,69 @@ def test_completeness(spark):
     fields = {'{"a": "x", "b": " ", "c": null, "d": [], "e": [""], "f": 0, "g": {}, "h": false}': 5, "{}": 0, "[1]": 0, "nothing": 0, '{"a": "[]"}': 1}
     assert one(spark, *[jsonx.informative_fields(F.lit(x)) for x in fields]) == tuple(fields.values())
     assert one(spark, text.filled_fields(F.lit("t"), F.lit(" \t\n"), F.lit(None).cast("string"), F.lit("")), text.filled_fields()) == (1, 0)
-    kinds = {"s": "STRING", "n": "NUMBER", "l": "ARRAY", "o": "OBJECT", "b": "BOOLEAN"}
-    good = '{"s": "", "n": 1.5, "l": [], "o": {}, "b": true, "more": 1}'
-    bad = [good.replace("true", "1"), good.replace("1.5", '"1.5"'), good.replace('"s": "", ', ""), good.replace('"o": {}', '"o": null'), "[]", "{", None]
-    assert one(spark, *[jsonx.follows(F.lit(x), kinds) for x in (good, *bad)]) == (True, *[False] * len(bad))
+
+
+def test_answers_of_exactly_a_form(spark):
+    good = {"summary": "s", "advertisement_information": [{"source_ref": "a", "title": None, "facts": ["x"]}], "forum_information": [{"snippet": "y"}], "unverified_claims": [], "sources": ["q"]}
+    ad = good["advertisement_information"][0]
+    also = [good | {"advertisement_information": [], "forum_information": []}, good | {"advertisement_information": [ad | {"title": "t"}, ad]}]
+    bad = [
+        good | {"more": 1}, good | {"summary": None}, good | {"summary": 1}, {k: v for k, v in good.items() if k != "sources"}, good | {"sources": [1]}, good | {"sources": [None]}, good | {"sources": {}},
+        good | {"advertisement_information": [ad | {"more": 1}]}, good | {"advertisement_information": [ad, {"source_ref": "a", "facts": []}]}, good | {"advertisement_information": [ad | {"facts": "x"}]}, good | {"forum_information": [{}]}, [good],
+    ]
+    texts = [*map(json.dumps, [good, *also, *bad]), "{", None]
+    assert one(spark, *[jsonx.follows(F.lit(x), jsonx.SUMMARY) for x in texts]) == (*[True] * 3, *[False] * (len(bad) + 2))
+
+
+def test_paths_by_python(spark):
+    doc = {"a": {"b": [1, {"c": "x", "q": None}, [2, 3]], "d": None}, "t": "y", "0": {"": "z"}}
+    paths = ["t", "a.d", "a", "a.b", "a.b.0", "a.b.1.c", "a.b.1.q", "a.b.2.1", "0", "0.", "new", "a.new", "a.b.3", "a.b.-1", "a.b.x", "t.x", "q.r", "a.b.0.z", "a.d.x", "0.0.0"]
+
+    def put(path):
+        out = json.loads(json.dumps(doc))
+        at, (*way, last) = out, path.split(".")
+        try:
+            for p in way:
+                at = at[int(p)] if isinstance(at, list) else at[p]
+            if isinstance(at, list):
+                if not 0 <= int(last) < len(at):
+                    return None
+                at[int(last)] = {"n": [1]}
+            elif isinstance(at, dict):
+                at[last] = {"n": [1]}
+            else:
+                return None
+        except (KeyError, ValueError, IndexError, TypeError):
+            return None
+        return out
+
+    df = spark.createDataFrame([(json.dumps(doc), p) for p in paths] + [(None, "t"), (json.dumps(doc), None), ("{", "t")], "x string, p string")
+    edited = jsonx.set_path(F.col("x"), F.col("p"), F.lit('{"n": [1]}'))
+    rows = df.select("p", edited.alias("s"), jsonx.get_path(edited, F.col("p")).alias("g")).collect()
+    for r, p in zip(rows, paths):
+        assert (r.s and json.loads(r.s)) == put(p), p
+        assert r.g == (None if r.s is None else '{"n":[1]}'), p
+    assert [r.s for r in rows[len(paths) :]] == [None] * 3
+
+
+def test_folding_of_every_character(spark):
+    """As Python decomposes them; in texts of many characters, so that each stands beside others."""
+
+    def fold(v):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))
+        key = re.sub(r"[^a-z0-9]+", "_", bare.lower()).strip("_")
+        return "eta" if key == "age" else key
+
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["ﬁne", "Ａｂ", "½ x", "①", "№ 5", "", "ÂGE"] + ["x".join(every[i : i + 500]) for i in range(0, len(every), 500)]
+    got = {r.t: r.k for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.fold_key(F.col("t")).alias("k")).collect()}
+    assert [got[t] for t in texts[:7]] == ["fine", "ab", "1_2_x", "1", "no_5", "", "eta"]
+    assert all(got[t] == fold(t) for t in texts)
+
+
+def test_white_space_of_any_script(spark):
+    space = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+    assert one(spark, text.normal_text(F.lit(f"{space}A{space}b　c\xa0")), text.normal_text(F.lit(None))) == ("a b c", "")
 
 
 def test_known_answer_of_gcm(spark):

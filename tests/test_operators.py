@@ -61,11 +61,38 @@ def test_streak_bounded(spark):
     assert health.leading_streak(rows, "source_id", failed, ["n"], most=10).first().streak == 10
 
 
-def test_due(spark):
-    rows = [(1, True, True, True, NOW), (2, True, True, True, NOW + timedelta(1)), (3, False, True, True, NOW), (4, True, False, True, NOW), (5, True, True, False, NOW), (6, True, True, True, NOW - timedelta(1)), (7, True, True, True, NOW)]
+def test_dispatch(spark):
+    """A pending run is active; retries use the batch up; skipped sources do, too."""
+    ago = lambda **k: NOW - timedelta(**k)
+    rows = [(1, True, True, True, NOW), (2, True, True, True, NOW + timedelta(1)), (3, False, True, True, NOW), (4, True, False, True, NOW), (5, True, True, False, NOW), (6, True, True, True, ago(days=1)), (7, True, True, True, ago(hours=1)), (8, True, True, True, NOW), (9, True, True, True, ago(hours=2)), (10, True, True, True, None)]
     sources = spark.createDataFrame(rows, "source_id long, enabled boolean, automatic boolean, has_config boolean, next_at timestamp_ntz")
-    active = spark.createDataFrame([(7, "running")], "source_id long, status string")
-    assert [r.source_id for r in health.due(sources, active, F.lit(NOW).cast("timestamp_ntz"), 10).collect()] == [6, 1]
+    runs = [(70, 7, "pending", ago(minutes=1), None), (80, 20, "pending", ago(minutes=2), None), (90, 9, "running", ago(hours=8), ago(hours=6, minutes=6)), (91, 21, "running", ago(hours=8), ago(hours=6, minutes=4)), (92, 6, "failed", ago(hours=9), ago(hours=9))]
+    runs = spark.createDataFrame(runs, "run_id long, source_id long, status string, queued_at timestamp_ntz, started_at timestamp_ntz")
+    now = F.lit(NOW).cast("timestamp_ntz")
+    got = {(r.source_id, r.run_id, r.action) for r in health.dispatch(sources, runs, now, 10).collect()}
+    assert got == {(9, 90, "close"), (20, 80, "retry"), (6, None, "start"), (9, None, "start"), (7, None, "active_run"), (1, None, "start"), (8, None, "start")}
+    got = {(r.source_id, r.action) for r in health.dispatch(sources, runs, now, 3).collect() if r.run_id is None}
+    assert got == {(6, "start"), (9, "start")}  # one place went to the retry
+    assert {r.action for r in health.dispatch(sources, runs.where("false"), now, 10).collect()} == {"start"}
+
+
+def upserted(spark, rows, current=(), stopped=()):
+    schema = "k string, source string, url string, title string, page int, ts timestamp_ntz, n long, good boolean"
+    batch = spark.createDataFrame([(k, "s", "u", t, p, NOW + timedelta(hours=9 * i), i, g) for i, (k, t, p, g) in enumerate(rows)], schema)
+    have = spark.createDataFrame([(k, "s", "u", t, p, 5, NOW, NOW, NOW) for k, t, p in current], "k string, source string, url string, title string, page int, revision long, first_seen timestamp_ntz, last_seen timestamp_ntz, changed_at timestamp_ntz")
+    stop = spark.createDataFrame([(x,) for x in stopped], "k string")
+    out, after = linkage.upsert(have, batch, ["k", "source", "url"], ["title"], "ts", "n", stop, F.col("good"), page="page")
+    return [(r.outcome, ",".join(r.changed), r.revision) for r in out.orderBy("n").collect()], {r.k: (r.title, r.page, r.revision) for r in after.collect()}
+
+
+def test_rows_of_a_batch_see_each_other(spark):
+    out, after = upserted(spark, [("x", "a", None, True), ("x", "a", None, True), ("x", "b", None, True)])
+    assert out == [("created", "", 1), ("unchanged", "", 1), ("updated", "title", 2)] and after == {"x": ("b", None, 2)}
+    # Refused and suppressed rows leave no trace; a smaller page is a change; null and empty are equal.
+    rows = [("x", "c", 1, False), ("x", "a", 3, True), ("z", "q", 1, True), ("x", "a", 2, True), ("x", None, 4, True), ("x", "", None, True), ("x", "a", 2, None), ("w", None, 1, True), ("w", "", 1, True)]
+    out, after = upserted(spark, rows, [("x", "a", 3), ("y", "y", 1)], ["z"])
+    assert out == [("rejected", "", None), ("unchanged", "", 5), ("suppressed", "", None), ("updated", "page", 6), ("updated", "title", 7), ("unchanged", "", 7), ("rejected", "", None), ("created", "", 1), ("unchanged", "", 1)]
+    assert after == {"x": (None, 2, 7), "y": ("y", 1, 5), "w": (None, 1, 1)}
 
 
 def test_duplicates(spark):
@@ -95,8 +122,13 @@ def test_alerts(spark):
 
 
 def test_counter_restart(spark):
-    rows = spark.createDataFrame([("k", 1, 5), ("k", 2, 9), ("k", 3, 2)], "k string, ts long, c long")
-    assert [r.gain for r in series.increase(rows, "k", "ts", "c").orderBy("ts").collect()] == [0, 4, 2]
+    rows = spark.createDataFrame([("k", NOW + timedelta(hours=20 * i), i, c) for i, c in enumerate([5, 9, None, 2, 2])], "k string, ts timestamp_ntz, n long, c long")
+    assert [r.gain for r in series.increase(rows, "k", "ts", "n", "c").orderBy("ts").collect()] == [0, 4, 0, 2, 0]
+
+
+def test_an_infinite_bucket_gives_the_bound_below(spark):
+    rows = spark.createDataFrame([("k", 1.0, 2), ("k", 5.0, 4), ("k", float("inf"), 10)], "k string, le double, n long")
+    assert [series.bucket_quantile(rows, ["k"], "le", "n", q, "q").first().q for q in (0.2, 0.3, 0.9)] == [1.0, 3.0, 5.0]
 
 
 PAGE = """<html><head><title>Ads</title><style>x{}</style></head><body><div id=list><a class="ad" href="/1">One</a><a class="ad hot" href="/2"> Two<br>lines </a><a href="/3"></a></div>
@@ -153,9 +185,33 @@ def test_implied_ends_and_deep_pages(spark):
     assert spark.sql("SELECT v.* FROM VALUES ('<i>a</i><i>b</i>') AS t(h), LATERAL extract_values(t.h, 'i', 'text') v").collect() == [(0, "a"), (1, "b")]
 
 
-def test_reservations_and_stuck_runs(spark):
-    rows = [(i, f"2024-01-01 00:00:{i:02d}", x) for i, x in enumerate([5, -9, 4, 7, -3, 2])]
-    out = series.reservations(spark.createDataFrame(rows, "i int, t string, x int").withColumns({"t": F.col("t").cast("timestamp"), "k": F.lit(1)}), ["k"], "t", "i", F.col("x"), 10).orderBy("i").collect()
-    assert [r.reserved for r in out] == [5, 0, 4, 11, 8, 10] and [r.fits for r in out] == [True, True, True, False, True, True]
+def test_quantiles(spark):
     quarter = series.quantiles(spark.createDataFrame([("a", x) for x in [1.0, 1.0, 2.0, 10.0, None]], "k string, v double"), ["k"], "v", p0=0.0, p50=0.5, p90=0.9, p100=1.0).first()
     assert tuple(quarter) == ("a", 1.0, 1.5, 7.6, 10.0)
+
+
+def test_orphans_have_a_day_of_grace(spark):
+    listing = spark.createDataFrame([("a", NOW - timedelta(2)), ("b", NOW - timedelta(2)), ("c", NOW - timedelta(hours=23)), ("d", None)], "k string, at timestamp_ntz")
+    refs = spark.createDataFrame([("b", None)], "x string, y string")
+    assert [r.k for r in linkage.unreferenced(listing, "k", refs, "at", F.lit(NOW).cast("timestamp_ntz")).collect()] == ["a"]
+
+
+def test_merged_pages(spark):
+    rows = spark.createDataFrame([("x", p, i, v) for p, page in enumerate([["a", "b"], ["b", "c"], ["d"]]) for i, v in enumerate(page)] + [("y", 0, 0, "a"), ("y", 1, 0, "a")], "k string, page int, i int, v string")
+    got = {r.k: (r["values"], r.limit_reached) for r in linkage.merged_pages(rows, "k", ["page", "i"], F.col("v"), F.upper("v"), 3).collect()}
+    assert got == {"x": (["A", "B", "C"], True), "y": (["A"], False)}
+
+
+def test_detections(spark):
+    rows = [(1, "FEMALE_BREAST_EXPOSED", 0.3), (1, "ANUS_EXPOSED", 0.7), (1, "FACE_MALE", 0.5), (2, "FEET_COVERED", 0.9), (3, "BUTTOCKS_EXPOSED", 0.2), (4, "FACE_MALE", None)]
+    s = records.detection_scores(spark.createDataFrame(rows, "m int, c string, s double"), "m", "c", "s")
+    got = {r.m: (r.explicit, r["class"], r.confidence, r.review) for r in s.select("m", "explicit", *records.media_class(F.col("explicit"), F.col("face"))).collect()}
+    assert got == {1: (0.7, "explicit", 0.7, True), 2: (0.0, "safe", 1.0, False), 3: (0.2, "unclassified", 0.2, True), 4: (0.0, "safe", 1.0, False)}
+
+
+def test_suppression_is_there_before_rows_go(spark):
+    keys = spark.createDataFrame([(1, "h1"), (2, "h2")], "id int, h string")
+    listed = spark.createDataFrame([("h2", 4, "old")], "key_hash string, blocked long, reason string")
+    rows = spark.createDataFrame([(1, "a"), (3, "b")], "k int, v string")
+    suppressed, left = records.erasure(keys, F.col("h"), listed, {"t": (rows, "k")})
+    assert {tuple(r) for r in suppressed.collect()} == {("h1", 0, "erasure"), ("h2", 4, "old")} and [r.v for r in left["t"].collect()] == ["b"]
