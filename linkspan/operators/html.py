@@ -1,8 +1,9 @@
 """Extraction from collected pages: a small element reader, run over batches of pages.
 
 Spark deals the pages out; the reader goes through one page once and gives all fields that were asked for. A
-selector is ``tag``, ``.class``, ``#id``, ``[attribute]`` or a mix such as ``a.next[href]``; blanks between parts ask
-for an ancestor. Any other selector (XPath, child combinators, attribute values) is an error.
+selector is ``tag``, ``.class``, ``#id``, ``[attribute]``, ``[attribute=value]`` or a mix such as ``a.next[href]``; blanks between
+parts ask for an ancestor, ``>`` for a parent. One that starts with ``/``, ``.`` and a slash, ``..`` or ``xpath:`` is a path of ``xpath``. Any
+other selector is an error.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from . import xpath
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_PART = re.compile(r"([a-zA-Z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)\]")
-_WHOLE = re.compile(r"(?=.)([a-zA-Z][\w-]*|\*)?(\.[\w-]+|#[\w-]+|\[[\w-]+\])*")
+_ATTRIBUTE = r"""\[([\w-]+)(?:=(?:"([^"]*)"|'([^']*)'|([\w-]+)))?\]"""
+_PART = re.compile(rf"([a-zA-Z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|{_ATTRIBUTE}")
+_WHOLE = re.compile(rf"(?=.)([a-zA-Z][\w-]*|\*)?(\.[\w-]+|#[\w-]+|{_ATTRIBUTE})*")
+_SPLIT = re.compile(r"""(?:[^\s>"']|"[^"]*"|'[^']*')+|>""")
+_XPATH = re.compile(r"xpath:|/|\./|\.\.")
 #: What a start tag closes although its end tag is left out, and the elements past which that doesn't reach.
 _CLOSES = {
     **dict.fromkeys(
@@ -105,35 +111,50 @@ def parse(html: str | None) -> Element:
     return r.root
 
 
-def _parts(selector: str) -> list[list[tuple]]:
-    parts = selector.split()
-    for part in parts:
-        if not _WHOLE.fullmatch(part):
+def _parts(selector: str) -> list[tuple[list[tuple], bool]]:
+    """Parts, the last one first, and whether the part before must be the parent."""
+    parts, direct = [], False
+    for part in _SPLIT.findall(selector):
+        if part == ">" and (direct or not parts) or part != ">" and not _WHOLE.fullmatch(part):
             raise ValueError(f"selector part not supported: {part!r} in {selector!r}")
-    return [_PART.findall(part) for part in parts]
+        if part == ">":
+            direct = True
+        else:
+            parts.append((_PART.findall(part), direct))
+            direct = False
+    if direct or not parts:
+        raise ValueError(f"selector not supported: {selector!r}")
+    return parts[::-1]
 
 
 def _is(e: Element, part: list[tuple]) -> bool:
-    for tag, cls, ident, attribute in part:
-        if tag and tag not in ("*", e.tag) or cls and cls not in e.attributes.get("class", "").split() or ident and e.attributes.get("id") != ident or attribute and attribute not in e.attributes:
+    for tag, cls, ident, attribute, *values in part:
+        if tag and tag not in ("*", e.tag) or cls and cls not in e.attributes.get("class", "").split() or ident and e.attributes.get("id") != ident:
+            return False
+        if attribute and (attribute not in e.attributes or any(values) and e.attributes[attribute] != "".join(values)):
             return False
     return True
 
 
+def _above(e: Element, parts: list[tuple[list[tuple], bool]]) -> bool:
+    """Do the parts after the first one stand above ``e``, which the first one names?"""
+    if len(parts) == 1:
+        return True
+    at, direct = e.parent, parts[0][1]
+    while at is not None:
+        if _is(at, parts[1][0]) and _above(at, parts[1:]):
+            return True
+        at = None if direct else at.parent
+    return False
+
+
 def select(root: Element, selector: str) -> list[Element]:
-    """Elements below ``root`` that the selector names, in page order."""
-    *above, last = _parts(selector)
-    found = []
-    for e in root.walk():
-        if not _is(e, last):
-            continue
-        at, need = e.parent, len(above)
-        while at is not None and need:
-            need -= _is(at, above[need - 1])
-            at = at.parent
-        if not need:
-            found.append(e)
-    return found
+    """Elements below ``root`` that the selector names, in page order; those of a path may be texts as well."""
+    selector = selector.strip()
+    if _XPATH.match(selector):
+        return xpath.find(root, selector.removeprefix("xpath:"))
+    parts = _parts(selector)
+    return [e for e in root.walk() if _is(e, parts[0][0]) and _above(e, parts)]
 
 
 def element_text(e: Element) -> str:
@@ -150,7 +171,9 @@ def element_text(e: Element) -> str:
     return "\n".join(re.sub(" +", " ", line).strip() for line in "".join(parts).split("\n")).strip()
 
 
-def _value(e: Element, attribute: str) -> str:
+def _value(e: Element | str, attribute: str) -> str:
+    if isinstance(e, str):
+        return e.strip()
     return (element_text(e) if attribute == "text" else e.attributes.get(attribute, "")).strip()
 
 
@@ -202,10 +225,21 @@ class Items:
         return [x for x in found if x]
 
 
-_ARROW = {Values.kind: pa.list_(pa.string()), Pairs.kind: pa.map_(pa.string(), pa.string()), Items.kind: pa.list_(pa.map_(pa.string(), pa.string()))}
+@dataclass(frozen=True)
+class Count:
+    """How many elements a selector names."""
+
+    selector: str
+    kind = "int"
+
+    def read(self, root: Element) -> int:
+        return len(select(root, self.selector))
+
+
+_ARROW = {Count.kind: pa.int32(), Values.kind: pa.list_(pa.string()), Pairs.kind: pa.map_(pa.string(), pa.string()), Items.kind: pa.list_(pa.map_(pa.string(), pa.string()))}
 
 
-def read_fields(pages: DataFrame, **fields: Values | Pairs | Items) -> DataFrame:
+def read_fields(pages: DataFrame, **fields: Values | Pairs | Items | Count) -> DataFrame:
     """page_id and each field, of pages that are parsed once. A null page has no values; a page of any depth is read."""
     names, wanted = list(fields), list(fields.values())
 

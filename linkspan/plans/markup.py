@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import half_up
 from ..functions.text import defragment, origin, resolve_url
 from ..operators import html, records
+from ..operators import walk as walking
 from ..sources.tables import listing, table
 from .registry import query
 
@@ -35,6 +36,59 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "href", target.alias("target"), (origin(F.col("url")) == origin(target)).alias("same_origin"))
 
 
+_SITE = """p AS (SELECT page_id, (SELECT count(*) FROM pages) AS n, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="([^"]*)">', 1) AS ads, length(html) AS size FROM pages),
+q AS (SELECT page_id, 'https://s' || (page_id % 2) || '.example/p/' || page_id AS url, list_filter(ads, lambda x: trim(x) <> '') AS ads, (page_id * 7 + size) % n AS k, size % 9 AS kind FROM p),
+l AS (SELECT url, page_id, ads, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 1 END AS controls, CASE kind WHEN 0 THEN [] WHEN 1 THEN ['https://s' || (k % 2) || '.example/p/' || k, '/p/x'] WHEN 2 THEN ['https://s' || (k % 2) || '.example/p/' || k || '#a', 'https://s' || (k % 2) || '.example/p/' || k] WHEN 3 THEN [] ELSE ['https://s' || (page_id % 2) || '.example/p/' || (k - k % 2 + page_id % 2) || '#top'] END AS nexts FROM q),
+w AS (SELECT page_id % 20 AS source_id, page_id AS start_no, url AS start_url, url AS pg, 0 AS step, CAST([] AS VARCHAR[]) AS seen, CASE WHEN controls = 0 THEN 'end_of_pagination' ELSE '' END AS reason FROM l UNION ALL
+  SELECT source_id, start_no, start_url, nxt, step + 1, list_append(seen, pg), CASE WHEN list_contains(list_append(seen, pg), nxt) THEN 'repeated_page' WHEN t.url IS NULL THEN 'fetch_failed' WHEN step + 2 >= 5 THEN 'max_pages' WHEN t.controls = 0 THEN 'end_of_pagination' ELSE '' END
+  FROM (SELECT w.*, split_part(l.nexts[1], '#', 1) AS nxt, l.controls, l.nexts FROM w JOIN l ON l.url = w.pg WHERE reason = '') x LEFT JOIN l t ON t.url = nxt
+  WHERE len(x.nexts) = x.controls AND len(list_distinct(list_transform(x.nexts, lambda y: split_part(y, '#', 1)))) = 1 AND split_part(start_url, '/', 3) = split_part(nxt, '/', 3)),
+v AS (SELECT w.*, CASE WHEN reason <> '' THEN reason WHEN len(nexts) <> controls THEN 'click_requires_browser' WHEN len(list_distinct(list_transform(nexts, lambda y: split_part(y, '#', 1)))) > 1 THEN 'ambiguous_next_control' WHEN split_part(start_url, '/', 3) <> split_part(nexts[1], '/', 3) THEN 'cross_origin_blocked' ELSE '' END AS stop
+  FROM w LEFT JOIN l ON l.url = w.pg),
+f AS (SELECT source_id, start_no, step, o AS place, CASE WHEN a LIKE '/%' THEN regexp_extract(pg, '^https://[^/]*') || a ELSE a END AS url FROM (SELECT v.*, unnest(ads) AS a, unnest(range(len(ads))) AS o FROM v JOIN l ON l.url = v.pg WHERE stop NOT IN ('repeated_page', 'fetch_failed'))),
+o AS (SELECT source_id, url, row_number() OVER (PARTITION BY source_id ORDER BY min((start_no, step, place))) AS ordinal, min((start_no, step, place)) AS spot FROM f GROUP BY 1, 2),
+c AS (SELECT source_id, spot AS cut FROM o WHERE ordinal = 60)"""
+
+
+def _walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every page as the start of a walk for one of twenty sources; Next links follow from a page's size."""
+    p = table(spark, sf_dir, "pages")
+    n, size = p.count(), F.length("html")
+    k = (F.col("page_id") * 7 + size) % n
+    address = lambda site, page: F.concat(F.lit("https://s"), (site % 2).cast("string"), F.lit(".example/p/"), page.cast("string"))
+    url, other, own, kind = address(F.col("page_id"), F.col("page_id")), address(k, k), address(F.col("page_id"), k - k % 2 + F.col("page_id") % 2), size % 9
+    link = lambda href: F.concat(F.lit('<a class="next" href="'), href, F.lit('">Next</a>'))
+    control = (
+        F.when(kind == 0, "").when(kind == 1, F.concat(link(other), link(F.lit("/p/x")))).when(kind == 2, F.concat(link(F.concat(other, F.lit("#a"))), link(other))).when(kind == 3, '<a class="next">Next</a>')
+        .otherwise(link(F.concat(F.element_at(F.split(own, "example"), 2), F.lit("#top"))))
+    )
+    site = p.select("page_id", url.alias("url"), F.concat("html", control).alias("html"))
+    links = walking.listing_links(site, "url", "html", "//nav//a[@href]", "a.next")
+    starts = site.select((F.col("page_id") % 20).alias("source_id"), F.col("page_id").alias("start_no"), F.col("url").alias("start_url"))
+    return walking.walk(starts, links, max_pages=5, max_ads=60)
+
+
+@query(f"""WITH RECURSIVE {_SITE} SELECT source_id, start_no, count(*) FILTER (WHERE stop NOT IN ('repeated_page', 'fetch_failed')) AS pages_visited, arg_max(CASE WHEN (start_no, step) = (cut[1], cut[2]) THEN 'max_ads' ELSE nullif(stop, '') END, step) AS stop_reason
+FROM (SELECT v.*, c.cut FROM v LEFT JOIN c USING (source_id)) WHERE cut IS NULL OR (start_no, step) <= (cut[1], cut[2]) GROUP BY 1, 2""")
+def listing_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that each start visits and why it stops (O1.3)."""
+    return _walk(spark, sf_dir)[0]
+
+
+@query(f"""WITH RECURSIVE {_SITE} SELECT source_id, url, CAST(ordinal AS INTEGER) AS ordinal, CAST(min(step) + 1 AS INTEGER) AS page_number FROM (SELECT f.*, o.ordinal FROM f JOIN o USING (source_id, url) LEFT JOIN c USING (source_id) WHERE ordinal <= 60 AND (cut IS NULL OR (start_no, step, place) <= cut)) GROUP BY 1, 2, 3""")
+def listing_adverts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adverts that each source's walks find, in their order, and the first page of each (O1.3, O1.6, O11.1)."""
+    return _walk(spark, sf_dir)[1]
+
+
+@query("""WITH l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li><a href="([^"]*)">', 1) AS x, regexp_extract_all(html, '<p\\b') AS p FROM pages)
+SELECT page_id, list_filter([trim(x[2])], lambda y: y <> '') AS second, list_filter([trim(x[len(x)])], lambda y: y <> '') AS last, CAST(len(list_filter(x, lambda y: contains(y, 'a'))) AS INTEGER) AS with_a FROM l""")
+def html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a page's menu by place and by what they hold, selected by XPath (O11.1)."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    return html.read_fields(p, second=html.Values("//nav/ul/li[2]/a", "href"), last=html.Values("//nav//li[last()]/a/@href"), with_a=html.Count("//nav//li[a[contains(@href, 'a')]]"))
+
+
 @query()
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs as visible text (O1.5, O11.3); no SQL reads real HTML, a test holds it against a plain reader."""
