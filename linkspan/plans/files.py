@@ -43,3 +43,23 @@ def published_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, schema = scratch(spark, "published"), table(spark, sf_dir, "events").schema
     jobs.publish(jobs.read_events(spark, f"{sf_dir}/events*.parquet", schema), out, scratch(spark, "published-checkpoint")).awaitTermination()
     return spark.read.parquet(out).select("event_id", "user_id", "event_type")
+
+
+_STAGED = """s AS (SELECT user_id, ts, least(5, CAST(floor(event_id * 6 / (SELECT max(event_id) + 1 FROM events)) AS INTEGER) + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END) AS stage FROM events),
+m AS (SELECT s.*, (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM s b WHERE b.stage < s.stage - 1) AS mark FROM s), late AS (SELECT count(*) AS n FROM m WHERE ts <= mark),
+g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM m WHERE mark IS NULL OR ts > mark WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+o AS (SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM n GROUP BY user_id, k)"""
+
+
+@query(f"""WITH {_STAGED} SELECT o.*, (SELECT n FROM late) AS late_rows FROM o WHERE "end" + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stale_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over all events, in six batches of which some rows come two batches late, run to its end: sessions that timers closed after twelve
+    silent hours, and how many rows came too late (O12.4)."""
+    e, inbox = table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), scratch(spark, "inbox")
+    count = e.agg(F.max("event_id")).scalar() + 1
+    stage = F.least(F.lit(5), F.floor(F.col("event_id") * 6 / count) + F.when(F.col("event_id") % 50 == 0, 2).otherwise(0))
+    for i in range(6):
+        e.where(stage == i).repartition(4).write.mode("append").parquet(inbox)
+    stream = jobs.timed_sessions(jobs.read_events(spark, inbox, e.schema, files=4), 12 * 3600, "1 hour")
+    out, late = jobs.run_to_end(stream, scratch(spark, "sessions"), scratch(spark, "sessions-checkpoint"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.lit(late).cast("long").alias("late_rows"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
-from ..operators import health, limits, series, timejoin
+from ..operators import health, limits, rollup, series, timejoin
 from ..operators.carry import carried
-from ..sources.tables import table
+from ..sources.tables import scratch, table
 from .registry import NOW, RUN, now, query, runs
 
 
@@ -201,3 +201,26 @@ def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows older than seven days at a fixed now are rejected (O12.18); the continuous form is in ``streaming``."""
     fresh = F.col("ts") >= now() - F.make_dt_interval(F.lit(7))
     return table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count_if(fresh).alias("accepted"), F.count_if(~fresh).alias("rejected"))
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 30 SECOND, ts) - to_seconds(CAST(30 * k AS INTEGER)) AS start, event_type, value FROM events, (SELECT unnest(range(0, 10)) AS k))
+SELECT start, count(*) AS requests, floor(count(*) / 300.0::DOUBLE * 60 * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS per_minute, floor(count(*) FILTER (WHERE event_type = 'error') / greatest(count(*), 1e-6::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS error_ratio, max(value) AS largest FROM w GROUP BY 1""")
+def rules_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over the last five minutes, every half minute, merged from states by half minutes that were stored in two runs (O12.14)."""
+    e, path = table(spark, sf_dir, "events").select("ts", "event_type", "value"), scratch(spark, "rule-states")
+    how = {"step": "30 seconds", "keys": [], "counts": {"all": F.lit(True), "errors": F.col("event_type") == "error"}, "sums": {"value": F.col("value")}}
+    later = F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")
+    rollup.refresh(e.where(F.col("ts") < later), path, "ts", None, **how)
+    rollup.refresh(e, path, "ts", later, **how)  # the day of the break is made anew
+    w = rollup.merged(rollup.read(spark, path), [], "5 minutes", "30 seconds")
+    ratio = half_up(F.col("count_errors") / F.greatest(F.col("count_all"), F.lit(1e-6)), 6)
+    return w.select("start", F.col("count_all").alias("requests"), half_up(F.col("count_all") / 300.0 * 60, 4).alias("per_minute"), ratio.alias("error_ratio"), F.col("max_value").alias("largest"))
+
+
+@query("""SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n, floor(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) / count(*) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS mean FROM events GROUP BY 1, 2""")
+def weekly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks from states by hours, without the rows (O12.14)."""
+    e = table(spark, sf_dir, "events").select("ts", "event_type", F.floor(F.col("value") * 100 + 0.5).cast("long").alias("cents"))
+    hours = rollup.states(e, "ts", "1 hour", ["event_type"], {"all": F.lit(True)}, {"cents": F.col("cents")})
+    weeks = rollup.merged(hours.withColumn("step", F.date_trunc("week", "step").cast("timestamp_ntz")), ["event_type"], "1 day")
+    return weeks.select(F.col("start").alias("week"), "event_type", F.col("count_all").alias("n"), half_up(F.col("sum_cents") / F.col("count_all"), 4).alias("mean"))

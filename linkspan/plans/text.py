@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, numbers, text
-from ..operators import linkage
-from ..sources.tables import table
+from ..operators import linkage, textindex
+from ..sources.tables import scratch, table
 from .registry import query, url_key
 
 
@@ -240,3 +242,46 @@ def summary_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = F.array_distinct(F.transform("turns", lambda t: t["role"]))
     adverts = F.transform("turns", lambda t: jsonx.advert(F.concat(F.lit("source-"), F.array_position(roles, t["role"]).cast("string")), t["role"], t["text"], t["turn"].cast("string")))
     return c.select("conv_id", jsonx.summary_hash(adverts, "local", "small", "v1", F.size("turns")).alias("input_hash"))
+
+
+_WORDS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+#: What is searched for: all of the words, or a phrase.
+_SEARCHES = (("licensed under", False), ("Released under the MIT License", True), ("der die das", False), ("of the", True), ("version 3", True), ("nothing-like-this xyzzy", False), ("the the", True))
+
+
+def _search_sql() -> str:
+    each = []
+    for i, (asked, phrase) in enumerate(_SEARCHES):
+        words = asked.lower().replace("-", " ").split()
+        if phrase:
+            there = " AND ".join(f"w[i + {j}] = '{word}'" for j, word in enumerate(words))
+            hits = f"len(list_filter(range(1, len(w) + 1), lambda i: {there}))"
+        else:
+            hits = f"CASE WHEN list_has_all(w, {words}) THEN len(list_filter(w, lambda x: list_contains({words}, x))) ELSE 0 END"
+        each.append(f"SELECT {i} AS search, doc_id, {hits} AS hits FROM d")
+    return f"WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) SELECT CAST(search AS INTEGER) AS search, doc_id, CAST(hits AS BIGINT) AS hits FROM ({' UNION ALL '.join(each)}) WHERE hits > 0"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> str:
+    """An index of the documents, a batch for each language."""
+    path, docs = scratch(spark, "text-index"), table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    for lang in sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect()):  # a few
+        textindex.add_batch(docs.where(F.col("lang") == lang), path, lang)
+    textindex.add_batch(docs.where("lang is null"), path, "none")
+    return path
+
+
+@query(_search_sql())
+def fulltext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all of some words, and with phrases, found through the index alone (O9.25)."""
+    path = _index(spark, sf_dir)
+    found = [textindex.search(spark, path, asked, phrase).select(F.lit(i).alias("search"), "doc_id", "hits") for i, (asked, phrase) in enumerate(_SEARCHES)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"""WITH b AS (SELECT item_id, {_WORDS.format('text')}[1:4] AS p FROM benchmark), d AS MATERIALIZED (SELECT doc_id, ' ' || array_to_string({_WORDS.format('text')}, ' ') || ' ' AS t FROM documents), m AS (SELECT item_id, doc_id, t, p FROM b JOIN d ON len(p) > 0 AND contains(t, ' ' || array_to_string(p, ' ') || ' '))
+SELECT item_id, doc_id, CAST(len(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 1] = p)) AS BIGINT) AS hits FROM (SELECT item_id, doc_id, p, string_split(trim(t), ' ') AS w FROM m)""")
+def fulltext_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the first four words of each benchmark item stand, all items in one join with the index (O9.25)."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(textindex.words_of(F.col("text")), 1, 4), " ").alias("text"))
+    return textindex.search_phrases(asked, _index(spark, sf_dir)).withColumnRenamed("query", "item_id")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..functions.numbers import COOLDOWN_MINUTES
@@ -35,6 +37,82 @@ def sessions(events: DataFrame, gap: str, late: str, key: str) -> DataFrame:
     return w.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+class _Sessions(StatefulProcessor):
+    """Open sessions of a key (start, end, rows, in microseconds) as a list in state; each has a timer at its end and the gap."""
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "start long, end long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        for chunk in rows:  # in any order; chunk by chunk, so that a key of any size needs no more memory than its open sessions
+            at = np.sort(chunk["us"].to_numpy())
+            cuts = np.flatnonzero(np.diff(at) > self.gap) + 1
+            found += [(int(x[0]), int(x[-1]), len(x)) for x in np.split(at, cuts)]
+            found = self._merged(found)
+        self.open.put(found)
+        for _, end, _ in found:
+            self.handle.registerTimer(-(-(end + self.gap) // 1000))
+        return iter(())
+
+    def _merged(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        for start, end, n in sorted(found):
+            if out and start - out[-1][1] <= self.gap:
+                out[-1] = (out[-1][0], max(end, out[-1][1]), out[-1][2] + n)
+            else:
+                out.append((start, end, n))
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        found = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        over = [x for x in found if x[1] + self.gap <= now]
+        rest = [x for x in found if x[1] + self.gap > now]
+        if rest:
+            self.open.put(rest)
+        else:
+            self.open.clear()
+        if over:
+            yield pd.DataFrame({"user_id": key[0], "start_us": [x[0] for x in over], "end_us": [x[1] for x in over], "n": [x[2] for x in over]})
+
+    def close(self) -> None:
+        pass
+
+
+def timed_sessions(events: DataFrame, gap_seconds: int, late: str) -> DataFrame:
+    """Sessions (user_id, start, end, n) that ended because nothing came for ``gap_seconds`` (O12.4): an event-time timer closes each.
+
+    ``events`` has user_id and ts. Rows that are later than ``late`` behind the latest one before the last batch are dropped and counted in
+    the query's progress; others may come in any order and join sessions that were apart. State is the open sessions, one row each, in RocksDB.
+    """
+    rows = events.select("user_id", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
+    out = rows.groupBy("user_id").transformWithStateInPandas(_Sessions(gap_seconds * 1_000_000), "user_id long, start_us long, end_us long, n long", "append", "eventTime")
+    return out.select("user_id", F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"), "n")
+
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, int]:
+    """What a stream gives when all that is there has been read, and how many rows came too late."""
+    spark = stream.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, _ROCKS)
+    try:
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    dropped = sum(op.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(path), dropped
+
+
 _COOLDOWN = "user_id long, event_id long, failures long, cooldown_until timestamp"
 
 

@@ -9,6 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from linkspan.operators import rollup
 from linkspan.operators.carry import carried
 from linkspan.operators.limits import admissions, admitted, lockouts
 from linkspan.operators.timejoin import asof_join, interval_join
@@ -154,3 +155,26 @@ def test_intervals_by_brute_force(spark):
     assert {x.id for x in interval_join(p, s, ["k"], "ts", "since", "until", "left_anti").collect()} == {i for i, _, _ in points} - hit
     assert interval_join(p, s.where("false"), ["k"], "ts", "since", "until").count() == 0
     assert interval_join(p, s.where("false"), ["k"], "ts", "since", "until", "left_anti").count() == 120
+
+
+def test_states_merge_into_any_range(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(at(r.random() * 60), r.choice("ab"), r.randrange(3000), r.random() * 100) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, k string, u long, v double")
+    how = {"step": "30 seconds", "keys": ["k"], "counts": {"all": F.lit(True), "high": F.col("v") > 90}, "sums": {"v": F.col("v")}, "distinct": {"u": F.col("u")}, "quantiles": {"v": F.col("v")}}
+    path = str(tmp_path / "states")
+    cut = F.lit("2024-01-02 03:00:00").cast("timestamp_ntz")
+    rollup.refresh(df.where(F.col("ts") < cut), path, "ts", None, **how)
+    rollup.refresh(df, path, "ts", cut, **how)
+    made = rollup.read(spark, path)
+    start, end = at(5.5), at(50)
+    lit = lambda t: F.lit(t).cast("timestamp_ntz")
+    got = {x.k: x for x in rollup.over(made, ["k"], lit(start), lit(end)).select("k", "count_all", "count_high", "max_v", rollup.estimate("u").alias("u"), rollup.quantile("v", 0.95).alias("p95")).collect()}
+    for k in "ab":
+        own = sorted(v for t, q, _, v in rows if q == k and start <= t < end)
+        users = len({u for t, q, u, _ in rows if q == k and start <= t < end})
+        assert (got[k].count_all, got[k].count_high, got[k].max_v) == (len(own), sum(v > 90 for v in own), own[-1])
+        assert abs(got[k].u / users - 1) < 4 * 0.016
+        assert abs(sum(v <= got[k].p95 for v in own) / len(own) - 0.95) < 0.0133 * 1.5
+    windows = rollup.merged(made, ["k"], "1 hour", "30 minutes")
+    assert windows.agg(F.sum("count_all")).first()[0] == 2 * len(rows)
