@@ -85,11 +85,76 @@ def test_store_many_chunks(spark, tmp_path, monkeypatch):
 
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 4095, 4096, 4097, 20000])
-def test_planes(n, bits):
+def test_planes_of_blocks(n, bits, monkeypatch):
     ids = np.random.default_rng(n).integers(0, 1 << 32, n, dtype="u4")
-    planes = id_store.to_planes(ids, bits)
-    assert len(planes) == (32 if bits else 4)
-    assert (id_store.from_planes(planes, n, bits) == ids).all()
+    planes, ends = id_store.to_blocks(ids, bits)
+    n_blocks = -(-n // id_store.BLOCK)
+    assert len(ends) == n_blocks * (32 if bits else 4) and (ends[-1] if ends else 0) == len(planes)
+    assert (id_store.from_blocks(planes, ends, n, bits) == ids).all()
+    read, whole = [], id_store.from_block
+    monkeypatch.setattr(id_store, "from_block", lambda p, k, b: read.append(k) or whole(p, k, b))
+    for a, z in ((0, 1), (4095, 4097), (5000, 5000), (n // 2, n), (4096, 8192), (n - 1, n + 5)):
+        read.clear()
+        a, z = max(a, 0), max(z, 0)
+        assert (id_store.from_blocks(planes, ends, n, bits, a, z) == ids[a:z]).all()
+        assert len(read) == (-(-min(z, n) // 4096) - a // 4096 if a < min(z, n) else 0)  # no block beside the range
+    if n == 20000:  # the size of blocks matters
+        monkeypatch.setattr(id_store, "BLOCK", 16)
+        other, more = id_store.to_blocks(ids, bits)
+        assert other != planes and len(more) == 1250 * (32 if bits else 4) and (id_store.from_blocks(other, more, n, bits) == ids).all()
+
+
+@pytest.mark.parametrize("bits", [False, True])
+def test_ranges_and_long_documents(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(id_store, "CHUNK", 5000)
+    texts = [(i, f"number {i} " * (i % 7)) for i in range(40)] + [(12, "word " * 23_000), (13, None), (None, "null " * 6000)]
+    path = str(tmp_path / "s")
+    id_store.write_ids(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), path, bits=bits)
+    chunks = spark.read.schema(id_store.SCHEMA).parquet(path).collect()
+    assert max(r.n_ids for r in chunks) <= 5000 and sum(r.doc_lengths[0] < r.doc_totals[0] for r in chunks) >= 7
+    assert all(len(r.ends) == -(-r.n_ids // 4096) * (32 if bits else 4) for r in chunks)
+    rows = sorted(id_store.read_ids(spark, path).collect(), key=lambda r: r.start)
+    whole = b"".join(r.ids for r in rows)
+    want = [(d, ids_of(t)) for d, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0))]
+    assert sorted((r.doc_id is not None, r.doc_id or 0, len(r.ids) // 4, r.n_tokens) for r in rows) == sorted((d is not None, d or 0, len(i), len(i)) for d, i in want)
+    assert [r.start for r in rows] == np.cumsum([0, *[len(r.ids) // 4 for r in rows[:-1]]]).tolist()
+    for a, z in ((0, 10), (5990, 6010), (7000, 19000), (len(whole) // 4 - 3, len(whole) // 4 + 9), (50, 50)):
+        pieces = sorted(id_store.read_range(spark, path, a, z).collect(), key=lambda r: r.doc_start + r.piece_start)
+        assert b"".join(p.ids for p in pieces) == whole[4 * a : 4 * z]
+        assert [p.doc_start + p.piece_start for p in pieces] == [a + sum(len(q.ids) // 4 for q in pieces[:i]) for i in range(len(pieces))]
+    pieces = id_store.read_pieces(spark, path).collect()
+    assert max(len(p.ids) for p in pieces) <= 4 * 5000 and sum(len(p.ids) for p in pieces) == len(whole)
+
+
+def test_a_document_of_ten_million_ids_in_bounded_memory():
+    """Chunk by chunk: no array but those of one chunk is held at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    ids = (np.arange(10_000_000, dtype="u4") % 50_000).tobytes()
+
+    class Fake:
+        def ids(self, text):
+            return ids
+
+    original, id_store.encoder = id_store.encoder, lambda path: Fake()
+    context, id_store.TaskContext = id_store.TaskContext, type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))})
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x"])], ["doc_id", "text"])
+        tracemalloc.start()
+        n = seen = 0
+        for chunk in id_store._encode("", 1, False, id_store.CHUNK)(iter([batch])):
+            for piece in id_store._decode(iter([chunk.append_column("base", pa.array([n]))])):
+                seen += len(piece.column(4)[0].as_py()) // 4
+            n += chunk.column(3)[0].as_py()
+            tracemalloc.reset_peak() if n < 3 * id_store.CHUNK else None
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        id_store.encoder, id_store.TaskContext = original, context
+    assert n == seen == 10_000_001
+    assert peak < 60e6  # the text's own ids are 40 MB, a chunk's are 1 MB
 
 
 def check_packing(rows, docs, capacity):
