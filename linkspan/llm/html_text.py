@@ -3,12 +3,14 @@
 A page is cut into blocks at every element that is not inline. The first pass decides blocks by
 their number of words, the share of stop words among them and the share of their letters inside links. Blocks
 of too few words, or of middling shares, stay open; the second pass gives them the label of the nearest
-decided blocks of their part of the page.
+decided blocks of their part of the page. In scripts without spaces two letters count as a word, and where a page has next to
+none of the stop words known here, whole sentences and length decide in their place.
 
 Containers are one input beside these rules: menus, footers, adverts, forms and the like bar their blocks, unless
 they wrap an article or would bar a page's whole text; and where articles hold a fair part of the text, the
 rest of the page goes. A name of a container counts as a whole (``sidebar``, ``ad-slot``), not by a part of it
-(``no-sidebar``, ``ad-free``).
+(``no-sidebar``, ``ad-free``). Reader comments are also known by their structure: siblings of one kind, each with a name, a date and a
+short text, that follow the text.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from html import unescape
 from typing import NamedTuple
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ AROUND = frozenset("nav form menu header".split())
 UNWANTED = frozenset(
     """ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices
     alert alerts menu menus nav navbar navigation sidebar aside footer masthead breadcrumb breadcrumbs pagination pager comment comments commentlist
-    disqus replies reply respond share sharing social related newsletter subscribe subscription signup login popup modal overlay skip toolbar widget widgets""".split()
+    disqus replies reply respond responses feedback legal disclaimer imprint impressum share sharing social related newsletter subscribe subscription signup login popup modal overlay skip toolbar widget widgets""".split()
 )
 ENDINGS = frozenset(
     """area bar block blocks body box button buttons card cards column container content form group inner item items label link links list panel post posts
@@ -57,9 +60,26 @@ STOP = frozenset(
     al como con cuando de del donde el ella en es esta este ha la las lo los mas más me mi muy no o para pero por que se si sin sobre su sus también un una y ya""".split()
 )
 WORD = re.compile(r"\w+")
+#: Letters of scripts that don't put spaces between words, and what ends a sentence in any script.
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
+SENTENCE = regex.compile(r"(?:\p{Sentence_Terminal}|…)[\p{Pe}\p{Pf}\p{Pi}\"'\s]*\Z")
+#: A date or an age, as comments have them.
+DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b|\b\d{1,2}\.? \w{3,10},? \d{4}\b|\b\w{3,10} \d{1,2},? \d{4}\b|\b\d+ \w+ ago\b|\bvor \d+ \w+|\bil y a \d+ \w+|\bhace \d+ \w+|\d+年\d+月\d+日|\b\d{1,2}:\d{2}\b", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Words that a block needs to be decided by its density; words of a dense text that containers alone don't bar.
 SHORT, MUCH = 10, 50
+#: Different words, or letters of a script without spaces, from which a page tells whether its language is known.
+ENOUGH = 25
+
+
+@dataclass(eq=False)
+class Node:
+    """An element that holds blocks: the one around it, tag and class, and whether a ``time`` stands in it."""
+
+    above: Node | None
+    kind: str = ""
+    dated: bool = False
+    item: Node | None = None  # the list entry that is open in it
 
 
 @dataclass(eq=False)
@@ -78,6 +98,12 @@ class Block(NamedTuple):
     region: int  # number of the article, 0 outside
 
 
+def n_words(text: str) -> int:
+    """Words of a text; in scripts without spaces, two letters are one."""
+    letters = len(UNSPACED.findall(text))
+    return len(WORD.findall(text)) + letters // 2
+
+
 def unwanted_name(name: str) -> bool:
     """Is a class or an id the name of an unwanted container?"""
     parts = [x for x in re.split("[-_]+", CAMEL.sub("-", name).lower()) if x]
@@ -93,8 +119,15 @@ def _named(attributes: str) -> bool:
 
 def blocks(html: str) -> tuple[list[Block], list[int]]:
     """The blocks in page order, and for each article the one around it (0: none)."""
+    return _read(html)[:2]
+
+
+def _read(html: str) -> tuple[list[Block], list[int], list[Node]]:
+    """``blocks``, and the element that holds each."""
     found: list[Block] = []
-    stack: list[tuple[str, Mark | None, int]] = []  # tag, mark, region
+    nodes: list[Node] = []
+    stack: list[tuple[str, Mark | None, int, Node]] = []  # tag, mark, region, node
+    page = Node(None)
     parts: list[str] = []
     around = [0]
     linked, link, at = 0, -1, 0  # link: how deep the open link stands
@@ -105,7 +138,9 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, linked, *(stack[-1][1:] if stack else (None, 0))))
+                mark, region, node = stack[-1][1:] if stack else (None, 0, page)
+                found.append(Block(text, linked, mark, region))
+                nodes.append(node.item or node)
             parts.clear()
         linked = depth = 0
 
@@ -129,13 +164,19 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
                 link = -1 if m[2] else len(stack)
             elif tag == "br":
                 parts.append(" ")
+            elif tag == "time":
+                node = stack[-1][3] if stack else page
+                (node.item or node).dated = True
             if depth and tag == skip:
                 depth += -1 if m[2] else 1
             elif not depth and not m[2] and m[4] and tag not in VOID and _named(m[4]):
                 skip, depth = tag, 1
             continue
         end_block()
+        holder = stack[-1][3] if stack else page
         if tag in VOID or tag in LOOSE:
+            if tag == "li":
+                holder.item = None if m[2] else Node(holder, "li")
             continue
         if m[2]:
             if any(s[0] == tag for s in stack):
@@ -145,9 +186,9 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
             continue
         if m[4].endswith("/") and tag in ("path", "use", "rect", "circle"):
             continue
-        mark, region = stack[-1][1:] if stack else (None, 0)
+        mark, region = stack[-1][1:3] if stack else (None, 0)
         if tag in ("article", "main"):
-            for _, x, _ in stack:
+            for _, x, _, _ in stack:
                 if x and x.why != "tag":
                     x.wraps = True
             if not region or tag == "article" and any(s[0] == "article" for s in stack):
@@ -159,42 +200,78 @@ def blocks(html: str) -> tuple[list[Block], list[int]]:
             mark = Mark("around", mark)
         if m[4] and _named(m[4]):
             mark = Mark("name", mark)
-        stack.append((tag, mark, region))
+        stack.append((tag, mark, region, Node(holder.item or holder, f"{tag} {m[4]}" if len(m[4]) < 200 else tag)))
     if at < len(html):
         add(html[at:])
     end_block()
-    return found, around
+    return found, around, nodes
 
 
-def rule(words: int, stop: float, link: float, sentence: bool, inside: bool) -> bool | None:
+def rule(words: int, stop: float, link: float, sentence: bool, inside: bool, known: bool = True) -> bool | None:
     """A block's label by its words, shares of stop words and of letters in links, and whether it ends as a
-    sentence does; inside an article, links and few stop words weigh less. None: open."""
+    sentence does; inside an article, links and few stop words weigh less. Where the page's language isn't ``known``, sentences
+    and length count instead of stop words. None: open."""
     if link > (0.8 if inside else 0.5):
         return False
     if words < SHORT or link > 0.33:
         return None
+    if not known and (sentence or words >= 40):
+        return True
     if stop >= 0.2 or words >= 40 and stop >= 0.1:
         return True
     return False if stop < 0.05 and not sentence and not inside else None
 
 
-def decide(page: list[Block], around: list[int], passing: tuple[str, ...] = ()) -> list[tuple[bool, str]]:
-    """Each block's label and what gave it: rule, neighbour or container. Marks ``passing`` don't bar."""
+def comments(page: list[Block], nodes: list[Node]) -> set[int]:
+    """Blocks of reader comments, by structure alone: two siblings of one kind or more, each with a date, a name of up to four
+    words or both in one line, and up to 150 words of text; they follow twenty words of other text at least."""
+    groups: dict[tuple, dict[Node, list[int]]] = defaultdict(lambda: defaultdict(list))
+    words = [n_words(b.text) for b in page]
+    for i, x in enumerate(nodes):
+        for _ in range(6):
+            if x is None or x.above is None:
+                break
+            groups[x.above, x.kind][x].append(i)
+            x = x.above
+    found: set[int] = set()
+    for (above, kind), items in groups.items():
+        if not kind or len(items) < 2:
+            continue
+        first = min(at[0] for at in items.values())
+        like = sum(_is_comment(page, nodes, words, x, at) for x, at in items.items())
+        if 5 * like >= 4 * len(items) and like >= 2 and sum(words[:first]) >= 20:
+            found.update(i for at in items.values() for i in at)
+    return found
+
+
+def _is_comment(page: list[Block], nodes: list[Node], words: list[int], item: Node, at: list[int]) -> bool:
+    head = [i for i in at if words[i] <= 12 and not SENTENCE.search(page[i].text)]
+    dated = any(nodes[i].dated or DATE.search(page[i].text) for i in head) or item.dated
+    named = any(0 < words[i] <= 12 and WORD.search(DATE.sub("", page[i].text)) for i in head)
+    body = sum(words[i] for i in at if i not in head)
+    return dated and named and len(at) > 1 and 0 < body <= 150
+
+
+def decide(page: list[Block], around: list[int], passing: tuple[str, ...] = (), replies: set[int] = frozenset()) -> list[tuple[bool, str]]:
+    """Each block's label and what gave it: rule, neighbour, container or structure. Marks ``passing`` don't bar; ``replies`` go."""
     labels: list[bool | None] = []
     why: list[str] = []
     size = [len(b.text) - b.text.count(" ") for b in page]
-    barred = []
-    for b, letters in zip(page, size):
+    barred, shares = [], []
+    for i, b in enumerate(page):
         x = b.mark
         while x and (x.wraps or x.why in passing):
             x = x.above
-        barred.append(x is not None)
+        barred.append(x is not None or i in replies)
         words = WORD.findall(b.text.lower())
-        stop = sum(w in STOP for w in words) / max(len(words), 1)
-        ended = b.text.rstrip("\"')»”’ ")[-1:] in (".", "!", "?", "…")
-        by_rule = False if b.text[0] == "©" else rule(len(words), stop, b.linked / max(1, letters), ended, b.region > 0)
-        labels.append(False if x else by_rule)
-        why.append("container" if x else "rule")
+        shares.append((n_words(b.text), sum(w in STOP for w in words), b.linked / max(1, size[i])))
+        why.append("container" if x else "structure" if i in replies else "rule")
+    told = [(n, stop, i) for i, ((n, stop, link), bar) in enumerate(zip(shares, barred)) if not bar and n >= SHORT and link <= 0.33]
+    plain = sum(stop for _, stop, _ in told) < 0.05 * sum(n for n, _, _ in told)  # next to no stop words known here
+    known = not plain or len({w for _, _, i in told for w in (*WORD.findall(page[i].text.lower()), *UNSPACED.findall(page[i].text))}) < ENOUGH
+    for b, (n, stop, link), bar in zip(page, shares, barred):
+        by_rule = False if b.text[0] == "©" else rule(n, stop / max(n, 1), link, bool(SENTENCE.search(b.text)), b.region > 0, known)
+        labels.append(False if bar else by_rule)
     before = _nearest(page, labels, barred, range(len(page)))
     after = _nearest(page, labels, barred, range(len(page) - 1, -1, -1))
     free, dense = defaultdict(int), 0
@@ -239,18 +316,30 @@ def main_blocks(html: str | None) -> list[tuple[Block, bool, str]]:
     If containers bar all of a page whose dense blocks have ``MUCH`` words or more, names of containers are passed
     over, and then forms and menus: they stand around the page or were never closed.
     """
-    page, around = blocks(html or "")
+    page, around, nodes = _read(html or "")
+    replies = comments(page, nodes)
     found: list[tuple[bool, str]] = []
     for passing in ((), ("name",), ("name", "around")):
-        decided = decide(page, around, passing)
+        decided = decide(page, around, passing, replies)
         kept = [b for b, (label, _) in zip(page, decided) if label]
-        if not passing or sum(len(WORD.findall(b.text)) for b in kept) >= MUCH:
+        if not passing or sum(n_words(b.text) for b in kept) >= MUCH:
             found = decided
         if kept:
             break
+    else:
+        found = _densest(page, found)
     return [(b, *d) for b, d in zip(page, found)]
 
 
+def _densest(page: list[Block], found: list[tuple[bool, str]]) -> list[tuple[bool, str]]:
+    """Labels of a page that has none kept: its blocks with few links that no container bars, if they hold ``MUCH`` words or 200 letters."""
+    dense = [why not in ("container", "structure") and b.text[0] != "©" and b.linked <= 0.33 * len(b.text) and n_words(b.text) >= SHORT for b, (_, why) in zip(page, found)]
+    kept = [b.text for b, ok in zip(page, dense) if ok]
+    if sum(map(n_words, kept)) < MUCH and sum(len(WORD.findall(t)) and len("".join(WORD.findall(t))) for t in kept) < 200:
+        return found
+    return [(ok, "rule" if ok else why) for ok, (_, why) in zip(dense, found)]
+
+
 def main_text(html: str | None) -> str:
     return " ".join(b.text for b, label, _ in main_blocks(html) if label)
 

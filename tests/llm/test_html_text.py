@@ -189,3 +189,60 @@ def test_odd_containers():
     assert main_text(f"<article><p>{BODY} <span style='display:none'>not <span>this</span> one</span><span class=ad>nor this</span></p></article>") == BODY
     assert main_text(f"<p>{much}</p><a href=x><div>{MORE}</div></a>") == much
     assert main_text("<nav><a href=x>Home</a></nav><footer>All of the rights are with the owner of the site and of the text on it.</footer>") == ""
+
+
+SCRIPTS = {
+    "zh": ("这是第一段文字，它讲述了一个很长的故事。", "人们在城市里工作，也在那里生活，他们每天都乘坐公共汽车。"),
+    "ja": ("これは最初の段落であり、とても長い話をしています。", "人々は町で働き、そこで暮らし、毎日バスに乗っています。"),
+    "th": ("นี่คือย่อหน้าแรกซึ่งเล่าเรื่องยาวมากเกี่ยวกับผู้คนในเมืองใหญ่และชีวิตของพวกเขา", "ผู้คนทำงานในเมืองและอาศัยอยู่ที่นั่นทุกวันพวกเขานั่งรถเมล์ไปทำงานด้วยกันเสมอ"),
+    "ar": ("هذه هي الفقرة الأولى من النص وهي تروي قصة طويلة جدا عن الناس في المدينة.", "يعمل الناس في المدينة ويعيشون هناك ويركبون الحافلة كل يوم إلى عملهم."),
+    "ru": ("Это первый абзац текста, и он рассказывает очень длинную историю о людях в городе.", "Люди работают в городе и живут там, и каждый день они ездят на автобусе."),
+    "it": ("Questo è il primo paragrafo del testo e racconta una storia molto lunga di persone in città.", "Le persone lavorano in città e ci vivono, e ogni giorno prendono l'autobus per andare al lavoro."),
+    "hi": ("यह पाठ का पहला अनुच्छेद है और यह शहर के लोगों की एक बहुत लंबी कहानी बताता है।", "लोग शहर में काम करते हैं और वहीं रहते हैं और हर दिन बस से जाते हैं।"),
+}
+
+
+@pytest.mark.parametrize("lang", SCRIPTS)
+@pytest.mark.parametrize("article", [True, False])
+def test_pages_in_any_script(lang, article):
+    one, two = SCRIPTS[lang]
+    body = "".join(f"<p>{x * 4}</p>" for x in (one, two, one))
+    inside = f"<article>{body}</article>" if article else f"<div class=text>{body}</div>"
+    menu = "".join(f"<li><a href=/{i}>{two[:12]}</a></li>" for i in range(8))
+    page = f"<nav><ul>{menu}</ul></nav><div class=top><ul>{menu}</ul></div>{inside}<div id=legal-notice><p>{two}</p></div><footer>{one}</footer>"
+    assert main_text(page) == " ".join(x * 4 for x in (one, two, one))
+
+
+@pytest.mark.parametrize("lang", SCRIPTS)
+def test_no_page_of_prose_is_empty(lang):
+    one, two = SCRIPTS[lang]
+    for page in (f"<div><p>{(one + ' ' + two) * 10}</p></div>", f"<body>{(two + ' ') * 20}", f"<div>{''.join(f'<p>{one}</p>' for _ in range(20))}</div>"):
+        assert len(main_text(page)) >= 200
+    bare = "".join(c for c in one * 20 if c.isalpha())  # no sign and no space at all
+    assert main_text(f"<div><p>{bare}</p></div>") == bare
+
+
+def reply(who, when, text, tag="div", cls="entry"):
+    return f"<{tag} class={cls}><div class=a>{who}</div><div class=b>{when}</div><p>{text}</p></{tag}>"
+
+
+def test_comments_by_structure():
+    """Containers of names that say nothing; siblings with a name, a date and a short text."""
+    replies = [("Ada Byron", "3 May 2024", "I like this text a lot and would read more of it."), ("Lin", "2 hours ago", "So do I."), ("Bo", "<time>now</time>", "This is not what I had thought of it at all.")]
+    article = f"<article><h1>Title here</h1><p>{BODY}</p><p>{MORE}</p>%s</article>"
+    want = f"Title here {BODY} {MORE}"
+    for tag, wrap in (("div", "<div class=user-talk>%s</div>"), ("section", "%s"), ("li", "<ul class=x>%s</ul>")):
+        page = article % (wrap % "".join(reply(*r, tag=tag) for r in replies))
+        assert main_text(page) == want, tag
+    assert "structure" in {w for _, _, w in html_text.main_blocks(page)}
+    # One dated box, and sections without names or dates, are text.
+    assert "So do I" in main_text(article % reply("Lin", "2 hours ago", "So do I. And this is what one would say of it."))
+    sections = "".join(f"<section class=part><h2>Part {i}</h2><p>{MORE}</p></section>" for i in range(3))
+    assert main_text(article % sections).count(MORE) == 4
+    # A text that begins with dated entries keeps them: nothing stands before.
+    assert BODY in main_text("<article>" + "".join(reply("Day", f"{i} May 2024", BODY) for i in range(1, 4)) + "</article>")
+
+
+def test_notices_outside_articles():
+    legal = "All rights of this text are with us and you may not use it in any way that we have not said."
+    assert main_text(f"<div><p>{BODY}</p><p>{MORE}</p></div><div class=legal><p>{legal}</p></div>") == f"{BODY} {MORE}"
