@@ -14,8 +14,86 @@ _SPACE, _WORD = r"\t-\r\x1c-\x20\x85\p{Z}", r"\p{L}\p{N}_"
 #: A link, and a phone of 8 to 15 digits that no word goes on from.
 LINK = rf"(?iu)(?:https?://|www\.)[^{_SPACE}]+"
 PHONE = rf"(?<![{_WORD}])(?:\+?\p{{Nd}}[{_SPACE}().-]*){{8,15}}(?![{_WORD}])"
-#: Region, calling code, trunk prefix dropped from national numbers, least and most digits after the code.
-PHONE_PLAN = (("IT", "39", "", 6, 11), ("GB", "44", "0", 9, 10), ("US", "1", "", 10, 10), ("FR", "33", "0", 9, 9), ("DE", "49", "0", 6, 13), ("ES", "34", "", 9, 9))
+#: Regions, their calling code, the trunk prefix dropped from national numbers (- for none), least and most digits after the code.
+#: Any other plan, or a whole one, is a parameter of ``phone_e164``.
+PHONE_PLAN = tuple(
+    (region, code, trunk.strip("-"), int(least), int(most))
+    for region, code, trunk, least, most in (
+        line.split()
+        for line in """
+        US 1 1 10 10
+        CA 1 1 10 10
+        RU 7 8 10 10
+        KZ 7 8 10 10
+        EG 20 0 8 10
+        ZA 27 0 9 9
+        GR 30 - 10 12
+        NL 31 0 9 11
+        BE 32 0 8 9
+        FR 33 0 9 9
+        ES 34 - 9 9
+        HU 36 06 8 9
+        IT 39 - 6 11
+        VA 39 - 6 11
+        RO 40 0 9 9
+        CH 41 0 9 9
+        AT 43 0 4 13
+        GB 44 0 9 10
+        JE 44 0 9 10
+        DK 45 - 8 8
+        SE 46 0 6 10
+        NO 47 - 5 8
+        PL 48 - 9 9
+        DE 49 0 6 13
+        PE 51 0 8 9
+        MX 52 - 10 10
+        AR 54 0 10 11
+        BR 55 0 8 11
+        CL 56 - 9 9
+        CO 57 0 8 11
+        MY 60 0 8 10
+        AU 61 0 9 9
+        ID 62 0 8 12
+        PH 63 0 8 10
+        NZ 64 0 8 10
+        SG 65 - 8 8
+        TH 66 0 8 9
+        JP 81 0 9 10
+        KR 82 0 8 10
+        VN 84 0 9 10
+        CN 86 0 10 11
+        TR 90 0 10 10
+        IN 91 0 10 10
+        MA 212 0 9 9
+        TN 216 - 8 8
+        NG 234 0 8 10
+        KE 254 0 7 9
+        PT 351 - 9 9
+        LU 352 - 4 11
+        IE 353 0 7 10
+        IS 354 - 7 9
+        AL 355 0 8 9
+        MT 356 - 8 8
+        CY 357 - 8 8
+        FI 358 0 5 12
+        BG 359 0 7 9
+        LT 370 0 8 8
+        LV 371 - 8 8
+        EE 372 - 7 8
+        UA 380 0 9 9
+        RS 381 0 7 9
+        HR 385 0 8 9
+        SI 386 0 8 8
+        CZ 420 - 9 9
+        SK 421 0 9 9
+        SM 378 - 6 10
+        HK 852 - 8 8
+        AE 971 0 8 9
+        IL 972 0 8 9
+        SA 966 0 9 9
+        """.strip().splitlines()
+    )
+)
 
 
 def _folding() -> tuple[str, str, str, list[str], str]:
@@ -123,16 +201,33 @@ def phone_digits(raw: Column) -> Column:
     return F.regexp_replace(bare, "^00", "+")
 
 
-def phone_e164(raw: Column, region: Column) -> Column:
-    """E.164 by a table of calling codes and lengths; null if the number can't be one (O9.1)."""
+def phone_e164(raw: Column, region: Column, plan: tuple[tuple[str, str, str, int, int], ...] = PHONE_PLAN) -> Column:
+    """E.164 by a numbering plan; null if the number can't be one (O9.1).
+
+    A number with ``+`` belongs to the longest calling code that it starts with, any other one to ``region``, without its trunk
+    prefix. It is possible if it has as many digits as its code, or region, allows. A trunk prefix that was left in behind a code
+    goes where the number is too long with it.
+    """
     bare = phone_digits(raw)
-    found = F.lit(None).cast("string")
-    for name, code, trunk, least, most in reversed(PHONE_PLAN):
-        national = F.regexp_replace(bare, f"^{trunk}", "") if trunk else bare
-        with_code = F.regexp_extract(bare, rf"^\+{code}([0-9]{{{least},{most}}})$", 1)
-        local = F.regexp_extract(national, rf"^([0-9]{{{least},{most}}})$", 1)
-        found = F.when(with_code != "", F.concat(F.lit(f"+{code}"), with_code)).when((region == name) & (local != ""), F.concat(F.lit(f"+{code}"), local)).otherwise(found)
-    return found
+    codes: dict[str, tuple[str, int, int]] = {}
+    for _, code, trunk, least, most in plan:
+        _, low, high = codes.get(code, ("", least, most))
+        codes[code] = (trunk, min(low, least), max(high, most))
+    row = lambda code, trunk, least, most: F.struct(F.lit(code).alias("code"), F.lit(trunk).alias("trunk"), F.lit(least).alias("least"), F.lit(most).alias("most"))
+    of_code = F.create_map(*[x for code, rest in codes.items() for x in (F.lit(code), row(code, *rest))])
+    of_region = F.create_map(*[x for name, *rest in plan for x in (F.lit(name), row(*rest))])
+    digits = F.regexp_extract(bare, r"^\+([0-9]+)$", 1)
+    longest = max(map(len, codes))
+    found = F.coalesce(*[F.try_element_at(of_code, F.substring(digits, 1, n)) for n in range(longest, 0, -1)])
+    rest = F.substr(digits, F.length(found["code"]) + 1)
+    fits = lambda x, r: F.length(x).between(r["least"], r["most"])
+    without = F.when((found["trunk"] != "") & rest.startswith(found["trunk"]), F.substr(rest, F.length(found["trunk"]) + 1))
+    abroad = F.when(fits(rest, found), rest).when(fits(without, found), without)
+    own = F.try_element_at(of_region, region)
+    national = F.regexp_extract(bare, r"^([0-9]+)$", 1)
+    short = F.when((own["trunk"] != "") & national.startswith(own["trunk"]), F.substr(national, F.length(own["trunk"]) + 1)).otherwise(national)
+    home = F.when(fits(short, own), short)
+    return F.when(digits != "", F.concat(F.lit("+"), found["code"], abroad)).otherwise(F.concat(F.lit("+"), own["code"], home))
 
 
 def full_phone(raw: Column) -> Column:

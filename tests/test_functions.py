@@ -211,3 +211,50 @@ def test_resolve(spark):
     hrefs = ["", "z", "/z?k", "//b.org/c", "?p=2", "#top", "mailto:a@b", "https://c.net/", "../z", "../../../z?a=../b", "./", "..", "a/./b/../c", "/x/../../y/", ".hidden/..a"]
     got = one(spark, *[text.resolve_url(F.lit(p), F.lit(h)) for p in pages for h in hrefs])
     assert got == tuple(urljoin(p, h) if h else p for p in pages for h in hrefs)
+
+
+#: Numbers made up for this test: region, as written there, E.164.
+NUMBERS = """IT|333 123 4567|+393331234567
+IT|06 1234567|+39061234567
+GB|020 7946 0958|+442079460958
+US|1 (202) 555-0143|+12025550143
+CA|613 555 0199|+16135550199
+FR|01 99 00 12 34|+33199001234
+DE|030 901820|+4930901820
+ES|612 345 678|+34612345678
+AT|0664 1234567|+436641234567
+BE|0470 12 34 56|+32470123456
+CH|079 123 45 67|+41791234567
+CZ|601 123 456|+420601123456
+DK|32 12 34 56|+4532123456
+FI|041 2345678|+358412345678
+GR|691 234 5678|+306912345678
+HU|06 20 123 4567|+36201234567
+IE|085 012 3456|+353850123456
+NL|06 12345678|+31612345678
+NO|406 12 345|+4740612345
+PL|512 345 678|+48512345678
+PT|912 345 678|+351912345678
+RO|0712 034 567|+40712034567
+SE|070-123 45 67|+46701234567
+SI|031 234 567|+38631234567
+SK|0912 123 456|+421912123456
+TR|0501 234 56 78|+905012345678
+UA|050 123 4567|+380501234567
+AU|0412 345 678|+61412345678
+BR|(11) 96123-4567|+5511961234567
+IN|081234 56789|+918123456789
+JP|090-1234-5678|+819012345678
+SG|8123 4567|+6581234567
+ZA|071 123 4567|+27711234567"""
+
+
+def test_numbering_plan(spark):
+    cases = [line.split("|") for line in NUMBERS.splitlines()]
+    rows = [(raw, region, want) for region, raw, want in cases] + [(want, "US", want) for _, _, want in cases] + [(want.replace("+", "00"), None, want) for _, _, want in cases]
+    rows += [("+44 (0)20 7946 0958", "IT", "+442079460958"), ("+999 123456", "IT", None), ("+393331", "IT", None), ("12", "IT", None), ("512 345 678", None, None), ("512 345 678", "XX", None), ("+383 44 123 456", "IT", None), ("", "IT", None), (None, "IT", None), ("+1 202 555 01433", "US", None), ("call me", "IT", None)]
+    df = spark.createDataFrame(rows, "raw string, region string, want string")
+    assert [(r.raw, r.got) for r in df.select("raw", "want", text.phone_e164(F.col("raw"), F.col("region")).alias("got")).collect()] == [(raw, want) for raw, _, want in rows]
+    assert len({x[0] for x in text.PHONE_PLAN}) >= 60
+    own = (("XX", "999", "9", 5, 6),)
+    assert one(spark, text.phone_e164(F.lit("9 12345"), F.lit("XX"), own), text.phone_e164(F.lit("+39 333 1234567"), F.lit("XX"), own)) == ("+99912345", None)
