@@ -139,14 +139,15 @@ c AS (SELECT source_id, count(*) FILTER (WHERE status = 'failed' AND started_at
   CAST(sum(CASE WHEN status = 'completed' AND started_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN items ELSE 0 END) AS BIGINT) AS items_7d,
   arg_max(status, (started_at, run_id)) AS last_status, max(started_at) AS last_run, max(started_at) FILTER (WHERE status = 'completed') AS last_success FROM seen GROUP BY 1),
 k AS (SELECT source_id, count(*) AS failures_in_a_row FROM (SELECT source_id, sum(CASE WHEN status = 'failed' THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS m FROM seen) WHERE m = 0 GROUP BY 1),
-src AS (SELECT unnest(range(0, 12)) AS source_id),
+src AS (SELECT DISTINCT user_id % 12 AS source_id FROM events),
 snap AS (SELECT source_id, last_status, last_run, last_success, coalesce(failed_24h, 0) AS failed_24h, coalesce(completed_24h, 0) AS completed_24h, coalesce(failed_7d, 0) AS failed_7d,
   coalesce(completed_7d, 0) AS completed_7d, coalesce(items_7d, 0) AS items_7d, coalesce(failures_in_a_row, 0) AS failures_in_a_row,
   CASE WHEN last_status = 'running' THEN greatest(0, date_sub('second', last_run, TIMESTAMP '{NOW}')) END AS running_seconds FROM src LEFT JOIN c USING (source_id) LEFT JOIN k USING (source_id))"""
 
 
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.snapshot(spark.range(12).select(F.col("id").alias("source_id")), runs(spark, sf_dir), now())
+    sources = table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("source_id")).distinct()  # two of them never run
+    return health.snapshot(sources, runs(spark, sf_dir), now())
 
 
 @query(f"WITH {_SNAP} SELECT * FROM snap")

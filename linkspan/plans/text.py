@@ -128,12 +128,13 @@ def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT minute, CASE WHEN minute < 120 THEN TIMESTAMP '2026-03-29 00:00:00' + to_minutes(CAST(minute - 60 AS INTEGER)) WHEN minute >= 180 THEN TIMESTAMP '2026-03-29 00:00:00' + to_minutes(CAST(minute - 120 AS INTEGER)) END AS utc FROM (SELECT unnest(range(0, 300, 15)) AS minute)""")
+@query("""WITH l AS (SELECT event_id, TIMESTAMP '2026-03-28 00:00:00' + to_days(CAST(event_id % 3 AS INTEGER)) + (ts - date_trunc('day', ts)) AS wall FROM events)
+SELECT event_id, CASE WHEN wall < TIMESTAMP '2026-03-29 02:00:00' THEN wall - INTERVAL 1 HOUR WHEN wall >= TIMESTAMP '2026-03-29 03:00:00' THEN wall - INTERVAL 2 HOUR END AS utc FROM l""")
 def dst_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local times of Rome on a night when an hour is skipped (O10.2)."""
-    m = spark.range(0, 300, 15).withColumnRenamed("id", "minute")
-    local = F.lit("2026-03-29 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("minute").cast("int"))
-    return m.select("minute", numbers.local_to_utc(local, "Europe/Rome").cast("timestamp_ntz").alias("utc"))
+    """Events' times of day as local times of Rome, on days around the night when an hour is skipped (O10.2)."""
+    day = F.date_add(F.lit("2026-03-28").cast("date"), (F.col("event_id") % 3).cast("int")).cast("timestamp")
+    wall = day + (F.col("ts") - F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "events").select("event_id", numbers.local_to_utc(wall, "Europe/Rome").cast("timestamp_ntz").alias("utc"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid, sha256('{"k":' || json_extract_string(props, '$.k') || '}') AS fingerprint FROM events""")

@@ -95,6 +95,48 @@ def timed_sessions(events: DataFrame, gap_seconds: int, late: str) -> DataFrame:
     return out.select("user_id", F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"), "n")
 
 
+class _Budget(StatefulProcessor):
+    """What a key has reserved, as one number in state, forgotten by a timer when the key's budget is over."""
+
+    def __init__(self, most: int, keep_ms: int):
+        self.most, self.keep = most, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "held long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.held.get()[0] if self.held.exists() else 0
+        batch = pd.concat(list(rows)).sort_values(["us", "id"])  # one key of one micro-batch
+        fits, reserved = [], []
+        for amount in batch["amount"].tolist():
+            ok = amount <= 0 or held + amount <= self.most
+            held = max(held + amount, 0) if ok else held
+            fits.append(ok)
+            reserved.append(held)
+        self.held.update((held,))
+        self.handle.registerTimer(int(batch["us"].iloc[-1] // 1000) + self.keep)
+        yield pd.DataFrame({"key": key[0], "id": batch["id"], "fits": fits, "reserved": reserved})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def admitted(requests: DataFrame, most: int, late: str = "1 hour", keep_hours: int = 48) -> DataFrame:
+    """The continuous form of ``limits.admitted`` (O12.5): key, id, fits and reserved of ``requests`` (key, id, ts, amount) as they come.
+
+    A refused request leaves no trace; a negative amount gives back what was reserved and not used. Rows of one micro-batch are put in
+    order, those of later ones count as they come; a key is forgotten ``keep_hours`` after its last request of a micro-batch, when its day is
+    over.
+    """
+    rows = requests.select("key", "id", "amount", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
+    return rows.groupBy("key").transformWithStateInPandas(_Budget(most, keep_hours * 3_600_000), "key string, id long, fits boolean, reserved long", "append", "eventTime")
+
+
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

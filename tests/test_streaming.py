@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from linkspan.operators import health
+from linkspan.operators import health, limits
 from linkspan.streaming import jobs
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string"
@@ -63,3 +63,32 @@ def test_silent_keys_are_forgotten_and_late_rows_dropped(spark, tmp_path):
         query().awaitTermination()
     got = {r.event_id: r.failures for r in spark.read.parquet(out).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 0, 5: 0, 7: 1}
+
+
+def test_reservations_as_they_come(spark, tmp_path):
+    """As the batch form has them, over several micro-batches; what is given back can be reserved again."""
+    schema = "ts timestamp_ntz, id long, key string, amount long"
+    path = str(tmp_path / "in")
+    parts = [[(T0, 1, "d1", 90), (T0 + timedelta(minutes=1), 2, "d1", 50)], [(T0 + timedelta(minutes=2), 3, "d1", 10), (T0 + timedelta(minutes=3), 4, "d1", 1), (T0, 5, "d2", 100)]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    events = lambda: jobs.read_events(spark, path, spark.createDataFrame([], schema).schema, files=1)
+    out, _ = jobs.run_to_end(jobs.admitted(events(), 100), str(tmp_path / "out"), str(tmp_path / "cp"))
+    batch = limits.admitted(spark.createDataFrame([r for p in parts for r in p], schema), ["key"], "ts", "id", "amount", 100)
+    assert {(r.id, r.fits, r.reserved) for r in out.collect()} == {(r.id, r.fits, r.reserved) for r in batch.collect()} == {(1, True, 90), (2, False, 90), (3, True, 100), (4, False, 100), (5, True, 100)}
+    spark.createDataFrame([(T0 + timedelta(minutes=9), 6, "d1", -90), (T0 + timedelta(minutes=9), 7, "d1", 80)], schema).coalesce(1).write.mode("append").parquet(path)
+    again, _ = jobs.run_to_end(jobs.admitted(events(), 100), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert {(r.id, r.fits, r.reserved) for r in again.where("id > 5").collect()} == {(6, True, 10), (7, True, 90)}
+
+
+def test_sessions_that_timers_close(spark, tmp_path):
+    """Rows in any order within the delay join sessions that were apart; open sessions stay in state; late rows are counted."""
+    schema = "event_id long, user_id long, ts timestamp_ntz"
+    path = str(tmp_path / "in")
+    at = lambda h: T0 + timedelta(hours=h)
+    for rows in ([(1, 1, at(0)), (2, 1, at(3)), (3, 2, at(1))], [(4, 1, at(1.5)), (5, 2, at(20))], [(6, 3, at(21))], [(7, 9, at(0)), (8, 1, at(22))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    events = jobs.read_events(spark, path, spark.createDataFrame([], schema).schema, files=1)
+    out, late = jobs.run_to_end(jobs.timed_sessions(events, 2 * 3600, "4 hours"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {(r.user_id, r.start.replace(tzinfo=None), r.end.replace(tzinfo=None), r.n) for r in out.collect()}
+    assert got == {(1, at(0), at(3), 3), (2, at(1), at(1), 1)} and late == 1
