@@ -1,4 +1,8 @@
-"""Connected components of a table of links by large and small stars."""
+"""Connected components of a table of links by large and small stars.
+
+Both sides of each join are exchanged as they are, the smallest neighbours from a written table, so that adaptive execution can
+split the links of a hub.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +15,14 @@ from .common import materialize
 def _large(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "star-low")
     return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
+    low = materialize(down.groupBy("a").agg(F.min("b").alias("low")), "star-low")
     return down.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
 

@@ -8,8 +8,10 @@ Distances of random fingerprints all lie near 32, so a whole row makes no key fo
 meet by blocks: 64 bits are cut into ``2 * radius`` blocks, of which fingerprints within ``radius``
 share at least ``radius``; every choice of ``radius`` blocks is a key (20 keys of some 32 bits for a radius of 3).
 Only distinct fingerprints take part. Within a key, tasks connect what is within the radius and give the
-fewest links that keep it connected, not all pairs; a key with more than ``TILE`` fingerprints is dealt
-to tasks by pairs of tiles, which grow with the root of the key's size.
+fewest links that keep it connected, not all pairs. The fingerprints of a crowded key are cut by blocks once more:
+they agree on the key's blocks, so what they differ by lies in the other half, of whose blocks they again share
+enough. A key with more than ``TILE`` fingerprints even so is dealt to tasks by pairs of tiles, which grow with the root of
+the key's size.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .components import connected
 
 PIVOTS = 16
 TILE, LARGEST_TILE = 2048, 65536
+#: Fingerprints of a key that are cut by further blocks.
+CROWD = 4096
 SMALL = 32
 #: Reference fingerprints, from a fixed seed.
 REFERENCES = np.random.default_rng(64).integers(0, 1 << 64, PIVOTS, dtype="u8")
@@ -85,6 +89,14 @@ def blocks(radius: int) -> list[int]:
     return [sum(c) for c in combinations(masks, radius)]
 
 
+def further_blocks(mask: int, radius: int) -> list[int]:
+    """Masks of every choice of ``radius`` out of ``2 * radius`` blocks of the bits outside ``mask``."""
+    bits = [i for i in range(64) if not mask >> i & 1]
+    edges = [len(bits) * i // (2 * radius) for i in range(2 * radius + 1)]
+    parts = [sum(1 << i for i in bits[a:b]) for a, b in zip(edges, edges[1:])]
+    return [sum(c) for c in combinations(parts, radius)]
+
+
 def distances(prints: np.ndarray) -> np.ndarray:
     """The pivot table: a row of distances for each fingerprint."""
     return np.bitwise_count(prints[:, None] ^ REFERENCES[None, :]).astype("i1")
@@ -202,23 +214,58 @@ def _connect(radius: int):
     return connect
 
 
-def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """a, b: links between distinct fingerprints (column ``print``) that connect all within ``radius``."""
-    keyed = prints.mapInArrow(_table(radius), "key long, choice int, print long, distances binary")
-    keyed = materialize(keyed, "pivot-table")
-    sizes = keyed.groupBy("key", "choice").agg(F.count("*").alias("n")).where("n > 1")
+def _again(radius: int):
+    """Rows of crowded keys under the keys of further blocks; the numbers of these choices go on where the others end."""
+    masks = blocks(radius)
+    further = [further_blocks(m, radius) for m in masks]
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            choice = b.column(0).to_numpy(zero_copy_only=False)
+            p = b.column(1).to_numpy(zero_copy_only=False).astype("i8").view("u8")
+            for k in np.unique(choice):
+                at = np.flatnonzero(choice == k)
+                rows = b.take(pa.array(at))
+                for n, m in enumerate(further[k]):
+                    number = len(masks) * (1 + n) + int(k)
+                    key = ((p[at] & np.uint64(m | masks[k])) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number)).view("i8")
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), number, "i4")), rows.column(1), rows.column(2)], ["key", "choice", "print", "distances"])
+
+    return again
+
+
+_KEYED = "key long, choice int, print long, distances binary"
+
+
+def _dealt(keyed: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
+    """key, cell, print, distances, side: the rows of each key; of a large one, fingerprints fall into ``parts`` tiles, and each goes to
+    the cells of its tile with every tile."""
     rows = keyed.join(sizes, ["key", "choice"])
-    # A large key: fingerprints fall into ``parts`` tiles, and each goes to the cells of its tile with every tile.
     in_tile = F.least(F.greatest(F.ceil(F.sqrt("n") * 8), F.lit(tile)), F.lit(max(tile, LARGEST_TILE)))
     parts = F.ceil(F.col("n") / in_tile).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("tile", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
     side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2)
-    rows = rows.select("key", "choice", "print", "distances", (low * F.col("parts") + high).alias("cell"), side.alias("side"))
-    rows = rows.withColumn("key", F.xxhash64("key", "choice"))
-    rows = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "print")
-    rows = rows.select("key", "cell", "print", "distances", "side")
+    return rows.select(F.xxhash64("key", "choice").alias("key"), (low * F.col("parts") + high).alias("cell"), "print", "distances", side.alias("side"))
+
+
+def cells(prints: DataFrame, radius: int = 3, tile: int = TILE, crowd: int = CROWD) -> DataFrame:
+    """key, cell, print, distances, side: which fingerprints are compared, those of side 1 with those of side 2 alone."""
+    keyed = materialize(prints.mapInArrow(_table(radius), _KEYED), "pivot-table")
+    sizes = materialize(keyed.groupBy("key", "choice").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    crowded = sizes.where(F.col("n") > crowd)
+    found = _dealt(keyed, sizes.where(F.col("n") <= crowd), tile)
+    if crowded.isEmpty():
+        return found
+    again = keyed.join(crowded.drop("n"), ["key", "choice"]).select("choice", "print", "distances").mapInArrow(_again(radius), _KEYED)
+    again = materialize(again, "further-keys")
+    return found.unionByName(_dealt(again, again.groupBy("key", "choice").agg(F.count("*").alias("n")).where("n > 1"), tile))
+
+
+def links(prints: DataFrame, radius: int = 3, tile: int = TILE, crowd: int = CROWD) -> DataFrame:
+    """a, b: links between distinct fingerprints (column ``print``) that connect all within ``radius``."""
+    rows = cells(prints, radius, tile, crowd).repartition("key", "cell").sortWithinPartitions("key", "cell", "print")
     return rows.mapInArrow(_connect(radius), "a long, b long").distinct()
 
 

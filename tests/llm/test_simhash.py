@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from linkspan.llm import simhash
 from linkspan.llm.components import connected
@@ -126,3 +127,54 @@ def test_edges_between_batches():
     row = lambda i: pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array(p[i : i + 1].view("i8")), pa.array([d[i].tobytes()]), pa.array([0])], ["key", "cell", "print", "distances", "side"])
     found = {(a, b) for batch in simhash._connect(3)(row(i) for i in range(5)) for a, b in zip(*batch.to_pydict().values())}
     assert {a for a, _ in found} | {b for _, b in found} == {4, 5, 6, 7}
+
+
+@pytest.mark.parametrize("crowd", [8, 40])
+def test_crowds_are_cut_by_further_blocks(spark, crowd):
+    """All fingerprints agree on three blocks; every link is kept, whatever makes a crowd."""
+    r = random.Random(crowd)
+    mask = simhash.blocks(3)[7]
+    base, free = r.getrandbits(64), [i for i in range(64) if not mask >> i & 1]
+    prints = {base}
+    while len(prints) < 200:
+        p = r.choice(sorted(prints)) if r.random() < 0.7 else (base & mask) | (r.getrandbits(64) & ~mask & (1 << 64) - 1)
+        for _ in range(r.choice([1, 2, 3])):
+            p ^= 1 << r.choice(free)
+        prints.add(p)
+    found = links_of(spark, prints, crowd=crowd)
+    low = {p: p for p in prints}
+
+    def root(p):
+        while low[p] != p:
+            p = low[p]
+        return p
+
+    for a, b in found:
+        x, y = root(a), root(b)
+        low[max(x, y)] = min(x, y)
+    assert {p: root(p) for p in prints} == groups({p: p for p in prints})
+
+
+def test_further_blocks():
+    for m in simhash.blocks(3):
+        again = simhash.further_blocks(m, 3)
+        assert len(again) == 20 and all(x & m == 0 and 14 <= x.bit_count() <= 18 for x in again)
+
+
+def test_compared_pairs_of_a_crowd_grow_less_than_the_square(spark):
+    mask = np.uint64(simhash.blocks(3)[0])
+    pairs = {}
+    for n in (4_000, 100_000):
+        p = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype="u8") & ~mask | np.uint64(12345) & mask)
+        df = spark.createDataFrame(pa.table({"print": pa.array(p.view("i8"))}))
+        sides = simhash.cells(df).groupBy("key", "cell").agg(F.count_if(F.col("side") != 2).alias("l"), F.count_if(F.col("side") != 1).alias("r"))
+        pairs[n] = sides.agg(F.sum(F.col("l") * F.col("r"))).first()[0]
+    # From a key that isn't cut to one 25 times as large: the square would be 625 times as many.
+    assert pairs[100_000] < 100_000**2 / 100 and pairs[100_000] < 25 * pairs[4_000]
+
+
+def test_a_hub_of_links(spark):
+    """A star in which one node has nearly all links: tasks of its joins are split."""
+    hub = spark.range(1, 60_001).selectExpr("id as a", "0L as b").union(spark.range(1, 100).selectExpr("id + 100000 as a", "id as b"))
+    got = connected(hub)
+    assert got.count() == 60_099 and got.select("component").distinct().count() == 1
