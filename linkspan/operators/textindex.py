@@ -36,7 +36,7 @@ def add_batch(rows: DataFrame, path: str, batch: str, id_column: str = "doc_id",
     Rows with a null id can't be found and are left out; of rows with one id and equal texts one counts, of different texts all
     places do. Places of a word within a text are collected with that text alone, documents of a word within a block of ids.
     """
-    docs = rows.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
+    docs = rows.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     each = docs.select("id", F.posexplode(words_of(F.col("text"))).alias("place", "word"))
     of_doc = each.groupBy("word", "id").agg(F.array_sort(F.collect_set("place")).alias("places"))
     of_doc = of_doc.withColumn("block", F.floor(F.col("id") / BLOCK))
