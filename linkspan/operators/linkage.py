@@ -23,8 +23,9 @@ def duplicate_links(rows: DataFrame, id_column: str, keys: list[Column]) -> Data
     grouping serves all of them; a group of n rows gives n - 1 links, which connect it as all its pairs would. Null keys link
     nothing. Both sides of the join are written tables, so that a key that a third of all rows share can be split.
     """
-    hashed = F.array(*[F.when(k.isNotNull(), F.struct(F.lit(i).alias("key"), F.xxhash64(F.lit(1), k).alias("a"), F.xxhash64(F.lit(2), k).alias("b"))) for i, k in enumerate(keys)])
-    keyed = rows.select(F.col(id_column).alias("id"), F.explode(F.array_compact(hashed)).alias("k")).select("id", "k.*")
+    rows = rows.select(F.col(id_column).alias("id"), *[k.alias(f"key_{i}") for i, k in enumerate(keys)])  # each key once
+    hashed = [F.when(F.col(f"key_{i}").isNotNull(), F.struct(F.lit(i).alias("key"), F.xxhash64(F.lit(1), f"key_{i}").alias("a"), F.xxhash64(F.lit(2), f"key_{i}").alias("b"))) for i in range(len(keys))]
+    keyed = rows.select("id", F.explode(F.array_compact(F.array(*hashed))).alias("k")).select("id", "k.*")
     keyed = stored(keyed, "duplicate-keys")
     low = stored(keyed.groupBy("key", "a", "b").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"), "duplicate-groups")
     return keyed.join(low, ["key", "a", "b"]).where("id <> low").select("low", "id").distinct()
