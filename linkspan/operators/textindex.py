@@ -30,20 +30,19 @@ def bucket_of(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def add_batch(rows: DataFrame, path: str, batch: str, id_column: str = "doc_id", text: str = "text") -> None:
-    """Index ``rows`` as one batch; a batch of the same name is replaced, others stay.
+def add_batch(rows: DataFrame, path: str, batch: str | Column, id_column: str = "doc_id", text: str = "text") -> None:
+    """Index ``rows`` as one batch, or as the batches that a column names; batches of the same names are replaced, others stay.
 
     Rows with a null id can't be found and are left out; of rows with one id and equal texts one counts, of different texts all
     places do. Places of a word within a text are collected with that text alone, documents of a word within a block of ids.
     """
-    docs = rows.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    each = docs.select("id", F.posexplode(words_of(F.col("text"))).alias("place", "word"))
-    of_doc = each.groupBy("word", "id").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    docs = rows.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.lit(batch) if isinstance(batch, str) else batch).alias("batch"))
+    each = docs.select("batch", "id", F.posexplode(words_of(F.col("text"))).alias("place", "word"))
+    of_doc = each.groupBy("batch", "word", "id").agg(F.array_sort(F.collect_set("place")).alias("places"))
     of_doc = of_doc.withColumn("block", F.floor(F.col("id") / BLOCK))
-    lists = of_doc.groupBy("word", "block").agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("docs"))  # a block at most
-    out = lists.select("word", "block", F.transform("docs", lambda d: d["id"]).alias("ids"), F.transform("docs", lambda d: d["places"]).alias("places"))
-    out = out.withColumns({"batch": F.lit(batch), "bucket": bucket_of(F.col("word"))})
-    out = out.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "word", "block")
+    lists = of_doc.groupBy("batch", "word", "block").agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("docs"))  # a block at most
+    out = lists.select("batch", "word", "block", F.transform("docs", lambda d: d["id"]).alias("ids"), F.transform("docs", lambda d: d["places"]).alias("places"))
+    out = out.withColumn("bucket", bucket_of(F.col("word"))).repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("batch", "bucket", "word", "block")
     out.write.mode("overwrite").options(**_PACKED).partitionBy("batch", "bucket").parquet(path)
 
 

@@ -266,9 +266,7 @@ def _search_sql() -> str:
 def _index(spark: SparkSession, sf_dir: str) -> str:
     """An index of the documents, a batch for each language."""
     path, docs = scratch(spark, "text-index"), table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    for lang in sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect()):  # a few
-        textindex.add_batch(docs.where(F.col("lang") == lang), path, lang)
-    textindex.add_batch(docs.where("lang is null"), path, "none")
+    textindex.add_batch(docs, path, F.coalesce("lang", F.lit("none")))
     return path
 
 
