@@ -70,7 +70,7 @@ def test_empty_input(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rel = c.execute(queries.ORACLES[name])
     names = [d[0] for d in rel.description]
@@ -82,7 +82,7 @@ def test_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_whole_tables(spark, name):
     out = queries.QUERIES[name](spark, SF)
-    key, source = ("page_id", "pages") if name.startswith("op4") else ("doc_id", "documents")
+    key, source = {"op4": ("page_id", "pages"), "op13": ("vec_id", "embeddings")}.get(name.split("_")[0], ("doc_id", "documents"))
     assert out.select(key).distinct().count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
 
 
