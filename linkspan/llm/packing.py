@@ -126,7 +126,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     Takes ``doc_id`` and ``text``; other columns are ignored. Returns doc_id, start (the document's ids
     before the piece), length, doc_tokens, sequence_id, offset (in the sequence, gapless from 0) and
     ids (the piece, little-endian unsigned 32-bit). A null text is empty and leaves the end id alone;
-    a null doc_id stays null; a repeated row is packed as often as it comes; an empty table gives none.
+    a null doc_id stays null; a repeated row is packed as often as it comes, with equal lengths in the order of the rows of its task;
+    a very long text is encoded whole and cut into as many sequences as it fills; an empty table gives none.
     """
     path = tokenizer or public_path("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -154,7 +154,9 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_rules(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: int = 4000, where: Column | None = None) -> Forest:
     """Grow the trees on at most ``per_class`` labelled documents of each class (by a hash of doc_id).
 
-    Without labels of both classes, the forest is empty and gives the share of label 1 to every document.
+    An id with several texts counts once, with the smallest of them; an id with both labels as one row of each; equal rows of
+    statistics once. Very long texts are read whole; null ids and other labels don't count. Without labels of both classes, the
+    forest is empty and gives the share of label 1 to every document.
     """
     sample, _ = labelled_sample(labels, column, per_class, where)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -168,8 +170,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, column: str = "quality", per_c
 def apply_rules(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
     """Statistics and verdicts: doc_id, the five STATS, base_failed, quality (probability of label 1), kept.
 
-    A null or empty text has no words and fails the base rules. Repeated rows and null ids each keep
-    their row; other columns are ignored; an empty table gives no rows.
+    A null or empty text has no words and fails the base rules; a very long one is read whole, in the memory of its own words. A
+    probability of just ``threshold`` is kept. Repeated rows and null ids each keep their row; other columns are ignored; an
+    empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(forest)

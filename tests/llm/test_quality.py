@@ -154,3 +154,17 @@ def test_rules_on_held_out_rows(spark):
     rows = gbt.apply_rules(docs, gbt.fit_rules(docs, labels, where=fold != 0)).join(held, "doc_id").collect()
     good, bad = ([r.kept for r in rows if r.y == y] for y in (1, 0))
     assert len(good) > 40 and np.mean(good) > 0.9 and np.mean(bad) < 0.3
+
+
+def test_rules_on_very_long_texts_and_at_the_threshold(spark):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "one two three"), (None, None)], "doc_id long, text string")
+    share = gbt.grow(np.zeros((4, len(gbt.FEATURES))), np.array([0.0, 1, 1, 1]), list(gbt.FEATURES.values()))  # nothing to split on: one probability for all
+    p = float(share.probability(np.zeros((1, len(gbt.FEATURES))))[0])
+    for threshold, kept in ((p, True), (np.nextafter(p, 1), False)):
+        rows = gbt.apply_rules(docs, share, threshold).collect()
+        assert [r.kept for r in rows if r.doc_id == 1] == [kept] * 2 and not any(r.kept for r in rows if r.doc_id != 1)
+        assert [r.n_words for r in rows if r.doc_id == 1] == [400_000] * 2 and all(r.quality == p for r in rows)
+    want = plain_stats(long)
+    got = next(r for r in rows if r.doc_id == 1)
+    assert [got[s] for s in gbt.STATS] == want[: len(gbt.STATS)]
