@@ -149,3 +149,13 @@ def test_accents_are_folded_in_whole_texts(spark, tmp_path):
     want = {"eta" if k == "age" else k for k in keys}
     assert {"citta_di_castello", "eta", "nandu", "aeiou", "ete", "12_ab"} <= want
     assert sorted(r.key for r in QUERIES["accent_fold_words"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_references_without_a_semicolon_stay(spark, duck, tmp_path):
+    """As in a title that was cut inside one; scripts have no references."""
+    pages = [(i, f"https://a.x/{i}", f"<title>{t}</title><script>var x = '<a href=\"' + a&b&amp;c</script><a href=\"/x?a=1&b=2\">x</a>") for i, t in enumerate(["the&amp;&amp;&amp", "a &lt b &lt;", "&amp;amp", "&#39;&#39 &x27;", "&", "R&D; &quot"])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    df = QUERIES["html_fields"](spark, str(tmp_path))
+    want = duck.execute(f"WITH pages AS (FROM '{tmp_path}/pages.parquet/*.parquet') SELECT {', '.join(df.columns)} FROM ({ORACLES['html_fields']})").fetchall()
+    assert {r.page_id: r.title for r in df.collect()}[0] == "the&&&amp"
+    assert rows(df.columns, df.collect()) == rows(df.columns, want)
