@@ -43,7 +43,8 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
 
     Spans are put into classes by their length, each twice as long as the one before, and a class has buckets as long as
     its longest span: so a span lies in two buckets at most, however long it is, and a point in one of each class that
-    there is (64 at most). Points and spans meet by keys, class and bucket alone. Columns of both sides must have different names
+    there is (64 at most). Points and spans meet by keys, class and bucket alone, in a merge join: neither side is broadcast, as
+    Spark's estimate of a side's size doesn't know how many buckets a row got. Columns of both sides must have different names
     but for the keys. Empty spans hold nothing; ``how`` is inner, left_semi or left_anti.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -56,7 +57,7 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     spans = spans.withColumn("span_bucket", F.explode(F.sequence(first, last)))
     named = points.withColumns({"point_at": micros(at), "point_row": F.monotonically_increasing_id()}) if how != "inner" else points.withColumn("point_at", micros(at))
     each = named.withColumn("point_class", F.explode(F.array(*map(F.lit, classes)).cast("array<int>"))).withColumn("point_bucket", bucket(F.col("point_at"), F.col("point_class")))
-    renamed = spans.select(*[F.col(c).alias(f"span_key_{i}") for i, c in enumerate(keys)], *[c for c in spans.columns if c not in keys])
+    renamed = spans.select(*[F.col(c).alias(f"span_key_{i}") for i, c in enumerate(keys)], *[c for c in spans.columns if c not in keys]).hint("merge")
     same = [F.col(c).eqNullSafe(F.col(f"span_key_{i}")) for i, c in enumerate(keys)]
     same += [F.col("point_class") == F.col("span_class"), F.col("point_bucket") == F.col("span_bucket"), F.col("point_at") >= F.col("span_start"), F.col("point_at") < F.col("span_end")]
     if how == "inner":

@@ -177,3 +177,11 @@ def test_states_merge_into_any_range(spark, tmp_path):
         assert abs(sum(v <= got[k].p95 for v in own) / len(own) - 0.95) < 0.0133 * 1.5
     windows = rollup.merged(made, ["k"], "1 hour", "30 minutes")
     assert windows.agg(F.sum("count_all")).first()[0] == 2 * len(rows)
+
+
+def test_no_side_of_an_interval_join_is_broadcast(spark):
+    """Whatever Spark takes the sides' sizes for before their rows are put into buckets."""
+    p = spark.range(10).selectExpr("id", "1L AS k", "timestamp_seconds(id) AS ts")
+    s = spark.range(10).selectExpr("id AS span", "1L AS k", "timestamp_seconds(id) AS since", "timestamp_seconds(id + 3) AS until")
+    plan = interval_join(p, s, ["k"], "ts", "since", "until")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
