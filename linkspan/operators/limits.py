@@ -74,6 +74,33 @@ def _phased(asks: DataFrame, keys: DataFrame, most: int, bucket: str) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+def reservations(rows: DataFrame, keys: list[str], ts: str, order: str, amount: str, most: int, bucket: str = "second") -> DataFrame:
+    """``rows`` with fits and reserved as ``admitted`` has them, but negative amounts give back what their key has reserved, down to nothing (O12.5).
+
+    ``most`` is small: what a bucket's rows do is written down for each of the ``most + 1`` sums that may be reserved before them, so that
+    buckets are worked on alone, and a key's are then gone through one by one. So ``keys`` should bound how many buckets a key has (a minute
+    has 60), and no list is longer than a bucket's rows or a key's buckets. Null amounts reserve nothing; a row without a time is in a first bucket.
+    """
+    asks = rows.select(F.struct(*keys).alias("res_key"), F.date_trunc(bucket, ts).alias("res_bucket"), F.struct(F.col(ts), F.col(order)).alias("res_at"), F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("res_size"), F.struct(*[F.col(c) for c in rows.columns]).alias("res_row"))
+    same = ["res_key", "res_bucket"]
+    buckets = stored(asks.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("res_at", "res_size", "res_row"))).alias("list")), "buckets")
+    fit = lambda held, r: (r["res_size"] <= 0) | (held + r["res_size"] <= most)
+    after = lambda held, r: F.when(fit(held, r), F.greatest(held + r["res_size"], F.lit(0).cast("long"))).otherwise(held)
+    whole = buckets.select(*same, F.transform(F.sequence(F.lit(0), F.lit(most)), lambda start: F.aggregate("list", start.cast("long"), after)).alias("leads_to"))
+    of_key = whole.groupBy("res_key").agg(F.array_sort(F.collect_list(F.struct("res_bucket", "leads_to"))).alias("list"))  # a key's buckets
+    none = F.array().cast("array<struct<res_bucket:%s,held:bigint>>" % whole.schema["res_bucket"].dataType.simpleString())
+    walk = F.aggregate(
+        "list", F.struct(F.lit(0).cast("long").alias("held"), none.alias("before")),
+        lambda acc, b: F.struct(F.get(b["leads_to"], acc["held"].cast("int")).alias("held"), F.array_append(acc["before"], F.struct(b["res_bucket"].alias("res_bucket"), acc["held"].alias("held"))).alias("before")),
+    )
+    starts = of_key.select("res_key", F.explode(walk["before"]).alias("b")).select(F.col("res_key").alias("start_key"), F.col("b.res_bucket").alias("start_bucket"), F.col("b.held").alias("held")).hint("merge")
+    met = buckets.join(starts, F.col("res_key").eqNullSafe(F.col("start_key")) & F.col("res_bucket").eqNullSafe(F.col("start_bucket")))
+    held = F.aggregate("list", F.array("held"), lambda acc, r: F.array_append(acc, after(F.element_at(acc, -1), r)))
+    each = met.select(held.alias("held_all"), F.posexplode("list").alias("i", "r"))
+    before, reserved = F.get("held_all", F.col("i")), F.get("held_all", F.col("i") + 1)
+    return each.select(*[F.col("r.res_row")[c].alias(c) for c in rows.columns], fit(before, F.col("r")).alias("fits"), reserved.alias("reserved"))
+
+
 def admissions(rows: DataFrame, user: str, provider: str, remote: Column, ts: str, order: str, tokens: str, per_day: int, per_minute: int, budget: int) -> DataFrame:
     """``rows`` (requests) with user_count, minute_count, outcome and reserved (O12.5).
 

@@ -109,12 +109,19 @@ def weekly_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.admitted(e, ["week"], "ts", "event_id", "tokens", 9000).select("event_id", "reserved", "fits")
 
 
-@query("""SELECT event_id, count(*) OVER w AS requests, count(*) OVER w <= 1 AS allowed FROM events WINDOW w AS (PARTITION BY event_type <> 'view', date_trunc('minute', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+@query("""WITH RECURSIVE r AS (SELECT event_id, {'provider': event_type <> 'view', 'minute': date_trunc('minute', ts)} AS key, CASE WHEN event_type = 'error' THEN -CAST(floor(value) AS BIGINT) ELSE CAST(floor(value) AS BIGINT) END AS ask, ts FROM events),
+s AS MATERIALIZED (SELECT event_id, key, ask, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS i FROM r),
+f AS (SELECT DISTINCT key, 0::BIGINT AS i, 0::BIGINT AS held, true AS fits FROM s UNION ALL
+  SELECT s.key, s.i, CASE WHEN s.ask <= 0 OR f.held + s.ask <= 60 THEN greatest(f.held + s.ask, 0) ELSE f.held END, s.ask <= 0 OR f.held + s.ask <= 60 FROM f JOIN s ON s.key = f.key AND s.i = f.i + 1)
+SELECT event_id, i AS requests, i <= 1 AS allowed, held AS reserved, fits FROM s JOIN f USING (key, i)""")
 def minute_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of each provider's minute, refused ones counted too, and which are still allowed (O12.5)."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("event_type") != "view").alias("provider"), F.date_trunc("minute", "ts").alias("minute"))
-    out = carried(e, ["provider", "minute"], F.date_trunc("second", "ts"), ["ts", "event_id"], {"requests": ("count", F.lit(1))})
-    return out.select("event_id", "requests", (F.col("requests") <= 1).alias("allowed"))
+    """Requests of each provider's minute, refused ones counted too, which are still allowed, and what is reserved of the minute's tokens, errors giving
+    back what they took (O12.5)."""
+    tokens = F.floor("value").cast("long")
+    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("event_type") != "view").alias("provider"), F.date_trunc("minute", "ts").alias("minute"), F.when(F.col("event_type") == "error", -tokens).otherwise(tokens).alias("tokens"))
+    out = limits.reservations(e, ["provider", "minute"], "ts", "event_id", "tokens", 60)
+    out = carried(out, ["provider", "minute"], F.date_trunc("second", "ts"), ["ts", "event_id"], {"requests": ("count", F.lit(1))})
+    return out.select("event_id", "requests", (F.col("requests") <= 1).alias("allowed"), "reserved", "fits")
 
 
 @query(f"""WITH r AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status, ts FROM events),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkspan.operators import rollup
 from linkspan.operators.carry import carried
-from linkspan.operators.limits import admissions, admitted, lockouts
+from linkspan.operators.limits import admissions, admitted, lockouts, reservations
 from linkspan.operators.timejoin import asof_join, interval_join
 
 ZERO = dt.datetime(2024, 1, 1)
@@ -185,3 +185,17 @@ def test_no_side_of_an_interval_join_is_broadcast(spark):
     s = spark.range(10).selectExpr("id AS span", "1L AS k", "timestamp_seconds(id) AS since", "timestamp_seconds(id + 3) AS until")
     plan = interval_join(p, s, ["k"], "ts", "since", "until")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_minutes_reserve_and_give_back(spark):
+    """By a fold, with crowded seconds, amounts beyond the budget, nothing to give back and no amount; keys may be null."""
+    r = random.Random(9)
+    rows = [(i, r.choice(["a", "b", None]), ZERO + dt.timedelta(milliseconds=r.choice([0, 1, 900, 1000, 5000, r.randrange(60_000)])), r.choice([None, 0, 3, 10, 25, 60, 61, -7, -30, -200])) for i in range(600)]
+    want, held = {}, {}
+    for i, k, t, a in sorted(rows, key=lambda x: (x[2], x[0])):
+        a, h = a or 0, held.get(k, 0)
+        ok = a <= 0 or h + a <= 60
+        held[k] = max(h + a, 0) if ok else h
+        want[i] = (ok, held[k])
+    got = reservations(spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz, a int"), ["k"], "ts", "id", "a", 60)
+    assert {x.id: (x.fits, x.reserved) for x in got.collect()} == want
