@@ -66,3 +66,17 @@ def test_gaps_are_packed_and_hot_words_are_cut(spark, index):
     columns = {c.path_in_schema: c for c in (pq.ParquetFile(file).metadata.row_group(0).column(i) for i in range(4))}
     places = next(c for p, c in columns.items() if p.startswith("places"))
     assert "DELTA_BINARY_PACKED" in places.encodings and places.total_uncompressed_size < 30_000  # of 30,000 places, all gaps of one
+
+
+def test_a_batch_is_shuffled_once_and_phrases_fetch_what_their_rarest_word_needs(spark, tmp_path, monkeypatch):
+    """One exchange builds the index; a frequent word isn't met by every document for each phrase it is in."""
+    plans = []
+    writer = type(spark.range(1).write)
+    parquet = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), parquet(self, path, *a, **k))[1])
+    docs = [(i, "the the of the" + (" rare word" if i % 50 == 0 else "")) for i in range(200)]
+    path = str(tmp_path / "index")
+    textindex.add_batch(spark.createDataFrame(docs, "doc_id long, text string"), path, "a")
+    assert plans[0].count("Exchange") == 1
+    found = textindex.search_phrases(spark.createDataFrame([(1, "the rare"), (2, "the of the"), (3, "rare gone")], "query int, text string"), path)
+    assert {(r.query, r.doc_id): r.hits for r in found.collect()} == {(1, i): 1 for i in range(0, 200, 50)} | {(2, i): 1 for i in range(200)}
