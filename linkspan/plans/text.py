@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx, numbers, text
 from ..operators import linkage, textindex
-from ..sources.tables import scratch, table
+from ..sources.tables import dealt, scratch, table
 from .registry import query, url_key
 
 
@@ -27,7 +27,7 @@ _TAILS = ("//?b=2&UTM_Source=x&a=1", "/?utm_medium=m&utm_campaign=c&utm_term=t&u
 def url_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up addresses with every tracking parameter, escapes, repeated and blank parameters (O9.7)."""
     tails = F.explode(F.array(*map(F.lit, _TAILS)))
-    links = table(spark, sf_dir, "customer").select("c_custkey", tails.alias("tail"))
+    links = dealt(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", tails.alias("tail"))
     links = links.select("c_custkey", F.concat(F.lit("HTTPS://Shop-"), F.col("c_custkey").cast("string"), F.lit(".Example.COM"), "tail").alias("url"))
     return links.withColumn("url_key", text.normal_url(F.col("url")))
 

@@ -159,3 +159,8 @@ def test_references_without_a_semicolon_stay(spark, duck, tmp_path):
     want = duck.execute(f"WITH pages AS (FROM '{tmp_path}/pages.parquet/*.parquet') SELECT {', '.join(df.columns)} FROM ({ORACLES['html_fields']})").fetchall()
     assert {r.page_id: r.title for r in df.collect()}[0] == "the&&&amp"
     assert rows(df.columns, df.collect()) == rows(df.columns, want)
+
+
+def test_addresses_are_made_by_all_tasks(spark):
+    """Customers are few bytes in one file, of which many addresses are made."""
+    assert QUERIES["url_parameters"](spark, SF).rdd.getNumPartitions() >= 4
