@@ -215,3 +215,21 @@ def test_suppression_is_there_before_rows_go(spark):
     rows = spark.createDataFrame([(1, "a"), (3, "b")], "k int, v string")
     suppressed, left = records.erasure(keys, F.col("h"), listed, {"t": (rows, "k")})
     assert {tuple(r) for r in suppressed.collect()} == {("h1", 0, "erasure"), ("h2", 4, "old")} and [r.v for r in left["t"].collect()] == ["b"]
+
+
+def test_pages_are_freed_one_by_one_and_handed_on_in_small_batches(spark):
+    import gc
+    import weakref
+
+    roots, parse = [], html.parse
+    gc.disable()
+    try:
+        html.parse = lambda x: (r := parse(x), roots.append(weakref.ref(r)))[0]
+        assert html._read_page("<ul><li>a<li><b>c</b></ul>", [html.Values("li")]) == [["a", "c"]]
+        assert [r() for r in roots] == [None]
+    finally:
+        html.parse = parse
+        gc.enable()
+    n = 2 * html.PAGES + 3
+    pages = spark.range(n).selectExpr("id AS page_id", "concat('<p>', id, '</p>') AS html").coalesce(1)
+    assert {r.page_id: r.v for r in html.read_fields(pages, v=html.Values("p")).collect()} == {i: [str(i)] for i in range(n)}
