@@ -38,61 +38,75 @@ def sessions(events: DataFrame, gap: str, late: str, key: str) -> DataFrame:
 
 
 class _Sessions(StatefulProcessor):
-    """Open sessions of a key (start, end, rows, in microseconds) as a list in state; each has a timer at its end and the gap."""
+    """Open sessions (key, start, end, rows, times in microseconds) of a share of all keys as one value of four arrays in state, and a timer
+    at the first moment when one of them is over.
+
+    What a call costs (a frame, a state read and written, a timer) comes once a share and micro-batch, not once a key or session.
+    """
+
+    _NAMES = ("key", "start_us", "end_us", "n")
+    _MANY = 1 << 16
 
     def __init__(self, gap_us: int):
         self.gap = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "start long, end long, n long")
+        self.open = handle.getValueState("open", ", ".join(f"{c} array<long>" for c in self._NAMES))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        for chunk in rows:  # in any order; chunk by chunk, so that a key of any size needs no more memory than its open sessions
-            at = np.sort(chunk["us"].to_numpy())
-            cuts = np.flatnonzero(np.diff(at) > self.gap) + 1
-            found += [(int(x[0]), int(x[-1]), len(x)) for x in np.split(at, cuts)]
-            found = self._merged(found)
-        self.open.put(found)
-        for _, end, _ in found:
-            self.handle.registerTimer(-(-(end + self.gap) // 1000))
+        found, new = self._held(), []
+        for chunk in rows:  # in any order; merged now and then, so that a share of any size needs no more memory than its open sessions
+            new.append(self._merged(pd.DataFrame({"key": chunk["key"], "start_us": chunk["us"], "end_us": chunk["us"], "n": 1})))
+            if sum(map(len, new)) > max(self._MANY, len(found)):
+                found, new = self._merged(pd.concat([found, *new])), []
+        self._hold(self._merged(pd.concat([found, *new])))
         return iter(())
 
-    def _merged(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        out: list[tuple[int, int, int]] = []
-        for start, end, n in sorted(found):
-            if out and start - out[-1][1] <= self.gap:
-                out[-1] = (out[-1][0], max(end, out[-1][1]), out[-1][2] + n)
-            else:
-                out.append((start, end, n))
-        return out
+    def _held(self) -> pd.DataFrame:
+        held = self.open.get() or [[]] * len(self._NAMES)
+        return pd.DataFrame({c: np.asarray(x, dtype="int64") for c, x in zip(self._NAMES, held)})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        found = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        over = [x for x in found if x[1] + self.gap <= now]
-        rest = [x for x in found if x[1] + self.gap > now]
-        if rest:
-            self.open.put(rest)
-        else:
+    def _hold(self, found: pd.DataFrame) -> None:
+        if found.empty:
             self.open.clear()
-        if over:
-            yield pd.DataFrame({"user_id": key[0], "start_us": [x[0] for x in over], "end_us": [x[1] for x in over], "n": [x[2] for x in over]})
+            return
+        self.open.update(tuple(found[c].tolist() for c in self._NAMES))
+        self.handle.registerTimer(-(-(int(found["end_us"].min()) + self.gap) // 1000))
+
+    def _merged(self, found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["key", "start_us"], ignore_index=True)
+        if found.empty:
+            return found
+        last = found.groupby("key")["end_us"].cummax().to_numpy()  # the latest end so far
+        fresh = (np.diff(found["key"].to_numpy()) != 0) | (found["start_us"].to_numpy()[1:] - last[:-1] > self.gap)
+        at = np.flatnonzero(np.r_[True, fresh])
+        ends = np.r_[at[1:], len(found)] - 1
+        return pd.DataFrame({"key": found["key"].to_numpy()[at], "start_us": found["start_us"].to_numpy()[at], "end_us": last[ends], "n": np.add.reduceat(found["n"].to_numpy(), at)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        found = self._held()
+        over = -(-(found["end_us"] + self.gap) // 1000) <= timerValues.getCurrentWatermarkInMs()
+        if over.any():  # else what the timer was for has gone on since
+            self._hold(found[~over])
+            yield found[over].assign(share=key[0])
 
     def close(self) -> None:
         pass
 
 
-def timed_sessions(events: DataFrame, gap_seconds: int, late: str) -> DataFrame:
+def timed_sessions(events: DataFrame, gap_seconds: int, late: str, shares: int = 256) -> DataFrame:
     """Sessions (user_id, start, end, n) that ended because nothing came for ``gap_seconds`` (O12.4): an event-time timer closes each.
 
-    ``events`` has user_id and ts. Rows that are later than ``late`` behind the latest one before the last batch are dropped and counted in
-    the query's progress; others may come in any order and join sessions that were apart. State is the open sessions, one row each, in RocksDB.
+    ``events`` has user_id and ts; rows without a time belong to no session. Rows that are later than ``late`` behind the latest one before the
+    last batch are dropped and counted in the query's progress; others may come in any order and join sessions that were apart. State is the
+    open sessions in RocksDB, those of all users of one of ``shares`` hashes together; so that many tasks work at most. Rows without a user are one
+    more share.
     """
-    rows = events.select("user_id", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
-    out = rows.groupBy("user_id").transformWithStateInPandas(_Sessions(gap_seconds * 1_000_000), "user_id long, start_us long, end_us long, n long", "append", "eventTime")
-    return out.select("user_id", F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"), "n")
+    share = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.hash("user_id"), F.lit(shares)))
+    rows = events.where("ts is not null").select(share.alias("share"), F.coalesce("user_id", F.lit(0)).cast("long").alias("key"), "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
+    out = rows.groupBy("share").transformWithStateInPandas(_Sessions(gap_seconds * 1_000_000), "key long, start_us long, end_us long, n long, share int", "append", "eventTime")
+    return out.select(F.when(F.col("share") >= 0, F.col("key")).alias("user_id"), F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"), "n")
 
 
 class _Budget(StatefulProcessor):

@@ -92,3 +92,33 @@ def test_sessions_that_timers_close(spark, tmp_path):
     out, late = jobs.run_to_end(jobs.timed_sessions(events, 2 * 3600, "4 hours"), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {(r.user_id, r.start.replace(tzinfo=None), r.end.replace(tzinfo=None), r.n) for r in out.collect()}
     assert got == {(1, at(0), at(3), 3), (2, at(1), at(1), 1)} and late == 1
+
+
+def test_sessions_of_many_users_share_state_and_timers(spark, tmp_path):
+    """Against a plain reading: what is called for each micro-batch doesn't grow with users; rows without a user or a time."""
+    schema = "event_id long, user_id long, ts timestamp_ntz"
+    path, none = str(tmp_path / "in"), (99_999, None)
+    at = lambda h: T0 + timedelta(hours=h)
+    users = [*range(600), None]
+    parts = [[(i, u, at(h + i % 7 / 8)) for i, u in enumerate(users) for h in (0, 1.5, 6)] + [(*none, None), (1, 5, None)], [(i, u, at(h)) for i, u in enumerate(users) for h in (8.5, 11)] + [(1, -1, at(40))], [(1, -1, at(40))]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    events = jobs.read_events(spark, path, spark.createDataFrame([], schema).schema, files=1)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs._ROCKS)
+    try:
+        q = jobs.timed_sessions(events, 2 * 3600, "4 hours").writeStream.format("memory").queryName("shared_sessions").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = set()
+    for u in users:
+        times = sorted(t for part in parts for _, v, t in part if v == u and t)
+        for t in times:
+            if t == times[0] or t - last > timedelta(hours=2):
+                start, n = t, 0
+            n, last = n + 1, t
+            want = {w for w in want if w[:2] != (u, start)} | {(u, start, last, n)}
+    got = spark.table("shared_sessions").collect()
+    assert len(got) == len(want) and {(r.user_id, r.start.replace(tzinfo=None), r.end.replace(tzinfo=None), r.n) for r in got} == want
+    timers = [op["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert 0 < max(timers) <= 257
