@@ -283,7 +283,7 @@ def fold_key(x: Column) -> Column:
     several = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.get(F.split(F.lit("\n".join(MORE_PLAIN)), "\n"), F.nullif(F.instr(F.lit(MORE), c), F.lit(0)) - 1), c)), "")
     x = F.when(F.length(F.translate(x, MORE, "")) < F.length(x), several).otherwise(x)
     bare = F.lower(F.translate(x, ONE + MARKS, ONE_PLAIN))  # marks have nothing to become
-    key = F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "_"), "^_|_$", "")
+    key = F.btrim(F.regexp_replace(bare, "[^a-z0-9]+", "_"), F.lit("_"))
     return F.when(key == "age", "eta").otherwise(key)
 
 

@@ -78,7 +78,8 @@ FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w FR
 def accent_fold_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded keys of every word of every text (O9.20)."""
     words = F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)))
-    return table(spark, sf_dir, "documents").select(words.alias("word")).distinct().select(text.fold_key(F.col("word")).alias("key")).distinct()
+    words = dealt(table(spark, sf_dir, "documents").select(words.alias("word")).distinct())  # not dealt out, the distinct below makes Spark drop this one and fold every place of a word
+    return words.select(text.fold_key(F.col("word")).alias("key")).distinct()
 
 
 @query("SELECT event_id, event_type AS code, 'm ' || event_id AS message, '[' || event_type || '] m ' || event_id AS encoded FROM events")

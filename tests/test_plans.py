@@ -151,6 +151,12 @@ def test_accents_are_folded_in_whole_texts(spark, tmp_path):
     assert sorted(r.key for r in QUERIES["accent_fold_words"](spark, str(tmp_path)).collect()) == sorted(want)
 
 
+def test_words_are_folded_once_each(spark):
+    """A distinct right below another is dropped by Spark's optimizer, and every place of a word is folded."""
+    plan = QUERIES["accent_fold_words"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.split("[")[1].split("#")[0] for line in plan.splitlines() if "Aggregate [" in line] == ["key", "word"]
+
+
 def test_references_without_a_semicolon_stay(spark, duck, tmp_path):
     """As in a title that was cut inside one; scripts have no references."""
     pages = [(i, f"https://a.x/{i}", f"<title>{t}</title><script>var x = '<a href=\"' + a&b&amp;c</script><a href=\"/x?a=1&b=2\">x</a>") for i, t in enumerate(["the&amp;&amp;&amp", "a &lt b &lt;", "&amp;amp", "&#39;&#39 &x27;", "&", "R&D; &quot"])]
